@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import quality
+from veriframe.llm import bpe, quality
 from veriframe.llm.common import table
 
 
@@ -21,8 +22,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vocabulary(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.count(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {
+        "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op5_token_counts": op5_token_counts,
+        "op6_quality_rules": op6_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
