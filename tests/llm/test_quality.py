@@ -39,7 +39,7 @@ def test_measures_and_odd_rows(spark):
 
 def test_table_decides(spark):
     good = "The cat sat on the mat and it was glad to be in the warm sun for a long while. " * 1 + " ".join(f"the w{i}" for i in range(40))
-    bad = {"symbol_ratio": good + " # # # # # # # # # # # # # # # # #", "upper_case_ratio": good.upper() + " the the", "stop_word_ratio": " ".join(f"word{i}" for i in range(50))}
+    bad = {"symbol_ratio": good + " # # # # # # # # # # # # # # # # #", "upper_case_ratio": " ".join(f"WORDWORD{i} the" for i in range(50)), "stop_word_ratio": " ".join(f"word{i}" for i in range(50))}
     docs = spark.createDataFrame([("good", good), *bad.items()], "doc_id string, text string")
     found = {r[0]: r[1] for r in quality.judge(docs).select("doc_id", "_quality.broken").collect()}
     assert found.pop("good") is None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, quality
+from veriframe.llm import bpe, quality, repeats
 from veriframe.llm.common import table
 
 
@@ -37,13 +37,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op10_repeated_passages": op10_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle()}
+    return {"op6_quality_rules": quality.oracle(), "op10_repeated_passages": repeats.ORACLE}
