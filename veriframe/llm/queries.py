@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, quality, repeats
+from veriframe.llm import bpe, jaccard, quality, repeats
 from veriframe.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).membership
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.count(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -44,6 +48,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
         "op10_repeated_passages": op10_repeated_passages,

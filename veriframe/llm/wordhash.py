@@ -62,7 +62,7 @@ class Words:
         for k in np.flatnonzero(size > _MAX_PLACE):  # places were cut off: such a word is hashed exactly
             a = self.start[k]
             n = int(size[k])
-            self.hash[k] = mix((_BYTE[data[a : a + n]] * _powers(1 << (n - 1).bit_length(), 11)[:n]).sum(dtype=np.uint64)[None] + np.uint64(n) * _ODD)[0]
+            self.hash[k] = mix((_BYTE[data[a : a + n]] * _powers(1 << (n - 1).bit_length(), 11)[:n]).sum(dtype=np.uint64)[None] + np.array([n], np.uint64) * _ODD)[0]
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
@@ -81,7 +81,7 @@ class Words:
         total = np.zeros(len(at), np.uint64)
         for k in range(size):
             total += self.hash[at + k] * power[k]
-        return mix(total + np.uint64(size) * _ODD)
+        return mix(total + np.uint64(size * int(_ODD) & (1 << 64) - 1))
 
 
 _MAX_PLACE = 1 << 12
