@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, jaccard, quality, repeats
+from veriframe.llm import bpe, jaccard, lines, quality, repeats
 from veriframe.llm.common import table
 
 
@@ -41,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return lines.dedup(docs).select("doc_id", "n_lines", "n_removed", kept)
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -51,9 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": op3_jaccard_join,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
         "op10_repeated_passages": op10_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle(), "op10_repeated_passages": repeats.ORACLE}
+    return {"op6_quality_rules": quality.oracle(), "op7_line_dedup": lines.oracle(), "op10_repeated_passages": repeats.ORACLE}
