@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, jaccard, lines, quality, repeats
+from veriframe.llm import bpe, contamination, jaccard, lines, quality, repeats
 from veriframe.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs).select("doc_id", "n_lines", "n_removed", kept)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
+        "op8_decontamination": op8_decontamination,
         "op10_repeated_passages": op10_repeated_passages,
     }
 
