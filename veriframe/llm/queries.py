@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, contamination, jaccard, lines, quality, repeats
+from veriframe.llm import bpe, contamination, jaccard, lines, pii, quality, repeats
 from veriframe.llm.common import table
 
 
@@ -27,6 +27,16 @@ def _vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs))
+    base = F.col("pii").base
+    return found.select(
+        "doc_id", *[pii.count(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii").spans).alias("spans"),
+    )
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
@@ -57,6 +67,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_jaccard_join": op3_jaccard_join,
         "op5_token_counts": op5_token_counts,
