@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, contamination, jaccard, lines, pii, quality, repeats
+from veriframe.llm import bpe, contamination, jaccard, lines, pii, quality, repeats, toxicity
 from veriframe.llm.common import table
 
 
@@ -61,6 +61,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -74,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
         "op8_decontamination": op8_decontamination,
+        "op9_toxicity": op9_toxicity,
         "op10_repeated_passages": op10_repeated_passages,
     }
 
