@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, contamination, jaccard, lines, pii, quality, repeats, toxicity
+from veriframe.llm import bpe, contamination, jaccard, licenses, lines, pii, quality, repeats, toxicity
 from veriframe.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).membership
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.count(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_bpe_round_trip": op2_bpe_round_trip,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
@@ -88,4 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality.oracle(), "op7_line_dedup": lines.oracle(), "op10_repeated_passages": repeats.ORACLE}
+    return {
+        "op4_license_scan": licenses.oracle(),
+        "op6_quality_rules": quality.oracle(),
+        "op7_line_dedup": lines.oracle(),
+        "op10_repeated_passages": repeats.ORACLE,
+    }
