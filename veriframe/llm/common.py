@@ -53,3 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that are broadcast to take rows out; beyond, a shuffle does it.
+MAX_BROADCAST_IDS = 500_000
+
+
+def pick_out(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids``."""
+    ids = cut(ids)
+    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti")
