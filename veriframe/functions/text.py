@@ -1,0 +1,60 @@
+"""Folds and word tests on text. Each fold is its own relation; none stands in for another."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: A word: letters and digits of any script, with apostrophes inside.
+WORD = r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)"
+
+
+def quote_fold(c: Column) -> Column:
+    """Curly quotes straight, runs of white space one space; case kept."""
+    return F.regexp_replace(F.translate(c, "‘’“”", "''\"\""), r"\s+", " ")
+
+
+def space_fold(c: Column) -> Column:
+    """Runs of white space one space, trimmed; case and punctuation kept."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def alias_key(c: Column) -> Column:
+    """Letters and digits in lower case, all else one space."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
+@F.pandas_udf("string")
+def full_fold(texts: pd.Series) -> pd.Series:
+    """NFKC, full case folding, ё as е: what no built-in function gives."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold().replace("ё", "е"))
+
+
+def tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(1))
+
+
+def words_only(c: Column) -> Column:
+    """The words with one space between and around, so that containment is word-aligned."""
+    return F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+
+
+def contains_aligned(body: Column, quote: Column) -> Column:
+    """Whether the quote stands in the body with no word cut at either end."""
+    word = r"[\p{L}\p{N}_]"
+    lead = F.when(quote.rlike(f"^{word}"), F.lit(r"(?<![\p{L}\p{N}_])")).otherwise("")
+    tail = F.when(quote.rlike(f"{word}$"), F.lit(r"(?![\p{L}\p{N}_])")).otherwise("")
+    pattern = F.concat(lead, F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"), tail)
+    return (F.length(quote) > 0) & body.contains(quote) & F.regexp_like(body, pattern)
+
+
+def term_matches(term: Column, words: Column, folded: Column) -> Column:
+    """A phrase is a substring, four letters or more begin a word, less is a whole word."""
+    return (
+        F.when(F.instr(term, " ") > 0, folded.contains(term))
+        .when(F.length(term) >= 4, F.exists(words, lambda w: w.startswith(term)))
+        .otherwise(F.array_contains(words, term))
+    )

@@ -26,7 +26,7 @@ def _orders(spark, sf_dir):
     o = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("f"), o).alias("id"), o.alias("k"), F.col("o_orderpriority").alias("app"), (F.col("o_custkey") % 50).alias("text"),
-        F.when(o % 41 != 0, adapter.micros(F.col("o_orderdate"))).alias("us"), F.concat(F.lit("t"), F.col("o_custkey") % 200).alias("thread_id"),
+        F.when(o % 41 != 0, adapter.micros(F.col("o_orderdate"))).alias("us"), F.concat(F.lit("t"), F.floor(o / 3)).alias("thread_id"),
     )
 
 
@@ -93,7 +93,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _PAIRED = """
-full_ AS (SELECT 'f' || o_orderkey AS id, o_orderkey AS k, o_orderpriority AS app, o_custkey % 50 AS text, CASE WHEN o_orderkey % 41 <> 0 THEN epoch_us(o_orderdate) END AS us, 't' || (o_custkey % 200) AS thread_id FROM orders),
+full_ AS (SELECT 'f' || o_orderkey AS id, o_orderkey AS k, o_orderpriority AS app, o_custkey % 50 AS text, CASE WHEN o_orderkey % 41 <> 0 THEN epoch_us(o_orderdate) END AS us, 't' || (o_orderkey // 3) AS thread_id FROM orders),
 report AS (SELECT 'r' || k AS id, app, text, us + (k % 90) * 1000000 AS us FROM full_ WHERE k % 3 = 0 AND k % 200 < 150),
 c AS (SELECT r.id, f.id AS fid FROM report r JOIN full_ f ON r.app = f.app AND r.text = f.text AND (r.us IS NULL OR f.us IS NULL OR f.us BETWEEN r.us - 60000000 AND r.us + 60000000)),
 n AS (SELECT id, fid, (SELECT count(*) FROM c x WHERE x.id = c.id) = 1 AND (SELECT count(*) FROM c x WHERE x.fid = c.fid) = 1 AS sole FROM c),
