@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once (one longer text is worked on alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, BLOCK_BYTES = 4 << 20, 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,17 +52,29 @@ class Words:
         if not len(self.start):
             self.hash = np.zeros(0, np.uint64)
             return
-        place = np.zeros(len(data), np.int64)
-        place[self.start[0] :] = np.arange(self.start[0], len(data)) - np.repeat(self.start, np.diff(np.r_[self.start, len(data)]))
+        # block by block, so that the arrays of 8 bytes for each byte of text stay small
+        end = np.r_[self.start[1:], len(data)]
+        self.hash = np.zeros(len(self.start), np.uint64)
+        lo = 0
+        while lo < len(self.start):
+            hi = max(lo + 1, int(np.searchsorted(end, self.start[lo] + BLOCK_BYTES, side="right")))
+            a, b = self.start[lo], end[hi - 1]
+            self.hash[lo:hi] = self._hash(data[a:b], word[a:b], self.start[lo:hi] - a)
+            lo = hi
+
+    @staticmethod
+    def _hash(data: np.ndarray, word: np.ndarray, start: np.ndarray) -> np.ndarray:
+        place = np.arange(len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)]))
         np.minimum(place, _MAX_PLACE - 1, out=place)  # longer words are hashed below
         value = _BYTE[data] * _powers(_MAX_PLACE, 11)[place]
-        value[gap] = 0
-        size = np.add.reduceat(word.astype(np.int64), self.start)
-        self.hash = mix(np.add.reduceat(value, self.start) + size.astype(np.uint64) * _ODD)
-        for k in np.flatnonzero(size > _MAX_PLACE):  # places were cut off: such a word is hashed exactly
-            a = self.start[k]
-            n = int(size[k])
-            self.hash[k] = mix((_BYTE[data[a : a + n]] * _powers(1 << (n - 1).bit_length(), 11)[:n]).sum(dtype=np.uint64)[None] + np.array([n], np.uint64) * _ODD)[0]
+        value[~word] = 0
+        size = np.add.reduceat(word.astype(np.int64), start)
+        found = mix(np.add.reduceat(value, start) + size.astype(np.uint64) * _ODD)
+        for k in np.flatnonzero(size > _MAX_PLACE):
+            a, n = start[k], int(size[k])
+            power = _powers(1 << (n - 1).bit_length(), 11)[:n]
+            found[k] = mix((_BYTE[data[a : a + n]] * power).sum(dtype=np.uint64)[None] + np.array([n], np.uint64) * _ODD)[0]
+        return found
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
