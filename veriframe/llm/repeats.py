@@ -109,12 +109,48 @@ def _rows(part, kind: int, doc_id, n_words, data) -> pa.RecordBatch:
     )
 
 
-def _lost(doc: np.ndarray, path: np.ndarray) -> tuple[list, list]:
-    """Paths by document, as bytes."""
+def _lost(doc: np.ndarray, path: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Lost paths, packed by the group of their document: ids, how many each, 6 bytes of each path.
+
+    A document's own windows are all that these bytes have to tell apart.
+    """
+    part = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((doc, part))
+    part, doc, path = part[order], doc[order], path[order]
+    short = (path >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    blobs = []
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
+        first = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+        size = np.diff(np.r_[first, b - a])
+        blobs.append(np.array([len(first)], "<i8").tobytes() + doc[a:b][first].astype("<i8").tobytes() + size.astype("<i8").tobytes() + short[a:b].tobytes())
+    return _rows(part[cuts], LOST, [None] * len(cuts), np.zeros(len(cuts), np.int64), blobs)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document that loses words: its id and its lost paths."""
+    docs, paths = [], []
+    for batch in batches:
+        for blob in batch.column("data").to_pylist():
+            n = int(np.frombuffer(blob, "<i8", 1)[0])
+            ids, size = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+            docs.append(np.repeat(ids, size))
+            paths.append(np.frombuffer(blob, np.uint8, -1, 8 + 16 * n).reshape(-1, 6))
+    if not docs:
+        return
+    doc, path = np.concatenate(docs), np.concatenate(paths)
     order = np.argsort(doc, kind="stable")
     doc, path = doc[order], path[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    return [None if d == _LAST else int(d) for d in doc[first]], [p.tobytes() for p in np.split(path, first[1:])] if len(doc) else []
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    lost = [path[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(doc)])]
+    for lo in range(0, len(first), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first[lo : lo + 5000]]), pa.array(lost[lo : lo + 5000], pa.binary())], names=["loser", "lost"])
+
+
+def _paths(lost: bytes) -> np.ndarray:
+    out = np.zeros((len(lost) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(lost, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _nodes(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +184,7 @@ def _suffixes(docs: DataFrame, table: np.ndarray, window: int, groups: int, slic
                 node, least = _nodes(path, ids[doc])
                 late = ids[doc] > least[node]
                 if late.any():
-                    who, what = _lost(ids[doc[late]], path[late])
-                    yield _rows(np.arange(len(who)) % groups, LOST, who, np.zeros(len(who), np.int64), what)
+                    yield _lost(ids[doc[late]], path[late], groups)
                 only = np.flatnonzero(~late)
                 only = only[np.r_[True, node[only][1:] != node[only][:-1]]]
                 begins, path, doc = begins[only], path[only], doc[only]
@@ -171,35 +206,38 @@ def _suffixes(docs: DataFrame, table: np.ndarray, window: int, groups: int, slic
     return docs.mapInArrow(run, _DDL)
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(groups: int):
     """The deep internal nodes of the groups of one partition, as the paths that documents lose."""
-    paths, docs = [], []
-    for batch in batches:
-        kind = np.array(batch.column("kind"))
-        other = np.flatnonzero(kind != ENTRIES)
-        if len(other):
-            yield batch.take(pa.array(other))
-        for k in np.flatnonzero(kind == ENTRIES):
-            path, doc = _unpack(batch.column("data")[int(k)].as_py())
-            paths.append(path)
-            docs.append(doc)
-    if not paths:
-        return
-    path, doc = np.concatenate(paths), np.concatenate(docs)
-    paths.clear()
-    docs.clear()
-    order = np.argsort(path)
-    path = path[order]
-    same = path[1:] == path[:-1]
-    inner = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # nodes with two leaves or more
-    if not len(inner):
-        return
-    path, doc = path[inner], doc[order[inner]]
-    node, least = _nodes(path, doc)
-    late = doc > least[node]
-    if late.any():
-        who, what = _lost(doc[late], path[late])
-        yield _rows(np.zeros(len(who), np.int32), LOST, who, np.zeros(len(who), np.int64), what)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, docs = [], []
+        for batch in batches:
+            kind = np.array(batch.column("kind"))
+            other = np.flatnonzero(kind != ENTRIES)
+            if len(other):
+                yield batch.take(pa.array(other))
+            for k in np.flatnonzero(kind == ENTRIES):
+                path, doc = _unpack(batch.column("data")[int(k)].as_py())
+                paths.append(path)
+                docs.append(doc)
+        if not paths:
+            return
+        path, doc = np.concatenate(paths), np.concatenate(docs)
+        paths.clear()
+        docs.clear()
+        order = np.argsort(path)
+        path = path[order]
+        same = path[1:] == path[:-1]
+        inner = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # nodes with two leaves or more
+        if not len(inner):
+            return
+        path, doc = path[inner], doc[order[inner]]
+        node, least = _nodes(path, doc)
+        late = doc > least[node]
+        if late.any():
+            yield _lost(doc[late], path[late], groups)
+
+    return run
 
 
 def _cleaner(window: int, texts: bool, slice_bytes: int):
@@ -214,8 +252,7 @@ def _cleaner(window: int, texts: bool, slice_bytes: int):
                 bounds = np.searchsorted(doc, np.arange(n + 1))
                 for k in range(n):
                     a, b = bounds[k], bounds[k + 1]
-                    mine = np.concatenate([np.frombuffer(x, np.uint64) for x in lost[row + k].as_py()])
-                    at_words = begins[a:b][np.isin(path[a:b], mine)]
+                    at_words = begins[a:b][np.isin(path[a:b] >> np.uint64(16), _paths(lost[row + k].as_py()))]
                     gone[at_words] += 1
                     gone[at_words + window] -= 1
                 removed = np.cumsum(gone)[:-1] > 0
@@ -245,26 +282,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     found = cut(
         _suffixes(source, prefix_table(source, window, slice_bytes), window, groups, slice_bytes)
         .repartition(parts, "part")
-        .mapInArrow(_subtrees, _DDL)
-        .select("kind", "doc_id", "n_words", "data")
-    )
-    lost = (
-        found.filter(F.col("kind") == LOST)
-        .groupBy("doc_id")
-        .agg(F.collect_list("data").alias("lost"))  # a document's own windows at most
+        .mapInArrow(_subtrees(groups), _DDL)
     )
-    whole = found.filter(F.col("kind") == WHOLE)
-    losers = found.filter(F.col("kind") == LOST).select("doc_id").distinct()
+    lost = cut(found.filter(F.col("kind") == LOST).select("part", "data").repartition(parts, "part").mapInArrow(_gather, "loser long, lost binary"))
+    losers = lost.select("loser")
     small = losers.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    losers = F.broadcast(losers.withColumnRenamed("doc_id", "loser")) if small else losers.withColumnRenamed("doc_id", "loser")
-    is_loser = F.col("doc_id").eqNullSafe(F.col("loser"))
+    losers = F.broadcast(losers) if small else losers
+    is_loser = F.coalesce("doc_id", F.lit(_LAST)) == F.col("loser")
     changed = (
         source.join(losers, is_loser, "left_semi")
-        .join(lost.withColumnRenamed("doc_id", "loser"), is_loser)
+        .join(lost, is_loser)
         .select("doc_id", "text", "lost")
         .mapInArrow(_cleaner(window, True, slice_bytes), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )
-    unchanged = whole.join(losers, is_loser, "left_anti").select(
+    unchanged = found.filter(F.col("kind") == WHOLE).join(losers, is_loser, "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("data")).alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"),
     )
