@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exchange_sessions(messages: DataFrame, gap: str = "1 hour 1 microsecond", late: str = "1 day") -> DataFrame:
+def exchange_sessions(messages: DataFrame, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Exchanges of a thread as session windows: batch or stream (thread_id, ts).
 
-    A session ends where the next message is as far away as ``gap``; one microsecond over the
-    hour keeps messages exactly an hour apart together, as the batch operator does. Rows without
+    A message exactly ``gap`` after the last still joins its session, as in the batch operator;
+    a microsecond more starts a new one. Rows without
     a time have no place in a stream of times and are left to the batch operator.
     """
     rows = messages.filter("ts IS NOT NULL")
