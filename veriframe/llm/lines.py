@@ -287,7 +287,8 @@ k AS (SELECT line, first, n AS base, 0 AS longer, left(line, n // 2) AS a, right
       UNION ALL SELECT line, first, n - 1, 1, left(line, (n - 1) // 2), right(line, n - 1 - (n - 1) // 2) FROM d),
 p AS (SELECT x.line AS s, x.first AS fs, y.line AS t, y.first AS ft FROM k x JOIN k y ON x.base = y.base AND x.a = y.a WHERE x.longer = 0 AND x.line <> y.line
       UNION SELECT x.line, x.first, y.line, y.first FROM k x JOIN k y ON x.base = y.base AND x.b = y.b WHERE x.longer = 0 AND x.line <> y.line),
-near AS (SELECT DISTINCT CASE WHEN fs > ft THEN s ELSE t END AS line FROM p WHERE levenshtein(s, t) <= 1),
+near AS (SELECT DISTINCT CASE WHEN fs > ft THEN s ELSE t END AS line FROM p WHERE len(list_filter(range(0, length(s) + 1),
+  lambda i: left(s, i) = left(t, i) AND right(s, greatest(length(s) - i - 1 + length(t) - length(s), 0)) = right(t, greatest(length(s) - i - 1 + length(t) - length(s), 0)))) > 0),
 j AS (SELECT l.doc_id, l.i, l.raw, d.line IS NOT NULL AND (near.line IS NOT NULL OR (l.doc_id, l.i) <> d.first) AS gone
       FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
