@@ -33,6 +33,8 @@ from veriframe.llm.common import cut, let, shared_dir, text_of
 MAX_EDITS, MIN_CHARS, CROWD, PARTS, BAND = 1, 20, 24, 8, 8
 #: Documents or lines picked by a broadcast of their keys; beyond, a shuffle picks them.
 MAX_BROADCAST_KEYS = 500_000
+#: Line numbers broadcast with their documents, 4 bytes each.
+MAX_BROADCAST_PLACES = 4_000_000
 
 _LAST = (1 << 63) - 1
 _BLANKS = " \t\x0b\x0c\r"
@@ -233,6 +235,7 @@ def near_lines(distinct: DataFrame, source: DataFrame, min_chars: int, path: str
         done = F.col("hi") - F.col("lo") <= F.when(F.col("role") == "l", 2).otherwise(1)
         pairs = pairs.unionByName(_leaves(rows.filter(done)))
         crowded = cut(rows.filter(~done))
+    pairs = cut(pairs)  # else the plan holds the verification once for each part of the union
     return pairs.filter(within(F.col("late"), F.col("early"))).select("id.h1", "id.h2").distinct()
 
 
@@ -262,9 +265,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     removed_places(source, min_chars).groupBy("doc").agg(F.collect_set("line_no").alias("gone")).write.parquet(f"{path}/gone")
     gone = docs.sparkSession.read.parquet(f"{path}/gone").withColumnsRenamed({"doc": "__gone_doc", "gone": "__gone"})
     hit = doc == F.col("__gone_doc")
+    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    if n <= MAX_BROADCAST_KEYS and places <= MAX_BROADCAST_PLACES:
+        gone = F.broadcast(gone)  # texts stay where they are; beyond, they are shuffled to their line numbers
     ids = gone.select("__gone_doc")
-    small = ids.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    ids = F.broadcast(ids) if small else ids
+    ids = F.broadcast(ids) if n <= MAX_BROADCAST_KEYS else ids
     n_lines = F.size(F.split(text_of(text_col), "\n")).cast("long")
     whole = docs.join(ids, hit, "left_anti").withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
     less = docs.join(ids, hit, "left_semi").join(gone, hit)
