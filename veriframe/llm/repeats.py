@@ -11,7 +11,7 @@ the runs of such nodes along a document are its maximal repeats.
 What keeps it bounded: a slice of texts (a few MB) first resolves its own repeats and sends on
 only one entry for each path, that of its smallest document, so a passage that a third of all
 documents hold reaches its group once per slice and not once per document. Entries travel
-packed, about 9 bytes each. Groups answer with the paths that a document loses; only
+packed, 8 bytes each and the ids of their documents once. Groups answer with the paths that a document loses; only
 documents that lose words are read again.
 
 ``doc_id`` orders the documents: a word goes if a window over it also starts in a document
@@ -40,8 +40,6 @@ WINDOW = 13
 DEPTHS, BINS, HEAVY = (1, 2, 4), 1 << 14, 4
 #: Documents whose ids are broadcast to pick those that lose words; beyond, a shuffle picks them.
 MAX_BROADCAST_IDS = 500_000
-#: Groups for each shuffle partition.
-SPREAD = 4
 
 _LAST = np.iinfo(np.int64).max
 
@@ -76,24 +74,16 @@ def prefix_table(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE
 
 
 def _pack(path: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> bytes:
-    """Entries sorted by path: distances between paths in 7 bytes, rows of ``ids`` in 2 or 4, the ids used."""
-    used, row = np.unique(doc, return_inverse=True)
-    step = np.diff(np.r_[np.uint64(0), path])
-    wide = bool((step >> np.uint64(56)).any())
-    steps = step.astype("<u8").view(np.uint8).reshape(-1, 8)
-    head = np.array([len(path), len(used), wide], "<i8").tobytes()
-    rows = row.astype("<u2" if len(used) < 1 << 16 else "<u4")
-    return head + ids[used].astype("<i8").tobytes() + (steps if wide else steps[:, :7]).tobytes() + rows.tobytes()
+    """Entries in the order of their documents: the ids, how many paths each, the paths."""
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    size = np.diff(np.r_[first, len(doc)])
+    return np.array([len(first)], "<i8").tobytes() + ids[doc[first]].astype("<i8").tobytes() + size.astype("<u4").tobytes() + path.astype("<u8").tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, used, wide = np.frombuffer(blob, "<i8", 3)
-    ids = np.frombuffer(blob, "<i8", used, 24)
-    at, size = 24 + 8 * used, 8 if wide else 7
-    steps = np.zeros((n, 8), np.uint8)
-    steps[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
-    rows = np.frombuffer(blob, "<u2" if used < 1 << 16 else "<u4", n, at + n * size)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64), ids[rows]
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    ids, size = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<u4", n, 8 + 8 * n)
+    return np.frombuffer(blob, "<u8", -1, 8 + 12 * n), np.repeat(ids, size)
 
 
 _ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("data", pa.binary())])
@@ -197,7 +187,7 @@ def _suffixes(docs: DataFrame, table: np.ndarray, window: int, groups: int, slic
                     group[where] = mix(_bin(h[light]).astype(np.uint64) + np.uint64((k + 1) << 32))
                     deeper[where] = False
                 part = (mix(group) % np.uint64(groups)).astype(np.int32)
-                order = np.argsort(part, kind="stable")  # within a group still sorted by path
+                order = np.argsort(part.astype(np.int64) << 32 | doc)  # by group, then by document
                 part, path, doc = part[order], path[order], doc[order]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 blobs = [_pack(path[a:b], doc[a:b], ids) for a, b in zip(cuts, np.r_[cuts[1:], len(part)])]
@@ -278,13 +268,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     words joined by one space) and ``kept_text``, null where nothing was removed."""
     source, spark = _source(docs, id_col, text_col), docs.sparkSession
     parts = partitions(spark)
-    groups = groups or SPREAD * parts
+    groups = groups or parts
     found = cut(
         _suffixes(source, prefix_table(source, window, slice_bytes), window, groups, slice_bytes)
-        .repartition(parts, "part")
+        .repartitionById(parts, F.col("part"))
         .mapInArrow(_subtrees(groups), _DDL)
     )
-    lost = cut(found.filter(F.col("kind") == LOST).select("part", "data").repartition(parts, "part").mapInArrow(_gather, "loser long, lost binary"))
+    lost = cut(found.filter(F.col("kind") == LOST).select("part", "data").repartitionById(parts, F.col("part")).mapInArrow(_gather, "loser long, lost binary"))
     losers = lost.select("loser")
     small = losers.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     losers = F.broadcast(losers) if small else losers
