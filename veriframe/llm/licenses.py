@@ -94,9 +94,11 @@ def canonical(text: Column) -> Column:
     low = F.lower(text)
     kept = F.when(low.rlike(_NEEDS), F.regexp_replace(low, _COPYRIGHT_LINE, " ")).otherwise(low)
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    spelled = plain
     for found, used in SPELLINGS:
-        plain = F.replace(plain, F.lit(f" {found} "), F.lit(f" {used} "))
-    return F.trim(plain)
+        spelled = F.replace(spelled, F.lit(f" {found} "), F.lit(f" {used} "))
+    any_ = " (?:" + "|".join(found for found, _ in SPELLINGS) + ") "
+    return F.trim(F.when(plain.rlike(any_), spelled).otherwise(plain))  # most texts hold none of them
 
 
 def digest(text: Column) -> Column:
