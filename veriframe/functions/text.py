@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word: letters and digits of any script, with apostrophes inside.
 WORD = r"([\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*)"
@@ -27,7 +28,7 @@ def alias_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type and not its name: importing needs no session
 def full_fold(texts: pd.Series) -> pd.Series:
     """NFKC, full case folding, ё as е: what no built-in function gives."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold().replace("ё", "е"))
