@@ -85,3 +85,22 @@ def test_components(spark):
     edges = [e for e in edges if e[0] != e[1]]
     want = find_classes({x for e in edges for x in e}, edges)
     assert got == want
+
+
+@pytest.mark.parametrize("block,small", [(512, 16), (16, 3), (32, 10_000)])
+def test_every_link_is_counted(spark, monkeypatch, block, small):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rows = make_rows()
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    sets, first = {}, {}
+    for d, t in rows:
+        first.setdefault(" ".join((t or "").split()), d)
+    for d in first.values():
+        sets[d] = shingles(dict(rows)[d])
+    ids = sorted(d for d in sets if sets[d])
+    want = {(a, b) for a in ids for b in ids if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b) for r in found.links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for r in found.membership.collect():
+        assert r.n_links == sum(r.text_id in pair for pair in want), r

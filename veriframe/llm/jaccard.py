@@ -5,20 +5,18 @@ single shingle of all its words; a text without words links to nothing). Texts o
 word sequence form one class by digest, so that exact copies never enter the search; only one
 representative of each class does.
 
-A representative has ``TREES`` signatures of ``DEPTHS[0]`` min-hashes. A prefix of a signature
-is a node of that tree, and texts under one node are candidates. The longest prefixes are
-matched first; then they are shortened, down to the longest depth at which two texts at the
-threshold meet in some tree with at least the target recall. Candidates are verified by the
-exact Jaccard coefficient of their shingle sets.
-
-Under a node the first search is a star: each text against the one whose nodes most texts share
-(in a group of copies that is the text they were made from), so a group costs as many pairs as
-it has members. Linked texts become one component, and only pairs of different components under
-a node are still open. All of these are verified in blocks of texts against blocks of texts: a
-task holds two blocks, compares their shingle sets by an inverted list, and answers with one
-link for each text and component. A pair is left out only if its two texts are known to be of
-one component, so no link that joins two classes is lost and no node has a cap. ``n_links``
-counts the verified links of a text that were kept, not all pairs of a class.
+A representative has ``TREES`` signatures of min-hashes. A prefix of a signature is a node of
+that tree, and texts under one node are candidates. The prefix is the longest one, of at most
+``DEEPEST`` min-hashes, with which two texts at the threshold meet in some tree with at least the
+target recall. Candidates are verified by the exact Jaccard coefficient of their shingle sets.
+
+Every candidate pair is verified once, also inside a class, and no node has a cap. Nodes of at
+most ``SMALL`` texts list their pairs, which are made distinct. Under larger nodes blocks of
+texts meet blocks of texts: a task holds two blocks and compares their shingle sets by a sorted
+list. There the first tree whose large node holds both texts owns a pair; other trees and the
+small nodes leave it out. A task answers with the number of links of each of its texts and a
+spanning forest of them, so that the rows grow with the texts of a node and not with its pairs.
+``n_links`` is the number of all links of a text; ``Join.links`` lists them when it is read.
 
 Ids order the documents and name the classes; rows of one id are taken for one document. A
 null id cannot name a class: such a row joins the class of its copies only. Other columns are
@@ -42,8 +40,10 @@ from veriframe.llm.wordhash import Words, mix, slices
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEEPEST = 16, 6
-#: Texts in a block.
-BLOCK = 512
+#: Texts in a block; texts under a node that lists its pairs.
+BLOCK, SMALL = 512, 16
+#: Shingles of texts that a verifying task remembers.
+MEMORY = 2_000_000
 #: Candidate texts picked by a broadcast of their ids; beyond, a shuffle picks them.
 MAX_BROADCAST_IDS = 500_000
 
@@ -98,17 +98,21 @@ def _shingles(text: str, shingle: int) -> np.ndarray:
 
 def _verifier(shingle: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[int, np.ndarray] = {}  # the star's centre comes again and again
+        memory: dict[int, np.ndarray] = {}  # texts come again in other pairs
+        held = 0
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = []
             for k, (x, y) in enumerate(zip(a, b)):
-                if y not in memory:
-                    if len(memory) > 64:
-                        memory.clear()
-                    memory[y] = _shingles(batch.column("text_b")[k].as_py(), shingle)
-                one, two = _shingles(batch.column("text_a")[k].as_py(), shingle), memory[y]
-                both = np.isin(one, two, assume_unique=True).sum()
+                if held > MEMORY:
+                    memory.clear()
+                    held = 0
+                for i, name in ((x, "text_a"), (y, "text_b")):
+                    if i not in memory:
+                        memory[i] = _shingles(batch.column(name)[k].as_py(), shingle)
+                        held += len(memory[i])
+                one, two = memory[x], memory[y]
+                both = np.intersect1d(one, two, assume_unique=True).size
                 found.append(both / (len(one) + len(two) - both))
             keep = np.array(found, float) >= threshold
             columns = [np.array(a, np.int64)[keep], np.array(b, np.int64)[keep], np.array(found, float)[keep]]
@@ -117,33 +121,71 @@ def _verifier(shingle: int, threshold: float):
     return run
 
 
-def _block_verifier(shingle: int, threshold: float):
+def _block_pairs(rows: pd.DataFrame, shingle: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the rows, and (row, row, similarity) of the links that this tree owns."""
+    lo, hi, tree = (int(rows[c].iloc[0]) for c in ("lo", "hi", "tree"))
+    ids, spot = rows["id"].to_numpy(), rows["spot"].to_numpy()
+    nodes = np.array(rows["big"].tolist(), np.int64)
+    one, two = np.flatnonzero(spot == lo), np.flatnonzero(spot == hi)
+    mine = np.ones((len(one), len(two)), bool) if lo != hi else ids[one][:, None] < ids[two][None, :]
+    for t in range(tree):
+        mine &= (nodes[one, t][:, None] != nodes[two, t][None, :]) | (nodes[one, t] == 0)[:, None]
+    need = np.unique(np.r_[one[mine.any(1)], two[mine.any(0)]])
+    sets = {k: _shingles(t, shingle) for k, t in zip(need, rows["text"].to_numpy()[need])}
+    targets = np.flatnonzero(mine.any(0))
+    size = np.zeros(len(two), np.int64)
+    size[targets] = [len(sets[two[k]]) for k in targets]
+    flat = np.concatenate([sets[two[k]] for k in targets]) if len(targets) else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(targets, size[targets])[order]
+    a, b, like = [], [], []
+    for i in np.flatnonzero(mine.any(1)):
+        own = sets[one[i]]
+        begin, end = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        n = end - begin
+        at = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(two))
+        share = both / np.maximum(size + len(own) - both, 1)
+        hit = np.flatnonzero((share >= threshold) & mine[i])
+        a.append(np.full(len(hit), one[i]))
+        b.append(two[hit])
+        like.append(share[hit])
+    none = [np.zeros(0, np.int64)]
+    return ids, np.concatenate(a or none), np.concatenate(b or none), np.concatenate(like or [np.zeros(0)])
+
+
+def _block_lister(shingle: int, threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """One link for each asking text and each other component of the block it is linked to."""
-        asked, block = rows[rows["asks"]], rows[~rows["asks"]]
-        sets = [_shingles(t, shingle) for t in block["text"]]
-        size = np.array([len(x) for x in sets])
-        if not len(asked) or not size.sum():
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        ids, labels = block["id"].to_numpy(), block["label"].to_numpy()
-        found = []
-        for i, label, text in zip(asked["id"], asked["label"], asked["text"]):
-            mine = _shingles(text, shingle)
-            both = np.bincount(owner[np.isin(flat, mine)], minlength=len(sets))
-            like = both / (size + len(mine) - both)
-            hit = np.flatnonzero((like >= threshold) & (labels != label))
-            for other in np.unique(labels[hit]):
-                k = max(hit[labels[hit] == other], key=lambda j: (like[j], -ids[j]))
-                found.append((max(i, ids[k]), min(i, ids[k]), like[k]))
-        return pd.DataFrame(found, columns=["a", "b", "similarity"])
+        """Every link of two blocks."""
+        ids, a, b, like = _block_pairs(rows, shingle, threshold)
+        return pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b]), "similarity": like})
+
+    return run
+
+
+def _block_counter(shingle: int, threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The number of links of each text in two blocks, and a text of its component there."""
+        ids, a, b, _ = _block_pairs(rows, shingle, threshold)
+        n = np.bincount(np.r_[a, b], minlength=len(ids))
+        root = np.arange(len(ids))
+        while True:
+            least, last = np.minimum(root[a], root[b]), root
+            root = root.copy()
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            root = root[root]
+            if (root == last).all():
+                break
+        has = n > 0
+        return pd.DataFrame({"a": ids[has], "b": ids[root[has]], "n": n[has]})
 
     return run
 
 
 class Join:
     """The result of :func:`join`: ``membership`` (id, class_id, text_id, n_links) and ``links``
-    (a, b, similarity) between representatives."""
+    (a, b, similarity), every link between representatives once."""
 
     def __init__(self, membership: DataFrame, links: DataFrame):
         self.membership, self.links = membership, links
@@ -153,73 +195,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
          threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> Join:
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    levels = depths(threshold, recall, trees, deepest)
+    level = depths(threshold, recall, trees, deepest)[-1]
     path = shared_dir(spark)
-    _sketches(source, levels, shingle, trees).write.parquet(f"{path}/sketches")
+    _sketches(source, [level], shingle, trees).write.parquet(f"{path}/sketches")
     sketches = spark.read.parquet(f"{path}/sketches")
     texts = sketches.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("nodes").alias("nodes"))
     texts.filter("id IS NOT NULL").write.parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
 
-    def under(level: int) -> DataFrame:
-        """(node, tree, id): the texts under each node of a level that has two or more."""
-        at = levels.index(level) * trees
-        rows = texts.filter("nodes IS NOT NULL").select("id", F.posexplode(F.slice("nodes", at + 1, trees)).alias("tree", "node"))
-        full = rows.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-        return rows.join(full, ["tree", "node"])
-
-    last = cut(under(levels[-1]))
-    wanted = last.select(F.col("id").alias("wanted")).distinct()
-    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    bodies = source.join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    # (tree, node, id, n): the texts under each node that has two or more
+    rows = texts.filter("nodes IS NOT NULL").select("id", F.posexplode("nodes").alias("tree", "node"))
+    full = rows.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = cut(rows.join(full, ["tree", "node"]))
+    wanted = rows.select(F.col("id").alias("wanted")).distinct()
+    few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    bodies = source.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
     bodies.dropDuplicates(["doc_id"]).write.parquet(f"{path}/bodies")
-    bodies = spark.read.parquet(f"{path}/bodies")
-    labels = cut(wanted.select(F.col("wanted").alias("id"), F.col("wanted").alias("label")))
-    links = None
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        """Rows under nodes that still hold two components or more."""
-        rows = rows.join(labels, "id")
-        open_ = rows.groupBy("tree", "node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tree", "node")
-        return rows.join(open_, ["tree", "node"])
-
-    def star(rows: DataFrame) -> DataFrame:
-        by = F.struct("fame", -F.col("id"))
-        centre = rows.join(fame, "id").groupBy("tree", "node").agg(F.max_by(F.struct("id", "label"), by).alias("c"))
-        pairs = rows.join(centre, ["tree", "node"]).filter("label <> c.label").select(F.col("id").alias("a"), F.col("c.id").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        side = lambda c: bodies.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verifier(shingle, threshold), "a long, b long, similarity double")
-
-    def rest(rows: DataFrame) -> DataFrame:
-        """All open pairs: the texts outside a node's largest component against all texts of it."""
-        key = ["tree", "node"]
-        by_label = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
-        main = by_label.groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_ask"))
-        rows = rows.join(main, key).withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "ask_blocks": F.ceil(F.col("n_ask") / BLOCK).cast("int")})
-        spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asking = rows.filter("label <> main").select(*key, "id", "label", spot("ask_blocks").alias("ask"), every("blocks").alias("block"), F.lit(True).alias("asks"))
-        asked = rows.select(*key, "id", "label", every("ask_blocks").alias("ask"), spot("blocks").alias("block"), F.lit(False).alias("asks"))
-        both = asking.unionByName(asked).join(bodies.withColumnRenamed("doc_id", "id"), "id")
-        return both.groupBy(*key, "ask", "block").applyInPandas(_block_verifier(shingle, threshold), "a long, b long, similarity double").dropDuplicates(["a", "b"])
-
-    fame = last.join(last.groupBy("tree", "node").agg(F.count("*").alias("n")), ["tree", "node"]).groupBy("id").agg(F.sum("n").alias("fame"))
-    fame = cut(fame)
-    for level, search in [*((level, star) for level in levels), (levels[-1], rest)]:
-        rows = cut(labelled(last if level == levels[-1] else under(level)))
-        if rows.isEmpty():
-            continue
-        found = cut(search(rows))
-        links = found if links is None else links.unionByName(found)
-        ends = [labels.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
-        merged = found.join(ends[0], "a").join(ends[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        moved = components(merged).toDF("label", "to")
-        labels = cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long, similarity double")
-    count = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    bodies = spark.read.parquet(f"{path}/bodies").withColumnRenamed("doc_id", "id")
+
+    # the large nodes of a text, by tree; 0 where it has none
+    crowded = rows.filter(F.col("n") > SMALL)
+    node_of = [F.coalesce(F.max(F.when(F.col("tree") == t, F.col("node"))), F.lit(0)) for t in range(trees)]
+    big = cut(crowded.groupBy("id").agg(F.array(*node_of).alias("big")))
+    listed = rows.filter(F.col("n") <= SMALL).groupBy("tree", "node").agg(F.collect_set("id").alias("ids"))
+    below = lambda x: lambda y: F.struct(x.alias("a"), y.alias("b"))
+    listed = listed.select(F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y < x), below(x))))).alias("p"))
+    pairs = listed.select("p.*").distinct()
+    if not big.isEmpty():
+        ends = [big.select(F.col("id").alias(c), F.col("big").alias(f"big_{c}")) for c in "ab"]
+        owned = F.exists(F.zip_with("big_a", "big_b", lambda x, y: (x == y) & (x != 0)), lambda x: x)
+        pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(~F.coalesce(owned, F.lit(False))).select("a", "b")
+    side = lambda c: bodies.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    small_links = cut(both.mapInArrow(_verifier(shingle, threshold), "a long, b long, similarity double"))
+
+    # block against block under the large nodes
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spot = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
+    held = crowded.dropDuplicates(["tree", "node", "id"]).select("tree", "node", "id", spot.alias("spot"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    held = held.select("tree", "node", "id", "spot", F.least("spot", "other").alias("lo"), F.greatest("spot", "other").alias("hi"))
+    blocks = held.join(big.join(bodies, "id"), "id").groupBy("tree", "node", "lo", "hi")
+    counted = cut(blocks.applyInPandas(_block_counter(shingle, threshold), "a long, b long, n long"))
+    links = small_links.unionByName(blocks.applyInPandas(_block_lister(shingle, threshold), "a long, b long, similarity double"))
+
+    labels = components(small_links.select("a", "b").unionByName(counted.select("a", "b")))
+    ones = small_links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
+    count = ones.unionByName(counted.select(F.col("a").alias("id"), "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = texts.select("digest", "id").join(labels, "id", "left").join(count, "id", "left")
     membership = sketches.select("doc_id", "digest").join(classes, "digest", "left").select(
         F.col("doc_id"),
