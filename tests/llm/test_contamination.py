@@ -100,3 +100,24 @@ def test_empty_tables(spark):
     assert C.flag(none, items).count() == 0
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert [r.contaminated for r in C.flag(one, items.limit(0)).collect()] == [False]
+
+
+def test_occurrences_are_judged_one_by_one(spark):
+    q = ITEMS[0][1]
+    variant = q.replace("Alice", "Robert").replace("12", "15").replace("3 ", "4 ")
+    third = q.replace("Alice", "Carol").replace("12", "18").replace("3 ", "5 ").replace("20", "40")
+    longer = variant.replace("and then", "and then, quite slowly,")
+    mixed = q.replace("then Alice", "then Bob").replace("does Alice", "does Carol").replace("12", "15")
+    far = " and some other words of no item stand here between the two of them "
+    docs = [
+        (1, q + far + variant), (2, variant + far + third), (3, variant + " " + third + " " + q), (4, "So " + longer + far + "so " + third + far + q),
+        (5, mixed), (6, mixed + far + q), (7, q + far + q),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    pooled = brute(docs, ITEMS, clashes=0.1)
+    assert not {(1, 1), (2, 1), (3, 1), (6, 1)} & pooled  # what one verdict over all values would clear
+    got = {r.doc_id: r for r in C.flag(df, items, max_clashes=0.1).collect()}
+    assert {d for d in got if got[d].contaminated} == {1, 2, 3, 4, 6, 7}
+    assert got[1].reparameterised and got[2].reparameterised and not got[6].reparameterised and not got[7].reparameterised
+    assert {1, 2, 3, 4, 6, 7} <= {r.doc_id for r in C.flag(df, items).collect() if r.contaminated}

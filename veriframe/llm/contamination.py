@@ -5,8 +5,13 @@ a number turn into typed placeholders, the rest into lower-case words. Windows o
 template words of the documents meet the windows of the benchmark items by hash. A document
 that shows at least ``MIN_SHARE`` of an item's windows is a candidate. Then the slots under the
 matched windows are compared: a re-parameterised question puts one value for each value of the
-item, so a slot value of the item that meets several values in the document speaks against it.
-More than ``MAX_CLASHES`` of such values clear the candidate.
+item, so a slot value of the item that meets several values speaks against it. A document may
+hold an item several times with other values each time, so this is judged for each occurrence:
+the matched windows of one alignment, and those of one run (the item's places do not fall back,
+so words may be put in or left out), each if it shows ``MIN_SHARE`` of the item. All matched
+windows of the document together are judged too, as an item may stand in scattered parts. The
+candidate is cleared only if in every one of them more than ``MAX_CLASHES`` of the item's values
+meet several values; an occurrence that changes no value always keeps it.
 
 All of it is DataFrame expressions: the windows of a document are made inside its row and only
 a hash and a place leave it; the benchmark's windows are broadcast while they are few
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, let, text_of
@@ -109,21 +114,39 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     texts = source.join(F.broadcast(ids) if small else ids, "doc", "left_semi").dropDuplicates(["doc", "text"])
     doc_slots = texts.select("doc", F.inline(slots(F.col("text"))).alias("doc_at", "kind", "doc_value"))
     item_slots = items.join(candidates.select("item").distinct(), "item", "left_semi").select("item", F.inline(slots(F.col("text"))).alias("at_item", "kind", "item_value"))
+    placed = _occurrences(hits.drop("span").distinct().join(candidates.select("doc", "item", "span"), ["doc", "item"]))
+    by_place = ["doc", "item", "place"]
+    shown = placed.join(totals.select("item", "total"), "item").groupBy(by_place).agg(share.alias("shown")).filter((F.col("shown") >= min_share) | (F.col("place.by") == "all"))
     faced = (
-        hits.drop("span").join(candidates.select("doc", "item", "span"), ["doc", "item"])
-        .select("doc", "item", "at", "item_at", F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("k"))
-        .select("doc", "item", (F.col("at") + F.col("k")).alias("doc_at"), (F.col("item_at") + F.col("k")).alias("at_item"))
+        placed.select(*by_place, "at", "item_at", F.explode(F.sequence(F.lit(0), F.col("span") - 1)).alias("k"))
+        .select(*by_place, (F.col("at") + F.col("k")).alias("doc_at"), (F.col("item_at") + F.col("k")).alias("at_item"))
         .distinct()
     )
     values = faced.join(item_slots, ["item", "at_item"]).join(doc_slots, ["doc", "doc_at", "kind"])
-    by_value = values.groupBy("doc", "item", "kind", "item_value").agg(
+    by_value = values.groupBy(*by_place, "kind", "item_value").agg(
         F.count_distinct("doc_value").alias("n"), F.max(F.col("doc_value") != F.col("item_value")).alias("changed")
     )
-    checked = by_value.groupBy("doc", "item").agg(
+    checked = by_value.groupBy(by_place).agg(
         F.count("*").alias("n_slots"), F.count_if(F.col("n") > 1).alias("n_clashes"), F.count_if(F.col("changed")).alias("n_changed")
     )
-    found = candidates.select("doc", "item", "share").join(checked, ["doc", "item"], "left").fillna(0, ["n_slots", "n_clashes", "n_changed"])
-    return found.filter(F.col("n_clashes") <= max_clashes * F.col("n_slots"))
+    judged = shown.join(checked, by_place, "left").fillna(0, ["n_slots", "n_clashes", "n_changed"])
+    judged = judged.filter((F.col("n_clashes") <= max_clashes * F.col("n_slots")) | (F.col("n_changed") == 0))
+    # the occurrence of fewest clashes stands for the document; a change in any kept one counts
+    best = F.min_by(F.struct("n_slots", "n_clashes"), F.struct(F.col("n_clashes") / F.greatest("n_slots", F.lit(1)), -F.col("shown"), -F.col("n_slots")))
+    kept = judged.groupBy("doc", "item").agg(best.alias("best"), F.max("n_changed").alias("n_changed"))
+    return candidates.select("doc", "item", "share").join(kept, ["doc", "item"]).select("doc", "item", "share", "best.n_slots", "best.n_clashes", "n_changed")
+
+
+def _occurrences(hits: DataFrame) -> DataFrame:
+    """``hits`` (doc, item, item_at, at, span) with ``place`` (by, no): each hit under its alignment,
+    under its run and under all of its document."""
+    pair = Window.partitionBy("doc", "item")
+    by_at = hits.groupBy("doc", "item", "at").agg(F.max("item_at").alias("most"))
+    back = F.coalesce((F.col("most") <= F.lag("most").over(pair.orderBy("at"))).cast("int"), F.lit(0))
+    runs = by_at.withColumn("back", back).select("doc", "item", "at", F.sum("back").over(pair.orderBy("at")).alias("run"))
+    place = lambda by, no: F.struct(F.lit(by).alias("by"), no.cast("long").alias("no"))
+    places = F.array(place("alignment", F.col("at") - F.col("item_at")), place("run", F.col("run")), place("all", F.lit(0)))
+    return hits.join(runs, ["doc", "item", "at"]).withColumn("place", F.explode(places))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
