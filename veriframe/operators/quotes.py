@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from veriframe.functions.text import contains_aligned, quote_fold, term_matches, tokens, words_only
 
 
+def _anchor_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case, parted at apostrophes of any form: a word-aligned
+    match holds all of the quote's, whole. The two small sigmas are one, as the letters beyond the
+    match decide between them."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(text), "ς", "σ"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
 def _anchored(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
     """(quote_id, quote, id, body): bodies that hold the quote's rarest word."""
-    words = bodies.select("id", F.explode(F.array_distinct(tokens(F.col("body")))).alias("word"))
+    words = bodies.select("id", F.explode(_anchor_words(F.col("body"))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
-    asked = quotes.select("quote_id", F.explode(F.array_distinct(tokens(F.col("quote")))).alias("word"))
+    asked = quotes.select("quote_id", F.explode(_anchor_words(F.col("quote"))).alias("word"))
     rarest = asked.join(df, "word", "left").groupBy("quote_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     hits = rarest.join(words, "word").select("quote_id", "id")
     return hits.join(quotes, "quote_id").join(bodies, "id")
