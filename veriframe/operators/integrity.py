@@ -6,6 +6,10 @@ equi-join on (log, position), so logs of any length spread over all tasks.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +21,32 @@ def entry_hash(prev: Column, *fields: Column) -> Column:
 
 
 def build_chain(entries: DataFrame, log: str, order: str, payload: str) -> DataFrame:
-    """(log, pos, payload, prev_hash, hash) of each log, in order. A log is folded in one row, so
-    this is for writing logs of one case and not for verifying many."""
-    listed = entries.groupBy(log).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("e"))
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.array().cast("array<struct<payload:string,prev_hash:string,hash:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        h = entry_hash(a.prev, x.p)
-        return F.struct(h.alias("prev"), F.concat(a.out, F.array(F.struct(x.p.alias("payload"), a.prev.alias("prev_hash"), h.alias("hash")))).alias("out"))
-
-    return listed.select(log, F.posexplode(F.aggregate("e", start, step, lambda a: a.out)).alias("pos", "r")).select(log, "pos", "r.*")
+    """(log, pos, payload, prev_hash, hash) of each log, in order of ``order``, then ``payload``.
+
+    Each hash needs the one before it, so a log is one sorted pass of one task; only the last hash
+    is carried, so a log of any length takes the same memory."""
+    spark = entries.sparkSession
+    rows = entries.select(F.col(log).alias("log"), F.col(order).alias("o"), F.col(payload).cast("string").alias("payload"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "log").sortWithinPartitions("log", "o", "payload")
+    kind = entries.schema[log].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pos, prev = object(), 0, GENESIS
+        for batch in batches:
+            places, before, hashes = [], [], []
+            for key, text in zip(batch.column("log").to_pylist(), batch.column("payload").to_pylist()):
+                if key != now:
+                    now, pos, prev = key, 0, GENESIS
+                places.append(pos)
+                before.append(prev)
+                prev = hashlib.sha256((prev if text is None else f"{prev}|{text}").encode("utf-8")).hexdigest()  # as entry_hash
+                hashes.append(prev)
+                pos += 1
+            columns = [batch.column("log"), pa.array(places, pa.int32()), batch.column("payload"), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["log", "pos", "payload", "prev_hash", "hash"])
+
+    chain = rows.select("log", "payload").mapInArrow(run, f"log {kind}, pos int, payload string, prev_hash string, hash string")
+    return chain.withColumnRenamed("log", log)
 
 
 def first_break(chain: DataFrame, log: str) -> DataFrame:
@@ -45,9 +65,35 @@ def reconcile(logged: DataFrame, stored: DataFrame, key: str, value: str) -> Dat
 
 
 def rows_digest(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
-    """(by, n, digest): SHA-256 over the sorted hashes of a group's rows."""
+    """(by, n, digest): SHA-256 over the sorted hashes of a group's rows. The hashes are sorted by
+    Spark and fed to the digest one by one, so a group of any size takes the same memory."""
+    spark = rows.sparkSession
     h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in fields]), 256)
-    return rows.select(by, h.alias("h")).groupBy(by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    hashed = rows.select(F.col(by).alias("by"), h.alias("h"))
+    hashed = hashed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "by").sortWithinPartitions("by", "h")
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, state = None, 0, hashlib.sha256()
+        for batch in batches:
+            done = []
+            for key, one in zip(batch.column("by").to_pylist(), batch.column("h").to_pylist()):
+                if n and key != now:
+                    done.append((now, n, state.hexdigest()))
+                    n, state = 0, hashlib.sha256()
+                now, n = key, n + 1
+                state.update(one.encode("ascii"))
+            yield _groups(done, batch.schema.field("by").type)
+            last = batch.schema.field("by").type
+        if n:
+            yield _groups([(now, n, state.hexdigest())], last)
+
+    return hashed.mapInArrow(run, f"by {kind}, n long, digest string").withColumnRenamed("by", by)
+
+
+def _groups(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    keys, counts, digests = zip(*done) if done else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), pa.array(digests, pa.string())], names=["by", "n", "digest"])
 
 
 def dangling(rows: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
