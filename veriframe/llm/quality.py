@@ -91,46 +91,55 @@ def _repeated_words(words: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, text_col: str = "text", out: str = "_quality") -> DataFrame:
-    """``docs`` with a struct column ``out`` of all counts and ratios."""
-    text = text_of(text_col)
-    parts = F.struct(
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = (*COUNTS, "mean_word_chars", "symbol_ratio", "stop_ratio", "upper_ratio", "emphasis_ratio", "dup_line_ratio")
+
+
+def _parts(text: Column) -> Column:
+    return F.struct(
         words_of(text).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    counted = docs.withColumn(out, parts)
-    words, lines = F.col(out).words, F.col(out).lines
+
+
+def _counts(text: Column, parts: Column) -> Column:
+    words, lines = parts.words, parts.lines
     long = lambda c: c.cast("long")
-    counted = counted.withColumn(
-        out,
-        F.struct(
-            long(F.size(words)).alias("n_words"),
-            long(F.length(F.array_join(words, ""))).alias("word_chars"),
-            long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
-            long(F.size(lines)).alias("n_lines"),
-            long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-            _repeated_words(words).alias("n_repeat_words"),
-            long(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS)))).alias("n_stop_words"),
-            long(F.regexp_count(text, F.lit(r"\p{Lu}"))).alias("n_upper"),
-            long(F.regexp_count(text, F.lit("[!?]"))).alias("n_emphasis"),
-        ),
+    return F.struct(
+        long(F.size(words)).alias("n_words"),
+        long(F.length(F.array_join(words, ""))).alias("word_chars"),
+        long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
+        long(F.size(lines)).alias("n_lines"),
+        long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+        _repeated_words(words).alias("n_repeat_words"),
+        long(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS)))).alias("n_stop_words"),
+        long(F.regexp_count(text, F.lit(r"\p{Lu}"))).alias("n_upper"),
+        long(F.regexp_count(text, F.lit("[!?]"))).alias("n_emphasis"),
     )
-    m = F.col(out)
+
+
+def _ratios(m: Column) -> Column:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return counted.withColumn(
-        out,
-        F.struct(
-            *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")],
-            ratio(m.word_chars, m.n_words).alias("mean_word_chars"),
-            ratio(m.n_symbols, m.n_words).alias("symbol_ratio"),
-            ratio(m.n_stop_words, m.n_words).alias("stop_ratio"),
-            ratio(m.n_upper, m.word_chars).alias("upper_ratio"),
-            ratio(m.n_emphasis, m.n_words).alias("emphasis_ratio"),
-            ratio(m.n_dup_lines, m.n_lines).alias("dup_line_ratio"),
-        ),
+    return F.struct(
+        *[m[c].alias(c) for c in COUNTS],
+        ratio(m.word_chars, m.n_words).alias("mean_word_chars"),
+        ratio(m.n_symbols, m.n_words).alias("symbol_ratio"),
+        ratio(m.n_stop_words, m.n_words).alias("stop_ratio"),
+        ratio(m.n_upper, m.word_chars).alias("upper_ratio"),
+        ratio(m.n_emphasis, m.n_words).alias("emphasis_ratio"),
+        ratio(m.n_dup_lines, m.n_lines).alias("dup_line_ratio"),
     )
 
 
+def measures(text: Column) -> Column:
+    """All counts and ratios of a text, as one struct.
+
+    Each step is bound once, so that a filter on the result which Spark pushes below it holds
+    every measure once too.
+    """
+    return let(let(_parts(text), lambda p: _counts(text, p)), _ratios)
+
+
 def base_failed(m: Column) -> Column:
     return (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words)
 
@@ -145,11 +154,9 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "_quality") -> DataFrame:
     """``docs`` with ``out``: all measures, ``broken`` (first broken rule or null) and ``kept``."""
-    found = measures(docs, text_col, out)
-    m = F.col(out)
-    return found.withColumn(out, m.withField("broken", verdict(m, rules))).withColumn(
-        out, F.col(out).withField("kept", F.col(out).broken.isNull())
-    )
+    judged = let(measures(text_of(text_col)), lambda m: F.struct(m.alias("m"), verdict(m, rules).alias("broken")))
+    flat = lambda j: [*[j.m[c].alias(c) for c in MEASURES], j.broken.alias("broken"), j.broken.isNull().alias("kept")]
+    return docs.withColumn(out, let(judged, lambda j: F.struct(*flat(j))))
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:
