@@ -1,5 +1,8 @@
 """License scans: canonical forms, whole texts, lines and the odd inputs."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from veriframe.llm import licenses
@@ -31,9 +34,30 @@ def test_whole_texts_and_lines(spark):
 def test_own_table(spark):
     known = spark.createDataFrame([("House", "You may look."), ("House", "you MAY, look"), (None, "x"), ("Y", None)], "license string, text string")
     docs = spark.createDataFrame([(1, "you may look")], "doc_id long, text string")
-    assert [tuple(r) for r in licenses.scan(docs, known).collect()] == [(1, "House", "House", 1)]
+    assert [tuple(r) for r in licenses.scan(docs, known).collect()] == [(1, "House", "House", 1, "")]
 
 
 def test_canonical(spark):
     df = spark.createDataFrame([("The Licence, v2 -- Favour\n(c) 1999 Me\nCopyrights stay", )], "t string")
     assert df.select(licenses.canonical(F.col("t"))).first()[0] == "the license version 2 favor copyrights stay"
+
+
+def test_wrapped_and_embedded(spark):
+    header = next(t for i, t in licenses.KNOWN if i == "Apache-2.0" and "may not use" in t)
+    words, lines = header.split(), []
+    while words:
+        lines.append("# " + " ".join(words[:9]))
+        words = words[9:]
+    wrapped = "# Copyright 2019 Somebody\n#\n" + "\n#\n".join(lines) + "\n\nimport os\n"
+    mit = licenses.KNOWN[0][1].replace("conditions: The above", "conditions:\n\nThe above").replace("Software. THE SOFTWARE", "Software.\n  \nTHE\nSOFTWARE")
+    docs = spark.createDataFrame([(1, wrapped), (2, "A tool.\n\n" + mit + "\n\n\nThe end."), (3, mit), (4, "A tool. " + mit)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in licenses.scan(docs).collect()) == [(1, None, "", 0, "Apache-2.0"), (2, None, "", 0, "MIT"), (3, "MIT", "", 0, "MIT"), (4, None, "", 0, "")]
+
+
+def test_long_texts(spark, tmp_path):
+    place = Path("/usr/share/common-licenses/GPL-3")
+    if not place.exists():
+        pytest.skip("no licence text on this machine")
+    text = place.read_text(encoding="utf-8")
+    docs = spark.createDataFrame([(1, text.upper()), (2, text.replace("freedom", "liberty"))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == [(1, "GPL-3.0"), (2, None)]

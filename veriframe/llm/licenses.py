@@ -1,12 +1,17 @@
 """License scans (4): canonical digest lookup.
 
-A unit is a whole document, or one line of it (notices stand on lines of their own). Its
-canonical form has no case, no copyright lines, one spelling for equivalent words and only
-letters and digits between single spaces. SHA-256 digests of canonical units are hash-joined
-with the digests of known licence texts and notices, which the same expression makes. All of it
-is built-in expressions; the known digests are a small table of fixed size, and a caller's own
+A unit is a whole document, one line of it (notices stand on lines of their own), or a run of
+one to ``RUN_BLOCKS`` blocks, a block being what stands between blank lines (headers wrapped over
+lines, licences embedded in a file). Its canonical form has no case, no copyright lines, one
+spelling for equivalent words and only letters and digits between single spaces, so that comment
+marks go too. SHA-256 digests of canonical units are hash-joined with the digests of known
+licences: of the texts and notices in ``KNOWN``, which the same expression makes, and of long
+texts, which ``KNOWN_DIGESTS`` holds as digests only. Both are of fixed size; a caller's own
 table of texts (``known``) may have any size: Spark then shuffles it.
 
+A text is canonicalised once, block by block; the forms of its lines, runs and of itself are put
+together from that. All of it is built-in expressions.
+
 Null and empty texts, and units whose canonical form is empty, match nothing. A unit that equals
 several known texts reports the smallest licence id. Each row gets its own answer, also of equal
 ids, by its place-free key (id and digest of the text); other columns are not read.
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import text_of
+from veriframe.llm.common import let, text_of
 
 # Spellings that count as one word, left as found, right as compared.
 SPELLINGS = (
@@ -65,6 +70,16 @@ _MIT = (
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
 ) + _WARRANTY
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions "
+    "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+    "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
+    "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+) + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + (
+    " For more information, please refer to <https://unlicense.org>"
+)
+
 # Known licence texts and the notices that name them (id, text).
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
@@ -82,77 +97,148 @@ KNOWN = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Released under the BSD License."), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("Unlicense", _UNLICENSE),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."), ("Proprietary", "All rights reserved."), ("Proprietary", "Proprietary and confidential. All rights reserved."),
 )
 
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$"
+# SHA-256 of the canonical forms of long licence texts (id, digest).
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "4bc3c949c895ead14c0dc8c6e33fd6ed118359acaad7c084c4d563cd526a878d"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0", "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-2.0", "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-3.0", "d0789f68ce73b9e5aca95bb2dba2f119b08a484f0c2b8875edd430f7ac40622c"),
+    ("LGPL-2.0", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.1", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+    ("GFDL-1.2", "b1f65daa9629999daa8f6054cae35d89d60ee1849ea0b7633e5344aa68b9b338"),
+    ("GFDL-1.3", "5b157581d13408f14fb2a5239bf7cd819b15b3b79a5bb413122811f990dd30d2"),
+)
+
+RUN_BLOCKS = 4
+_COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$"
 _NEEDS = r"copyright|\(c\)|©"
+_BLANK_LINES = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a unit."""
-    low = F.lower(text)
-    kept = F.when(low.rlike(_NEEDS), F.regexp_replace(low, _COPYRIGHT_LINE, " ")).otherwise(low)
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(kept, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spelled = plain
+def _blocks(text: Column) -> Column:
+    """For each block of a text that holds words, the plain forms of its lines that do."""
+    kept = let(F.lower(text), lambda low: F.when(low.rlike(_NEEDS), F.regexp_replace(low, _COPYRIGHT_LINE, "-")).otherwise(low))
+    plain = lambda block: F.split(F.regexp_replace(block, r"[^\p{L}\p{N}\n]+", " "), "\n")
+    lines = lambda block: F.array_remove(F.transform(plain(block), lambda line: F.trim(line)), "")
+    return F.filter(F.transform(F.split(kept, _BLANK_LINES), lines), lambda b: F.size(b) > 0)
+
+
+def _spelled(plain: Column) -> Column:
+    form = F.concat(F.lit(" "), plain, F.lit(" "))
     for found, used in SPELLINGS:
-        spelled = F.replace(spelled, F.lit(f" {found} "), F.lit(f" {used} "))
-    any_ = " (?:" + "|".join(found for found, _ in SPELLINGS) + ") "
-    return F.trim(F.when(plain.rlike(any_), spelled).otherwise(plain))  # most texts hold none of them
+        form = F.replace(form, F.lit(f" {found} "), F.lit(f" {used} "))
+    return F.trim(form)
+
 
+def _forms(text: Column) -> Column:
+    """``whole`` (canonical form of the text), ``lines`` and ``runs`` (those of its units)."""
+    odd = " (?:" + "|".join(found for found, _ in SPELLINGS) + ") "
+    runs = lambda b: F.flatten(F.transform(
+        b, lambda _, i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(RUN_BLOCKS), F.size(b) - i)), lambda n: F.flatten(F.slice(b, i + 1, n))
+        )
+    ))
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, null where that is empty."""
-    form = canonical(text)
-    return F.when(F.length(form) > 0, F.sha2(form, 256))
+    def units(t: Column) -> Column:
+        spell = lambda x: F.when(t.odd, _spelled(x)).otherwise(x)  # noqa: E731  most texts hold none of the spellings
+        return F.struct(
+            spell(t.whole).alias("whole"),
+            F.transform(F.flatten(t.b), spell).alias("lines"),
+            F.transform(F.filter(runs(t.b), lambda r: F.size(r) > 1), lambda r: spell(F.array_join(r, " "))).alias("runs"),
+        )
 
+    bound = let(_blocks(text), lambda b: F.struct(b.alias("b"), F.array_join(F.flatten(b), " ").alias("whole")))
+    return let(let(bound, lambda t: F.struct(t.b.alias("b"), t.whole.alias("whole"), F.concat(F.lit(" "), t.whole, F.lit(" ")).rlike(odd).alias("odd"))), units)
 
-def known_texts(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in KNOWN])
-    return spark.range(1).select(F.inline(rows))
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    return _forms(text).whole
+
+
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(digest, license) of a table of texts (``license``, ``text``), or of the built-in ones."""
+    texts = known
+    if texts is None:
+        texts = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in KNOWN])))
+    found = texts.select(canonical(text_of("text")).alias("form"), "license").filter("form <> '' AND license IS NOT NULL").select(F.sha2("form", 256).alias("digest"), "license")
+    if known is None:
+        more = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license")) for i, d in KNOWN_DIGESTS])
+        found = found.unionByName(spark.range(1).select(F.inline(more)))
+    return found.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+WHOLE, LINE, RUN = 0, 1, 2
+
+
+def _digests(text: Column) -> Column:
+    """(kind, digest) of all units of a text."""
+    entry = lambda kind: lambda form: F.struct(F.lit(kind).alias("kind"), F.sha2(form, 256).alias("digest"))
+    return let(_forms(text), lambda f: F.concat(
+        F.transform(F.filter(F.array(f.whole), lambda w: w != ""), entry(WHOLE)), F.transform(f.lines, entry(LINE)), F.transform(f.runs, entry(RUN))
+    ))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``license`` (of the whole text, or null), ``notices``
-    (licences of its lines, sorted, comma between) and ``n_notice_lines``."""
-    known = known if known is not None else known_texts(docs.sparkSession)
-    known = known.select(digest(text_of("text")).alias("digest"), "license").filter("digest IS NOT NULL AND license IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
+    (licences of its lines, sorted, comma between), ``n_notice_lines`` and ``embedded`` (licences
+    of its runs of several lines, sorted, comma between)."""
+    known = known_digests(docs.sparkSession, known)
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     key = [F.col("id"), F.sha2("text", 256).alias("key")]
-    # a line longer than any notice is part of running text; the whole text is a unit of its own
-    lines = source.select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "unit"))
-    units = source.select(*key, F.lit(-1).alias("line_no"), F.col("text").alias("unit")).unionByName(lines)
-    hits = units.select("id", "key", "line_no", digest(F.col("unit")).alias("digest")).filter("digest IS NOT NULL").join(known, "digest")
-    hits = hits.groupBy("id", "key", "line_no").agg(F.min("license").alias("license"))  # equal rows hit alike
+    units = source.select(*key, F.posexplode(_digests(F.col("text"))).alias("place", "unit")).select("id", "key", "place", "unit.*")
+    hits = units.join(known, "digest").groupBy("id", "key", "place", "kind").agg(F.min("license").alias("license"))  # equal rows hit alike
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("license"))
+    listed = lambda kind: F.array_join(F.array_sort(F.collect_set(of(kind))), ",")
     by_row = hits.groupBy("id", "key").agg(
-        F.min(F.when(F.col("line_no") < 0, F.col("license"))).alias("license"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("line_no") >= 0, F.col("license")))), ",").alias("notices"),
-        F.count_if(F.col("line_no") >= 0).alias("n_notice_lines"),
+        F.min(of(WHOLE)).alias("license"), listed(LINE).alias("notices"), F.count_if(F.col("kind") == LINE).alias("n_lines"), listed(RUN).alias("embedded"),
     ).withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
     rows = source.select(*key)
     found = rows.join(by_row, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     return found.select(
-        F.col("id").alias(id_col), "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines")
+        F.col("id").alias(id_col), "license", F.coalesce("notices", F.lit("")).alias("notices"),
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_notice_lines"), F.coalesce("embedded", F.lit("")).alias("embedded"),
     )
 
 
 def oracle() -> str:
-    def canon(x: str) -> str:
-        low = f"regexp_replace(lower({x}), '(^|\\n)[^\\p{{L}}\\p{{N}}\\n]*(copyright\\b[^\\n]*(\\(c\\)|©|[0-9]{{4}})|\\(c\\)|©)[^\\n]*', '\\1 ', 'g')"
-        out = f"(' ' || trim(regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
+    low = lambda x: rf"regexp_replace(lower({x}), '(^|\n)[^\p{{L}}\p{{N}}\n]*(copyright\b[^\n]*(\(c\)|©|[0-9]{{4}})|\(c\)|©)[^\n]*', '\1-', 'g')"
+    plain = lambda x: rf"trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+    def spelled(x: str) -> str:
+        out = f"(' ' || {x} || ' ')"
         for found, used in SPELLINGS:
             out = f"replace({out}, ' {found} ', ' {used} ')"
         return f"trim({out})"
 
     quoted = [t.replace("'", "''") for _, t in KNOWN]
     values = ", ".join(f"('{i}', '{t}')" for (i, _), t in zip(KNOWN, quoted))
-    return f"""
-WITH known AS (SELECT {canon('text')} AS form, min(license) AS license FROM (VALUES {values}) AS v(license, text) GROUP BY 1),
-d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT doc_id, -1 AS i, text AS unit FROM d UNION ALL
-      SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM d),
-h AS (SELECT doc_id, i, license FROM (SELECT doc_id, i, {canon('unit')} AS form FROM u) JOIN known USING (form) WHERE form <> ''),
-r AS (SELECT doc_id, min(license) FILTER (i < 0) AS license, array_to_string(list_sort(list_distinct(list(license) FILTER (i >= 0))), ',') AS notices,
-             count(*) FILTER (i >= 0) AS n FROM h GROUP BY doc_id)
-SELECT d.doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notice_lines FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in KNOWN_DIGESTS)
+    return rf"""
+WITH known AS (SELECT digest, min(license) AS license FROM (
+        SELECT sha256({spelled(plain(low('text')))}) AS digest, license FROM (VALUES {values}) AS v(license, text)
+        UNION ALL SELECT digest, license FROM (VALUES {digests}) AS w(license, digest)) GROUP BY 1),
+d AS (SELECT doc_id, {low("coalesce(text, '')")} AS low FROM documents),
+b AS (SELECT doc_id, i, block FROM (SELECT doc_id, unnest(string_split_regex(low, '\n([\x20\x09\x0B-\x0D]*\n)+')) AS block,
+        unnest(range(0, len(string_split_regex(low, '\n([\x20\x09\x0B-\x0D]*\n)+')))) AS i FROM d) WHERE regexp_matches(block, '[\p{{L}}\p{{N}}]')),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j,
+        list_filter(list_transform(string_split(block, chr(10)), lambda x: {plain('x')}), lambda x: x <> '') AS lines FROM b),
+e AS (SELECT doc_id, j, array_to_string(lines, ' ') AS form, len(lines) AS n FROM c),
+u AS (SELECT doc_id, 1 AS kind, unnest(lines) AS unit FROM c
+      UNION ALL SELECT doc_id, 0, string_agg(form, ' ' ORDER BY j) FROM e GROUP BY doc_id
+      UNION ALL SELECT a.doc_id, 2, string_agg(z.form, ' ' ORDER BY z.j) FROM e a, range(1, {RUN_BLOCKS + 1}) AS r(k) JOIN e z
+        ON z.doc_id = a.doc_id AND z.j BETWEEN a.j AND a.j + k - 1 GROUP BY a.doc_id, a.j, k HAVING sum(z.n) > 1 AND count(*) = k),
+h AS (SELECT doc_id, kind, license FROM (SELECT doc_id, kind, sha256({spelled('unit')}) AS digest FROM u) JOIN known USING (digest)),
+r AS (SELECT doc_id, min(license) FILTER (kind = 0) AS license, array_to_string(list_sort(list_distinct(list(license) FILTER (kind = 1))), ',') AS notices,
+             count(*) FILTER (kind = 1) AS n, array_to_string(list_sort(list_distinct(list(license) FILTER (kind = 2))), ',') AS embedded FROM h GROUP BY doc_id)
+SELECT d.doc_id, license, coalesce(notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notice_lines, coalesce(embedded, '') AS embedded FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
