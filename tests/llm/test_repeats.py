@@ -49,15 +49,36 @@ def test_against_brute_force(spark, size):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("limit", [0, 10])
-def test_without_broadcast_and_with_heavy_prefixes(spark, monkeypatch, limit):
-    monkeypatch.setattr(repeats, "MAX_BROADCAST_IDS", limit)
+def test_heavy_prefixes_and_many_groups(spark):
     rows = make_rows(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = repeats.remove(docs, groups=500).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str) == brute(rows)
 
 
+def test_groups_follow_the_counted_suffixes(spark, monkeypatch):
+    rows = make_rows(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    keep = repeats._subtrees
+    monkeypatch.setattr(repeats, "GROUP", 200)
+    monkeypatch.setattr(repeats, "_subtrees", lambda groups: made.append(groups) or keep(groups))
+    found = repeats.remove(docs).collect()
+    windows = sum(max(0, len((t or "").split()) - 12) for _, t in rows)
+    assert made == [-(-windows // 200)]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str) == brute(rows)
+
+
+def test_null_and_largest_ids(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    last = 2**63 - 1
+    rows = [(None, text), (None, text + " more"), (last, text), (None, "alone " * 3), (5, "other " + text)]
+    found = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in found), key=str) == sorted(
+        [(None, 20, 20), (None, 21, 20), (last, 20, 20), (None, 3, 0), (5, 21, 0)], key=str
+    )
+
+
 def test_empty_table(spark):
     assert repeats.remove(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

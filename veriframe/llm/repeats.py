@@ -11,12 +11,14 @@ the runs of such nodes along a document are its maximal repeats.
 What keeps it bounded: a slice of texts (a few MB) first resolves its own repeats and sends on
 only one entry for each path, that of its smallest document, so a passage that a third of all
 documents hold reaches its group once per slice and not once per document. Entries travel
-packed, 8 bytes each and the ids of their documents once. Groups answer with the paths that a document loses; only
-documents that lose words are read again.
+packed, 8 bytes each and the ids of their documents once. The number of groups follows from the
+counted suffixes: ``GROUP`` of them each. Groups answer with the paths that a document loses, and
+the documents meet these in one join.
 
 ``doc_id`` orders the documents: a word goes if a window over it also starts in a document
-with a smaller id. Documents with equal ids never remove each other's words; a null id counts
-as larger than all. Null and empty texts have no words and the digest of the empty string.
+with a smaller id. Documents with equal ids never remove each other's words; null ids count as
+equal to each other and as the largest id there can be, and such documents are told apart by a
+hash of their text. Null and empty texts have no words and the digest of the empty string.
 Only the id and the text are read, so other columns cannot clash. Hashes have 64 bits: two
 different windows are taken for equal with a chance of 1 in 2**64 a pair.
 """
@@ -29,17 +31,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import cut, partitions
 from veriframe.llm.wordhash import SLICE_BYTES, Words, mix, slices
 
 WINDOW = 13
 #: Lengths of the counted prefixes, bins for each, and how many times the mean group a group may be.
 DEPTHS, BINS, HEAVY = (1, 2, 4), 1 << 14, 4
-#: Documents whose ids are broadcast to pick those that lose words; beyond, a shuffle picks them.
-MAX_BROADCAST_IDS = 500_000
+#: Suffixes of a group: about 60 bytes each while it is worked on.
+GROUP = 1 << 21
 
 _LAST = np.iinfo(np.int64).max
 
@@ -49,7 +51,10 @@ def _bin(h: np.ndarray) -> np.ndarray:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, text, and key: the id, or a hash of the text where it is null."""
+    text = F.col(text_col).cast("string")
+    doc_id = F.col(id_col).cast("long")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"))
 
 
 def prefix_table(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> np.ndarray:
@@ -73,108 +78,100 @@ def prefix_table(docs: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE
     return table
 
 
-def _pack(path: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> bytes:
-    """Entries in the order of their documents: the ids, how many paths each, the paths."""
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    size = np.diff(np.r_[first, len(doc)])
-    return np.array([len(first)], "<i8").tobytes() + ids[doc[first]].astype("<i8").tobytes() + size.astype("<u4").tobytes() + path.astype("<u8").tobytes()
+class Docs:
+    """The documents of some rows: ``key``, whether the id is ``null``, and ``order`` among ids."""
 
+    def __init__(self, key: np.ndarray, null: np.ndarray):
+        self.key, self.null = key, null
+        self.order = np.where(null, _LAST, key)
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    ids, size = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<u4", n, 8 + 8 * n)
-    return np.frombuffer(blob, "<u8", -1, 8 + 12 * n), np.repeat(ids, size)
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, first: int, n: int) -> Docs:
+        return cls(np.array(batch.column("key").slice(first, n), np.int64), np.array(batch.column("doc_id").slice(first, n).is_null(), bool))
 
+    def take(self, at: np.ndarray) -> Docs:
+        return Docs(self.key[at], self.null[at])
 
-_ROWS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("data", pa.binary())])
-_DDL = "part int, kind byte, doc_id long, n_words long, data binary"
-ENTRIES, LOST, WHOLE = 0, 1, 2
 
+def _pack(path: np.ndarray, docs: Docs) -> bytes:
+    """Entries in the order of their documents: number of documents, keys, which ids are null, how
+    many paths each, the paths."""
+    first = np.flatnonzero(np.r_[True, (docs.key[1:] != docs.key[:-1]) | (docs.null[1:] != docs.null[:-1])])
+    size = np.diff(np.r_[first, len(path)])
+    mine = docs.take(first)
+    return b"".join([
+        np.array([len(first)], "<i8").tobytes(), mine.key.astype("<i8").tobytes(), mine.null.astype("u1").tobytes(), size.astype("<u4").tobytes(), path.astype("<u8").tobytes()
+    ])
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, Docs]:
+    paths, keys, nulls = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for blob in blobs:
+        n = int(np.frombuffer(blob, "<i8", 1)[0])
+        size = np.frombuffer(blob, "<u4", n, 8 + 9 * n)
+        keys.append(np.repeat(np.frombuffer(blob, "<i8", n, 8), size))
+        nulls.append(np.repeat(np.frombuffer(blob, "u1", n, 8 + 8 * n).astype(bool), size))
+        paths.append(np.frombuffer(blob, "<u8", -1, 8 + 13 * n))
+    return np.concatenate(paths), Docs(np.concatenate(keys), np.concatenate(nulls))
 
-def _rows(part, kind: int, doc_id, n_words, data) -> pa.RecordBatch:
-    n = len(data)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(np.full(n, kind, np.int8)), pa.array(doc_id, pa.int64()), pa.array(n_words, pa.int64()), pa.array(data, pa.binary())],
-        schema=_ROWS,
-    )
 
+_ROWS = pa.schema([("part", pa.int32()), ("lost", pa.bool_()), ("data", pa.binary())])
+_DDL = "part int, lost boolean, data binary"
 
-def _lost(doc: np.ndarray, path: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Lost paths, packed by the group of their document: ids, how many each, 6 bytes of each path.
 
-    A document's own windows are all that these bytes have to tell apart.
-    """
-    part = (mix(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-    order = np.lexsort((doc, part))
-    part, doc, path = part[order], doc[order], path[order]
-    short = (path >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _rows(part: np.ndarray, lost: bool, path: np.ndarray, who: np.ndarray, docs: Docs) -> pa.RecordBatch:
+    """Entries (path, document ``who`` of ``docs``) packed by part, one row each; ``lost`` ones are
+    answers, whose part is their document's."""
+    order = np.argsort(part.astype(np.int64) << 32 | who)
+    part, path, docs = part[order], path[order], docs.take(who[order])
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    blobs = []
-    for a, b in zip(cuts, np.r_[cuts[1:], len(part)]):
-        first = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
-        size = np.diff(np.r_[first, b - a])
-        blobs.append(np.array([len(first)], "<i8").tobytes() + doc[a:b][first].astype("<i8").tobytes() + size.astype("<i8").tobytes() + short[a:b].tobytes())
-    return _rows(part[cuts], LOST, [None] * len(cuts), np.zeros(len(cuts), np.int64), blobs)
+    blobs = [_pack(path[a:b], docs.take(slice(a, b))) for a, b in zip(cuts, np.r_[cuts[1:], len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array(np.full(len(cuts), lost)), pa.array(blobs, pa.binary())], schema=_ROWS)
+
+
+def _lost(path: np.ndarray, who: np.ndarray, docs: Docs, groups: int) -> pa.RecordBatch:
+    part = (mix(docs.key.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    return _rows(part[who], True, path, who, docs)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document that loses words: its id and its lost paths."""
-    docs, paths = [], []
-    for batch in batches:
-        for blob in batch.column("data").to_pylist():
-            n = int(np.frombuffer(blob, "<i8", 1)[0])
-            ids, size = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
-            docs.append(np.repeat(ids, size))
-            paths.append(np.frombuffer(blob, np.uint8, -1, 8 + 16 * n).reshape(-1, 6))
-    if not docs:
+    """One row for each document that loses words: its key and its lost paths."""
+    path, docs = _unpack([blob for batch in batches for blob in batch.column("data").to_pylist()])
+    if not len(path):
         return
-    doc, path = np.concatenate(docs), np.concatenate(paths)
-    order = np.argsort(doc, kind="stable")
-    doc, path = doc[order], path[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    lost = [path[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(doc)])]
+    order = np.lexsort((docs.key, docs.null))
+    path, docs = path[order], docs.take(order)
+    first = np.flatnonzero(np.r_[True, (docs.key[1:] != docs.key[:-1]) | (docs.null[1:] != docs.null[:-1])])
+    lost = [path[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(path)])]
     for lo in range(0, len(first), 5000):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first[lo : lo + 5000]]), pa.array(lost[lo : lo + 5000], pa.binary())], names=["loser", "lost"])
+        at = first[lo : lo + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array(docs.key[at]), pa.array(docs.null[at]), pa.array(lost[lo : lo + 5000], pa.binary())], names=["loser", "nameless", "lost"])
 
 
-def _paths(lost: bytes) -> np.ndarray:
-    out = np.zeros((len(lost) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(lost, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _nodes(path: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted paths: the node of each entry, and each node's smallest document."""
+def _nodes(path: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted paths: the node of each entry, and the place of each node's smallest document."""
     first = np.r_[True, path[1:] != path[:-1]]
-    return np.cumsum(first) - 1, np.minimum.reduceat(doc, np.flatnonzero(first))
-
-
-def _ids(batch: pa.RecordBatch, first: int, n: int) -> np.ndarray:
-    return np.array(batch.column("doc_id").slice(first, n).fill_null(_LAST), np.int64)
+    return np.cumsum(first) - 1, np.minimum.reduceat(order, np.flatnonzero(first))
 
 
 def _suffixes(docs: DataFrame, table: np.ndarray, window: int, groups: int, slice_bytes: int) -> DataFrame:
-    """Packed entries by group, paths lost inside a slice, and the digest of every whole text."""
+    """Packed entries by group, and paths lost inside a slice."""
     heavy = table > max(1, table[0].sum() // groups) * HEAVY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, data, at in slices(batch, size=slice_bytes):
-                words, ids = Words(data, at), _ids(batch, row, n)
-                raw = data.tobytes()
-                whole = [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(at[:-1], at[1:])]
-                spread = (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-                yield _rows(spread, WHOLE, [None if i == _LAST else int(i) for i in ids], words.counts(), whole)
+                words, docs = Words(data, at), Docs.of(batch, row, n)
                 begins, path = words.windows(window)
                 if not len(begins):
                     continue
                 doc = words.doc[begins]
                 order = np.argsort(path)
                 begins, path, doc = begins[order], path[order], doc[order]
-                node, least = _nodes(path, ids[doc])
-                late = ids[doc] > least[node]
+                node, least = _nodes(path, docs.order[doc])
+                late = docs.order[doc] > least[node]
                 if late.any():
-                    yield _lost(ids[doc[late]], path[late], groups)
+                    yield _lost(path[late], doc[late], docs, groups)
                 only = np.flatnonzero(~late)
                 only = only[np.r_[True, node[only][1:] != node[only][:-1]]]
                 begins, path, doc = begins[only], path[only], doc[only]
@@ -186,12 +183,7 @@ def _suffixes(docs: DataFrame, table: np.ndarray, window: int, groups: int, slic
                     where = np.flatnonzero(deeper)[light]
                     group[where] = mix(_bin(h[light]).astype(np.uint64) + np.uint64((k + 1) << 32))
                     deeper[where] = False
-                part = (mix(group) % np.uint64(groups)).astype(np.int32)
-                order = np.argsort(part.astype(np.int64) << 32 | doc)  # by group, then by document
-                part, path, doc = part[order], path[order], doc[order]
-                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                blobs = [_pack(path[a:b], doc[a:b], ids) for a, b in zip(cuts, np.r_[cuts[1:], len(part)])]
-                yield _rows(part[cuts], ENTRIES, [None] * len(cuts), np.zeros(len(cuts), np.int64), blobs)
+                yield _rows((mix(group) % np.uint64(groups)).astype(np.int32), False, path, doc, docs)
 
     return docs.mapInArrow(run, _DDL)
 
@@ -200,64 +192,68 @@ def _subtrees(groups: int):
     """The deep internal nodes of the groups of one partition, as the paths that documents lose."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, docs = [], []
+        blobs = []
         for batch in batches:
-            kind = np.array(batch.column("kind"))
-            other = np.flatnonzero(kind != ENTRIES)
-            if len(other):
-                yield batch.take(pa.array(other))
-            for k in np.flatnonzero(kind == ENTRIES):
-                path, doc = _unpack(batch.column("data")[int(k)].as_py())
-                paths.append(path)
-                docs.append(doc)
-        if not paths:
-            return
-        path, doc = np.concatenate(paths), np.concatenate(docs)
-        paths.clear()
-        docs.clear()
+            answers = batch.filter(batch.column("lost"))
+            if answers.num_rows:
+                yield answers
+            blobs += batch.filter(pyarrow.compute.invert(batch.column("lost"))).column("data").to_pylist()
+        path, docs = _unpack(blobs)
+        blobs.clear()
         order = np.argsort(path)
         path = path[order]
         same = path[1:] == path[:-1]
-        inner = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # nodes with two leaves or more
-        if not len(inner):
+        inner = np.flatnonzero(np.r_[False, same] | np.r_[same, False])[: len(path)]  # nodes with two leaves or more
+        if not len(path) or not len(inner):
             return
-        path, doc = path[inner], doc[order[inner]]
-        node, least = _nodes(path, doc)
-        late = doc > least[node]
+        path, docs = path[inner], docs.take(order[inner])
+        node, least = _nodes(path, docs.order)
+        late = docs.order > least[node]
         if late.any():
-            yield _lost(doc[late], path[late], groups)
+            path, docs = path[late], docs.take(late)
+            order = np.lexsort((docs.key, docs.null))
+            yield _lost(path[order], np.arange(len(path)), docs.take(order), groups)
 
     return run
 
 
-def _cleaner(window: int, texts: bool, slice_bytes: int):
+def _removed(words: Words, lost: list[bytes | None], window: int) -> np.ndarray:
+    """Which words stand under a lost path of their document."""
+    begins, path = words.windows(window)
+    bounds = np.searchsorted(words.doc[begins], np.arange(len(lost) + 1))
+    gone = np.zeros(len(words.hash) + 1, np.int64)
+    for a, b, mine in zip(bounds[:-1], bounds[1:], lost):
+        if mine is not None:
+            at = begins[a:b][np.isin(path[a:b], np.frombuffer(mine, "<u8"))]
+            gone[at] += 1
+            gone[at + window] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
+def _cleaner(window: int, slice_bytes: int):
+    """Counts, digest and, where words go, text of every document without the words it loses."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lost = batch.column("lost")
             for row, n, data, at in slices(batch, size=slice_bytes):
-                words = Words(data, at)
-                begins, path = words.windows(window)
-                doc = words.doc[begins]
-                gone = np.zeros(len(words.hash) + 1, np.int64)
-                bounds = np.searchsorted(doc, np.arange(n + 1))
-                for k in range(n):
-                    a, b = bounds[k], bounds[k + 1]
-                    at_words = begins[a:b][np.isin(path[a:b] >> np.uint64(16), _paths(lost[row + k].as_py()))]
-                    gone[at_words] += 1
-                    gone[at_words + window] -= 1
-                removed = np.cumsum(gone)[:-1] > 0
-                ends = np.r_[0, np.cumsum(words.counts())]
+                lost = batch.column("lost").slice(row, n).to_pylist()
                 raw = data.tobytes()
-                kept = [b" ".join(compress(raw[a:b].split(), ~removed[i:j])) for a, b, i, j in zip(at[:-1], at[1:], ends[:-1], ends[1:])]
-                columns = [
-                    batch.column("doc_id").slice(row, n),
-                    pa.array(words.counts(), pa.int64()),
-                    pa.array([int(removed[i:j].sum()) for i, j in zip(ends[:-1], ends[1:])], pa.int64()),
+                parts = [raw[a:b].split() for a, b in zip(at[:-1], at[1:])]
+                size = [len(p) for p in parts]
+                losers = np.flatnonzero([x is not None for x in lost])
+                if len(losers):  # only their words are hashed again
+                    span = at[losers + 1] - at[losers]
+                    data = np.concatenate([data[at[k] : at[k + 1]] for k in losers])
+                    removed = _removed(Words(data, np.r_[0, np.cumsum(span)]), [lost[k] for k in losers], window)
+                    ends = np.r_[0, np.cumsum([size[k] for k in losers])]
+                    for k, a, b in zip(losers, ends[:-1], ends[1:]):
+                        parts[k] = list(compress(parts[k], ~removed[a:b]))
+                kept = [b" ".join(p) for p in parts]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(row, n), pa.array(size, pa.int64()), pa.array([s - len(p) for s, p in zip(size, parts)], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                ]
-                if texts:
-                    columns.append(pa.array([x.decode("utf-8") for x in kept], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts])
+                    pa.array([None if mine is None else x.decode("utf-8") for x, mine in zip(kept, lost)], pa.string()),
+                ], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -266,30 +262,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
            groups: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_sha256`` (over the kept
     words joined by one space) and ``kept_text``, null where nothing was removed."""
-    source, spark = _source(docs, id_col, text_col), docs.sparkSession
-    parts = partitions(spark)
-    groups = groups or parts
-    found = cut(
-        _suffixes(source, prefix_table(source, window, slice_bytes), window, groups, slice_bytes)
-        .repartitionById(parts, F.col("part"))
+    source = _source(docs, id_col, text_col)
+    table = prefix_table(source, window, slice_bytes)
+    groups = groups or max(1, -(-int(table[0].sum()) // GROUP))
+    answers = (
+        _suffixes(source, table, window, groups, slice_bytes)
+        .repartitionById(groups, F.col("part"))
         .mapInArrow(_subtrees(groups), _DDL)
     )
-    lost = cut(found.filter(F.col("kind") == LOST).select("part", "data").repartitionById(parts, F.col("part")).mapInArrow(_gather, "loser long, lost binary"))
-    losers = lost.select("loser")
-    small = losers.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    losers = F.broadcast(losers) if small else losers
-    is_loser = F.coalesce("doc_id", F.lit(_LAST)) == F.col("loser")
-    changed = (
-        source.join(losers, is_loser, "left_semi")
-        .join(lost, is_loser)
-        .select("doc_id", "text", "lost")
-        .mapInArrow(_cleaner(window, True, slice_bytes), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    )
-    unchanged = found.filter(F.col("kind") == WHOLE).join(losers, is_loser, "left_anti").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("data")).alias("kept_sha256"),
-        F.lit(None).cast("string").alias("kept_text"),
+    lost = answers.select("part", "data").repartitionById(groups, F.col("part")).mapInArrow(_gather, "loser long, nameless boolean, lost binary")
+    met = source.join(lost, (F.col("key") == F.col("loser")) & (F.col("doc_id").isNull() == F.col("nameless")), "left")
+    cleaned = met.select("doc_id", "text", "lost").mapInArrow(
+        _cleaner(window, slice_bytes), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
-    return unchanged.unionByName(changed).withColumnRenamed("doc_id", id_col)
+    return cleaned.withColumnRenamed("doc_id", id_col)
 
 
 ORACLE = rf"""
