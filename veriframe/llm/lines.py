@@ -1,10 +1,11 @@
 """Line dedup (7): exact and near copies of lines, by a segment-partition edit join.
 
-Lines are what stands between line feeds, without blanks at their ends. A line of at least
-``MIN_CHARS`` code points goes if an equal line, or one within ``MAX_EDITS`` insertion,
-deletion or substitution, stands earlier; documents are ordered by id, lines by their place.
-Lines are judged on the input, not on what is left; shorter lines always stay. Everything is a
-DataFrame expression: no user function and no Python code runs on the executors.
+Lines are what stands between line feeds, without blanks at their ends. A line that holds more
+than blanks goes if an equal line stands earlier; a line of at least ``MIN_CHARS`` code points
+also goes if a line one edit away (insertion, deletion or substitution of one code point) stands
+earlier. Documents are ordered by id, lines by their place. Lines are judged on the input, not on
+what is left. Everything is a DataFrame expression: no user function and no Python code runs on
+the executors.
 
 1. Equal lines meet by a 128-bit hash; the first place of each is a minimum by key.
 2. With one edit allowed, a line is split into two segments, one of which must be whole in any
@@ -18,9 +19,10 @@ DataFrame expression: no user function and no Python code runs on the executors.
 4. Pairs are verified by bit-parallel edit distance on what differs between their common
    beginning and their common end (the band; more than ``BAND`` characters exceed the limit).
 
-Null and empty texts have no lines to remove and stay as they are. Rows of one id count as one
-document; a null id is ordered after all others. Extra columns are kept by ``dedup`` and not
-read; the names it adds are ``n_lines`` and ``n_removed``.
+Null and empty texts have no lines to remove and stay as they are. Different texts under one id
+are documents of their own, ordered by a hash of the text; rows equal in id and text are judged
+alike, as one document. A null id is ordered after all others. Extra columns are kept by
+``dedup`` and not read; the names it adds are ``n_lines`` and ``n_removed``.
 """
 
 from __future__ import annotations
@@ -30,21 +32,34 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, let, shared_dir, text_of
 
-MAX_EDITS, MIN_CHARS, CROWD, PARTS, BAND = 1, 20, 24, 8, 8
-#: Documents or lines picked by a broadcast of their keys; beyond, a shuffle picks them.
-MAX_BROADCAST_KEYS = 500_000
-#: Line numbers broadcast with their documents, 4 bytes each.
-MAX_BROADCAST_PLACES = 4_000_000
+#: The threshold is one edit; the segments (two), the probes (one length up) and the splitting of
+#: crowded segments (one hole) are made for it.
+MIN_CHARS, CROWD, PARTS, BAND = 20, 24, 8, 8
 
 _LAST = (1 << 63) - 1
 _BLANKS = " \t\x0b\x0c\r"
 
 
-def _occurrences(source: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, line_no, line, size) of the lines that take part."""
-    rows = source.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim("line", F.lit(_BLANKS)))
-    return rows.withColumn("size", F.length("line")).filter(F.col("size") >= min_chars)
+def _text_no(text: Column) -> Column:
+    """31 bits that tell the texts of one id apart."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, text and text_no."""
+    text = text_of(text_col)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"), _text_no(text).alias("text_no"))
+
+
+def _occurrences(source: DataFrame) -> DataFrame:
+    """(doc, place, line, size) of the lines that hold more than blanks.
+
+    ``place`` is the number of the text (``text_no``) above 32 bits, the line's number below.
+    """
+    rows = source.select("doc", "text_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    place = F.call_function("shiftleft", F.col("text_no"), F.lit(32)) + F.col("line_no")
+    rows = rows.select("doc", place.alias("place"), F.trim("line", F.lit(_BLANKS)).alias("line"))
+    return rows.withColumn("size", F.length("line")).filter(F.col("size") > 0)
 
 
 def _keys() -> list[Column]:
@@ -52,15 +67,16 @@ def _keys() -> list[Column]:
 
 
 def _segments(min_chars: int) -> list[Column]:
-    """Hashes of the halves of a line, filed under its length (s) and facing the halves of lines
-    one shorter (l); 0 is the first half, 1 the second."""
+    """Hashes of the halves of a line of ``min_chars`` or more, filed under its length (s) and facing
+    the halves of lines one shorter (l); 0 is the first half, 1 the second."""
     s, n = F.col("line"), F.col("size")
+    enough = lambda c: F.when(n >= min_chars, c)
     half, half_short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     part = lambda a, b: F.substring(s, a + 1, b - a)
     long = lambda c: F.when(n > min_chars, c)
     return [
-        F.xxhash64(n, F.lit(0), part(F.lit(0), half)).alias("s0"),
-        F.xxhash64(n, F.lit(1), part(half, n)).alias("s1"),
+        enough(F.xxhash64(n, F.lit(0), part(F.lit(0), half))).alias("s0"),
+        enough(F.xxhash64(n, F.lit(1), part(half, n))).alias("s1"),
         long(F.xxhash64(n - 1, F.lit(0), part(F.lit(0), half_short))).alias("l0"),
         long(F.xxhash64(n - 1, F.lit(1), part(half_short + 1, n))).alias("l1"),
     ]
@@ -69,8 +85,9 @@ def _segments(min_chars: int) -> list[Column]:
 def _common(a: Column, b: Column, end: bool) -> Column:
     """Length of the common beginning (or end) of two strings, by halving steps."""
     side = F.right if end else F.left
-    steps = F.transform(F.sequence(F.lit(20), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     most = F.least(F.length(a), F.length(b))
+    highest = F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int")
+    steps = F.transform(F.sequence(highest, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     return F.aggregate(
         steps, F.lit(0), lambda p, s: F.when((p + s <= most) & (side(a, p + s) == side(b, p + s)), p + s).otherwise(p)
     )
@@ -118,8 +135,8 @@ def _bit_parallel(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.length(b).cast("long")).otherwise(F.aggregate(chars(b), start, step, lambda s: s.d))
 
 
-def within(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
-    """Whether two strings are at most ``edits`` apart."""
+def within(a: Column, b: Column) -> Column:
+    """Whether two strings are at most one edit apart."""
     same = F.struct(a.alias("a"), b.alias("b"), _common(a, b, False).alias("p"))
 
     def cores(t: Column) -> Column:
@@ -128,17 +145,11 @@ def within(a: Column, b: Column, edits: int = MAX_EDITS) -> Column:
             F.struct(rest_a.alias("a"), rest_b.alias("b"), _common(rest_a, rest_b, True).alias("q")),
             lambda r: let(
                 F.struct(F.left(r.a, F.length(r.a) - r.q).alias("a"), F.left(r.b, F.length(r.b) - r.q).alias("b")),
-                lambda c: F.when(F.greatest(F.length(c.a), F.length(c.b)) > BAND, F.lit(False)).otherwise(_bit_parallel(c.a, c.b) <= edits),
+                lambda c: F.when(F.greatest(F.length(c.a), F.length(c.b)) > BAND, F.lit(False)).otherwise(_bit_parallel(c.a, c.b) <= 1),
             ),
         )
 
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(let(same, cores))
-
-
-def _pick(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """``rows`` whose key is in ``keys``; a small key table is broadcast, a large one shuffled."""
-    small = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if small else keys, on, "left_semi")
+    return F.when(F.abs(F.length(a) - F.length(b)) > 1, F.lit(False)).otherwise(let(same, cores))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -202,7 +213,7 @@ def _leaves(rows: DataFrame) -> DataFrame:
     return _oriented(star.unionByName(facing.filter("first_a < first_b").select(*star.columns)).unionByName(back.select(*star.columns)))
 
 
-def near_lines(distinct: DataFrame, source: DataFrame, min_chars: int, path: str) -> DataFrame:
+def near_lines(distinct: DataFrame, source: DataFrame, path: str) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier line within one edit.
 
     ``distinct``: h1, h2, first (place) and the hashes of ``_segments``.
@@ -215,7 +226,9 @@ def near_lines(distinct: DataFrame, source: DataFrame, min_chars: int, path: str
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "s").alias("n_short")).filter("n > 1 AND n_short > 0")
     filed.join(shared.drop("n_short"), "key").write.parquet(f"{path}/filed")
     filed = spark.read.parquet(f"{path}/filed")
-    lines = _pick(_occurrences(source, min_chars).select("line", *_keys()), filed.select("h1", "h2").distinct(), ["h1", "h2"])
+    # each wanted line is read where it first stands: that key is no hot one, unlike the line itself
+    wanted = filed.select("h1", "h2", "first.doc", "first.place").distinct()
+    lines = _occurrences(source).select("doc", "place", "line").join(wanted, ["doc", "place"]).select("h1", "h2", "line")
     lines.dropDuplicates(["h1", "h2"]).write.parquet(f"{path}/lines")
     size = F.length("line")
     half = F.floor((size - F.when(F.col("role") == "l", 1).otherwise(0)) / 2).cast("int")
@@ -240,45 +253,44 @@ def near_lines(distinct: DataFrame, source: DataFrame, min_chars: int, path: str
 
 
 def removed_places(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, line_no) of every line that goes. ``source``: doc (long, never null), text."""
+    """(doc, place) of every line that goes. ``source``: doc (never null), text and text_no."""
     path, spark = shared_dir(source.sparkSession), source.sparkSession
-    _occurrences(source, min_chars).select("doc", "line_no", *_keys(), *_segments(min_chars)).write.parquet(f"{path}/places")
+    _occurrences(source).select("doc", "place", *_keys(), *_segments(min_chars)).write.parquet(f"{path}/places")
     places = spark.read.parquet(f"{path}/places")
     firsts = places.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("s0", "s1", "l0", "l1")]
+        F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("s0", "s1", "l0", "l1")]
     )
     firsts.write.parquet(f"{path}/distinct")
     distinct = spark.read.parquet(f"{path}/distinct")
-    near = near_lines(distinct, source, min_chars, path)
+    near = near_lines(distinct.filter("s0 IS NOT NULL"), source, path)
     near.write.parquet(f"{path}/near")
     near = spark.read.parquet(f"{path}/near").withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near OR n > 1")
-    found = places.select("doc", "line_no", "h1", "h2").join(verdict, ["h1", "h2"])
-    return found.filter("near OR struct(doc, line_no) <> first").select("doc", "line_no")
+    found = places.select("doc", "place", "h1", "h2").join(verdict, ["h1", "h2"])
+    return found.filter("near OR struct(doc, place) <> first").select("doc", "place")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text_col``, and ``n_lines``, ``n_removed``."""
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    source = docs.select(doc.alias("doc"), text_of(text_col).alias("text"))
     path = shared_dir(docs.sparkSession)
-    removed_places(source, min_chars).groupBy("doc").agg(F.collect_set("line_no").alias("gone")).write.parquet(f"{path}/gone")
-    gone = docs.sparkSession.read.parquet(f"{path}/gone").withColumnsRenamed({"doc": "__gone_doc", "gone": "__gone"})
-    hit = doc == F.col("__gone_doc")
-    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
-    if n <= MAX_BROADCAST_KEYS and places <= MAX_BROADCAST_PLACES:
-        gone = F.broadcast(gone)  # texts stay where they are; beyond, they are shuffled to their line numbers
-    ids = gone.select("__gone_doc")
-    ids = F.broadcast(ids) if n <= MAX_BROADCAST_KEYS else ids
-    n_lines = F.size(F.split(text_of(text_col), "\n")).cast("long")
-    whole = docs.join(ids, hit, "left_anti").withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
-    less = docs.join(ids, hit, "left_semi").join(gone, hit)
+    line_no = F.col("place").bitwiseAND((1 << 32) - 1).cast("int")
+    gone = removed_places(_source(docs, id_col, text_col), min_chars).groupBy(
+        F.col("doc").alias("__gone_doc"), F.call_function("shiftright", F.col("place"), F.lit(32)).alias("__gone_text")
+    ).agg(F.collect_set(line_no).alias("__gone"))  # at most the lines of one text
+    gone.write.parquet(f"{path}/gone")
+    gone = docs.sparkSession.read.parquet(f"{path}/gone")
+    # texts go once to their line numbers; where these are few, Spark brings them to the texts
+    hit = (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__gone_doc")) & (_text_no(text_of(text_col)) == F.col("__gone_text"))
+    both = docs.join(gone, hit, "left")
     # a flag for each line, then the lines that have none: linear in the text
-    flags = F.transform(F.sequence(F.lit(0), F.size(F.split(F.col(text_col), "\n")) - 1), lambda i: i)
-    keep = F.array_except(flags, F.col("__gone"))
-    kept = let(F.split(F.col(text_col), "\n"), lambda x: F.array_join(F.transform(keep, lambda i: F.get(x, i)), "\n"))
-    less = less.withColumns({"n_lines": n_lines, "n_removed": F.size("__gone").cast("long"), text_col: kept}).drop("__gone", "__gone_doc")
-    return whole.unionByName(less)
+    lines = F.split(F.col(text_col), "\n")
+    keep = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
+    kept = let(lines, lambda x: F.array_join(F.transform(keep(x), lambda i: F.get(x, i)), "\n"))
+    return both.withColumns({
+        "n_lines": F.size(F.split(text_of(text_col), "\n")).cast("long"),
+        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
+        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
+    }).drop("__gone", "__gone_doc", "__gone_text")
 
 
 def oracle(min_chars: int = MIN_CHARS) -> str:
@@ -287,9 +299,10 @@ def oracle(min_chars: int = MIN_CHARS) -> str:
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM t),
 l AS (SELECT doc_id, i, raw, trim(raw, {blanks}) AS line FROM o),
-d AS (SELECT line, length(line) AS n, min((doc_id, i)) AS first FROM l WHERE length(line) >= {min_chars} GROUP BY line),
-k AS (SELECT line, first, n AS base, 0 AS longer, left(line, n // 2) AS a, right(line, n - n // 2) AS b FROM d
-      UNION ALL SELECT line, first, n - 1, 1, left(line, (n - 1) // 2), right(line, n - 1 - (n - 1) // 2) FROM d),
+d AS (SELECT line, length(line) AS n, min((doc_id, i)) AS first FROM l WHERE length(line) > 0 GROUP BY line),
+m AS (SELECT * FROM d WHERE n >= {min_chars}),
+k AS (SELECT line, first, n AS base, 0 AS longer, left(line, n // 2) AS a, right(line, n - n // 2) AS b FROM m
+      UNION ALL SELECT line, first, n - 1, 1, left(line, (n - 1) // 2), right(line, n - 1 - (n - 1) // 2) FROM m),
 p AS (SELECT x.line AS s, x.first AS fs, y.line AS t, y.first AS ft FROM k x JOIN k y ON x.base = y.base AND x.a = y.a WHERE x.longer = 0 AND x.line <> y.line
       UNION SELECT x.line, x.first, y.line, y.first FROM k x JOIN k y ON x.base = y.base AND x.b = y.b WHERE x.longer = 0 AND x.line <> y.line),
 near AS (SELECT DISTINCT CASE WHEN fs > ft THEN s ELSE t END AS line FROM p WHERE len(list_filter(range(0, length(s) + 1),
