@@ -35,6 +35,8 @@ def brute(docs, items, size=8, share=0.3, clashes=0.25):
             where = {}
             for p in range(len(dw) - n + 1):
                 where.setdefault(tuple(dw[p : p + n]), []).append(p)
+            if n < 4 and len(dw) != n:
+                continue
             hits = [(p, q) for q in range(len(iw) - n + 1) for p in where.get(tuple(iw[q : q + n]), [])]
             if len({q for _, q in hits}) < share * (len(iw) - n + 1):
                 continue
@@ -61,7 +63,7 @@ def planted():
     q = ITEMS[0][1]
     docs = [
         (0, noise(50)), (1, noise(20) + " " + q + " " + noise(20)), (2, noise(9) + ". " + q.replace("Alice", "Robert").replace("12", "15").replace("3 ", "4 ")),
-        (3, ITEMS[1][1].upper()), (4, ITEMS[1][1][:60]), (5, "a short item here."), (6, None), (7, ""), (8, q.replace("then Alice", "then Bob").replace("does Alice", "does Carol")),
+        (3, ITEMS[1][1].upper()), (4, ITEMS[1][1][:60]), (5, "Short item, here."), (10, "a short item here."), (6, None), (7, ""), (8, q.replace("then Alice", "then Bob").replace("does Alice", "does Carol")),
         (9, noise(5) + ITEMS[1][1] + noise(4000)), (None, q),
     ]
     return docs
@@ -72,15 +74,15 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(d, t, 1, "w") for d, t in docs] + [(1, docs[1][1], 1, "w")], "doc_id long, text string, item int, words string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc, r.item) for r in C.find(df, items).collect()}
-    want = brute([(d, t) for d, t in docs if d is not None], ITEMS)
+    want = brute(docs, ITEMS)
     assert got == want
     assert {(1, 1), (2, 1), (3, 2), (5, 3), (9, 2)} <= got and not any(d in (0, 6, 7) for d, _ in got)
     strict = {(r.doc, r.item) for r in C.find(df, items, max_clashes=0.0).collect()}
     assert (8, 1) in got and (8, 1) not in strict and (2, 1) in strict
     rows = C.flag(df, items).collect()
-    assert len(rows) == len(docs) + 1
+    assert len(rows) == len(docs) + 1 and not any(r.contaminated for r in rows if r.doc_id == 10)
     by = {r.doc_id: r for r in rows}
-    assert by[2].reparameterised and not by[1].reparameterised and by[3].contaminated and not by[0].contaminated and not by[None].contaminated
+    assert by[2].reparameterised and not by[1].reparameterised and by[3].contaminated and not by[0].contaminated and by[None].contaminated
 
 
 def test_template_is_java_and_python_alike(spark):
@@ -121,3 +123,14 @@ def test_occurrences_are_judged_one_by_one(spark):
     assert {d for d in got if got[d].contaminated} == {1, 2, 3, 4, 6, 7}
     assert got[1].reparameterised and got[2].reparameterised and not got[6].reparameterised and not got[7].reparameterised
     assert {1, 2, 3, 4, 6, 7} <= {r.doc_id for r in C.flag(df, items).collect() if r.contaminated}
+
+
+def test_texts_of_one_id_and_tables_of_figures(spark):
+    q, variant = ITEMS[0][1], ITEMS[0][1].replace("Alice", "Robert").replace("12", "15")
+    figures = "how many are 1 2 3 4 5 6 7 8 9 10 11 12 in all"
+    docs = [(1, "nothing to see in this text of several words"), (1, q), (None, variant), (None, "other words"), (2, "9 8 7 6 5 4 3 2 1 " * 400), (3, figures)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS + [(6, figures), (7, "1 2 3 4 5 6 7 8")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.contaminated, r.items, r.reparameterised) for r in C.flag(df, items).collect()), key=str)
+    want = [(1, False, "", False), (1, True, "1", False), (None, True, "1", True), (None, False, "", False), (2, False, "", False), (3, True, "6", False)]
+    assert got == sorted(want, key=str)

@@ -18,9 +18,13 @@ a hash and a place leave it; the benchmark's windows are broadcast while they ar
 (``MAX_BROADCAST_WINDOWS``) and joined by a shuffle beyond. Texts are read again only for the
 candidates.
 
-Null and empty texts, of documents or items, match nothing. An item shorter than a window is
-matched as one window of its own length. Rows of one id count as one document. Private-use
-characters U+E000 to U+E002 in a text are read as placeholders. Other columns are not read.
+Null and empty texts, of documents or items, match nothing. A window of placeholders only says
+nothing and is left out of an item; an item without any other window matches nothing. An item
+shorter than a window is matched as one window of its own length; one of less than ``MIN_WORDS``
+template words is no evidence inside a text and matches only documents that consist of it.
+Rows are known by their id and a hash of their text: different texts under one id and rows of a
+null id are each judged by themselves, and rows equal in both alike. Private-use characters
+U+E000 to U+E002 in a text are read as placeholders. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import cut, let, text_of
 
-WINDOW, MIN_SHARE, MAX_CLASHES = 8, 0.3, 0.25
-MAX_BROADCAST_WINDOWS, MAX_BROADCAST_IDS = 500_000, 500_000
+WINDOW, MIN_SHARE, MAX_CLASHES, MIN_WORDS = 8, 0.3, 0.25, 4
+MAX_BROADCAST_WINDOWS = 500_000
 
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 _NUMBER = r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*"
@@ -85,10 +89,17 @@ def slots(text: Column) -> Column:
     return let(template(text), lambda words: F.filter(F.concat(*[of(words, m) for m in values]), lambda s: s.at.isNotNull() & s.value.isNotNull()))
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("tag"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, max_clashes: float = MAX_CLASHES) -> DataFrame:
-    """(doc, item, share, n_slots, n_clashes, n_changed): every document that shows an item."""
-    source = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).filter("doc IS NOT NULL")
+    """(doc, tag, item, share, n_slots, n_clashes, n_changed): every document that shows an item.
+
+    ``doc`` is the id and ``tag`` is ``xxhash64`` of the text.
+    """
+    source = docs.select(_row(id_col, text_col).alias("doc"), text_of(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item"), text_of(item_text_col).alias("text"))
     items = items.withColumn("words", template(F.col("text"))).filter("size(words) > 0")
     items = items.withColumn("span", F.least(F.size("words"), F.lit(window)))
@@ -96,25 +107,27 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if not spans:
         spans = [window]
     by_span = F.coalesce(*[F.when(F.col("span") == n, windows(F.col("words"), n)) for n in spans])
-    wanted = cut(items.select("item", "span", F.posexplode(by_span).alias("item_at", "h")))
+    wanted = items.select("item", "span", "words", F.posexplode(by_span).alias("item_at", "h"))
+    marks = [NUMBER, NAME, UNIT]
+    wanted = cut(wanted.filter(F.exists(F.slice("words", F.col("item_at") + 1, F.col("span")), lambda w: ~w.isin(marks))).drop("words"))
     totals = wanted.groupBy("item").agg(F.count("*").alias("total"), F.first("span").alias("span"))
 
-    made = source.select("doc", template(F.col("text")).alias("words"))
-    lengths = [made.select("doc", F.posexplode(windows(F.col("words"), n)).alias("at", "h")) for n in spans]
-    made = reduce(DataFrame.unionByName, lengths)  # items shorter than a window add a length each
+    def shown(words: Column, n: int) -> Column:
+        found = F.transform(windows(words, n), lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+        return F.when(F.size(words) == n, found).otherwise(F.slice(found, 1, 0)) if n < min(MIN_WORDS, window) else found
+
+    made = source.select("doc", F.inline(let(template(F.col("text")), lambda words: F.concat(*[shown(words, n) for n in spans]))))
     few = wanted.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS
-    hits = cut(made.join(F.broadcast(wanted) if few else wanted, "h").select("doc", "item", "item_at", "at", "span"))
+    hits = cut(made.join(F.broadcast(wanted) if few else wanted, "h").select("doc", "item", "item_at", "at", "span").distinct())
     share = F.count_distinct("item_at") / F.first("total")
     candidates = cut(
         hits.drop("span").join(totals, "item").groupBy("doc", "item").agg(share.alias("share"), F.first("span").alias("span")).filter(F.col("share") >= min_share)
     )
     # slots under the matched windows
-    ids = candidates.select("doc").distinct()
-    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    texts = source.join(F.broadcast(ids) if small else ids, "doc", "left_semi").dropDuplicates(["doc", "text"])
+    texts = source.join(candidates.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
     doc_slots = texts.select("doc", F.inline(slots(F.col("text"))).alias("doc_at", "kind", "doc_value"))
     item_slots = items.join(candidates.select("item").distinct(), "item", "left_semi").select("item", F.inline(slots(F.col("text"))).alias("at_item", "kind", "item_value"))
-    placed = _occurrences(hits.drop("span").distinct().join(candidates.select("doc", "item", "span"), ["doc", "item"]))
+    placed = _occurrences(hits.drop("span").join(candidates.select("doc", "item", "span"), ["doc", "item"]))
     by_place = ["doc", "item", "place"]
     shown = placed.join(totals.select("item", "total"), "item").groupBy(by_place).agg(share.alias("shown")).filter((F.col("shown") >= min_share) | (F.col("place.by") == "all"))
     faced = (
@@ -134,7 +147,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # the occurrence of fewest clashes stands for the document; a change in any kept one counts
     best = F.min_by(F.struct("n_slots", "n_clashes"), F.struct(F.col("n_clashes") / F.greatest("n_slots", F.lit(1)), -F.col("shown"), -F.col("n_slots")))
     kept = judged.groupBy("doc", "item").agg(best.alias("best"), F.max("n_changed").alias("n_changed"))
-    return candidates.select("doc", "item", "share").join(kept, ["doc", "item"]).select("doc", "item", "share", "best.n_slots", "best.n_clashes", "n_changed")
+    return candidates.select("doc", "item", "share").join(kept, ["doc", "item"]).select("doc.id", "doc.tag", "item", "share", "best.n_slots", "best.n_clashes", "n_changed").withColumnRenamed("id", "doc")
 
 
 def _occurrences(hits: DataFrame) -> DataFrame:
@@ -149,18 +162,18 @@ def _occurrences(hits: DataFrame) -> DataFrame:
     return hits.join(runs, ["doc", "item", "at"]).withColumn("place", F.explode(places))
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """One row per document id of ``docs``: whether it shows items, how many, which (sorted, comma
+def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """One row per row of ``docs``: id, whether it shows items, how many, which (sorted, comma
     between) and whether any of their values was changed."""
-    found = find(docs, benchmark, id_col, **more)
-    by_doc = found.groupBy("doc").agg(
+    found = find(docs, benchmark, id_col, text_col, **more)
+    by_doc = found.groupBy(F.struct(F.col("doc").alias("id"), "tag").alias("hit")).agg(
         F.count("*").alias("n_items"),
         F.array_join(F.array_sort(F.collect_list("item")).cast("array<string>"), ",").alias("items"),  # at most the benchmark
         (F.max("n_changed") > 0).alias("reparameterised"),
     )
-    ids = docs.select(F.col(id_col).alias("__doc"))
-    return ids.join(by_doc, F.col("__doc") == F.col("doc"), "left").select(
-        F.col("__doc").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"),
+    rows = docs.select(_row(id_col, text_col).alias("row"))
+    return rows.join(by_doc, F.col("row") == F.col("hit"), "left").select(
+        F.col("row.id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.lit("")).alias("items"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
