@@ -72,3 +72,21 @@ def test_memory_of_pieces_is_bounded(spark, library, monkeypatch):
         memory.place.update(zip(new, range(len(memory.place), len(memory.place) + len(new))))
         assert all(w in memory.place for w in words)
     assert [int(x) for a in enc.encode_pieces([b" tokenization"]) for x in a] == library.encode_ordinary(" tokenization")
+
+
+def test_wide_rows_are_linked(library):
+    enc = bpe.RankEncoder(RANKS, P.PATTERN)
+    rng = random.Random(6)
+    pieces = ["a" * 3000, "ab" * 5000, "the" * 100 + "x" * 40, "é" * 300, "=" * 129]
+    pieces += ["".join(rng.choice("abcdeing st") for _ in range(rng.randint(120, 9000))).replace(" ", "t") for _ in range(12)]
+    rank = library._mergeable_ranks
+    for piece, ids in zip(pieces, enc.encode_pieces([p.encode() for p in pieces])):
+        want = library._core_bpe.encode_single_piece(piece.encode()) if piece.encode() not in rank else [rank[piece.encode()]]
+        assert ids.tolist() == want, piece[:40]
+
+
+def test_memory_of_characters_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 10)
+    memory = bpe._Pieces()
+    memory.place.update({p: 0 for p in memory.miss(["x" * 50])})
+    assert memory.miss(["y"]) == ["y"] and not memory.place

@@ -8,8 +8,9 @@ or one text, whichever is longer, and not the batch.
 Encoding (2) gathers the distinct pieces of a slice into matrices, one per length bucket,
 padded with -1. In each round every row merges its leftmost pair of minimum rank, finished
 rows leave the matrix (compaction), and the rank of a pair comes from an open-addressing hash
-table held in two arrays. A piece of over ``LONG_PIECE`` bytes would need as many rounds as it
-has merges; such a piece takes a heap instead, with the same order of merges.
+table held in arrays. In matrices wider than ``WIDE`` a row is not closed up after a merge: its
+symbols are linked, and the least rank of each block of a row is kept, so that a round costs a
+block of the row and not the whole of it.
 
 Counting (5) keeps the pieces of a slice as one ragged array and merges in every sequence all
 places of its lowest-rank pair at once. That is the library's result because a pair which a
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,8 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters worked on at once, pieces remembered, and bytes from which a piece takes a heap.
-SLICE_CHARS, CACHE_PIECES, LONG_PIECE = 1 << 20, 200_000, 2048
+#: Characters worked on at once, pieces and their characters remembered, and bytes from which rows are linked.
+SLICE_CHARS, CACHE_PIECES, CACHE_CHARS, WIDE = 1 << 20, 200_000, 1 << 22, 128
 
 _NONE = np.iinfo(np.int64).max
 
@@ -114,15 +114,14 @@ class RankEncoder:
         for k, piece in enumerate(pieces):
             if (rank := self.ranks.get(piece)) is not None:
                 out[k] = np.array([rank], np.int64)
-            elif len(piece) > LONG_PIECE:
-                out[k] = self._by_heap(piece)
             else:
                 n = len(piece)
                 buckets.setdefault(n if n <= 16 else 1 << (n - 1).bit_length(), []).append(k)
         for width, members in buckets.items():
             step = max(1, (1 << 20) // width)
             for lo in range(0, len(members), step):
-                self._by_matrix(pieces, members[lo : lo + step], width, out)
+                merge = self._by_linked_rows if width > WIDE else self._by_matrix
+                merge(pieces, members[lo : lo + step], width, out)
         return out  # type: ignore[return-value]
 
     def _by_matrix(self, pieces: list[bytes], members: list[int], width: int, out: list) -> None:
@@ -157,31 +156,43 @@ class RankEncoder:
             b = best[has]
             ranks[has, b - 1], merged[has, b - 1] = self.pairs.find(ids[has, b - 1], ids[has, b])
 
-    def _by_heap(self, piece: bytes) -> np.ndarray:
-        """As the matrix, for one very long piece: its leftmost minimum-rank pair, again and again."""
-        part: list[bytes | None] = [bytes([b]) for b in piece]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def push(i: int) -> None:
-            if i >= 0 and after[i] < len(part):
-                both = part[i] + part[after[i]]
-                if (r := self.ranks.get(both)) is not None:
-                    heapq.heappush(heap, (r, i, both))
-
-        for i in range(len(part)):
-            push(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            if part[i] is None or after[i] >= len(part) or part[i] + part[after[i]] != both:
-                continue
-            j = after[i]
-            part[i], part[j], after[i] = both, None, after[j]
-            if after[j] < len(part):
-                before[after[j]] = i
-            push(i)
-            push(before[i])
-        return np.array([self.ranks[x] for x in part if x is not None], np.int64)
+    def _by_linked_rows(self, pieces: list[bytes], members: list[int], width: int, out: list) -> None:
+        """As ``_by_matrix``, for wide rows; a merged symbol's place holds -1."""
+        block = 1 << (width.bit_length() // 2)
+        ids = np.full((len(members), width + 1), -1, np.int64)
+        for row, k in enumerate(members):
+            ids[row, : len(pieces[k])] = self.of_byte[np.frombuffer(pieces[k], np.uint8)]
+        after = np.tile(np.arange(1, width + 2, dtype=np.int32), (len(members), 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int32), (len(members), 1))
+        ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])[0].reshape(len(members), width // block, block)
+        least = ranks.min(axis=2)
+        rows = np.arange(len(members))
+        while len(rows):
+            held = least[rows]
+            where = held.argmin(axis=1)  # the first of equal ranks: leftmost
+            low = held[np.arange(len(rows)), where]
+            live = low != _NONE
+            if not live.all():  # compaction: finished rows leave
+                for r in rows[~live]:
+                    out[members[r]] = ids[r][ids[r] >= 0]
+                rows, where, low = rows[live], where[live], low[live]
+                if not len(rows):
+                    break
+            at = where * block + (ranks[rows, where] == low[:, None]).argmax(axis=1)
+            right = after[rows, at]
+            ids[rows, at] = self.pairs.find(ids[rows, at], ids[rows, right])[1]
+            ids[rows, right] = -1
+            ranks[rows, right // block, right % block] = _NONE
+            beyond = after[rows, right]
+            after[rows, at] = beyond
+            before[rows, beyond] = at
+            ranks[rows, where, at % block] = self.pairs.find(ids[rows, at], ids[rows, beyond])[0]
+            left = before[rows, at]
+            has = left >= 0
+            r, left = rows[has], left[has]
+            ranks[r, left // block, left % block] = self.pairs.find(ids[r, left], ids[r, at[has]])[0]
+            for k, b in ((rows, where), (rows, right // block), (r, left // block)):
+                least[k, b] = ranks[k, b].min(axis=1)
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.token_at[ids + 1] - self.token_at[ids]
@@ -296,11 +307,16 @@ class _Pieces:
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
 
     def miss(self, wanted: list[str]) -> list[str]:
-        if len(self.place) > CACHE_PIECES:
+        """The pieces to be computed, which the caller then puts into ``place``; this may forget all others."""
+        if len(self.place) > CACHE_PIECES or self.chars > CACHE_CHARS:
             self.place.clear()
-        return [p for p in dict.fromkeys(wanted) if p not in self.place]
+            self.chars = 0
+        new = [p for p in dict.fromkeys(wanted) if p not in self.place]
+        self.chars += sum(map(len, new))
+        return new
 
     def look_up(self, wanted: list[str]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
