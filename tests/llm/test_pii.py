@@ -70,6 +70,32 @@ def test_method_adds_spans(spark):
         assert [x for x, _ in kinds] == [s.split(":")[0] for s in v.split(",") if s], (k, kinds)
 
 
+def test_recall_and_precision_of_the_method(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice("the of market river walks under seven bright stones chapter version page".split())
+    noise = lambda: " ".join(word() for _ in range(rng.randint(5, 40)))
+    data = [
+        lambda: f"user{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.org", lambda: f"please call {rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} today",
+        lambda: f"reach me at joe{rng.randint(1, 99)} (at) mail (dot) com", lambda: f"dear Mr. {rng.choice(['Peter', 'Hans', 'Paul'])} {rng.choice(['Miller', 'Braun'])}",
+        lambda: "password = \"" + "".join(rng.choice("abcdef0123456789") for _ in range(32)) + "\"", lambda: f"server 10.{rng.randint(0, 255)}.3.{rng.randint(1, 254)}",
+    ]
+    rows = [(k, f"{noise()} {data[k % 6]() if k % 2 == 0 else ''} {noise()}" if k % 4 < 2 else f"{noise()} {data[k % 6]() if k % 2 else ''} {noise()}") for k in range(400)]
+    holds = {k: (k % 2 == 0) == (k % 4 < 2) for k, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] > 0 for r in pii.spans(docs, pii.fit(docs)).select("doc_id", F.size("pii.spans")).collect()}
+    recall = sum(got[k] for k in got if holds[k]) / sum(holds.values())
+    clean = sum(not got[k] for k in got if not holds[k]) / sum(not h for h in holds.values())
+    assert recall >= 0.95 and clean >= 0.95, (recall, clean)
+
+
+def test_many_spans_in_one_text(spark):
+    text = "".join(f"mail a{k}@b.co or jo{k} (at) x (dot) com. " for k in range(4000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = pii.Model(bias={0: 5.0})
+    r = pii.spans(docs, model).select(F.size("pii.base"), F.size("pii.spans")).first()
+    assert tuple(r) == (4000, 8000)
+
+
 def test_em_finds_the_reliable_labelers():
     rng = random.Random(1)
     truth_rate, right = 0.6, dict(zip(pii.LABELERS, (0.95, 0.9, 0.85, 0.8, 0.55, 0.5)))

@@ -15,7 +15,8 @@ no user function, no join, no shuffle but that of the pattern counts.
 
 A null text counts as empty: no spans. Positions are code points, the end exclusive. Rows are
 answered one by one, so repeated ids and rows each get their own answer; other columns stay.
-Pattern loops are possessive, so a text of one endless run of digits costs linear time.
+Pattern loops are possessive, so a text of one endless run of digits costs linear time; the
+context of a span is cut where it is found, and overlaps are looked for in blocks of spans.
 """
 
 from __future__ import annotations
@@ -93,19 +94,26 @@ def _running(values: Column) -> Column:
     )
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,m:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,m:string,before:string,after:string>>"
+_NEAR = 24
 
 
 def _matches(text: Column, kind: str, pattern: str, guard: str) -> Column:
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), F.lit(1), F.size(found))
-        both = F.zip_with(gaps, found, lambda g, m: g + F.length(m))
-        return F.zip_with(
-            _running(both), found,
-            lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), e.alias("end"), m.alias("m")),
-        )
-
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    def placed(t: Column) -> Column:
+        sizes = F.zip_with(F.slice(t.gaps, F.lit(1), F.size(t.found)), t.found, lambda g, m: F.length(g) + F.length(m))
+
+        def span(end: Column, i: Column) -> Column:
+            m = F.get(t.found, i)
+            before = F.concat(F.coalesce(F.get(t.found, i - 1), F.lit("")), F.right(F.get(t.gaps, i), F.lit(_NEAR)))
+            return F.struct(
+                (end - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), m.alias("m"),
+                F.lower(F.right(before, F.lit(_NEAR))).alias("before"), F.left(F.get(t.gaps, i + 1), F.lit(1)).alias("after"),
+            )
+
+        return F.transform(_running(sizes), span)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    found = let(both, lambda t: F.when(F.size(t.found) > 0, placed(t)).otherwise(F.array().cast(_SPAN)))
     return F.when(text.rlike(guard), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -155,11 +163,13 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def votes(span: Column, text: Column) -> Column:
-    """The labelers' votes and two shape buckets of a span, as a struct of small integers."""
-    m, kind = span.m, span.kind
-    before = F.lower(F.substring(text, F.greatest(span.start - 24, F.lit(0)) + 1, F.least(span.start, F.lit(24))))
-    after = F.substring(text, span.end + 1, F.lit(1))
+def votes(span: Column) -> Column:
+    """The labelers' votes and two shape buckets of a span, as a struct of small integers.
+
+    Its context was cut where it was found: what stands before it back to the end of the match
+    but one (``_NEAR`` code points at most), and the code point after it.
+    """
+    m, kind, before, after = span.m, span.kind, span.before, span.after
     zero = F.lit(0)
     digit_share = let(F.length(_digits(m)) / F.greatest(F.length(m), F.lit(1)), lambda s: F.when(s < 0.1, 0).when(s < 0.7, 1).otherwise(2))
     shape = _by_kind(kind, {
@@ -255,8 +265,8 @@ def train(table: list[dict], post: list[float], rounds: int = 300, rate: float =
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The classifier, from the votes on all spans of all documents."""
     text = text_of(text_col)
-    spans = docs.select(text.alias("text")).select("text", F.explode(F.concat(base_spans(F.col("text")), wider_spans(F.col("text")))).alias("s"))
-    patterns = spans.select(votes(F.col("s"), F.col("text")).alias("v")).select("v.*")
+    spans = docs.select(F.explode(F.concat(base_spans(text), wider_spans(text))).alias("s"))
+    patterns = spans.select(votes(F.col("s")).alias("v")).select("v.*")
     counted = patterns.groupBy(*patterns.columns).agg(F.count("*").alias("n"))
     table = [r.asDict() for r in counted.collect()]  # at most kinds x votes x buckets rows
     table.sort(key=lambda r: sorted(r.items()))
@@ -274,14 +284,31 @@ def spans(docs: DataFrame, model: Model, text_col: str = "text", out: str = "pii
     span overlaps.
     """
     text = text_of(text_col)
-    found = docs.withColumn(out, F.struct(base_spans(text).alias("base"), wider_spans(text).alias("wider")))
-    base, wider = F.col(out).base, F.col(out).wider
-    more = F.filter(
-        wider,
-        lambda s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)) & (model.score(votes(s, text)) >= threshold),
-    )
-    more = F.when(F.size(wider) > 0, more).otherwise(wider)
-    return found.withColumn(out, F.struct(F.array_sort(base).alias("base"), F.array_sort(F.array_distinct(F.concat(base, more))).alias("spans")))
+    bare = lambda xs: F.transform(xs, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"), s.m.alias("m")))
+    found = F.struct(F.array_sort(bare(base_spans(text))).alias("base"), wider_spans(text).alias("wider"))
+    found = let(found, lambda t: F.struct(t.base.alias("base"), t.wider.alias("wider"), F.when(F.size(t.wider) > 0, _blocks(t.base)).alias("blocks")))
+
+    def accepted(t: Column) -> Column:
+        more = F.filter(t.wider, lambda s: ~_overlaps(s, t.blocks) & (model.score(votes(s)) >= threshold))
+        both = F.when(F.size(t.wider) > 0, F.array_sort(F.array_distinct(F.concat(t.base, bare(more))))).otherwise(t.base)
+        return F.struct(t.base.alias("base"), both.alias("spans"))
+
+    return docs.withColumn(out, let(found, accepted))
+
+
+def _blocks(spans: Column) -> Column:
+    """Sorted spans in blocks, with the first start and the last end of each."""
+    size = 128
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / size).cast("int")), lambda b: F.slice(spans, b * size + 1, size))
+    return F.transform(F.filter(cut, lambda xs: F.size(xs) > 0), lambda xs: F.struct(
+        F.get(xs, F.lit(0)).start.alias("lo"), F.array_max(F.transform(xs, lambda s: s.end)).alias("hi"), xs.alias("xs")
+    ))
+
+
+def _overlaps(span: Column, blocks: Column) -> Column:
+    """Whether any span of the blocks overlaps; only blocks that reach it are looked into."""
+    meets = lambda b: (b.start < span.end) & (span.start < b.end)
+    return F.exists(blocks, lambda k: F.when((k.lo < span.end) & (span.start < k.hi), F.exists(k.xs, meets)).otherwise(F.lit(False)))
 
 
 def listed(found: Column) -> Column:
