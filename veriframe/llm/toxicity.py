@@ -109,6 +109,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     ).filter(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text of an id, or the sample had no bound
     spot = F.pmod(F.xxhash64("id", F.lit("split")), F.lit(10))
     return rows.withColumn("part", F.when(spot < 4, "lexicon").when(spot < 8, "trees").otherwise("calibration"))
 
@@ -149,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _calibrated(p: Column, model: Model) -> Column:
-    """The isotonic step function, linear between its bounds; its plateaus keep the order of ``p``."""
+    """The isotonic function, linear between its bounds, and a five-hundredth of ``p`` itself, so
+    that its plateaus keep the order of ``p``."""
     bounds, levels = model.bounds, model.levels
     out = F.lit(levels[-1])
     for k in range(len(bounds) - 1, 0, -1):
