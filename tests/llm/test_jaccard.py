@@ -55,9 +55,7 @@ def make_rows():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_against_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", limit)
+def test_against_brute_force(spark):
     rows = make_rows()
     docs = spark.createDataFrame([(d, t, 1, "n") for d, t in rows], "doc_id long, text string, nodes int, class_id string").repartition(3)
     found = jaccard.join(docs)
@@ -78,6 +76,60 @@ def test_odd_rows(spark):
     assert jaccard.join(docs.limit(0)).membership.count() == 0
 
 
+def test_texts_of_one_id_and_null_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:k] + ["z"] + base[k + 1 :]) for k in (10, 30)]
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, " ".join(base)), (1, other), (7, near[0]), (None, near[1]), (None, near[1]), (None, other + " end"), (9, None)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).membership.collect()
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies, r.first) for r in found), key=str)
+    first = {(r.doc_id, r.text_id) for r in found if r.first}
+    want = [(1, 1, 2, 0), (1, 1, 1, 0), (7, 1, 1, 0), (None, 1, 1, 1), (None, 1, 1, 1), (None, 1, 1, 0), (9, 9, 0, 0)]
+    assert sorted((g[:4] for g in got), key=str) == sorted(want, key=str)
+    assert first == {(1, 1), (9, 9)} and sum(r.first for r in found) == 3  # two classes, and the empty text
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(100)] for _ in range(40)]
+
+    def spoiled(x, n):
+        x = list(x)
+        for k in range(n):
+            x[5 + 10 * k] = f"q{rng.randint(0, 99999)}"
+        return " ".join(x)
+
+    def levels(n):
+        rows = [(k, " ".join(x)) for k, x in enumerate(base)] + [(100 + k, spoiled(x, n)) for k, x in enumerate(base)]
+        return jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).levels
+
+    assert levels(1) == [6]  # links of 0.90: the longest prefixes find nearly all
+    assert levels(2)[:2] == [6, 5]  # links of 0.81
+    assert levels(9) == [6, 5, 4]  # no link: down to the shortest
+
+
+def test_recall_of_links_on_documents(spark):
+    """All links of a real table, by an inverted index of shingles."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    first, holders, want = {}, {}, set()
+    for d, t in sorted(docs):
+        first.setdefault(" ".join((t or "").split()), d)
+    sets = {d: {hash(g) for g in shingles(t)} for t, d in first.items() if t}
+    for d, x in sets.items():
+        for g in x:
+            holders.setdefault(g, []).append(d)
+    for d, x in sets.items():
+        shared = {}
+        for g in x:
+            for e in holders[g]:
+                shared[e] = shared.get(e, 0) + 1
+        want |= {(max(d, e), min(d, e)) for e, n in shared.items() if e != d and n >= 0.8 * len(x | sets[e])}
+    got = {(r.a, r.b) for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).links.collect()}
+    recall = len(want & got) / max(1, len(want))
+    print(f"recall of links: {recall:.4f} of {len(want)}")
+    assert len(want) > 50 and recall >= 0.9 and got <= want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2100)]

@@ -33,11 +33,13 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset (tests, one
-    machine) a temporary folder is made and set.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, a session on one
+    machine gets a temporary folder; on a cluster that would be another folder on every machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,18 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint: computed once, its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-#: Ids that are broadcast to take rows out; beyond, a shuffle does it.
-MAX_BROADCAST_IDS = 500_000
-
-
-def pick_out(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids``."""
-    ids = cut(ids)
-    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, id_col, "left_anti")

@@ -34,6 +34,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[pii.count(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii").spans).alias("spans"),
+        (F.size(F.col("pii").spans) > 0).alias("has_personal_data"),
     )
 
 
@@ -43,7 +44,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).membership
+    return jaccard.join(table(spark, sf_dir, "documents")).membership.drop("tag", "first")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
