@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame that is written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``, a rewritten text with its ``n_chars``. Rows whose id
-is null have no place in a filter by id: the near-duplicate and decontamination stages keep them.
+last return the columns of ``documents``, a rewritten text with its ``n_chars``. Rows are known by
+their id and a hash of their text, so that different texts under one id, or under none, are each
+judged by themselves.
 """
 
 from __future__ import annotations
@@ -13,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.llm import bpe, contamination, jaccard, lines, quality
-from veriframe.llm.common import pick_out, shared_dir, table
+from veriframe.llm.common import shared_dir, table
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows (doc_id, tag)."""
+    rows = rows.distinct().select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (jaccard.tag_of(F.col("text")) == F.col("__tag"))
+    return docs.join(rows, same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +39,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of the smallest id."""
+    """One document of each class stays, that of the smallest id; a null id comes last."""
     found = jaccard.join(docs).membership
-    return pick_out(docs, found.filter("doc_id <> class_id").select("doc_id"), "doc_id")
+    return _without(docs, found.filter("NOT first").select("doc_id", "tag"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that show a benchmark item go."""
     found = contamination.find(docs, table(spark, sf_dir, "benchmark"))
-    return pick_out(docs, found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")
+    return _without(docs, found.select(F.col("doc").alias("doc_id"), "tag"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
