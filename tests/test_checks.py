@@ -55,13 +55,38 @@ def test_absence(spark):
     assert run(around, claim(channels=["y"])) == "inconclusive" and run(around, claim(channels=["x"])) == "pass"
 
 
-def test_sender_and_time(spark):
+TIMED = CLAIM + ", min_s long, max_s long"
+
+
+def test_sender_of_words(spark):
     claims = spark.createDataFrame([claim()], CLAIM)
-    sender = lambda *rows: checks.sender_of_words(claims, spark.createDataFrame(list(rows), REC)).first().outcome
+    sender = lambda *rows, of=claims: checks.sender_check(of, spark.createDataFrame(list(rows), REC)).first().outcome
     assert sender(rec("m")) == "pass" and sender(rec("m", sender=3)) == "fail" and sender(rec("m"), rec("n", sender=3)) == "inconclusive"
     assert sender(rec("m", forwarded=True)) == "inconclusive" and sender(rec("m", text="z")) == "inconclusive"
-    time = lambda *rows: checks.time_of_words(claims, spark.createDataFrame(list(rows), REC)).first().outcome
+    assert sender(rec("m", sender=None)) == "inconclusive" and sender(rec("m", locator="x/Embedded[1]")) == "inconclusive"
+    # the message holds the words; it need not be them, and quote marks and spaces may differ
+    said = spark.createDataFrame([claim(quote="I'm on  my way")], CLAIM)
+    assert sender(rec("m", text="ok, I’m on my way!"), of=said) == "pass" and sender(rec("m", text="I'm on my ways"), of=said) == "inconclusive"
+    assert sender(rec("m", text="i'm on my way"), of=said) == "inconclusive"  # case is kept
+    # only the stated channel counts
+    assert sender(rec("m", sender=3), rec("n", app="y"), of=spark.createDataFrame([claim(channels=["y"])], CLAIM)) == "pass"
+
+
+def test_time_of_words_and_calls(spark):
+    def time(*rows, quote="t", a=(), b=(), channels=(), seconds=(None, None)):
+        of = (1, "s", list(a), list(b), 0, 100, 1, "eq", False, False, list(channels), quote, *seconds)
+        return checks.time_check(spark.createDataFrame([of], TIMED), spark.createDataFrame(list(rows), REC)).first().outcome
+
     assert time(rec("m", us=100)) == "pass" and time(rec("m", us=101)) == "fail" and time(rec("m", us=101), rec("n", us=None)) == "inconclusive"
+    assert time(rec("m", us=101, text="not t at all")) == "fail" and time(rec("m", us=101, text="tt")) == "inconclusive"
+    assert time(rec("m", us=5, sender=7), rec("n", us=500), a=[1], b=[2]) == "fail"  # of other parties
+    call = lambda i, **k: rec(i, kind="call", text=None, **k)
+    parties = {"quote": None, "a": [1], "b": [2]}
+    assert time(call("c", us=100), **parties) == "pass" and time(call("c", us=101), **parties) == "inconclusive"  # a call never fails
+    assert time(call("c", us=50, sender=2, to=1), **parties) == "pass" and time(call("c", us=50, to=9), **parties) == "inconclusive"
+    assert time(call("c", us=50, duration=30), seconds=(20, 40), **parties) == "pass" and time(call("c", us=50), seconds=(20, 40), **parties) == "inconclusive"
+    assert time(call("c", us=50, app="y"), channels=["call", "Y"], **parties) == "pass" and time(call("c", us=50), channels=["call", "y"], **parties) == "inconclusive"
+    assert time(call("c", us=50), channels=["call"], **parties) == "pass"
 
 
 def test_twins_count_all_pairs(spark):

@@ -1,23 +1,24 @@
 """Hash chains against a plain loop, with one long log among short ones."""
 
 import hashlib
+import json
 
 from veriframe.operators import integrity as G
 
 
 def test_chain_of_a_long_log(spark):
     long_log = 60_000  # quadratic in the log if its entries are folded in one row
-    rows = [(1, k, f"p{k}") for k in range(long_log)] + [(2, 5, "b"), (2, 1, "a"), (2, 9, None), (3, 1, "ü|"), (None, 1, "x")]
-    entries = spark.createDataFrame(rows, "user long, o long, p string").repartition(5)
-    chain = G.build_chain(entries, "user", "o", "p")
-    assert chain.columns == ["user", "pos", "payload", "prev_hash", "hash"]
-    got = {(r.user, r.pos): (r.payload, r.prev_hash, r.hash) for r in chain.collect()}
+    rows = [(1, k, f"p{k}") for k in range(long_log)] + [(2, 5, "b"), (2, 1, "a"), (2, 9, None), (3, 1, 'ü|"\\\n'), (None, 1, "x")]
+    entries = spark.createDataFrame([(u, o, "at", "me", "do", p) for u, o, p in rows], "user long, o long, at string, actor string, action string, payload string").repartition(5)
+    chain = G.build_chain(entries, "user", "o")
+    assert chain.columns == ["user", "seq", "at", "actor", "action", "payload", "prev_hash", "hash"]
+    got = {(r.user, r.seq): (r.payload, r.prev_hash, r.hash) for r in chain.collect()}
     assert len(got) == len(rows)
     for user in (1, 2, 3, None):
-        prev = G.GENESIS
-        for pos, (_, _, p) in enumerate(sorted((r for r in rows if r[0] == user), key=lambda r: r[1])):
-            h = hashlib.sha256("|".join([prev, p] if p is not None else [prev]).encode()).hexdigest()
-            assert got[user, pos] == (p, prev, h)
+        prev = ""
+        for seq, (_, _, p) in enumerate(sorted((r for r in rows if r[0] == user), key=lambda r: r[1]), 1):
+            h = hashlib.sha256(json.dumps([prev, "at", "me", "do", p or ""], ensure_ascii=False).encode()).hexdigest()
+            assert got[user, seq] == (p or "", prev, h)
             prev = h
     breaks = {r.user: (r.n, r.first_break) for r in G.first_break(chain, "user").filter("user IS NOT NULL").collect()}
     assert breaks == {1: (long_log, None), 2: (3, None), 3: (1, None)}

@@ -33,3 +33,34 @@ def test_apostrophes_lose_no_match(spark):
                 want.add((q, b, "folded"))
     assert {tuple(r) for r in found.select("quote_id", "id", "method").collect()} == want
     assert {(1, 1, "folded"), (1, 3, "folded"), (2, 2, "exact"), (2, 4, "exact"), (3, 1, "folded"), (4, 4, "folded"), (9, 8, "folded")} <= want
+
+
+def test_near_miss_is_the_sequence_ratio(spark):
+    from veriframe.functions.text import near_miss
+
+    rows = [("Dominion", "it was Dominant.", True), ("It's been deleted", "it’s been trashed", True), ("Done. It's been deleted.", "see http://x.example/abc", False), ("meet me at noon", "we could MEET me  at moon then", True), ("", "x", False), (None, "x", False), ("x", None, False)]
+    df = spark.createDataFrame(rows, "q string, t string, want boolean")
+    assert all(r.got == r.want for r in df.withColumn("got", near_miss("q", "t")).collect())
+
+
+def test_keyword_score_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["a", "an", "the", "there", "therefore", "cat", "cats", "house", "household", "o'clock"]
+    bodies = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(99, None)]
+    queries = [(k, [rng.choice(words) if rng.random() < 0.7 else f"{rng.choice(words)} {rng.choice(words)[:3]}" for _ in range(rng.randint(1, 5))]) for k in range(25)]
+
+    def hit(t, body):
+        toks = body.split()
+        return t in body if " " in t else any(w.startswith(t) for w in toks) if len(t) >= 4 else t in toks
+
+    want = {}
+    for q, terms in queries:
+        scored = sorted((-round(sum(hit(t, b) for t in terms) / len(terms), 6), i) for i, b in bodies if b)
+        want[q] = [(i, -s) for s, i in scored if s < 0][:3]
+    found = Q.keyword_score(spark.createDataFrame(queries, "query_id long, terms array<string>"), spark.createDataFrame(bodies, "id long, body string"), 3).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert got == {q: x for q, x in want.items() if x}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veriframe.functions.predicates import channel_ok, in_window
 from veriframe.functions.text import tokens
 from veriframe.operators.checks import between_parties
+from veriframe.operators.timeline import counts_between, window_edges
 
 MOST = 6
 
@@ -50,13 +51,12 @@ def other_app(claims: DataFrame, records: DataFrame) -> DataFrame:
 def app_quiet(claims: DataFrame, records: DataFrame) -> DataFrame:
     """(claim_id, app, last_before, first_after, n_others): apps of the claim's source without any
     record in the window while others have some, with the records at its edges."""
-    terms = claims.select("claim_id", "source_id", "lo", "hi")
-    timed = records.filter("us IS NOT NULL").select("source_id", "app", "us", "id")
-    inside = in_window(F.col("us"), F.col("lo"), F.col("hi"))
-    by_app = terms.join(timed, "source_id").groupBy("claim_id", "app").agg(
-        F.count_if(inside).alias("n"), F.max_by("id", F.when(F.col("us") < F.col("lo"), F.struct("us", "id"))).alias("last_before"),
-        F.min_by("id", F.when(F.col("us") > F.col("hi"), F.struct("us", "id"))).alias("first_after"),
-    )
+    apps = records.filter("us IS NOT NULL").select("source_id", "app").distinct()
+    asked = claims.select("claim_id", "source_id", "lo", "hi").join(apps, "source_id")
+    asked = asked.withColumn("window_id", F.xxhash64("claim_id", "app"))
+    n = counts_between(asked, records, ["source_id", "app"]).select("window_id", "n")
+    edges = window_edges(asked, records, ["source_id", "app"]).select("window_id", F.col("before_id").alias("last_before"), F.col("after_id").alias("first_after"))
+    by_app = asked.join(n, "window_id", "left").fillna(0, ["n"]).join(edges, "window_id")
     others = F.sum("n").over(Window.partitionBy("claim_id"))
     return by_app.withColumn("n_others", others).filter("n = 0 AND n_others > 0").select("claim_id", "app", "last_before", "first_after", "n_others")
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.predicates import channel_ok, embedded_copy, in_window, opposite_sides
+from veriframe.operators.quotes import messages_with
 
 PASS, FAIL, INCONCLUSIVE = "pass", "fail", "inconclusive"
 #: Two rows of one call from two databases fall this close together (seconds).
@@ -133,29 +134,55 @@ def absence(claims: DataFrame, records: DataFrame, sources: DataFrame) -> DataFr
     return all_.select("claim_id", "n_found", unplaced.alias("n_unplaced"), n_gaps.cast("long").alias("n_gaps"), outcome.alias("outcome"))
 
 
-def time_of_words(claims: DataFrame, records: DataFrame) -> DataFrame:
-    """Messages of the quoted words: one inside the window passes; all timed and all outside fails."""
-    terms = claims.select("claim_id", "lo", "hi", F.col("quote").alias("text"))
-    rows = terms.join(records.filter("kind = 'message'").select("text", "us", "id"), "text", "left")
-    there = F.col("id").isNotNull()
-    inside = in_window(F.col("us"), F.col("lo"), F.col("hi"))
-    found = rows.groupBy("claim_id").agg(
-        F.count_if(inside).alias("n_inside"), F.count_if(there & F.col("us").isNotNull() & ~inside).alias("n_outside"), F.count_if(there & F.col("us").isNull()).alias("n_unknown")
-    )
-    outcome = F.when(F.col("n_inside") > 0, PASS).when((F.col("n_outside") > 0) & (F.col("n_unknown") == 0), FAIL).otherwise(INCONCLUSIVE)
-    return found.withColumn("outcome", outcome)
-
-
-def sender_of_words(claims: DataFrame, records: DataFrame) -> DataFrame:
-    """Who sent the quoted words: every copy from the party passes, none of them fails, a mix or
-    a forwarded copy is open."""
-    terms = claims.select("claim_id", "a", "source_id", F.col("quote").alias("text"))
-    kept = records.filter((F.col("kind") == "message") & ~embedded_copy(F.col("locator"))).select("text", "source_id", "sender", "forwarded", "id")
-    rows = terms.join(kept, ["text", "source_id"], "left")
-    there = F.col("id").isNotNull()
-    unknown = there & (F.col("forwarded") | F.col("sender").isNull())
-    good = there & ~unknown & F.array_contains("a", F.col("sender"))
-    found = rows.groupBy("claim_id").agg(F.count_if(good).alias("n_good"), F.count_if(there & ~unknown & ~good).alias("n_bad"), F.count_if(unknown).alias("n_unknown"))
+def quoted_messages(claims: DataFrame, records: DataFrame) -> DataFrame:
+    """Each claim's messages that hold its quoted words (``quotes.messages_with``) on its channels.
+
+    Claims of equal words are looked up once. Embedded copies stay in: what rests on one is open."""
+    asked = claims.filter("quote IS NOT NULL").select(F.xxhash64("quote").alias("quote_id"), "quote").dropDuplicates(["quote"])
+    bodies = records.filter("kind = 'message' AND text IS NOT NULL").select("id", F.col("text").alias("body"))
+    found = messages_with(asked, bodies).join(asked, "quote_id").drop("quote_id")
+    rows = claims.withColumnRenamed("source_id", "on_source").join(found, "quote").join(records, "id")
+    return rows.filter(channel_ok(F.col("kind"), F.col("app"), F.col("channels")))
+
+
+def involves_all(sender: Column, recipients: Column, a: Column, b: Column) -> Column:
+    """Of two parties one sends to the other; a single party is on the record; none admits all."""
+    on = F.array_compact(F.concat(F.array(sender), recipients))
+    return F.when(F.size(b) > 0, opposite_sides(sender, recipients, a, b)).when(F.size(a) > 0, F.arrays_overlap(on, a)).otherwise(True)
+
+
+def time_check(claims: DataFrame, records: DataFrame) -> DataFrame:
+    """A record inside the window passes. Messages picked by their words fail if all are timed and
+    outside; calls are picked by their parties, so one outside may be another call and never fails.
+
+    claims: claim_id, quote (null: calls), a, b (accounts of the parties, empty: none), lo, hi,
+    channels, min_s and max_s (a call's length, null: any). A call named with an app beside "call"
+    is on that app; one without a recorded length meets no stated length.
+    """
+    keys = ["claim_id", "us", "lo", "hi", "id"]
+    spoken = quoted_messages(claims, records).filter(involves_all(F.col("sender"), F.col("recipients"), F.col("a"), F.col("b"))).select(*keys)
+    calls = records.filter("kind = 'call'").withColumn("account", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("sender"), "recipients")))))
+    sides = claims.filter("quote IS NULL").withColumn("account", F.explode(F.array_distinct(F.concat("a", "b")))).drop("source_id")
+    held = sides.join(calls, "account").filter(channel_ok(F.col("kind"), F.col("app"), F.col("channels")) & involves_all(F.col("sender"), F.col("recipients"), F.col("a"), F.col("b")))
+    apps = F.array_remove(F.transform("channels", lambda c: F.lower(F.trim(c))), "call")
+    held = held.filter((F.size(apps) == 0) | F.array_contains(apps, F.lower(F.trim("app"))))
+    long_enough = F.col("min_s").isNull() | F.coalesce(F.col("duration_s").between(F.col("min_s"), F.col("max_s")), F.lit(False))
+    rows = spoken.unionByName(held.filter(long_enough).select(*keys).distinct())
+    inside, timed = in_window(F.col("us"), F.col("lo"), F.col("hi")), F.col("us").isNotNull()
+    found = rows.groupBy("claim_id").agg(F.count_if(inside).alias("n_inside"), F.count_if(timed & ~inside).alias("n_outside"), F.count_if(~timed).alias("n_unknown"))
+    all_ = claims.select("claim_id", F.col("quote").isNotNull().alias("by_text")).join(found, "claim_id", "left").fillna(0, ["n_inside", "n_outside", "n_unknown"])
+    outcome = F.when(F.col("n_inside") > 0, PASS).when((F.col("n_outside") > 0) & (F.col("n_unknown") == 0) & F.col("by_text"), FAIL).otherwise(INCONCLUSIVE)
+    return all_.select("claim_id", "n_inside", "n_outside", "n_unknown", outcome.alias("outcome"))
+
+
+def sender_check(claims: DataFrame, records: DataFrame) -> DataFrame:
+    """Who sent the quoted words: every message that holds them from the party's accounts passes,
+    none of them fails; a mix, a forwarded or embedded copy or an unknown sender is open."""
+    rows = quoted_messages(claims, records).filter(F.col("source_id") == F.col("on_source"))
+    unknown = F.col("forwarded") | embedded_copy(F.col("locator")) | F.col("sender").isNull()
+    good = ~unknown & F.array_contains("a", F.col("sender"))
+    found = rows.groupBy("claim_id").agg(F.count_if(good).alias("n_good"), F.count_if(~unknown & ~good).alias("n_bad"), F.count_if(unknown).alias("n_unknown"))
+    found = claims.select("claim_id").join(found, "claim_id", "left").fillna(0, ["n_good", "n_bad", "n_unknown"])
     g, b, u = F.col("n_good") > 0, F.col("n_bad") > 0, F.col("n_unknown") > 0
     return found.withColumn("outcome", F.when(g & ~b & ~u, PASS).when(b & ~g & ~u, FAIL).otherwise(INCONCLUSIVE))
 

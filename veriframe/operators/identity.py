@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Apps whose identifiers are telephone numbers, and those read without case.
-TELEPHONE, CASELESS = ("sms", "mms", "phone", "imessage", "rcs"), ("instagram", "email", "mail")
+TELEPHONE, CASELESS = ("sms", "mms", "phone", "call", "calls", "imessage", "rcs"), ("instagram", "email")
 
 
 def account_key(app: Column, identifier: Column) -> Column:
-    """Namespace and normalised identifier, as one string."""
+    """Namespace and normalised identifier, as one string. Identifiers are taken as composed
+    (``functions.text.nfc``)."""
     a, i = F.lower(F.trim(app)), F.trim(identifier)
     return (
         F.when(a.isin(*TELEPHONE), F.concat(F.lit("tel:"), F.regexp_replace(i, r"[\s().\-]", "")))
@@ -62,34 +63,47 @@ def contact_entry(claims: DataFrame, contacts: DataFrame) -> DataFrame:
     return found.withColumn("outcome", F.when(F.col("n") > 0, "pass").otherwise("inconclusive"))
 
 
+LEVELS = ("full", "name", "surname", "first", "short")
+#: Letters of a short form; fewer are too little to mean a longer name.
+SHORT_MIN = 3
+
+
+def name_words(name: Column) -> Column:
+    """Runs of two letters or more in lower case; a designation keeps its number (subject-2)."""
+    words = F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+(?:-[0-9]+(?![\p{L}\p{N}_-]))?)"), F.lit(1))
+    return F.filter(words, lambda w: F.length(w) >= 2)
+
+
 def name_level(person: Column, seen: Column) -> Column:
-    """How much of a person's name a seen name shows: full, name (first and last), surname, first,
-    short (a beginning of the first), or null. Both are lower-case word arrays."""
-    first, last = F.element_at(person, 1), F.element_at(person, -1)
+    """How much of a person's name a seen name shows: full (all words of two or more), name (the
+    one word), surname, first, short (one of the first name and a seen word begins the other), or
+    null. Both are arrays of ``name_words``; a seen name may hold other words too."""
+    first, last, several = F.element_at(person, 1), F.element_at(person, -1), F.size(person) > 1
     has = lambda w: F.array_contains(seen, w)
-    strangers = F.size(F.array_except(seen, person)) > 0
-    short = F.exists(seen, lambda w: (F.length(w) >= 2) & first.startswith(w))
-    return (
-        F.when((F.size(person) == 0) | (F.size(seen) == 0), None)
-        .when(~strangers & (F.size(F.array_except(person, seen)) == 0), "full")
-        .when(has(first) & has(last) & (F.size(person) > 1), "name")
-        .when(has(last) & (F.size(person) > 1), "surname")
-        .when(has(first), "first")
-        .when(short, "short")
+    begins = lambda w: (w != first) & (F.least(F.length(w), F.length(first)) >= SHORT_MIN) & (w.startswith(first) | first.startswith(w))
+    level = (
+        F.when(several & (F.size(F.array_except(person, seen)) == 0), "full").when(~several & has(first), "name")
+        .when(several & has(last), "surname").when(several & has(first), "first").when(F.exists(seen, begins), "short")
     )
+    return F.when(F.size(person) > 0, level)
 
 
 def name_candidates(persons: DataFrame, seen: DataFrame) -> DataFrame:
-    """(person_id, account, level): persons and seen names that share a word's first two letters
-    (an equi-join; every level needs that), with the level between them."""
-    words = lambda c: F.filter(F.split(F.lower(F.trim(c)), r"[^\p{L}]+"), lambda w: w != "")
-    heads = lambda c: F.explode(F.array_distinct(F.transform(c, lambda w: F.left(w, F.lit(2)))))
-    p = persons.withColumn("pw", words(F.col("name"))).withColumn("head", heads(F.col("pw")))
-    s = seen.withColumn("sw", words(F.col("seen_name"))).withColumn("head", heads(F.col("sw")))
-    both = p.select("person_id", "pw", "head").join(s.select("account", "sw", "head"), "head").select("person_id", "pw", "account", "sw").distinct()
-    return both.withColumn("level", name_level(F.col("pw"), F.col("sw"))).filter("level IS NOT NULL").groupBy("person_id", "account").agg(
-        F.min_by("level", F.array_position(F.array(*map(F.lit, ("full", "name", "surname", "first", "short"))), F.col("level"))).alias("level")
-    )
+    """(name, seen_name, level, n_persons, n_accounts): persons' names and names seen on accounts
+    that show some level of each other.
+
+    Names are paired once however many persons and accounts bear them, by an equi-join: they share
+    a word, or the first ``SHORT_MIN`` letters of the first name with a word.
+    """
+    word = lambda w: F.concat(F.lit("w:"), w)
+    head = lambda w: F.concat(F.lit("h:"), F.left(w, F.lit(SHORT_MIN)))
+    long = lambda ws: F.filter(ws, lambda w: F.length(w) >= SHORT_MIN)
+    p = persons.groupBy("name").agg(F.count_distinct("person_id").alias("n_persons")).withColumn("pw", name_words(F.col("name")))
+    s = seen.groupBy("seen_name").agg(F.count_distinct("account").alias("n_accounts")).withColumn("sw", name_words(F.col("seen_name")))
+    p = p.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("pw", word), F.transform(long(F.slice("pw", 1, 1)), head)))))
+    s = s.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("sw", word), F.transform(long(F.col("sw")), head)))))
+    both = p.join(s, "key").select("name", "seen_name", "n_persons", "n_accounts", name_level(F.col("pw"), F.col("sw")).alias("level"))
+    return both.filter("level IS NOT NULL").distinct()
 
 
 def proposal_diff(stored: DataFrame, proposed: DataFrame) -> DataFrame:

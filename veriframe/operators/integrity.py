@@ -7,54 +7,116 @@ equi-join on (log, position), so logs of any length spread over all tasks.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
+#: What the first entry of a log follows.
+GENESIS = ""
+FIELDS = ("at", "actor", "action", "payload")
+
+
+def _json_text(c: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(F.coalesce(c, F.lit("")))), r"^\[|\]$", "")
 
 
 def entry_hash(prev: Column, *fields: Column) -> Column:
-    return F.sha2(F.concat_ws("|", prev, *fields), 256)
+    """SHA-256 over the JSON array of the hash before and the entry's fields, so that the bounds
+    of the fields are part of it. A null field is an empty one."""
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[_json_text(c) for c in (prev, *fields)]), F.lit("]")), 256)
 
 
-def build_chain(entries: DataFrame, log: str, order: str, payload: str) -> DataFrame:
-    """(log, pos, payload, prev_hash, hash) of each log, in order of ``order``, then ``payload``.
+def build_chain(entries: DataFrame, log: str, order: str) -> DataFrame:
+    """(log, seq, at, actor, action, payload, prev_hash, hash) of each log, in order of ``order``,
+    then the fields; ``seq`` counts from 1. ``entries`` holds the four ``FIELDS`` as text.
 
     Each hash needs the one before it, so a log is one sorted pass of one task; only the last hash
     is carried, so a log of any length takes the same memory."""
     spark = entries.sparkSession
-    rows = entries.select(F.col(log).alias("log"), F.col(order).alias("o"), F.col(payload).cast("string").alias("payload"))
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "log").sortWithinPartitions("log", "o", "payload")
+    rows = entries.select(F.col(log).alias("log"), F.col(order).alias("o"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS])
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "log").sortWithinPartitions("log", "o", *FIELDS)
     kind = entries.schema[log].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pos, prev = object(), 0, GENESIS
+        now, seq, prev = object(), 0, GENESIS
         for batch in batches:
             places, before, hashes = [], [], []
-            for key, text in zip(batch.column("log").to_pylist(), batch.column("payload").to_pylist()):
+            for key, *fields in zip(*[batch.column(c).to_pylist() for c in ("log", *FIELDS)]):
                 if key != now:
-                    now, pos, prev = key, 0, GENESIS
-                places.append(pos)
+                    now, seq, prev = key, 0, GENESIS
+                seq += 1
+                places.append(seq)
                 before.append(prev)
-                prev = hashlib.sha256((prev if text is None else f"{prev}|{text}").encode("utf-8")).hexdigest()  # as entry_hash
+                prev = hashlib.sha256(json.dumps([prev, *fields], ensure_ascii=False).encode("utf-8")).hexdigest()  # as entry_hash
                 hashes.append(prev)
-                pos += 1
-            columns = [batch.column("log"), pa.array(places, pa.int32()), batch.column("payload"), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["log", "pos", "payload", "prev_hash", "hash"])
+            columns = [batch.column("log"), pa.array(places, pa.int32()), *[batch.column(c) for c in FIELDS], pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["log", "seq", *FIELDS, "prev_hash", "hash"])
 
-    chain = rows.select("log", "payload").mapInArrow(run, f"log {kind}, pos int, payload string, prev_hash string, hash string")
+    chain = rows.select("log", *FIELDS).mapInArrow(run, f"log {kind}, seq int, " + "".join(f"{c} string, " for c in FIELDS) + "prev_hash string, hash string")
     return chain.withColumnRenamed("log", log)
 
 
+def withhold(chain: DataFrame, condition: Column) -> DataFrame:
+    """The chain with the fields of some entries left out; their hashes stay and link on."""
+    return chain.withColumns({c: F.when(~condition, F.col(c)) for c in FIELDS})
+
+
 def first_break(chain: DataFrame, log: str) -> DataFrame:
-    """(log, n, first_break): the first position whose hash or whose link is wrong, null if none."""
-    before = chain.select(log, (F.col("pos") + 1).alias("pos"), F.col("hash").alias("last_hash"))
-    j = chain.join(before, [log, "pos"], "left")
-    wrong = (entry_hash(F.col("prev_hash"), F.col("payload")) != F.col("hash")) | (F.col("prev_hash") != F.coalesce("last_hash", F.lit(GENESIS)))
-    return j.groupBy(log).agg(F.count("*").alias("n"), F.min(F.when(wrong, F.col("pos"))).alias("first_break"))
+    """(log, n, n_withheld, first_break): the first place whose hash, link or number is wrong, null
+    if none. An entry whose fields are all null is withheld: its hash cannot be made again, but
+    its links hold."""
+    before = chain.select(log, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("last_hash"))
+    j = chain.join(before, [log, "seq"], "left")
+    withheld = F.coalesce(*FIELDS).isNull()
+    linked = F.col("prev_hash") == F.coalesce("last_hash", F.when(F.col("seq") == 1, GENESIS))
+    made = withheld | (entry_hash(F.col("prev_hash"), *map(F.col, FIELDS)) == F.col("hash"))
+    wrong = ~F.coalesce(linked & made, F.lit(False))
+    return j.groupBy(log).agg(F.count("*").alias("n"), F.count_if(withheld).alias("n_withheld"), F.min(F.when(wrong, F.col("seq"))).alias("first_break"))
+
+
+def heads(chain: DataFrame, log: str) -> DataFrame:
+    """(log, n, head): the last hash of each log, which stands for all of it."""
+    return chain.groupBy(log).agg(F.count("*").alias("n"), F.max_by("hash", "seq").alias("head"))
+
+
+def lost_anchors(anchors: DataFrame, chain: DataFrame, log: str) -> DataFrame:
+    """Recorded (log, seq, hash) that the log does not hold any more."""
+    return anchors.select(log, "seq", "hash").join(chain.select(log, "seq", "hash"), [log, "seq", "hash"], "left_anti")
+
+
+def status_at(events: DataFrame, key: str, value: str, seq: str, position: DataFrame) -> DataFrame:
+    """As-of: the value of each key's last event at or before a log position.
+
+    events: run, key, value, seq; position: run, position. A key without an event by then has none.
+    """
+    seen = events.join(position, "run").filter(F.col(seq) <= F.col("position"))
+    return seen.groupBy("run", key).agg(F.max_by(value, seq).alias(value))
+
+
+def changed_since(rows: DataFrame, digests: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows' digest is not the recorded one, with what happened: changed, gone, new."""
+    j = rows.select(key, F.col("digest").alias("now")).join(digests.select(key, F.col("digest").alias("then")), key, "full")
+    what = F.when(F.col("now").isNull(), "gone").when(F.col("then").isNull(), "new").when(F.col("now") != F.col("then"), "changed")
+    return j.select(key, what.alias("change")).filter("change IS NOT NULL")
+
+
+def compare_decisions(stored: DataFrame, derived: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, problem): decisions that, made again from their inputs, come out otherwise."""
+    a = stored.select(key, *[F.col(f).alias(f"s_{f}") for f in fields], F.lit(True).alias("in_s"))
+    b = derived.select(key, *[F.col(f).alias(f"d_{f}") for f in fields], F.lit(True).alias("in_d"))
+    j = a.join(b, key, "full")
+    first = F.coalesce(*[F.when(~F.col(f"s_{f}").eqNullSafe(F.col(f"d_{f}")), f"{f}_differs") for f in fields])
+    problem = F.when(F.col("in_d").isNull(), "not_derived").when(F.col("in_s").isNull(), "not_stored").otherwise(first)
+    return j.select(key, problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def export_plan(rows: DataFrame, scope: DataFrame, key: str, digest: Column) -> DataFrame:
+    """Every row as it leaves: ``shipped`` with its scope, or withheld as its digest only."""
+    marked = rows.join(scope.select(key).distinct().withColumn("shipped", F.lit(True)), key, "left")
+    return marked.withColumn("shipped", F.coalesce("shipped", F.lit(False))).withColumn("stub", F.when(~F.col("shipped"), digest))
 
 
 def reconcile(logged: DataFrame, stored: DataFrame, key: str, value: str) -> DataFrame:

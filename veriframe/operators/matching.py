@@ -135,11 +135,13 @@ def same_identifier(left: DataFrame, right: DataFrame) -> DataFrame:
     return keyed(left, "id").join(keyed(right, "id_r"), ["app", "form"]).select("id", "id_r").filter("id <> id_r").distinct()
 
 
-def related_threads(members: DataFrame, other_source_needs: int = 2) -> DataFrame:
-    """(thread, other, n_shared): threads that share a participant; on another source at least
-    ``other_source_needs``. ``members``: thread_id, source_id, account."""
+def related_threads(members: DataFrame, asked: DataFrame, other_source_needs: int = 2) -> DataFrame:
+    """(thread, other, n_shared): for each asked thread those that share a participant; on another
+    source at least ``other_source_needs``. ``members``: thread_id, source_id, account; ``asked``:
+    thread_id. Rows grow with the asked threads times the threads of their accounts; Spark splits
+    an account of many threads."""
     m = members.distinct()
-    a = m.select(F.col("thread_id").alias("thread"), F.col("source_id").alias("s1"), "account")
+    a = m.join(asked.select("thread_id").distinct(), "thread_id", "left_semi").select(F.col("thread_id").alias("thread"), F.col("source_id").alias("s1"), "account")
     b = m.select(F.col("thread_id").alias("other"), F.col("source_id").alias("s2"), "account")
     pairs = a.join(b, "account").filter("thread <> other").groupBy("thread", "other", "s1", "s2").agg(F.count("*").alias("n_shared"))
     return pairs.filter((F.col("s1") == F.col("s2")) | (F.col("n_shared") >= other_source_needs)).select("thread", "other", "n_shared")

@@ -55,35 +55,52 @@ def same_words(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
     return found.filter(words_only(F.col("body")).contains(words_only(F.col("quote")))).select("quote_id", "id")
 
 
+def messages_with(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(quote_id, id): bodies that hold the quote word-aligned, as it stands but for the form of
+    quote marks and the width of spaces."""
+    held = contains_aligned(quote_fold(F.col("body")), quote_fold(F.trim("quote")))
+    return _anchored(quotes, bodies).filter(held).select("quote_id", "id")
+
+
 def keyword_score(queries: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     """The ``k`` bodies of each query that match most of its terms (share, 6 places half-even).
 
-    queries: query_id, terms; bodies: id, body. A body is a candidate if it shares the first
-    letters of some term, found by an equi-join; a tie goes to the smaller id.
+    queries: query_id, terms; bodies: id, body; a tie goes to the smaller id. A term of four letters
+    or more begins a word: both meet by the first four. A shorter one is a whole word. Of a phrase
+    the last word begins a word of the body; only bodies that hold that are searched for it.
     """
-    head = lambda c: F.left(c, F.lit(3))
-    words = bodies.select("id", F.explode(F.array_distinct(F.transform(tokens(F.col("body")), head))).alias("head"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", lambda t: head(F.lower(t))))).alias("head"))
-    hits = asked.join(words, "head").select("query_id", "id").distinct()
-    both = hits.join(queries, "query_id").join(bodies, "id")
-    toks, folded = tokens(F.col("body")), F.lower("body")
-    matched = F.size(F.filter("terms", lambda t: term_matches(F.lower(t), toks, folded)))
-    scored = both.select("query_id", "id", F.bround(matched / F.size("terms"), 6).alias("score")).filter("score > 0")
+    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.posexplode(F.transform("terms", lambda t: F.lower(t))).alias("no", "term"))
+    words = bodies.select("id", F.explode(F.array_distinct(tokens(F.col("body")))).alias("word"))
+    keys = ["query_id", "no", "n_terms", "id"]
+    phrase, long = F.instr("term", " ") > 0, F.length("term") >= 4
+    head = lambda c, n=4: F.left(F.col(c), F.lit(n))
+    whole = asked.filter(~phrase & ~long).join(words, F.col("term") == F.col("word")).select(*keys)
+    begun = asked.filter(~phrase & long).withColumn("head", head("term")).join(words.filter(F.length("word") >= 4).withColumn("head", head("word")), "head")
+    begun = begun.filter(F.col("word").startswith(F.col("term"))).select(*keys)
+    last = F.left(F.element_at(tokens(F.col("term")), -1), F.lit(4))
+    phrases = asked.filter(phrase).withColumn("head", last).filter("head IS NOT NULL")
+    heads = words.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("word"))), lambda n: F.left("word", n)))).alias("head")).distinct()
+    met = phrases.join(heads, "head").join(bodies, "id")
+    met = met.filter(F.lower("body").contains(F.col("term"))).select(*keys)
+    found = whole.unionByName(begun).unionByName(met).groupBy("query_id", "id", "n_terms").agg(F.count_distinct("no").alias("n"))
+    scored = found.select("query_id", "id", F.bround(F.col("n") / F.col("n_terms"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def retrieve(queries: DataFrame, records: DataFrame, k: int, edge_share: int = 2) -> DataFrame:
-    """The records of each query in rank order: tier (both parties, one, none), share of terms,
-    untimed last, time, id. The nearest record before and after the window keep seats of their own.
+    """The records of each query in rank order: tier (accounts of two sides, or of one), share of
+    terms, untimed last, time, id. The nearest record before and after the window keep seats of their own.
 
-    queries: query_id, accounts, terms, lo, hi. records: id, sender, recipients, us, text.
+    queries: query_id, sides (arrays of accounts), terms, lo, hi. records: id, sender, recipients,
+    us, text. Two sides are touched only by two different accounts.
     """
     parties = F.array_compact(F.array_distinct(F.concat(F.array("sender"), "recipients")))
-    asked = queries.select("query_id", F.explode("accounts").alias("account"))
-    hit = asked.join(records.select("id", F.explode(parties).alias("account")), "account").groupBy("query_id", "id").agg(F.count("*").alias("touched"))
+    asked = queries.select("query_id", F.posexplode("sides").alias("side", "accounts")).select("query_id", "side", F.explode(F.array_distinct("accounts")).alias("account"))
+    hit = asked.join(records.select("id", F.explode(parties).alias("account")), "account")
+    hit = hit.groupBy("query_id", "id").agg(F.count_distinct("side").alias("n_sides"), F.count_distinct("account").alias("touched"))
     rows = hit.join(queries, "query_id").join(records, "id")
-    tier = F.when(F.col("touched") >= 2, 2).otherwise(1)
+    tier = F.when((F.col("n_sides") >= 2) & (F.col("touched") >= 2), 2).otherwise(1)
     toks = tokens(F.coalesce("text", F.lit("")))
     share = F.bround(F.size(F.filter("terms", lambda t: term_matches(F.lower(t), toks, F.lower(F.coalesce("text", F.lit("")))))) / F.greatest(F.size("terms"), F.lit(1)), 6)
     inside = F.coalesce(F.col("us").between(F.col("lo"), F.col("hi")), F.lit(False))

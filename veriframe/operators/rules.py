@@ -4,15 +4,18 @@ The rules run as two aggregations (by assumption, then by claim) and one ordered
 nothing is collected, and a claim without assumptions keeps its row.
 
 Inputs: claims (claim_id, claim_type); assumptions (assumption_id, claim_id, kind, is_core,
-count_op, owner_unconfirmed); evidence (evidence_id, assumption_id, stance, status, tier);
-checks (check_id, assumption_id, outcome, n_records).
+count_op, owner_unconfirmed, agent_proposed); evidence (evidence_id, assumption_id, stance, status, tier);
+checks (check_id, assumption_id, outcome, n_records, confirmed).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.operators.timeline import natural_key
+from veriframe.session import shared_path
+
 # The assumption kind each claim type must test, and the types that code checks alone may carry.
 REQUIRED_KIND = {
     "communication": "identity", "content_meaning": "meaning", "identity": "identity", "absence": "completeness", "count": "completeness", "timing": "time",
@@ -39,8 +42,11 @@ def by_assumption(assumptions: DataFrame, evidence: DataFrame, checks: DataFrame
         F.count_if(says("supports") & (F.col("status") == "accepted") & (F.col("tier") == "observed")).alias("n_expert_supports"),
         F.count_if(citable & (F.col("status") == "accepted")).alias("n_expert"), F.count_if(citable & (F.col("status") == "counsel_accepted")).alias("n_counsel"),
     )
+    # a failed check of an assumption that an agent proposed counts once an expert confirmed it
+    checks = checks.join(assumptions.select("assumption_id", "agent_proposed"), "assumption_id", "left")
+    waits = F.coalesce(F.col("agent_proposed") & ~F.col("confirmed"), F.lit(False))
     ck = checks.groupBy("assumption_id").agg(
-        F.count("*").alias("n_checks"), F.count_if(F.col("outcome") == "fail").alias("n_failed"), F.count_if(F.col("outcome") == "pass").alias("n_passed"),
+        F.count("*").alias("n_checks"), F.count_if((F.col("outcome") == "fail") & ~waits).alias("n_failed"), F.count_if((F.col("outcome") == "fail") & waits).alias("n_awaiting"), F.count_if(F.col("outcome") == "pass").alias("n_passed"),
         F.count_if((F.col("outcome") == "pass") & (F.col("n_records") > 0)).alias("n_passed_with_records"),
     )
     found = assumptions.join(ev, "assumption_id", "left").join(ck, "assumption_id", "left").fillna(0)
@@ -62,8 +68,8 @@ def verdicts(claims: DataFrame, assumptions: DataFrame, evidence: DataFrame, che
     f = f.join(claims, "claim_id").withColumn("right_kind", F.coalesce(F.col("kind") == F.element_at(need, F.col("claim_type")), F.lit(False)))
     n = lambda c: F.sum(F.when(core, F.col(c)).otherwise(0)).cast("long")
     agg = f.groupBy("claim_id").agg(
-        F.count_if(core).alias("n_core"), n("n_failed").alias("failed"), n("n_against").alias("against"), n("n_unconfirmed").alias("open"),
-        F.sum(F.when(~core, F.col("n_failed") + F.col("n_against") + F.col("n_unconfirmed")).otherwise(0)).cast("long").alias("other"),
+        F.count_if(core).alias("n_core"), n("n_failed").alias("failed"), n("n_against").alias("against"), n("n_unconfirmed").alias("open"), n("n_awaiting").alias("awaiting"),
+        F.sum(F.when(~core, F.col("n_failed") + F.col("n_awaiting") + F.col("n_against") + F.col("n_unconfirmed")).otherwise(0)).cast("long").alias("other"),
         F.sum("n_complicating").cast("long").alias("complicating"), n("n_supports").alias("supports"), n("n_expert_supports").alias("expert"),
         F.count_if(core & F.col("covered").isNull()).alias("uncovered"), F.count_if(core & (F.col("covered") == "derived")).alias("derived"),
         F.count_if(core & (F.col("covered") == "counsel_reviewed")).alias("counsel_covered"), n("n_passed_with_records").alias("with_records"),
@@ -76,7 +82,7 @@ def verdicts(claims: DataFrame, assumptions: DataFrame, evidence: DataFrame, che
     against = (col("failed") > 0) | (col("against") > 0)
     blockers = F.array_compact(F.array(
         F.when(col("n_core") == 0, "3a"), F.when(col("uncovered") > 0, "2"), F.when(kind_missing, "3e"),
-        F.when((col("n_core") > 0) & (col("supports") == 0) & ~by_code, "3c"), F.when(col("other") > 0, "3d"), F.when(col("open") > 0, "1b"), F.when(col("complicating") > 0, "3d'"),
+        F.when((col("n_core") > 0) & (col("supports") == 0) & ~by_code, "3c"), F.when(col("other") > 0, "3d"), F.when(col("awaiting") > 0, "1a'"), F.when(col("open") > 0, "1b"), F.when(col("complicating") > 0, "3d'"),
     ))
     reasons = F.when(against, F.array_compact(F.array(F.when(col("failed") > 0, "1a"), F.when(col("against") > 0, "1b")))).otherwise(blockers)
     c = c.withColumn("reasons", F.array_join(reasons, ",")).withColumn("by_code", by_code)
@@ -98,8 +104,59 @@ def violations(decided: DataFrame, assumptions: DataFrame, evidence: DataFrame,
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
-def review_queue(decided: DataFrame) -> DataFrame:
-    """Claims by need: contradicted with a check, open contradictions, uncovered, the rest."""
-    r = F.col("reasons")
-    needs = [F.when(F.col("verdict") == "contradicted", 0), F.when(r.contains("1b"), 1), F.when(r.contains("3d"), 2), F.when(r.contains("2"), 4), F.when(r.contains("3c"), 5), F.lit(9)]
-    return decided.withColumn("priority", F.least(*needs)).withColumn("place", F.row_number().over(Window.orderBy("priority", "claim_id")))
+def priority() -> Column:
+    """The most urgent need of a claim's state, 0 to 8; 9 if nothing is left to do.
+
+    State columns: incomplete, audited, edited, untested, n_withheld, contradiction, n_ai_accepted,
+    n_open_support, n_open_against, decided_after, n_ai_dismissed, reviewed, verdict. Support of a
+    claim that is supported already is optional, so it comes late.
+    """
+    c = F.col
+    done = c("verdict") == "supported"
+    needs = [
+        (c("edited"), F.lit(0)), (c("untested"), F.lit(1)), (c("n_withheld") > 0, F.lit(1)), (c("contradiction"), F.lit(1)),
+        (c("n_ai_accepted") > 0, F.when(done, 5).otherwise(1)), (c("n_open_support") > 0, F.when(done, 5).otherwise(2)), (c("n_open_against") > 0, F.lit(3)),
+        (c("decided_after"), F.lit(4)), (c("n_ai_dismissed") > 0, F.lit(5)), (~c("reviewed"), F.lit(6)),
+    ]
+    return F.when(c("incomplete") | ~c("audited"), 8).otherwise(F.least(*[F.when(when, at) for when, at in needs], F.lit(9)))
+
+
+def claim_states(decided: DataFrame, assumptions: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
+    """One state for each claim: its verdict, what of its evidence waits for an expert, and its
+    ``facts`` (claim_id, edited, decided_after, incomplete, reviewed; the columns of ``priority``)."""
+    of_claim = evidence.join(assumptions.select("assumption_id", "claim_id"), "assumption_id")
+    waits = lambda stance, *status: F.count_if((F.col("stance") == stance) & F.col("status").isin(*status))
+    counted = of_claim.groupBy("claim_id").agg(
+        waits("supports", "open").alias("n_open_support"), F.count_if(F.col("stance").isin("contradicts", "complicates") & (F.col("status") == "open")).alias("n_open_against"),
+        waits("supports", "ai_accepted").alias("n_ai_accepted"), waits("supports", "ai_dismissed").alias("n_ai_dismissed"),
+        waits("contradicts", "ai_accepted").alias("n_contradictions"), F.count_if(F.col("status") == "withheld").alias("n_withheld"),
+    )
+    tested = assumptions.groupBy("claim_id").agg(F.count("*").alias("n_assumptions"))
+    numbers = ["n_open_support", "n_open_against", "n_ai_accepted", "n_ai_dismissed", "n_contradictions", "n_withheld", "n_assumptions"]
+    all_ = facts.join(decided.select("claim_id", "verdict"), "claim_id", "left").join(counted, "claim_id", "left").join(tested, "claim_id", "left").fillna(0, numbers)
+    all_ = all_.withColumns({"audited": F.col("verdict").isNotNull(), "untested": F.col("n_assumptions") == 0, "contradiction": F.col("n_contradictions") > 0})
+    return all_.withColumn("priority", priority())
+
+
+def review_queue(states: DataFrame) -> DataFrame:
+    """(claim_id, priority, place): by priority, then in the natural order of the claims' ids.
+
+    Places are counted by ranges of the order: each range is one task's, and the number of claims
+    in the ranges before is added."""
+    return numbered(states.select("claim_id", "priority"), ["priority", natural_key(F.col("claim_id").cast("string"))], "place")
+
+
+def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """``rows`` with their place in a total order, from 1, without holding them in one task."""
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    named = rows.withColumns({f"__o{k}": key for k, key in enumerate(keys)})
+    names = [f"__o{k}" for k in range(len(keys))]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.repartitionByRange(ranges, *names).sortWithinPartitions(*names).withColumn("__id", F.monotonically_increasing_id())
+    path = shared_path(rows.sparkSession)
+    dealt.write.parquet(path)  # the numbers hold for this dealing only
+    dealt = rows.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__id", 33)).withColumn("__no", F.col("__id").bitwiseAND((1 << 33) - 1))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # as many rows as ranges
+    base = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__base", base).drop("__n")
+    return dealt.join(F.broadcast(sizes), "__range").withColumn(out, F.col("__base") + F.col("__no") + 1).select(*rows.columns, out)

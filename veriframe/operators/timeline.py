@@ -88,15 +88,16 @@ def quiet_stretches(records: DataFrame, gap_hours: float = 72, min_expected: flo
 
 def widest(gaps: DataFrame) -> DataFrame:
     """Without the gaps that a gap of a wider scope of the same source (and app) covers."""
-    rank = lambda c: F.array_position(F.array(*map(F.lit, SCOPES)), c)
-    wide = gaps.filter("scope <> 'thread'").select(
-        F.col("source_id").alias("w_source"), rank(F.col("scope")).alias("w_rank"), F.col("app_key").alias("w_app"), F.col("start_us").alias("w_start"), F.col("end_us").alias("w_end")
-    )
-    covered = (
-        (F.col("source_id") == F.col("w_source")) & (F.col("w_rank") < rank(F.col("scope"))) & ((F.col("w_rank") == 1) | (F.col("w_app") == F.col("app_key")))
-        & (F.col("w_start") <= F.col("start_us")) & (F.col("end_us") <= F.col("w_end"))
-    )
-    return gaps.join(wide, covered, "left_anti")
+    # gaps of one series do not overlap, so the last wider gap that began by then is the only one
+    # that can cover a gap: one ordered pass over the gaps of a source, and one for each app on it
+    def cover(of: Column, *by: str) -> Column:
+        w = Window.partitionBy(*by).orderBy("start_us", of.desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return F.coalesce(F.last(F.when(of, F.col("end_us")), True).over(w) >= F.col("end_us"), F.lit(False))
+
+    phone, app = F.col("scope") == "phone", F.col("scope") == "app"
+    marked = gaps.withColumn("_phone", cover(phone, "source_id")).withColumn("_app", cover(app, "source_id", "app_key"))
+    kept = phone | (app & ~F.col("_phone")) | ((F.col("scope") == "thread") & ~F.col("_phone") & ~F.col("_app"))
+    return marked.filter(kept).drop("_phone", "_app")
 
 
 def _buckets(lo: Column, hi: Column, width: int) -> Column:
@@ -120,6 +121,18 @@ def elsewhere(gaps: DataFrame, records: DataFrame, width: int = DAY) -> DataFram
     return inner.unionByName(ends).groupBy(*keys, "other").agg(F.sum("n").alias("n"))
 
 
+def counts_between(windows: DataFrame, records: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
+    """(window_id, n): records of each window's key inside it, both ends in; windows without any
+    are left out. Whole buckets are answered from counts, only the end buckets look at records."""
+    timed = records.filter("us IS NOT NULL").select(*keys, "us", F.floor(F.col("us") / width).alias("bucket"))
+    counts = timed.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
+    w = windows.select("window_id", "lo", "hi", *keys)
+    inner = w.filter(last - first > 1).withColumn("bucket", F.explode(F.sequence(first + 1, last - 1))).join(counts, [*keys, "bucket"]).select("window_id", "n")
+    ends = w.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last)))).join(timed, [*keys, "bucket"]).filter("us BETWEEN lo AND hi")
+    return inner.unionByName(ends.select("window_id", F.lit(1).cast("long").alias("n"))).groupBy("window_id").agg(F.sum("n").alias("n"))
+
+
 def daily_strip(records: DataFrame, zone: str = "UTC", week_after: int = 120) -> DataFrame:
     """Records of each app on each source by local day, without holes; by weeks from the first
     day on where the source spans more than ``week_after`` days."""
@@ -148,34 +161,54 @@ def overlapping(stated: DataFrame, gaps: DataFrame, width: int = 7 * DAY) -> Dat
     return closed.unionByName(open_)
 
 
-def window_edges(windows: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+def window_edges(windows: DataFrame, records: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
     """As-of in both directions: the last record before each window and the first after it.
 
-    ``windows``: window_id, lo, hi and ``keys``. One sorted pass over windows and records by key
-    carries the nearest record along; nothing is joined by range.
+    ``windows``: window_id, lo, hi and ``keys``. Records and edges of one key and one time bucket
+    meet in a sorted pass; an edge without a record in its own bucket takes that of the nearest
+    bucket that has one, from one row for each bucket. So a key with a long history spreads over
+    its buckets, and nothing is joined by range.
     """
-    rid = F.struct("us", "id")
-    rec = records.filter("us IS NOT NULL").select(*keys, "us", F.lit(None).cast("long").alias("window_id"), rid.alias("r"), F.lit(0).alias("side"))
-    lo = windows.select(*keys, F.col("lo").alias("us"), F.col("window_id").cast("long"), F.lit(None).cast(rec.schema["r"].dataType).alias("r"), F.lit(-1).alias("side"))
-    hi = windows.select(*keys, F.col("hi").alias("us"), F.col("window_id").cast("long"), F.lit(None).cast(rec.schema["r"].dataType).alias("r"), F.lit(1).alias("side"))
-    w = Window.partitionBy(*keys).orderBy("us", "side", F.col("r.id"))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    marked = rec.unionByName(lo).unionByName(hi).withColumns({"before": F.last("r", True).over(back), "after": F.first("r", True).over(ahead)})
-    edges = marked.filter("window_id IS NOT NULL").groupBy("window_id").agg(
-        F.max(F.when(F.col("side") == -1, F.col("before.id"))).alias("before_id"), F.max(F.when(F.col("side") == -1, F.col("before.us"))).alias("before_us"),
-        F.max(F.when(F.col("side") == 1, F.col("after.id"))).alias("after_id"), F.max(F.when(F.col("side") == 1, F.col("after.us"))).alias("after_us"),
-    )
-    return edges
-
-
-def around(calls: DataFrame, messages: DataFrame, n: int) -> DataFrame:
-    """(call_id, id, offset): ``n`` messages before and ``n`` at or after each call of its source."""
-    m = messages.filter("us IS NOT NULL").withColumn("pos", F.row_number().over(Window.partitionBy("source_id").orderBy("us", "id")))
-    both = m.select("source_id", "us", F.lit(1).alias("side"), "id", "pos").unionByName(
-        calls.filter("us IS NOT NULL").select("source_id", "us", F.lit(0).alias("side"), "id", F.lit(None).cast("int").alias("pos"))
-    )
-    w = Window.partitionBy("source_id").orderBy("us", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    at = both.withColumn("last_pos", F.coalesce(F.max("pos").over(w), F.lit(0))).filter("side = 0")
-    asked = at.select("source_id", F.col("id").alias("call_id"), "last_pos", F.explode(F.sequence(F.lit(1 - n), F.lit(n))).alias("offset"))
-    asked = asked.withColumn("pos", F.col("last_pos") + F.col("offset"))
-    return asked.join(m.select("source_id", "pos", "id"), ["source_id", "pos"]).select("call_id", "id", "offset")
+    rec = records.filter("us IS NOT NULL").select(*keys, "us", F.floor(F.col("us") / width).alias("bucket"), F.struct("us", "id").alias("r"))
+    none = F.lit(None).cast(rec.schema["r"].dataType)
+
+    def nearest(edge: str, before: bool) -> DataFrame:
+        """(window_id, r): strictly before or after the edge."""
+        asked = windows.select(*keys, F.col(edge).alias("us"), F.floor(F.col(edge) / width).alias("bucket"), none.alias("r"), F.col("window_id").cast("long"))
+        rows = rec.withColumn("window_id", F.lit(None).cast("long")).unionByName(asked)
+        # an edge stands before the records of its own instant, seen from either side
+        order = lambda c: c.asc() if before else c.desc()
+        past = [order(F.col("us")), F.col("window_id").isNull(), order(F.col("r.id"))]
+        local = F.last("r", True).over(Window.partitionBy(*keys, "bucket").orderBy(*past).rowsBetween(Window.unboundedPreceding, 0))
+        found = rows.withColumn("local", local).filter("window_id IS NOT NULL").select("window_id", *keys, "bucket", "local")
+        best = F.max("r") if before else F.min("r")
+        ends = rec.groupBy(*keys, "bucket").agg(best.alias("r"))
+        steps = ends.unionByName(found.select(*keys, "bucket").distinct().join(ends, [*keys, "bucket"], "left_anti").withColumn("r", none))
+        w = Window.partitionBy(*keys).orderBy(order(F.col("bucket"))).rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("far", F.last("r", True).over(w)).drop("r")
+        return found.join(steps, [*keys, "bucket"]).select("window_id", F.coalesce("local", "far").alias("r"))
+
+    b = nearest("lo", True).select("window_id", F.col("r.id").alias("before_id"), F.col("r.us").alias("before_us"))
+    a = nearest("hi", False).select("window_id", F.col("r.id").alias("after_id"), F.col("r.us").alias("after_us"))
+    return b.join(a, "window_id")
+
+
+def around(calls: DataFrame, messages: DataFrame, n: int, width: int = DAY) -> DataFrame:
+    """(call_id, id, offset): ``n`` messages before and ``n`` at or after each call of its source.
+
+    A message's place on its source is its place in its time bucket and the number of messages in
+    the buckets before, so no task holds a source."""
+    bucket = F.floor(F.col("us") / width)
+    timed = messages.filter("us IS NOT NULL").select("source_id", "us", "id", bucket.alias("bucket"))
+    before = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    asked = calls.filter("us IS NOT NULL").select("source_id", "us", F.col("id").alias("call_id"), bucket.alias("bucket"))
+    sizes = timed.select("source_id", "bucket", F.lit(1).alias("n")).unionByName(asked.select("source_id", "bucket", F.lit(0).alias("n")))
+    sizes = sizes.groupBy("source_id", "bucket").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    here = Window.partitionBy("source_id", "bucket")
+    placed = timed.withColumn("no", F.row_number().over(here.orderBy("us", "id"))).join(sizes, ["source_id", "bucket"]).select("source_id", "id", "us", "bucket", "no", (F.col("base") + F.col("no")).alias("pos"))
+    both = placed.select("source_id", "bucket", "us", F.lit(1).alias("side"), "no", F.lit(None).cast(asked.schema["call_id"].dataType).alias("call_id"))
+    both = both.unionByName(asked.select("source_id", "bucket", "us", F.lit(0).alias("side"), F.lit(None).cast("int").alias("no"), "call_id"))
+    last = F.coalesce(F.max("no").over(here.orderBy("us", "side").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    at = both.withColumn("last", last).filter("side = 0").join(sizes, ["source_id", "bucket"]).select("source_id", "call_id", (F.col("base") + F.col("last")).alias("last_pos"))
+    wanted = at.select("source_id", "call_id", "last_pos", F.explode(F.sequence(F.lit(1 - n), F.lit(n))).alias("offset")).withColumn("pos", F.col("last_pos") + F.col("offset"))
+    return wanted.join(placed.select("source_id", "pos", "id"), ["source_id", "pos"]).select("call_id", "id", "offset")

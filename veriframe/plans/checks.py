@@ -27,12 +27,30 @@ def q_absence_coverage(spark, sf_dir):
     return checks.absence(adapter.claims(spark, sf_dir), r, adapter.sources(r))
 
 
+def _spoken(r):
+    """Some texts say more than the words, with other spaces and quote marks."""
+    said = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("I’m at “"), F.replace("text", F.lit(" "), F.lit("   ")), F.lit("”, ok"))).when(F.col("seq") % 5 == 1, F.concat("text", F.lit("th")))
+    return r.withColumn("text", F.coalesce(said, F.col("text")))
+
+
+def _asked(spark, sf_dir):
+    """Claims of words, with or without parties, and claims of calls."""
+    u = F.col("claim_id")
+    quote = F.when(u % 4 == 3, None).when(u % 4 == 1, F.replace("quote", F.lit("note"), F.lit("note "))).otherwise(F.col("quote"))
+    none = F.array().cast("array<bigint>")
+    party = lambda c: F.when((u % 4 == 3) | (u % 6 == 0), F.col(c)).otherwise(none)
+    return adapter.claims(spark, sf_dir).withColumns({
+        "quote": quote, "a": party("a"), "b": party("b"),
+        "min_s": F.when(u % 8 == 3, 10), "max_s": F.when(u % 8 == 3, 60),
+    })
+
+
 def q_time_check(spark, sf_dir):
-    return checks.time_of_words(adapter.claims(spark, sf_dir), adapter.records(spark, sf_dir))
+    return checks.time_check(_asked(spark, sf_dir), _spoken(adapter.records(spark, sf_dir)))
 
 
 def q_sender_check(spark, sf_dir):
-    return checks.sender_of_words(adapter.claims(spark, sf_dir), adapter.records(spark, sf_dir))
+    return checks.sender_check(adapter.claims(spark, sf_dir), _spoken(adapter.records(spark, sf_dir)))
 
 
 def q_weekday_forward(spark, sf_dir):
@@ -48,7 +66,7 @@ def _marks(r):
 
 def q_forwarded_downgrade(spark, sf_dir):
     r, claims = adapter.records(spark, sf_dir), adapter.claims(spark, sf_dir)
-    found = checks.time_of_words(claims, r)
+    found = checks.time_check(claims.withColumns({"a": F.array().cast("array<bigint>"), "b": F.array().cast("array<bigint>"), "min_s": F.lit(None).cast("int"), "max_s": F.lit(None).cast("int"), "channels": F.array().cast("array<string>")}), r)
     rests = claims.select("claim_id", F.col("quote").alias("text")).join(r.select("text", "id"), "text").select("claim_id", "id")
     return checks.downgrade_forwarded(found, rests, _marks(r))
 
@@ -57,11 +75,18 @@ QUERIES = {f.__name__: f for f in (
     q_window_count_check, q_call_count_twins, q_absence_coverage, q_time_check, q_sender_check, q_weekday_forward, q_forwarded_downgrade,
 )}
 
-_TIME = """
-t AS (SELECT claim_id, count(*) FILTER (us BETWEEN lo AND hi)::BIGINT AS n_inside, count(*) FILTER (us NOT BETWEEN lo AND hi)::BIGINT AS n_outside,
-  count(*) FILTER (id IS NOT NULL AND us IS NULL)::BIGINT AS n_unknown
-  FROM claims c LEFT JOIN (SELECT id, text, us FROM records WHERE kind = 'message') r ON c.quote = r.text GROUP BY claim_id),
-tc AS (SELECT *, CASE WHEN n_inside > 0 THEN 'pass' WHEN n_outside > 0 AND n_unknown = 0 THEN 'fail' ELSE 'inconclusive' END AS outcome FROM t)
+_FOLD = r"""regexp_replace(translate({}, '‘’“”', '''''""'), '\s+', ' ', 'g')"""
+_HOLDS = r"CASE WHEN contains(r.folded, c.folded) THEN regexp_matches(r.folded, '(^|[^\p{L}\p{N}_])' || regexp_escape(c.folded) || '($|[^\p{L}\p{N}_])') ELSE false END"
+_SPOKEN = f"""
+sp AS (SELECT * REPLACE (CASE seq % 5 WHEN 0 THEN 'I’m at “' || replace(text, ' ', '   ') || '”, ok' WHEN 1 THEN text || 'th' ELSE text END AS text) FROM records),
+sm AS (SELECT *, {_FOLD.format('text')} AS folded FROM sp WHERE kind = 'message')
+"""
+_OUTCOME = "CASE WHEN n_inside > 0 THEN 'pass' WHEN n_outside > 0 AND n_unknown = 0 AND by_text THEN 'fail' ELSE 'inconclusive' END AS outcome"
+_COUNTS = "count(*) FILTER (us BETWEEN lo AND hi)::BIGINT AS n_inside, count(*) FILTER (us NOT BETWEEN lo AND hi)::BIGINT AS n_outside, count(*) FILTER (t.claim_id IS NOT NULL AND us IS NULL)::BIGINT AS n_unknown"
+_TIME = f"""
+t AS (SELECT c.claim_id, r.us FROM claims c JOIN (SELECT text, us FROM records WHERE kind = 'message') r ON c.quote = r.text),
+tn AS (SELECT c.claim_id, true AS by_text, {_COUNTS} FROM claims c LEFT JOIN t ON t.claim_id = c.claim_id GROUP BY c.claim_id),
+tc AS (SELECT claim_id, n_inside, n_outside, n_unknown, {_OUTCOME} FROM tn)
 """
 
 ORACLES = {
@@ -102,11 +127,18 @@ j AS (SELECT c.claim_id, coalesce(n_found, 0) AS n_found, coalesce(n_untimed, 0)
       LEFT JOIN sources s ON s.source_id = c.source_id LEFT JOIN v ON v.source_id = c.source_id)
 SELECT claim_id, n_found::BIGINT AS n_found, n_unplaced::BIGINT AS n_unplaced, n_gaps::BIGINT AS n_gaps,
   CASE WHEN n_found > 0 THEN 'fail' WHEN n_unplaced = 0 AND n_gaps = 0 THEN 'pass' ELSE 'inconclusive' END AS outcome FROM j"""),
-    "q_time_check": with_views(f"+{_TIME} SELECT * FROM tc"),
-    "q_sender_check": with_views("""+
-m AS (SELECT c.claim_id, r.id, r.forwarded OR r.sender IS NULL AS unknown, r.sender = c.a AS mine FROM claims c
-      LEFT JOIN (SELECT * FROM records WHERE kind = 'message' AND NOT locator LIKE '%/Embedded[%') r ON r.text = c.quote AND r.source_id = c.source_id),
-n AS (SELECT claim_id, count(*) FILTER (NOT unknown AND mine)::BIGINT AS n_good, count(*) FILTER (NOT unknown AND NOT mine)::BIGINT AS n_bad, count(*) FILTER (unknown)::BIGINT AS n_unknown FROM m GROUP BY claim_id)
+    "q_time_check": with_views(f"""+{_SPOKEN},
+ask AS (SELECT *, CASE claim_id % 4 WHEN 3 THEN NULL WHEN 1 THEN {_FOLD.format("replace(quote, 'note', 'note ')")} ELSE quote END AS folded, claim_id % 4 = 3 OR claim_id % 6 = 0 AS party FROM claims),
+t AS (SELECT c.claim_id, r.us FROM ask c JOIN sm r ON {_HOLDS} WHERE {_CHANNEL} AND (NOT party OR {_PAIR})
+      UNION ALL SELECT c.claim_id, r.us FROM ask c JOIN sp r ON {_PAIR} WHERE c.folded IS NULL AND kind = 'call' AND {_CHANNEL}
+        AND (len(list_filter(channels, lambda x: x <> 'call')) = 0 OR list_contains(list_filter(channels, lambda x: x <> 'call'), app)) AND (c.claim_id % 8 <> 3 OR coalesce(r.duration_s BETWEEN 10 AND 60, false))),
+n AS (SELECT c.claim_id, any_value(c.folded IS NOT NULL) AS by_text, {_COUNTS} FROM ask c LEFT JOIN t ON t.claim_id = c.claim_id GROUP BY c.claim_id)
+SELECT claim_id, n_inside, n_outside, n_unknown, {_OUTCOME} FROM n"""),
+    "q_sender_check": with_views(f"""+{_SPOKEN},
+m AS (SELECT c.claim_id, r.forwarded OR r.sender IS NULL OR r.locator LIKE '%/Embedded[%' AS unknown, r.sender = c.a AS mine FROM (SELECT *, quote AS folded FROM claims) c
+      JOIN sm r ON r.source_id = c.source_id AND {_HOLDS} WHERE {_CHANNEL}),
+n AS (SELECT c.claim_id, count(*) FILTER (NOT unknown AND mine)::BIGINT AS n_good, count(*) FILTER (NOT unknown AND NOT mine)::BIGINT AS n_bad, count(*) FILTER (unknown)::BIGINT AS n_unknown
+      FROM claims c LEFT JOIN m ON m.claim_id = c.claim_id GROUP BY c.claim_id)
 SELECT *, CASE WHEN n_good > 0 AND n_bad + n_unknown = 0 THEN 'pass' WHEN n_bad > 0 AND n_good + n_unknown = 0 THEN 'fail' ELSE 'inconclusive' END AS outcome FROM n"""),
     "q_weekday_forward": with_views(f"""+
 c AS (SELECT claim_id, quote, claim_id % 7 AS weekday, DATE '2024-01-10' + (claim_id % 14)::INTEGER AS day FROM claims),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriframe.functions import fields as P
+from veriframe.functions import text as T
 from veriframe.session import table
 from veriframe.sources import adapter
 from veriframe.sources.adapter import with_views
@@ -67,14 +68,16 @@ def q_flag_events(spark, sf_dir):
 
 
 def q_near_miss_lines(spark, sf_dir):
-    """Benchmark openings that stand in a document's line but for a few letters."""
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.lower(first).alias("quote"), F.lower(F.element_at(F.split("text", r"\s+"), 1)).alias("w1"))
-    words = F.split(F.lower("text"), r"\s+")
-    runs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 3, F.lit(0))), lambda w, i: F.struct(w.alias("w1"), F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2), F.get(words, i + 3)).alias("run")))).alias("r")).select("conv_id", "turn", "r.*")
-    plain = r"^[ -~]+$"  # the SQL twin measures bytes
-    near = runs.filter(F.col("run").rlike(plain)).join(quotes.filter(F.col("quote").rlike(plain)), "w1").withColumn("d", F.levenshtein("run", "quote"))
-    return near.groupBy("item_id").agg(F.min("d").alias("least"), F.count("*").alias("n"))
+    """Benchmark openings that a conversation's turn nearly quotes. Turns that share a word of five
+    letters or more with the opening are read."""
+    opening = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
+    long = lambda c: F.array_distinct(F.filter(T.tokens(c), lambda w: F.length(w) >= 5))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", opening.alias("quote"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    asked = quotes.select("item_id", F.explode(long(F.col("quote"))).alias("word"))
+    pairs = asked.join(turns.select("conv_id", "turn", F.explode(long(F.col("text"))).alias("word")), "word").select("item_id", "conv_id", "turn").distinct()
+    read = pairs.join(quotes, "item_id").join(turns, ["conv_id", "turn"]).withColumn("near", T.near_miss("quote", "text"))
+    return read.groupBy("item_id").agg(F.count("*").alias("n_read"), F.count_if(F.col("near")).alias("n_near"))
 
 
 QUERIES = {f.__name__: f for f in (q_field_parsers, q_zone_names, q_chat_members, q_source_counts, q_cited_records, q_seeded_errors, q_digits_preserved, q_flag_events, q_near_miss_lines)}
@@ -94,9 +97,4 @@ ORACLES = {
     "q_seeded_errors": """SELECT o_orderkey AS id, ('0x' || left(sha256('s1:' || o_orderkey), 12))::UBIGINT / 281474976710656 < 0.1 AS errs, left(sha256('["' || o_orderkey || '","' || o_orderstatus || '"]'), 12) AS hash12 FROM orders""",
     "q_digits_preserved": r"SELECT event_id AS id, event_id % 4 <> 0 OR list_contains(regexp_extract_all(props, '\d+'), '7') AS same FROM events",
     "q_flag_events": "SELECT flag_id, n FROM (SELECT event_id % 3000 AS flag_id, count(*) AS n, arg_max(event_type, event_id) AS last FROM events GROUP BY 1) WHERE last <> 'error'",
-    "q_near_miss_lines": r"""
-WITH q AS (SELECT item_id, lower(array_to_string(string_split_regex(text, '\s+')[1:4], ' ')) AS quote, lower(string_split_regex(text, '\s+')[1]) AS w1 FROM benchmark),
-w AS (SELECT conv_id, turn, string_split_regex(lower(text), '\s+') AS ws FROM conversations),
-r AS (SELECT ws[i] AS w1, array_to_string(ws[i:i + 3], ' ') AS run FROM (SELECT ws, unnest(range(1, len(ws) - 2)) AS i FROM w))
-SELECT item_id, min(levenshtein(run, quote))::INTEGER AS least, count(*) AS n FROM r JOIN q USING (w1) WHERE regexp_full_match(run, '[ -~]+') AND regexp_full_match(quote, '[ -~]+') GROUP BY item_id""",
 }

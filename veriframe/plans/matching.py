@@ -61,8 +61,8 @@ def q_near_claim(spark, sf_dir):
 
 def q_bag_difference(spark, sf_dir):
     r = adapter.records(spark, sf_dir).filter("kind = 'message'")
-    side = lambda s: r.filter(F.col("source_id") == s).select("app", "text")
-    return M.bag_difference(side("item0"), side("item1"), ["app"], "text")
+    side = lambda *s: r.filter(F.col("source_id").isin(*s)).select("app", "text")
+    return M.bag_difference(side("item0", "item2"), side("item1", "item3"), ["app"], "text")
 
 
 def q_dedupe_most_copies(spark, sf_dir):
@@ -84,7 +84,8 @@ def q_identifier_join_last10(spark, sf_dir):
 
 def q_related_threads(spark, sf_dir):
     r = adapter.records(spark, sf_dir)
-    return M.related_threads(r.select("thread_id", "source_id", F.explode(F.array_compact(F.concat(F.array("sender"), "recipients"))).alias("account")))
+    members = r.select("thread_id", "source_id", F.explode(F.array_compact(F.concat(F.array("sender"), "recipients"))).alias("account"))
+    return M.related_threads(members, r.filter("seq % 20 = 0").select("thread_id"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -122,7 +123,7 @@ p AS (SELECT r.id, a.id AS anchor, abs(r.us - a.us) AS gap_us, row_number() OVER
   FROM t r JOIN t a ON a.source_id = r.source_id AND a.seq % 50 = 0 AND a.id <> r.id AND abs(r.us - a.us) <= 3600000000)
 SELECT id, anchor, gap_us FROM p WHERE rn = 1"""),
     "q_bag_difference": with_views(f"""+{_M},
-a AS (SELECT app, text, count(*) FILTER (source_id = 'item0') AS a, count(*) FILTER (source_id = 'item1') AS b FROM m WHERE source_id IN ('item0', 'item1') GROUP BY app, text)
+a AS (SELECT app, text, count(*) FILTER (source_id IN ('item0', 'item2')) AS a, count(*) FILTER (source_id IN ('item1', 'item3')) AS b FROM m GROUP BY app, text)
 SELECT app, sum(greatest(a - b, 0))::BIGINT AS only_left, sum(greatest(b - a, 0))::BIGINT AS only_right FROM a GROUP BY app"""),
     "q_dedupe_most_copies": with_views(f"""+{_M},
 n AS (SELECT app, text, source_id, row_number() OVER (PARTITION BY app, text ORDER BY count(*) DESC, min(seq)) AS rn FROM m GROUP BY app, text, source_id)
@@ -135,6 +136,6 @@ SELECT DISTINCT x.id, y.id AS id_r FROM d x JOIN d y ON x.app = y.app AND x.id <
   OR (length(x.digits) >= 7 AND x.digits = y.digits) OR (length(x.digits) >= 10 AND length(y.digits) >= 10 AND right(x.digits, 10) = right(y.digits, 10)))""",
     "q_related_threads": with_views("""+
 p AS (SELECT thread_id, source_id, sender AS account FROM records WHERE sender IS NOT NULL UNION SELECT thread_id, source_id, recipient FROM records)
-SELECT a.thread_id AS thread, b.thread_id AS other, count(*) AS n_shared FROM p a JOIN p b ON a.account = b.account AND a.thread_id <> b.thread_id
+SELECT a.thread_id AS thread, b.thread_id AS other, count(*) AS n_shared FROM p a JOIN p b ON a.account = b.account AND a.thread_id <> b.thread_id WHERE a.thread_id IN (SELECT thread_id FROM records WHERE seq % 20 = 0)
 GROUP BY a.thread_id, b.thread_id, a.source_id, b.source_id HAVING a.source_id = b.source_id OR count(*) >= 2"""),
 }

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from veriframe.operators import selection as L
-from veriframe.session import table
+from veriframe.session import shared_path, table
 from veriframe.sources import adapter, bundle
 from veriframe.sources.adapter import with_views
 from veriframe.streaming.exchanges import exchange_sessions, run_to_table
@@ -16,12 +13,6 @@ from veriframe.streaming.exchanges import exchange_sessions, run_to_table
 GAP_S = 2 * 86_400
 
 
-def _folder(spark) -> str:
-    """A new path in the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _picks(r):
     return r.filter("seq % 25 = 0").select("id"), r.filter("seq % 10 = 0").select("id")
 
@@ -38,7 +29,7 @@ def q_passage_layout(spark, sf_dir):
 
 def q_bundle_round_trip(spark, sf_dir):
     tables = {name: table(spark, sf_dir, name) for name in ("customer", "supplier", "part")}
-    path = _folder(spark)
+    path = shared_path(spark)
     bundle.write(tables, path)
     return bundle.verify(spark, path, {name: df.schema for name, df in tables.items()})
 
@@ -48,8 +39,8 @@ def q_exchange_stream(spark, sf_dir):
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a glob, so that a single file will do
     rows = stream.select(F.concat_ws("/", "user_id", "event_type").alias("thread_id"), F.col("ts").cast("timestamp").alias("ts"))
-    found = run_to_table(exchange_sessions(rows), _folder(spark))
-    return found.select("thread_id", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+    done = run_to_table(rows, exchange_sessions, shared_path(spark))
+    return done.select("thread_id", "n", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
 QUERIES = {f.__name__: f for f in (q_selection_passages_left_out, q_passage_layout, q_bundle_round_trip, q_exchange_stream)}

@@ -35,14 +35,14 @@ def q_same_words_run(spark, sf_dir):
 
 
 def q_keyword_score_topk(spark, sf_dir):
-    terms = F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 5)
+    terms = F.array_distinct(T.tokens(F.col("text")))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
     bodies = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("body"))
     return Q.keyword_score(queries, bodies, 5)
 
 
 def q_retrieval_search(spark, sf_dir):
-    claims = adapter.claims(spark, sf_dir).select(F.col("claim_id").alias("query_id"), F.concat("a", "b").alias("accounts"), F.array("quote").alias("terms"), "lo", "hi")
+    claims = adapter.claims(spark, sf_dir).select(F.col("claim_id").alias("query_id"), F.array("a", "b").alias("sides"), F.array("quote").alias("terms"), "lo", "hi")
     return Q.retrieve(claims, adapter.records(spark, sf_dir), 10)
 
 
@@ -79,7 +79,7 @@ SELECT quote_id, id FROM qw JOIN dw ON contains(dw.w, qw.w) WHERE qw.w <> '  '""
     "q_keyword_score_topk": f"""
 WITH a AS (SELECT item_id AS query_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)),
 f AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(i)) AS no FROM a GROUP BY query_id, term),
-q AS (SELECT query_id, list(term ORDER BY no) AS terms FROM f WHERE no <= 5 GROUP BY query_id),
+q AS (SELECT query_id, list(term ORDER BY no) AS terms FROM f GROUP BY query_id),
 b AS (SELECT conv_id * 1000 + turn AS id, {_TOKENS.format('text')} AS toks FROM conversations),
 s AS (SELECT query_id, id, round(len(list_filter(terms, lambda t: CASE WHEN length(t) >= 4 THEN len(list_filter(toks, lambda w: starts_with(w, t))) > 0 ELSE list_contains(toks, t) END)) / len(terms), 6) AS score FROM q, b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0)

@@ -17,8 +17,9 @@ START = 1_704_067_200_000_000  # 2024-01-01 UTC
 
 
 def micros(c):
-    """Microseconds of a timestamp without a zone, read as UTC."""
-    return F.unix_micros(c.cast("timestamp"))
+    """Microseconds of a timestamp without a zone, read as UTC in a session of any zone."""
+    whole = F.unix_date(c.cast("date")).cast("long") * DAY + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
+    return whole + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

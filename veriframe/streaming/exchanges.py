@@ -20,11 +20,23 @@ def exchange_sessions(messages: DataFrame, gap: str = "1 hour", late: str = "1 d
     return spans.select("thread_id", "n", "first_ts", "last_ts")
 
 
-def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Runs a stream over what there is, keeps its complete result under ``path``, and reads it."""
+def run_to_table(stream: DataFrame, sessions, path: str) -> DataFrame:
+    """Runs ``sessions`` over what a stream of rows (thread_id, ts) holds now and reads its result.
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
-
-    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
+    Finished sessions are appended as the watermark passes them and their state is dropped. What is
+    still open when the stream has no more rows is closed from the rows behind the last mark: they
+    are kept beside the result by the same stream, and only those of open sessions are read again.
+    """
+    spark = stream.sparkSession
+    kept = sessions(stream)
+    run = lambda out, name, mode: (
+        out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}_state").trigger(availableNow=True).start().awaitTermination()
+    )
+    run(kept, "closed", "append")
+    run(stream, "rows", "append")
+    closed = spark.read.schema(kept.schema).parquet(f"{path}/closed")
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    # a thread's open session begins after its last closed one
+    last = closed.groupBy("thread_id").agg(F.max("last_ts").alias("done"))
+    still = rows.join(last, "thread_id", "left").filter("done IS NULL OR ts > done").select(*stream.columns)
+    return closed.unionByName(sessions(still))
