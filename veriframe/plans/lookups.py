@@ -231,7 +231,7 @@ def q_claims_for_bound(spark, sf_dir):
     return _t(spark, sf_dir, "orders", target=_k("o_orderpriority")).groupBy("target").agg(F.count("*").alias("n")).withColumns({"needed": L.claims_for_bound(0.05), "enough": F.col("n") >= L.claims_for_bound(0.05)})
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
+QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_") and f.__module__ == __name__}
 
 
 def _case(names, key):
