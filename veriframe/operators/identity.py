@@ -20,16 +20,17 @@ def account_key(app: Column, identifier: Column) -> Column:
     )
 
 
-def person_accounts(accounts: DataFrame, links: DataFrame, owners: DataFrame) -> DataFrame:
-    """(person_id, id): accounts on a device a person confirmedly owns or confirmedly linked to
-    them, and every account of the same key on any source.
+def person_accounts(accounts: DataFrame, links: DataFrame, owners: DataFrame, statuses: tuple[str, ...] = ("confirmed",)) -> DataFrame:
+    """(person_id, id): accounts on a device a person owns or linked to them, in one of the
+    ``statuses``, and every account of the same key on any source. Checks take what is confirmed;
+    a search takes all that is not rejected.
 
     accounts: id, app, identifier, device_id; links: account_id, person_id, status; owners:
     device_id, person_id, status.
     """
     keyed = accounts.withColumn("key", account_key(F.col("app"), F.col("identifier")))
-    own = owners.filter("status = 'confirmed'").select("device_id", "person_id").join(keyed.filter("device_id IS NOT NULL"), "device_id").select("person_id", "key")
-    linked = links.filter("status = 'confirmed'").select("person_id", F.col("account_id").alias("id")).join(keyed, "id").select("person_id", "key")
+    own = owners.filter(F.col("status").isin(*statuses)).select("device_id", "person_id").join(keyed.filter("device_id IS NOT NULL"), "device_id").select("person_id", "key")
+    linked = links.filter(F.col("status").isin(*statuses)).select("person_id", F.col("account_id").alias("id")).join(keyed, "id").select("person_id", "key")
     return own.unionByName(linked).distinct().join(keyed.select("key", "id"), "key").select("person_id", "id").distinct()
 
 
