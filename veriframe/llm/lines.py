@@ -226,9 +226,10 @@ def near_lines(distinct: DataFrame, source: DataFrame, path: str) -> DataFrame:
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "s").alias("n_short")).filter("n > 1 AND n_short > 0")
     filed.join(shared.drop("n_short"), "key").write.parquet(f"{path}/filed")
     filed = spark.read.parquet(f"{path}/filed")
-    # each wanted line is read where it first stands: that key is no hot one, unlike the line itself
+    # each wanted line is read where it first stands: that key is no hot one, unlike the line itself;
+    # lines go to their keys at every size, so that a large input runs by the plan a small one does
     wanted = filed.select("h1", "h2", "first.doc", "first.place").distinct()
-    lines = _occurrences(source).select("doc", "place", "line").join(wanted, ["doc", "place"]).select("h1", "h2", "line")
+    lines = _occurrences(source).select("doc", "place", "line").join(wanted.hint("merge"), ["doc", "place"]).select("h1", "h2", "line")
     lines.dropDuplicates(["h1", "h2"]).write.parquet(f"{path}/lines")
     size = F.length("line")
     half = F.floor((size - F.when(F.col("role") == "l", 1).otherwise(0)) / 2).cast("int")
@@ -279,9 +280,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     ).agg(F.collect_set(line_no).alias("__gone"))  # at most the lines of one text
     gone.write.parquet(f"{path}/gone")
     gone = docs.sparkSession.read.parquet(f"{path}/gone")
-    # texts go once to their line numbers; where these are few, Spark brings them to the texts
+    # texts go once to their line numbers, at every size
     hit = (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__gone_doc")) & (_text_no(text_of(text_col)) == F.col("__gone_text"))
-    both = docs.join(gone, hit, "left")
+    both = docs.join(gone.hint("merge"), hit, "left")
     # a flag for each line, then the lines that have none: linear in the text
     lines = F.split(F.col(text_col), "\n")
     keep = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
