@@ -77,5 +77,5 @@ def digits_preserved(original: Column, translated: Column) -> Column:
 
 def seeded_draw(seed: str, key: Column, rate: float) -> Column:
     """A repeatable draw that is true for about ``rate`` of the keys."""
-    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 12), 16, 10).cast("double")
-    return h / float(1 << 48) < rate
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key), 256), 1, 16), 16, 10).cast("double")
+    return h / float(1 << 64) < rate

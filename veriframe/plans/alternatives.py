@@ -77,8 +77,12 @@ def q_time_parse_problems(spark, sf_dir):
 
 
 def q_furniture_lines(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
-    return S.furniture(pages, share=0.05)
+    """Margin lines of pages: a running head, a numbered foot, and the first and last line of the text."""
+    lines = F.split("text", "\n")
+    foot = F.concat(F.lit("Page "), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(" of the case file"))
+    margin = F.array(F.concat(F.lit("Case "), F.col("source")), F.element_at(lines, 1), F.element_at(lines, -1), foot)
+    pages = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.explode(margin).alias("text"))
+    return S.furniture(pages)
 
 
 def q_stated_times(spark, sf_dir):
@@ -138,9 +142,9 @@ x AS (SELECT claim_id, r.id, row_number() OVER (PARTITION BY claim_id ORDER BY a
     "q_date_order_votes": f"WITH {_CELLS} SELECT sheet, n_dmy, n_mdy, CASE WHEN n_dmy > 0 AND n_mdy > 0 THEN 'conflict' WHEN n_dmy > 0 THEN 'dmy' WHEN n_mdy > 0 THEN 'mdy' ELSE 'undecided' END AS date_order FROM vo",
     "q_time_parse_problems": f"WITH {_CELLS} SELECT id, problem, us FROM pr",
     "q_furniture_lines": r"""
-WITH l AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
+WITH l AS (SELECT source AS doc, doc_id AS page, unnest(['Case ' || source, string_split(text, chr(10))[1], string_split(text, chr(10))[-1], 'Page ' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' of the case file' END]) AS text FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY doc),
 t AS (SELECT doc, trim(regexp_replace(text, '\d+', '#', 'g')) AS shape, count(DISTINCT page) AS n FROM l GROUP BY 1, 2)
-SELECT t.doc, shape, n FROM t JOIN p USING (doc) WHERE n >= 2 AND n >= 0.05 * pages AND shape <> ''""",
+SELECT t.doc, shape, n FROM t JOIN p USING (doc) WHERE n >= 2 AND n >= 0.6 * pages AND shape <> ''""",
     "q_coverage_summary": f"WITH {_CELLS} SELECT 's' || style AS sheet, coalesce(problem, 'read') AS reason, count(*) AS n FROM pr GROUP BY 1, 2",
 }

@@ -94,7 +94,7 @@ ORACLES = {
     "q_chat_members": with_views("SELECT thread_id, string_agg(account::VARCHAR, ',' ORDER BY account) AS members FROM (SELECT thread_id, sender AS account FROM records WHERE sender IS NOT NULL UNION SELECT thread_id, recipient FROM records) GROUP BY thread_id"),
     "q_source_counts": with_views("SELECT source_id, count(*) AS n, count(*) FILTER (kind = 'call') AS n_calls, count(*) FILTER (us IS NULL) AS n_untimed, min(us) AS first_us, max(us) AS last_us FROM records GROUP BY source_id"),
     "q_cited_records": "SELECT claim_id, string_agg(p::VARCHAR, ',' ORDER BY p) AS cited FROM (SELECT DISTINCT l_orderkey AS claim_id, l_partkey AS p FROM lineitem WHERE l_returnflag <> 'R') GROUP BY claim_id",
-    "q_seeded_errors": """SELECT o_orderkey AS id, ('0x' || left(sha256('s1:' || o_orderkey), 12))::UBIGINT / 281474976710656 < 0.1 AS errs, left(sha256('["' || o_orderkey || '","' || o_orderstatus || '"]'), 12) AS hash12 FROM orders""",
+    "q_seeded_errors": """SELECT o_orderkey AS id, ('0x' || left(sha256('s1:' || o_orderkey), 16))::UBIGINT / 18446744073709551616 < 0.1 AS errs, left(sha256('["' || o_orderkey || '","' || o_orderstatus || '"]'), 12) AS hash12 FROM orders""",
     "q_digits_preserved": r"SELECT event_id AS id, event_id % 4 <> 0 OR list_contains(regexp_extract_all(props, '\d+'), '7') AS same FROM events",
     "q_flag_events": "SELECT flag_id, n FROM (SELECT event_id % 3000 AS flag_id, count(*) AS n, arg_max(event_type, event_id) AS last FROM events GROUP BY 1) WHERE last <> 'error'",
 }
