@@ -68,14 +68,15 @@ def q_flag_events(spark, sf_dir):
 
 
 def q_near_miss_lines(spark, sf_dir):
-    """Benchmark openings that a conversation's turn nearly quotes. Turns that share a word of five
-    letters or more with the opening are read."""
+    """Benchmark openings that a conversation's turn nearly quotes. Turns that hold half or more of
+    the opening's words of five letters or more are read."""
     opening = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
     long = lambda c: F.array_distinct(F.filter(T.tokens(c), lambda w: F.length(w) >= 5))
     quotes = table(spark, sf_dir, "benchmark").select("item_id", opening.alias("quote"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    asked = quotes.select("item_id", F.explode(long(F.col("quote"))).alias("word"))
-    pairs = asked.join(turns.select("conv_id", "turn", F.explode(long(F.col("text"))).alias("word")), "word").select("item_id", "conv_id", "turn").distinct()
+    asked = quotes.select("item_id", F.size(long(F.col("quote"))).alias("n_long"), F.explode(long(F.col("quote"))).alias("word"))
+    held = asked.join(turns.select("conv_id", "turn", F.explode(long(F.col("text"))).alias("word")), "word")
+    pairs = held.groupBy("item_id", "conv_id", "turn", "n_long").agg(F.count("*").alias("n")).filter("2 * n >= n_long").select("item_id", "conv_id", "turn")
     read = pairs.join(quotes, "item_id").join(turns, ["conv_id", "turn"]).withColumn("near", T.near_miss("quote", "text"))
     return read.groupBy("item_id").agg(F.count("*").alias("n_read"), F.count_if(F.col("near")).alias("n_near"))
 
