@@ -240,7 +240,7 @@ def _case(names, key):
 
 _RUNS = f"runs AS (SELECT o_custkey AS case_id, o_orderkey AS run_id, epoch_us(o_orderdate) AS started_us, {_case(('completed', 'failed', 'completed', 'running'), 'o_orderkey')} AS status FROM orders)"
 _LOG = f"lg AS (SELECT user_id AS case_id, event_id % 37 AS target, event_type AS action, epoch_us(ts) - event_id % 700 * {3 * DAY} AS us FROM events)"
-_FOLD = r"regexp_replace(translate(trim({}), '‘’“”', '''''""'), '\s+', ' ', 'g')"
+_FOLD = r"""regexp_replace(translate(trim({}), '‘’“”', '''''""'), '\s+', ' ', 'g')"""
 _RULES = """
 ra AS (SELECT o_orderkey AS aid, o_orderkey - o_orderkey % 3 AS claim_id FROM orders WHERE o_orderkey % 3 <> 2),
 rk AS (SELECT l_orderkey AS aid, CASE WHEN l_suppkey % 29 = 0 THEN 'fail' WHEN l_suppkey % 7 = 0 THEN 'inconclusive' ELSE 'pass' END AS outcome FROM lineitem WHERE l_linenumber % 3 = 0),
