@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, contamination, jaccard, licenses, lines, pii, quality, repeats, toxicity
+from veriframe.llm import bpe, contamination, jaccard, licenses, lines, packing, pii, quality, repeats, toxicity
 from veriframe.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
         "op10_repeated_passages": op10_repeated_passages,
+        "op13_packing": op13_packing,
     }
 
 
