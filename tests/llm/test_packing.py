@@ -27,19 +27,21 @@ def texts() -> list[str]:
 def test_ids_by_chunks_are_the_library_s():
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     for special_as_text in (False, True):
-        found, cuts = chunks.byte_level(RAW, special_as_text)
+        found, tokens, cuts = chunks.byte_level(RAW, special_as_text)
         library.encode_special_tokens = special_as_text
         assert cuts
         for t in texts():
             parts = [chunks.string(key) for key in chunks.keys(t)]
             assert "".join(parts) == t
-            ids = [i for part in chunks.byte_level_ids(found, parts) for i in part]
-            assert ids == library.encode(t, add_special_tokens=False).ids, repr(t)
+            length = np.array([len(x) for x in tokens])
+            sizes, ids = chunks.ids_of(parts, lambda x: chunks.byte_level_ids(found, x), length)
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+            assert sizes.tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in parts]
 
 
 def test_pieces_by_chunks_are_the_library_s():
     model = open(P.path("piece_bpe_32k.model"), "rb").read()
-    found, cuts = chunks.pieces(model)
+    found, _, cuts = chunks.pieces(model)
     library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     assert cuts
     for t in texts():

@@ -14,13 +14,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
+from veriframe.llm.bpe import _shown_bytes
+
 #: Chunks remembered by a task, and their characters.
-MEMORY_CHUNKS, MEMORY_CHARS = 1 << 19, 1 << 23
+MEMORY_CHUNKS, MEMORY_CHARS = 1 << 20, 1 << 24
+
+#: New chunks that a library gets in one text.
+JOINED = 64
 
 _SPACE_AFTER_SPACE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
 _OTHER_SPACE_AFTER = re.compile(r"\s ")
@@ -47,24 +53,40 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
+class _Places(dict):
+    """Chunk -> place; a chunk asked for the first time gets the next place and is noted as new."""
+
+    def __init__(self) -> None:
+        self.new: list[Hashable] = []
+
+    def __missing__(self, key: Hashable) -> int:
+        self.new.append(key)
+        place = self[key] = len(self)
+        return place
+
+
 class Memory:
     """Chunk -> place; ``add`` is told what is new, and whether all places before were forgotten."""
 
     def __init__(self) -> None:
-        self.place: dict[Hashable, int] = {}
+        self.place = _Places()
         self.chars = 0
 
+    def full(self) -> bool:
+        return len(self.place) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS
+
     def look_up(self, wanted: list[Hashable], add: Callable[[list[Hashable], bool], None]) -> np.ndarray:
-        full = len(self.place) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS
+        full = self.full()
         if full:
             self.place.clear()
             self.chars = 0
-        new = [key for key in dict.fromkeys(wanted) if key not in self.place]
+        self.place.new = []
+        at = np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
+        new = self.place.new
         if new or full:
             add(new, full)
             self.chars += sum(len(key if isinstance(key, str) else key[0]) for key in new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        return np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
+        return at
 
 
 class Ragged:
@@ -86,16 +108,42 @@ class Ragged:
         return self.flat[ragged(self.start[at], self.size[at])]
 
 
-def flat_ids(found: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def flat_ids(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and ids of lists of ids."""
-    found = list(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
-    return size, np.fromiter((i for ids in found for i in ids), np.int64, int(size.sum()))
+    return size, np.array(list(chain.from_iterable(found)), np.int64)
+
+
+def ids_of(strings: list[str], encode: Callable[[list[str]], list[list[int]]], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of the chunks ``strings``, which the library gets ``JOINED`` at a time.
+
+    Chunks may stand in one text where each begins with a space and the one before ends with
+    something else. Their ids are parted by the bytes of the tokens (``length`` by id); where tokens
+    have other bytes than their text, all of them are encoded again chunk by chunk.
+    """
+    joined: list[list[str]] = []
+    for s in strings:
+        if not joined or len(joined[-1]) == JOINED or s[:1] != " " or joined[-1][-1][-1:].isspace():
+            joined.append([])
+        joined[-1].append(s)
+    found = encode(["".join(part) for part in joined])
+    bytes_of = np.fromiter((len(s.encode("utf-8")) for s in strings), np.int64, len(strings))
+    sizes, flat = flat_ids(found)
+    many = np.fromiter(map(len, joined), np.int64, len(joined))
+    # the tokens of a text must have its bytes, and one must end where each chunk does
+    reached = np.cumsum(length[flat])
+    ends = np.cumsum(bytes_of)
+    place = np.minimum(np.searchsorted(reached, ends), max(0, len(flat) - 1))
+    if len(flat) and (reached[place] == ends).all() and (np.diff(place[np.cumsum(many) - 1], prepend=-1) == sizes).all():
+        return np.diff(place, prepend=-1), flat
+    parts = [flat_ids([ids] if len(part) == 1 else encode(part)) for part, ids in zip(joined, found)]
+    return np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
 
 
 @lru_cache(maxsize=4)
 def byte_level(raw: bytes, special_as_text: bool):
-    """The library's tokenizer of a .json file, and whether its texts may be cut into chunks."""
+    """The library's tokenizer of a .json file, the bytes of its tokens by id, and whether its texts
+    may be cut into chunks."""
     from tokenizers import Tokenizer
 
     spec = json.loads(raw)
@@ -106,7 +154,15 @@ def byte_level(raw: bytes, special_as_text: bool):
     found.no_truncation()
     found.no_padding()
     found.encode_special_tokens = special_as_text
-    return found, cuts
+    byte_of = {shown: bytes([k]) for k, shown in enumerate(_shown_bytes())}
+    added = {t["content"] for t in spec["added_tokens"]}
+    entries = {k: token for token, k in found.get_vocab().items()}
+    tokens = [
+        token.encode("utf-8") if (token := entries.get(k, "")) in added
+        else b"".join(byte_of.get(c, c.encode("utf-8")) for c in token)
+        for k in range(max(entries) + 1)
+    ]
+    return found, tokens, cuts
 
 
 def byte_level_ids(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -115,7 +171,8 @@ def byte_level_ids(tokenizer, texts: list[str]) -> list[list[int]]:
 
 @lru_cache(maxsize=4)
 def pieces(raw: bytes):
-    """The library's processor of a .model file, and whether its texts may be cut into chunks."""
+    """The library's processor of a .model file, the bytes of its pieces by id (none for what never
+    stands in a text), and whether its texts may be cut into chunks."""
     import sentencepiece
 
     found = sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -123,4 +180,10 @@ def pieces(raw: bytes):
     cuts = not any(re.search("[^▁]▁", name) for name in names)
     # a model that folds or squeezes white space must see whole texts
     cuts &= found.decode(found.encode("a  b \n c")) == "a  b \n c"
-    return found, cuts
+    tokens = [
+        bytes([int(name[3:-1], 16)]) if found.is_byte(k)
+        else b"" if found.is_control(k) or found.is_unknown(k)
+        else name.replace("▁", " ").encode("utf-8")
+        for k, name in enumerate(names)
+    ]
+    return found, tokens, cuts

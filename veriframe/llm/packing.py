@@ -142,7 +142,8 @@ def pack(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: s
         return pa.RecordBatch.from_arrays(arrays, names=["id", *longs, *["ids"] * ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cuts = chunks.byte_level(raw.value, special_as_text=False)
+        tokenizer, tokens, cuts = chunks.byte_level(raw.value, special_as_text=False)
+        length = np.array([len(t) for t in tokens])
         memory, known = chunks.Memory(), chunks.Ragged(np.dtype("<u4"))
         packer = _Packer(sequence, linear, quadratic, TaskContext.get().partitionId() << 36)
         id_type = None
@@ -150,8 +151,8 @@ def pack(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: s
         def learn(new: list, forgotten: bool) -> None:
             if forgotten:
                 known.clear()
-            found = chunks.byte_level_ids(tokenizer, [chunks.string(key) for key in new])
-            known.extend(*chunks.flat_ids(found))
+            strings = [chunks.string(key) for key in new]
+            known.extend(*chunks.ids_of(strings, lambda parts: chunks.byte_level_ids(tokenizer, parts), length))
 
         for batch in batches:
             id_type = batch.column("id").type
