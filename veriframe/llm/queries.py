@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, contamination, jaccard, licenses, lines, packing, pii, quality, repeats, toxicity
+from veriframe.llm import alignment, bpe, codebooks, contamination, jaccard, licenses, lines, packing, pii, quality, repeats, toxicity
 from veriframe.llm.common import table
 
 
@@ -78,6 +78,19 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    codes = codebooks.fit(vectors)
+    found = codebooks.encode(vectors, codes)
+    digest = F.lit(codes.digest() if codes else None).cast("string").alias("codebooks_sha256")
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")).documents
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), ids=False)
 
@@ -94,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_toxicity": op9_toxicity,
         "op10_repeated_passages": op10_repeated_passages,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_token_alignment": op12_token_alignment,
         "op13_packing": op13_packing,
     }
 
@@ -104,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality.oracle(),
         "op7_line_dedup": lines.oracle(),
         "op10_repeated_passages": repeats.ORACLE,
+        "op11_vector_codes": codebooks.oracle(),
     }
