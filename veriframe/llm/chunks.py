@@ -12,21 +12,24 @@ that must stay whole) by a tuple of its string.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from veriframe.llm.bpe import _shown_bytes
 
 #: Chunks remembered by a task, and their characters.
 MEMORY_CHUNKS, MEMORY_CHARS = 1 << 20, 1 << 24
 
-#: New chunks that a library gets in one text.
-JOINED = 64
+#: New chunks that a library gets in one text, and bytes of the texts that are worked on at once.
+JOINED, SLICE_BYTES = 64, 1 << 20
 
 _SPACE_AFTER_SPACE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33))]
 _OTHER_SPACE_AFTER = re.compile(r"\s ")
@@ -53,6 +56,27 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about ``SLICE_BYTES`` each, or of one longer text; a null is empty.
+    Only the texts of one slice are Python strings at a time."""
+    column = batch.column("text")
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        before = size[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+        yield first, [t or "" for t in column.slice(first, stop - first).to_pylist()]
+        first = stop
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class _Places(dict):
     """Chunk -> place; a chunk asked for the first time gets the next place and is noted as new."""
 
@@ -68,12 +92,13 @@ class _Places(dict):
 class Memory:
     """Chunk -> place; ``add`` is told what is new, and whether all places before were forgotten."""
 
-    def __init__(self) -> None:
+    def __init__(self, chunks: int | None = None, chars: int | None = None) -> None:
+        self.most = chunks or MEMORY_CHUNKS, chars or MEMORY_CHARS
         self.place = _Places()
         self.chars = 0
 
     def full(self) -> bool:
-        return len(self.place) > MEMORY_CHUNKS or self.chars > MEMORY_CHARS
+        return len(self.place) > self.most[0] or self.chars > self.most[1]
 
     def look_up(self, wanted: list[Hashable], add: Callable[[list[Hashable], bool], None]) -> np.ndarray:
         full = self.full()

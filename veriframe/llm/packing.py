@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm import chunks
-from veriframe.llm.bpe import _slices as slices
+from veriframe.llm.chunks import slices
 
 #: Sequences dealt at once, and the cost of an id and of a pair of ids in a piece: a layer of width
 #: h spends 24 h h on an id and 4 h on a pair, which is 1 to 1 / 6h; h is 1024 here.
