@@ -82,6 +82,24 @@ def test_texts_of_one_id(spark):
     assert got == sorted([again, alone + "\nfirst of two", "second of two", alone[:-1] + "ly", "no repeat here at all"])
 
 
+def test_texts_without_id_lose_no_lines(spark, monkeypatch):
+    """Texts of one id, or of none, stay apart where the first of their hashes meet; a null id is not
+    the largest id, and the largest id comes before it."""
+    monkeypatch.setattr(lines, "_text_hashes", lambda text: (F.lit(7).cast("long"), F.xxhash64(text)))
+    rows = [(None, "a line of the first text only\nshared by all of them"), (None, "another text\nits second line, nowhere else"), ((1 << 63) - 1, "shared by all of them\nthe largest id")]
+    rows += [(4, "four, first of two\nkept in place"), (4, "four, second of two\nand its own second line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.text) for r in lines.dedup(docs).collect())
+    want = [(False, t) for d, t in rows if d] + [(True, "a line of the first text only"), (True, rows[1][1])]
+    assert got == sorted(want)
+
+
+def test_equal_texts_of_a_null_and_the_largest_id(spark):
+    rows = [(None, "one text of two rows"), ((1 << 63) - 1, "one text of two rows")]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: "", (1 << 63) - 1: "one text of two rows"}
+
+
 def test_far_edit(spark):
     """The common beginning is found whole, however long."""
     n = (1 << 21) + 50_000

@@ -20,8 +20,9 @@ the executors.
    beginning and their common end (the band; more than ``BAND`` characters exceed the limit).
 
 Null and empty texts have no lines to remove and stay as they are. Different texts under one id
-are documents of their own, ordered by a hash of the text; rows equal in id and text are judged
-alike, as one document. A null id is ordered after all others. Extra columns are kept by
+are documents of their own, ordered by a hash of the text, of which 128 bits tell them apart; rows
+equal in id and text are judged alike, as one document. A null id is ordered after all others, and
+is another key than the largest id. Extra columns are kept by
 ``dedup`` and not read; the names it adds are ``n_lines`` and ``n_removed``.
 """
 
@@ -39,26 +40,31 @@ MIN_CHARS, CROWD, PARTS, BAND = 20, 24, 8, 8
 _LAST = (1 << 63) - 1
 _BLANKS = " \t\x0b\x0c\r"
 
+#: A text: whether it has no id, its id, and 128 bits of a hash that tell the texts of one id (or of
+#: none) apart. In this order texts are ordered; a line's number comes after them.
+TEXT = ("no_id", "doc", "text_1", "text_2")
+PLACE = (*TEXT, "line_no")
 
-def _text_no(text: Column) -> Column:
-    """31 bits that tell the texts of one id apart."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31))
+
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(2), text)
+
+
+def _text_key(id_col: str, text_col: str) -> dict[str, Column]:
+    doc = F.col(id_col).cast("long")
+    return dict(zip(TEXT, (doc.isNull(), F.coalesce(doc, F.lit(_LAST)), *_text_hashes(text_of(text_col)))))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, text and text_no."""
-    text = text_of(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"), _text_no(text).alias("text_no"))
+    """The key of each text, and the text."""
+    key = _text_key(id_col, text_col)
+    return docs.select(*[c.alias(name) for name, c in key.items()], text_of(text_col).alias("text"))
 
 
 def _occurrences(source: DataFrame) -> DataFrame:
-    """(doc, place, line, size) of the lines that hold more than blanks.
-
-    ``place`` is the number of the text (``text_no``) above 32 bits, the line's number below.
-    """
-    rows = source.select("doc", "text_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    place = F.call_function("shiftleft", F.col("text_no"), F.lit(32)) + F.col("line_no")
-    rows = rows.select("doc", place.alias("place"), F.trim("line", F.lit(_BLANKS)).alias("line"))
+    """(``PLACE``, line, size) of the lines that hold more than blanks."""
+    rows = source.select(*TEXT, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim("line", F.lit(_BLANKS)))
     return rows.withColumn("size", F.length("line")).filter(F.col("size") > 0)
 
 
@@ -216,20 +222,22 @@ def _leaves(rows: DataFrame) -> DataFrame:
 def near_lines(distinct: DataFrame, source: DataFrame, path: str) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier line within one edit.
 
-    ``distinct``: h1, h2, first (place) and the hashes of ``_segments``.
+    ``distinct``: h1, h2, first (its place) and the hashes of ``_segments``.
     """
     spark = source.sparkSession
     filed = distinct.select(
-        "h1", "h2", "first",
+        "h1", "h2",
         F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(c[0]).alias("role"), F.lit(int(c[1])).alias("half")) for c in ("s0", "s1", "l0", "l1")])).alias("e"),
-    ).select("h1", "h2", "first", "e.*").filter("key IS NOT NULL")
+    ).select("h1", "h2", "e.*").filter("key IS NOT NULL")
     shared = filed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "s").alias("n_short")).filter("n > 1 AND n_short > 0")
     filed.join(shared.drop("n_short"), "key").write.parquet(f"{path}/filed")
     filed = spark.read.parquet(f"{path}/filed")
     # each wanted line is read where it first stands: that key is no hot one, unlike the line itself;
     # lines go to their keys at every size, so that a large input runs by the plan a small one does
-    wanted = filed.select("h1", "h2", "first.doc", "first.place").distinct()
-    lines = _occurrences(source).select("doc", "place", "line").join(wanted.hint("merge"), ["doc", "place"]).select("h1", "h2", "line")
+    wanted = distinct.select("h1", "h2", "first").join(filed.select("h1", "h2").distinct().hint("merge"), ["h1", "h2"])
+    wanted = wanted.select("h1", "h2", "first.*")
+    lines = _occurrences(source).select(*PLACE, "line").join(wanted.hint("merge"), list(PLACE))
+    lines = lines.select("h1", "h2", F.struct(*PLACE).alias("first"), "line")
     lines.dropDuplicates(["h1", "h2"]).write.parquet(f"{path}/lines")
     size = F.length("line")
     half = F.floor((size - F.when(F.col("role") == "l", 1).otherwise(0)) / 2).cast("int")
@@ -254,12 +262,12 @@ def near_lines(distinct: DataFrame, source: DataFrame, path: str) -> DataFrame:
 
 
 def removed_places(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, place) of every line that goes. ``source``: doc (never null), text and text_no."""
+    """(``PLACE``) of every line that goes. ``source``: ``TEXT`` and text."""
     path, spark = shared_dir(source.sparkSession), source.sparkSession
-    _occurrences(source).select("doc", "place", *_keys(), *_segments(min_chars)).write.parquet(f"{path}/places")
+    _occurrences(source).select(*PLACE, *_keys(), *_segments(min_chars)).write.parquet(f"{path}/places")
     places = spark.read.parquet(f"{path}/places")
     firsts = places.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("s0", "s1", "l0", "l1")]
+        F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("s0", "s1", "l0", "l1")]
     )
     firsts.write.parquet(f"{path}/distinct")
     distinct = spark.read.parquet(f"{path}/distinct")
@@ -267,21 +275,21 @@ def removed_places(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near.write.parquet(f"{path}/near")
     near = spark.read.parquet(f"{path}/near").withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near OR n > 1")
-    found = places.select("doc", "place", "h1", "h2").join(verdict, ["h1", "h2"])
-    return found.filter("near OR struct(doc, place) <> first").select("doc", "place")
+    found = places.select(*PLACE, "h1", "h2").join(verdict, ["h1", "h2"])
+    return found.filter(F.col("near") | (F.struct(*PLACE) != F.col("first"))).select(*PLACE)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text_col``, and ``n_lines``, ``n_removed``."""
     path = shared_dir(docs.sparkSession)
-    line_no = F.col("place").bitwiseAND((1 << 32) - 1).cast("int")
-    gone = removed_places(_source(docs, id_col, text_col), min_chars).groupBy(
-        F.col("doc").alias("__gone_doc"), F.call_function("shiftright", F.col("place"), F.lit(32)).alias("__gone_text")
-    ).agg(F.collect_set(line_no).alias("__gone"))  # at most the lines of one text
+    names = [f"__gone_{c}" for c in TEXT]
+    gone = removed_places(_source(docs, id_col, text_col), min_chars).groupBy(*[F.col(c).alias(n) for c, n in zip(TEXT, names)])
+    gone = gone.agg(F.collect_set("line_no").alias("__gone"))  # at most the lines of one text
     gone.write.parquet(f"{path}/gone")
     gone = docs.sparkSession.read.parquet(f"{path}/gone")
     # texts go once to their line numbers, at every size
-    hit = (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("__gone_doc")) & (_text_no(text_of(text_col)) == F.col("__gone_text"))
+    key = _text_key(id_col, text_col)
+    hit = [key[c] == F.col(n) for c, n in zip(TEXT, names)]
     both = docs.join(gone.hint("merge"), hit, "left")
     # a flag for each line, then the lines that have none: linear in the text
     lines = F.split(F.col(text_col), "\n")
@@ -291,7 +299,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         "n_lines": F.size(F.split(text_of(text_col), "\n")).cast("long"),
         "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
         text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept),
-    }).drop("__gone", "__gone_doc", "__gone_text")
+    }).drop("__gone", *names)
 
 
 def oracle(min_chars: int = MIN_CHARS) -> str:
