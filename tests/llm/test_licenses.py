@@ -54,6 +54,52 @@ def test_wrapped_and_embedded(spark):
     assert sorted(tuple(r) for r in licenses.scan(docs).collect()) == [(1, None, "", 0, "Apache-2.0"), (2, None, "", 0, "MIT"), (3, "MIT", "", 0, "MIT"), (4, None, "", 0, "")]
 
 
+def test_runs_have_no_most_blocks(spark):
+    """A licence of five paragraphs, and a long one, inside a file."""
+    bsd = licenses._BSD_START + "\n\n" + licenses._BSD_1 + "\n\n" + licenses._BSD_2 + "\n \n" + licenses._BSD_3 + "\n\n" + licenses._BSD_END
+    words = licenses.KNOWN[0][1].split()
+    every = "\n\n".join(words)  # a block for each word
+    docs = spark.createDataFrame([(1, "A file.\n\n" + bsd + "\n\nThe end."), (2, bsd), (3, "x\n\n" + every + "\n\nmore"), (4, "\n\n".join(["this"] * 20_000) + "\n\n" + bsd), (5, bsd.replace("Neither", "Either"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.embedded) for r in licenses.scan(docs).collect())
+    assert got == [(1, None, "BSD-3-Clause"), (2, "BSD-3-Clause", "BSD-3-Clause"), (3, None, "MIT"), (4, None, "BSD-3-Clause"), (5, None, "")]
+
+
+def test_texts_in_the_line_of_the_copyright(spark):
+    mit = licenses.KNOWN[0][1]
+    rows = [
+        (1, "Copyright (c) 2020 Foo. " + mit), (2, "/* Copyright 1999-2020 J. R. Foo, Inc. All rights reserved. " + mit + " */"),
+        (3, "(c) 2020 Foo. Copyright (C) 2021 by Bar. Released under the MIT License."), (4, "Copyright (c) 2020 Foo Ltd. and others\n" + mit),
+        (5, "Copyright 2020 www.example.org, version 1.2. All rights reserved."), (6, "© 2020 Foo. Released under the MIT License."), (7, "Copyright is a right. Nothing else."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(docs).collect())
+    assert got == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (5, None), (6, "MIT"), (7, None)]
+    assert docs.filter("doc_id >= 5").select(licenses.canonical(F.col("text"))).collect()[2][0] == "copyright is a right nothing else"
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 64, 1000)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", licenses._running(F.col("x")).alias("s")).collect():
+        assert r.s == [sum(r.x[: k + 1]) for k in range(len(r.x))]
+
+
+# The names of licence texts in the folder of common licences of some systems.
+FOLDER = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+}
+
+
+def test_every_digest_of_a_long_text(spark):
+    """Digests, first words and lengths as the canonical form gives them now."""
+    folder = Path("/usr/share/common-licenses")
+    texts = [(i, (folder / name).read_text(encoding="utf-8")) for name, i in FOLDER.items() if (folder / name).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    known = {r.license: (r.digest, r.word, r.length) for r in licenses.known_digests(spark, spark.createDataFrame(texts, "license string, text string")).collect()}
+    assert known == {i: (d, w, n) for i, d, w, n in licenses.KNOWN_DIGESTS if i in known} and len(known) == len(texts)
+
+
 def test_long_texts(spark, tmp_path):
     place = Path("/usr/share/common-licenses/GPL-3")
     if not place.exists():
