@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from veriframe.operators import integrity as G
 
 
@@ -30,5 +32,19 @@ def test_digest_of_a_large_group(spark):
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()  # a group is held in no one list
     want = {}
     for k, v in rows:
-        want.setdefault(k, []).append(hashlib.sha256(str("~" if v is None else v).encode()).hexdigest())
+        want.setdefault(k, []).append(hashlib.sha256(json.dumps([v if v is None else str(v)]).encode()).hexdigest())
     assert {r.k: (r.n, r.digest) for r in found.collect()} == {k: (len(h), hashlib.sha256("".join(sorted(h)).encode()).hexdigest()) for k, h in want.items()}
+
+
+def test_every_control_character_keeps_a_sound_log_sound(spark):
+    odd = [chr(c) for c in (*range(32), 34, 92, 127, 0x2028)] + ["\\u000B", "a\x0bb\x1fc\"\\", "é\n"]
+    rows = [(1, k, "t", "a", f"do {c}", c) for k, c in enumerate(odd)]
+    chain = G.build_chain(spark.createDataFrame(rows, "log int, o int, at string, actor string, action string, payload string"), "log", "o")
+    r = G.first_break(chain, "log").first()
+    assert (r.n, r.first_break) == (len(odd), None)
+
+
+def test_digests_keep_the_bounds_of_fields(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", ""), ("a", "null"), ('a", "b', "c"), ("a", 'b", "c')]
+    df = spark.createDataFrame(rows, "x string, y string").select(G.json_digest(F.col("x"), F.col("y")).alias("d"))
+    assert df.distinct().count() == len(rows)

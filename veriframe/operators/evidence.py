@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.predicates import never_null
 from veriframe.functions.text import contains_aligned, quote_fold, quoted, tokens
+from veriframe.operators.integrity import json_digest
 from veriframe.operators.timeline import natural_key
 
 DAY = 86_400_000_000
@@ -116,14 +117,32 @@ def quote_edges(outside: DataFrame, most: int = 4, reach_us: int = DAY) -> DataF
     return near.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "id"))).filter(F.col("no") <= most).select("query_id", "id", "no")
 
 
-def with_companions(ranked: DataFrame, companions: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, place): the first ``k`` of each query's records, every one followed by the
-    records that come with it; each record is taken where it first comes. The cut may part a record
-    from its companions. ranked: query_id, id, rank; companions: id, with_id, no (from 1)."""
-    own = ranked.select("query_id", "id", "rank", F.lit(0).alias("no"))
-    more = ranked.join(companions, "id").select("query_id", F.col("with_id").alias("id"), "rank", "no")
-    first = own.unionByName(more).groupBy("query_id", "id").agg(F.min(F.struct("rank", "no")).alias("at"))
-    return first.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id")).alias("place")).filter(F.col("place") <= k)
+def with_companions(ranked: DataFrame, companions: DataFrame, k: int, edges: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, place): up to ``k`` records of each query, taken in turn: a record that is not
+    taken yet is followed by those that come with it; one that came with another brings none. The
+    records at the edges of a window (``edges``) keep as many seats as there are of them, up to half.
+
+    ranked, edges: query_id, id, rank; companions: id, with_id, no (from 1). Every turn takes at least
+    its own record, so only the first ``k`` ranks, edges and companions can matter: a query's turns
+    are one bounded array, folded in the row."""
+    first = lambda rows, by, order: rows.withColumn("__no", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__no") <= k)
+    more = first(companions, ["id"], ["no", "with_id"]).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "with_id"))), lambda c: c.with_id).alias("more"))
+
+    def turns(rows: DataFrame, out: str) -> DataFrame:
+        with_more = first(rows.select("query_id", "id", "rank"), ["query_id"], ["rank", "id"]).join(more, "id", "left")
+        turn = F.concat(F.array("id"), F.coalesce("more", F.array().cast(rows.select(F.array("id")).schema[0].dataType)))
+        return with_more.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", turn.alias("turn")))), lambda t: t.turn).alias(out))
+
+    kind = ranked.select(F.array(F.array("id"))).schema[0].dataType
+    none = F.array().cast(kind)
+    all_ = turns(ranked, "inside")
+    all_ = all_.join(turns(edges, "edges"), "query_id", "full") if edges is not None else all_.withColumn("edges", none)
+    all_ = all_.select("query_id", F.coalesce("inside", none).alias("inside"), F.coalesce("edges", none).alias("edges"))
+    take = lambda most: lambda taken, turn: F.when(F.array_contains(taken, F.element_at(turn, 1)), taken).otherwise(F.slice(F.array_union(taken, turn), F.lit(1), most))
+    budget = F.lit(k) - F.least(F.size("edges"), F.lit(k // 2))
+    main = F.aggregate("inside", F.array().cast(kind.elementType), take(budget))
+    taken = all_.select("query_id", "edges", main.alias("taken")).select("query_id", F.aggregate("edges", F.col("taken"), take(F.lit(k))).alias("taken"))
+    return taken.select("query_id", F.posexplode("taken").alias("place", "id")).select("query_id", "id", (F.col("place") + 1).alias("place"))
 
 
 def attachments_of(hits: DataFrame, attachments: DataFrame) -> DataFrame:
@@ -148,14 +167,21 @@ def shown_gaps(shown: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- digests
-def item_digests(items: DataFrame, reviews: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
-    """(item, digest): SHA-256 over an item's own fields, its reviews in order and the record it cites.
-
-    Reviews of an item are few and are folded by their hashes in order of ``seq``."""
-    text = lambda cs: F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cs])
-    folded = reviews.groupBy("item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.sha2(text(["status", "reviewer"]), 256).alias("h")))), lambda r: r.h), "").alias("reviews"))
-    j = items.join(folded, "item", "left").join(records.select(F.col("id").alias("record_id"), F.sha2(F.col("text"), 256).alias("record")), "record_id", "left")
-    return j.select("item", F.sha2(F.concat_ws("|", text(fields), F.coalesce("reviews", F.lit("~")), F.coalesce("record", F.lit("~"))), 256).alias("digest"))
+def item_digests(items: DataFrame, reviews: DataFrame, records: DataFrame, runs: DataFrame, fields: list[str]) -> DataFrame:
+    """(item, digest): SHA-256 over an item's own fields, its reviews by the AI in order, the record it
+    cites and the model runs that it and those reviews name.
+
+    items: item, record_id, model_run and ``fields``; reviews: item, seq, kind, status, model_run;
+    records: id, text; runs: model_run, model. Reviews and runs of an item are few and are folded
+    by their digests, in order."""
+    by_ai = reviews.filter("kind = 'ai'")
+    order = lambda rows: F.transform(F.array_sort(rows), lambda r: r.h)
+    folded = by_ai.groupBy("item").agg(F.array_join(order(F.collect_list(F.struct("seq", json_digest(F.col("status"), F.col("model_run")).alias("h")))), "").alias("reviews"))
+    named = items.select("item", "model_run").unionByName(by_ai.select("item", "model_run")).filter("model_run IS NOT NULL").distinct().join(runs, "model_run")
+    named = named.groupBy("item").agg(F.array_join(order(F.collect_list(F.struct("model_run", json_digest(F.col("model_run"), F.col("model")).alias("h")))), "").alias("runs"))
+    cited = records.select(F.col("id").alias("record_id"), json_digest(F.col("id"), F.col("text")).alias("record"))
+    j = items.join(folded, "item", "left").join(named, "item", "left").join(cited, "record_id", "left")
+    return j.select("item", json_digest(*[F.col(f) for f in fields], F.col("reviews"), F.col("record"), F.col("runs")).alias("digest"))
 
 
 def group_digest(digests: DataFrame, by: str) -> DataFrame:

@@ -19,14 +19,31 @@ GENESIS = ""
 FIELDS = ("at", "actor", "action", "payload")
 
 
+#: Characters that JSON text escapes, in the order in which they are replaced.
+_ESCAPES = {"\\": "\\\\", '"': '\\"'} | {c: json.dumps(c)[1:-1] for c in map(chr, range(32))}
+
+
 def _json_text(c: Column) -> Column:
-    return F.regexp_replace(F.to_json(F.array(F.coalesce(c, F.lit("")))), r"^\[|\]$", "")
+    """A text as JSON has it, by the rule of ``json.dumps``: only quotes, backslashes and control
+    characters are escaped, these in lower-case digits where they have no letter. A null is null."""
+    plain = c.cast("string")
+    for char in ("\\", '"'):
+        plain = F.replace(plain, F.lit(char), F.lit(_ESCAPES[char]))
+    held = plain
+    for char in map(chr, range(32)):
+        held = F.replace(held, F.lit(char), F.lit(_ESCAPES[char]))
+    return F.coalesce(F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), held).otherwise(plain), F.lit('"')), F.lit("null"))
+
+
+def json_digest(*fields: Column) -> Column:
+    """SHA-256 over the JSON array of the fields as text, so that the bounds of the fields are part
+    of it and a null is not an empty text."""
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *map(_json_text, fields)), F.lit("]")), 256)
 
 
 def entry_hash(prev: Column, *fields: Column) -> Column:
-    """SHA-256 over the JSON array of the hash before and the entry's fields, so that the bounds
-    of the fields are part of it. A null field is an empty one."""
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *[_json_text(c) for c in (prev, *fields)]), F.lit("]")), 256)
+    """The digest of the hash before and the entry's fields. A null field is an empty one."""
+    return json_digest(*[F.coalesce(c.cast("string"), F.lit("")) for c in (prev, *fields)])
 
 
 def build_chain(entries: DataFrame, log: str, order: str) -> DataFrame:
@@ -130,7 +147,7 @@ def rows_digest(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
     """(by, n, digest): SHA-256 over the sorted hashes of a group's rows. The hashes are sorted by
     Spark and fed to the digest one by one, so a group of any size takes the same memory."""
     spark = rows.sparkSession
-    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("~")) for f in fields]), 256)
+    h = json_digest(*[F.col(f) for f in fields])
     hashed = rows.select(F.col(by).alias("by"), h.alias("h"))
     hashed = hashed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "by").sortWithinPartitions("by", "h")
     kind = rows.schema[by].dataType.simpleString()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.text import alias_key, quote_fold, space_fold
+from veriframe.operators.integrity import json_digest
 from veriframe.operators.timeline import window_edges
 
 
@@ -147,7 +148,7 @@ def field_mismatch(left: DataFrame, right: DataFrame, key: str, fields: list[str
 
 def confirmed_as_failed(checks: DataFrame, confirmations: DataFrame) -> DataFrame:
     """Failed checks that were confirmed exactly as they are: the confirmation holds their hash."""
-    h = F.sha2(F.concat_ws("|", F.col("check_id").cast("string"), "outcome", "detail"), 256)
+    h = json_digest(F.col("check_id"), F.col("outcome"), F.col("detail"))
     return checks.filter("outcome = 'fail'").withColumn("sha", h).join(confirmations.select("check_id", "sha").distinct(), ["check_id", "sha"], "left_semi").select("check_id")
 
 
@@ -196,9 +197,12 @@ def settled(assumptions: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def near_supported(assumptions: DataFrame, checks: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(claim_id, near): whether every core assumption has a passed check or a supporting record."""
-    good = checks.filter("outcome = 'pass'").select("assumption_id").unionByName(evidence.filter("stance = 'supports' AND status <> 'dismissed'").select("assumption_id")).distinct()
-    return assumptions.filter("is_core").join(good.withColumn("good", F.lit(True)), "assumption_id", "left").groupBy("claim_id").agg(F.bool_and(F.coalesce("good", F.lit(False))).alias("near"))
+    """(claim_id, near): whether every core assumption has a passed check or a record labelled as
+    support, whatever its review. A claim without a core assumption is not near."""
+    good = checks.filter("outcome = 'pass'").select("assumption_id").unionByName(evidence.filter("stance = 'supports'").select("assumption_id")).distinct()
+    met = assumptions.join(good.withColumn("good", F.lit(True)), "assumption_id", "left")
+    counted = met.groupBy("claim_id").agg(F.count_if("is_core").alias("core"), F.count_if(F.col("is_core") & F.coalesce("good", F.lit(False))).alias("good"))
+    return counted.select("claim_id", ((F.col("core") > 0) & (F.col("core") == F.col("good"))).alias("near"))
 
 
 def carry_confirmations(old: DataFrame, new: DataFrame) -> DataFrame:

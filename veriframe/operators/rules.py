@@ -127,14 +127,17 @@ def claim_states(decided: DataFrame, assumptions: DataFrame, evidence: DataFrame
     of_claim = evidence.join(assumptions.select("assumption_id", "claim_id"), "assumption_id")
     waits = lambda stance, *status: F.count_if((F.col("stance") == stance) & F.col("status").isin(*status))
     counted = of_claim.groupBy("claim_id").agg(
-        waits("supports", "open").alias("n_open_support"), F.count_if(F.col("stance").isin("contradicts", "complicates") & (F.col("status") == "open")).alias("n_open_against"),
+        waits("supports", "open").alias("n_open_support"), waits("complicates", "open").alias("n_open_complicates"), waits("contradicts", "open").alias("n_open_contradicts"),
         waits("supports", "ai_accepted").alias("n_ai_accepted"), waits("supports", "ai_dismissed").alias("n_ai_dismissed"),
         waits("contradicts", "ai_accepted").alias("n_contradictions"), F.count_if(F.col("status") == "withheld").alias("n_withheld"),
     )
     tested = assumptions.groupBy("claim_id").agg(F.count("*").alias("n_assumptions"))
-    numbers = ["n_open_support", "n_open_against", "n_ai_accepted", "n_ai_dismissed", "n_contradictions", "n_withheld", "n_assumptions"]
+    numbers = ["n_open_support", "n_open_complicates", "n_open_contradicts", "n_ai_accepted", "n_ai_dismissed", "n_contradictions", "n_withheld", "n_assumptions"]
     all_ = facts.join(decided.select("claim_id", "verdict"), "claim_id", "left").join(counted, "claim_id", "left").join(tested, "claim_id", "left").fillna(0, numbers)
     all_ = all_.withColumns({"audited": F.col("verdict").isNotNull(), "untested": F.col("n_assumptions") == 0, "contradiction": F.col("n_contradictions") > 0})
+    # where a contradiction was found, the open ones are part of that need
+    against = F.col("n_open_complicates") + F.when(F.col("contradiction"), 0).otherwise(F.col("n_open_contradicts"))
+    all_ = all_.withColumn("n_open_against", against).drop("n_open_complicates", "n_open_contradicts")
     return all_.withColumn("priority", priority())
 
 

@@ -36,7 +36,9 @@ def compare_times(rows: DataFrame, tolerance_s: int = 300) -> DataFrame:
     return rows.withColumn("state", state).withColumns({"delta_us": F.when(known, delta), "conflict": F.coalesce(known & (early | late), F.lit(False))})
 
 
-_AFTER, _BEFORE = r"(?i)\b(?:after|afterwards|later|then|following)\b", r"(?i)\b(?:before|earlier|prior|preceding)\b"
+# Words between a quote and a time that say which comes first.
+_AFTER = r"(?i)\b(?:after|afterwards?|later|then|following|subsequently)\b"
+_BEFORE = r"(?i)\b(?:before|earlier|prior|previously)\b"
 
 
 def relation(between: Column, quote_after: Column) -> Column:
@@ -61,12 +63,34 @@ def closest_ties(compared: DataFrame, most: int = 4) -> DataFrame:
     return placed.filter(F.col("no") <= most).select("quote_id", "id", "no")
 
 
-def row_status(compared: DataFrame) -> DataFrame:
-    """(stated_id, status): differs outweighs an order conflict, that a match; a stated time that no
-    record is tied to is not_tied."""
-    s = lambda *names: F.max(F.col("state").isin(*names))
-    t = compared.groupBy("stated_id").agg(s("differs").alias("d"), F.max("conflict").alias("c"), s("inside", "within").alias("m"))
-    return t.select("stated_id", F.when(F.col("d"), "differs").when(F.col("c"), "order").when(F.col("m"), "matches").otherwise("not_tied").alias("status"))
+def row_status(compared: DataFrame, most: int = 4, weekdays: DataFrame | None = None) -> DataFrame:
+    """(stated_id, status): how a stated time stands to the records of its quotes.
+
+    compared: stated_id, quote_id, relation, source_id, id (null: the quote has no record), state,
+    delta_us, conflict; of a quote the ``most`` nearest records count. A quote "at" the time with
+    timed records and none inside or within makes it ``differs``; else a conflict of order makes it
+    ``order``, a wrong weekday (``weekdays``: stated_id, weekday_ok) ``weekday``; it ``matches`` if a
+    quote at the time has a record inside or within, or if no quote is at it and one has a record;
+    else it is ``not_tied``.
+    """
+    nearest = Window.partitionBy("stated_id", "quote_id").orderBy(F.col("delta_us").isNull(), F.abs("delta_us"), "source_id", "id")
+    shown = compared.withColumn("__no", F.row_number().over(nearest)).filter(F.col("__no") <= most)
+    links = shown.groupBy("stated_id", "quote_id").agg(
+        F.min("relation").alias("relation"), F.count("id").alias("n"), F.count_if(F.col("state").isin("inside", "within")).alias("ok"),
+        F.count("delta_us").alias("timed"), F.count_if("conflict").alias("conflicts"),
+    )
+    at = F.col("relation") == "at"
+    t = links.groupBy("stated_id").agg(
+        F.bool_or(at & (F.col("ok") == 0) & (F.col("timed") > 0)).alias("differs"), F.bool_or(F.col("conflicts") > 0).alias("order"),
+        F.bool_or(at & (F.col("ok") > 0)).alias("inside"), F.bool_or(at).alias("any_at"), F.bool_or(F.col("n") > 0).alias("tied"),
+    )
+    wrong_day = F.lit(False)
+    if weekdays is not None:
+        t = t.join(weekdays.select("stated_id", "weekday_ok"), "stated_id", "left")
+        wrong_day = ~F.coalesce("weekday_ok", F.lit(True))
+    matches = F.col("inside") | (~F.col("any_at") & F.col("tied"))
+    status = F.when(F.col("differs"), "differs").when(F.col("order"), "order").when(wrong_day, "weekday").when(matches, "matches").otherwise("not_tied")
+    return t.select("stated_id", status.alias("status"))
 
 
 def timeline_order() -> list[Column]:
@@ -176,12 +200,11 @@ def rivals(candidates: DataFrame, levels: tuple[str, ...]) -> DataFrame:
 
 def resolve_names(names: DataFrame, persons: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, n, person_id): the persons a name resolves to: by its whole words, by the surname, or by
-    an alias, whole; ``person_id`` only where it is one. An alias of two persons is neither's."""
+    an alias, whole; ``person_id`` only where it is one. An alias of two persons finds both."""
     whole = persons.select("person_id", name_words(F.col("name")).alias("w")).filter("size(w) > 0")
     keys = whole.select("person_id", F.explode(F.array_distinct(F.array(F.concat(F.lit("n:"), F.array_join("w", " ")), F.concat(F.lit("n:"), F.element_at("w", -1))))).alias("key"))
     known = aliases.select("person_id", F.concat(F.lit("a:"), alias_key(F.col("alias"))).alias("key")).filter("key <> 'a:'").distinct()
-    shared = known.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    known = keys.unionByName(known.join(shared, "key", "left_anti").select("person_id", "key"))
+    known = keys.unionByName(known.select("person_id", "key"))
     asked = names.select("name").distinct()
     asked = asked.select("name", F.explode(F.array(F.concat(F.lit("n:"), F.array_join(name_words(F.col("name")), " ")), F.concat(F.lit("a:"), alias_key(F.col("name"))))).alias("key"))
     found = asked.join(known, "key", "left").groupBy("name").agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id"))

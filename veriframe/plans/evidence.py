@@ -94,7 +94,8 @@ def q_with_companions(spark, sf_dir):
     n, k = _k("l_linenumber"), _k("l_partkey")
     ranked = _t(spark, sf_dir, "lineitem", query_id=_k("l_orderkey"), id=k % 60, rank=n).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     companions = _t(spark, sf_dir, "nation", id=_k("n_nationkey").cast("bigint"), with_id=(_k("n_nationkey") * 2 + 1).cast("bigint"), no=F.lit(1)).unionByName(_t(spark, sf_dir, "nation", id=_k("n_nationkey").cast("bigint"), with_id=(_k("n_nationkey") * 3).cast("bigint"), no=F.lit(2)))
-    return E.with_companions(ranked, companions, 5)
+    edges = _t(spark, sf_dir, "orders", query_id=_k("o_orderkey"), id=_k("o_custkey") % 60, rank=F.lit(1)).filter("query_id % 3 = 0")
+    return E.with_companions(ranked, companions, 5, edges)
 
 
 def q_attachments(spark, sf_dir):
@@ -120,8 +121,15 @@ def q_shown_gaps(spark, sf_dir):
 def _items(spark, sf_dir):
     k = _k("o_orderkey")
     items = _t(spark, sf_dir, "orders", item=k, claim_id=_k("o_custkey"), stance=_k("o_orderstatus"), tier=_k("o_orderpriority"), record_id=_k("o_custkey") % 2500)
-    reviews = _t(spark, sf_dir, "lineitem", item=_k("l_orderkey"), seq=F.struct("l_linenumber", "l_partkey", "l_suppkey"), status=_k("l_returnflag"), reviewer=_k("l_suppkey"))
-    return E.item_digests(items, reviews, _t(spark, sf_dir, "part", id=_k("p_partkey"), text=_k("p_name")), ["item", "stance", "tier", "record_id"]), items
+    items = items.withColumn("model_run", F.when(F.col("item") % 4 == 0, F.col("claim_id") % 90))
+    n, run = _k("l_linenumber"), _k("l_suppkey")
+    reviews = _t(
+        spark, sf_dir, "lineitem", item=_k("l_orderkey"), seq=F.struct("l_linenumber", "l_partkey", "l_suppkey"), status=_k("l_returnflag"),
+        kind=F.when(n % 2 == 1, "ai").otherwise("expert"), model_run=F.when(run % 3 != 0, run),
+    )
+    runs = _t(spark, sf_dir, "supplier", model_run=_k("s_suppkey"), model=_k("s_name"))
+    parts = _t(spark, sf_dir, "part", id=_k("p_partkey"), text=_k("p_name"))
+    return E.item_digests(items, reviews, parts, runs, ["item", "stance", "tier", "record_id"]), items
 
 
 def q_item_digests(spark, sf_dir):
@@ -156,7 +164,7 @@ def q_derived_verdicts(spark, sf_dir):
 def q_export_plan(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem", claim_id=_k("l_orderkey"), line=_k("l_linenumber"), part=_k("l_partkey"))
     scope = _t(spark, sf_dir, "orders", claim_id=_k("o_orderkey"), s=_k("o_orderstatus")).filter("s = 'F'")
-    plan = G.export_plan(rows, scope, "claim_id", F.sha2(F.concat_ws("|", "claim_id", "line", "part"), 256))
+    plan = G.export_plan(rows, scope, "claim_id", G.json_digest(F.col("claim_id"), F.col("line"), F.col("part")))
     return plan.select("claim_id", "line", F.when(F.col("shipped"), F.col("part")).alias("part"), "stub")
 
 
@@ -217,11 +225,21 @@ def _case(names, key):
 
 
 _FOLD = r"""regexp_replace(translate({}, '‘’“”', '''''""'), '\s+', ' ', 'g')"""
-_ITEMS = r"""
-rv AS (SELECT l_orderkey AS item, string_agg(sha256(l_returnflag || '|' || l_suppkey), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS reviews FROM lineitem GROUP BY 1),
-it AS (SELECT o_orderkey AS item, o_custkey AS claim_id, sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || '|' || (o_custkey % 2500) || '|' || coalesce(reviews, '~') || '|' || coalesce(sha256(p_name), '~')) AS digest
-  FROM orders LEFT JOIN rv ON rv.item = o_orderkey LEFT JOIN part ON p_partkey = o_custkey % 2500),
-cd AS (SELECT claim_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT claim_id, sha256(digest) AS h FROM it) GROUP BY claim_id)
+
+
+def json_digest(*columns: str) -> str:
+    """SHA-256 of a JSON array of texts, for values without quotes, backslashes or control characters."""
+    return "sha256('[' || " + " || ', ' || ".join(f"""coalesce('"' || ({c})::VARCHAR || '"', 'null')""" for c in columns) + " || ']')"
+
+
+_ITEMS = f"""
+ai AS (SELECT l_orderkey AS item, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_returnflag AS st, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS mr FROM lineitem WHERE l_linenumber % 2 = 1),
+rv AS (SELECT item, string_agg({json_digest('st', 'mr')}, '' ORDER BY a, b, c) AS reviews FROM ai GROUP BY 1),
+nm AS (SELECT item, mr FROM ai WHERE mr IS NOT NULL UNION SELECT o_orderkey, o_custkey % 90 FROM orders WHERE o_orderkey % 4 = 0),
+rn AS (SELECT item, string_agg({json_digest('mr', 's_name')}, '' ORDER BY mr) AS runs FROM nm JOIN supplier ON s_suppkey = mr GROUP BY item),
+it AS (SELECT o_orderkey AS item, o_custkey AS claim_id, {json_digest('o_orderkey', 'o_orderstatus', 'o_orderpriority', 'o_custkey % 2500', 'reviews', f"CASE WHEN p_partkey IS NOT NULL THEN {json_digest('p_partkey', 'p_name')} END", 'runs')} AS digest
+  FROM orders LEFT JOIN rv ON rv.item = o_orderkey LEFT JOIN rn ON rn.item = o_orderkey LEFT JOIN part ON p_partkey = o_custkey % 2500),
+cd AS (SELECT claim_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT claim_id, {json_digest('digest')} AS h FROM it) GROUP BY claim_id)
 """
 _WORDS = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*)')"
 _EX = "ex AS (SELECT doc_id AS id, '  ' || chr(10) || text || chr(10) || ' ' || chr(10) || '--' || chr(10) || 'last line ' AS t FROM documents WHERE text IS NOT NULL)"
@@ -257,9 +275,14 @@ row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, share DESC, kind <>
     "q_quote_edges": with_views(f"""+
 o AS (SELECT claim_id AS query_id, id, CASE WHEN us < lo THEN lo - us ELSE us - hi END AS gap FROM claims c JOIN records r ON r.text = c.quote AND kind = 'message' WHERE NOT us BETWEEN lo AND hi),
 p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY gap, id)::INTEGER AS no FROM o WHERE gap <= {3 * DAY}) SELECT * FROM p WHERE no <= 4"""),
-    "q_with_companions": """WITH r AS (SELECT l_orderkey AS query_id, l_partkey % 60 AS id, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL), c AS (SELECT n_nationkey AS id, n_nationkey * 2 + 1 AS w, 1 AS no FROM nation UNION ALL SELECT n_nationkey, n_nationkey * 3, 2 FROM nation),
-a AS (SELECT query_id, id, rank * 10 AS pl FROM r UNION ALL SELECT query_id, w, rank * 10 + no FROM r JOIN c ON c.id = r.id), f AS (SELECT query_id, id, min(pl) AS pl FROM a GROUP BY ALL),
-p AS (SELECT query_id, id::BIGINT AS id, row_number() OVER (PARTITION BY query_id ORDER BY pl, id)::INTEGER AS place FROM f) SELECT * FROM p WHERE place <= 5""",
+    "q_with_companions": """WITH r AS (SELECT l_orderkey AS query_id, (l_partkey % 60)::BIGINT AS id, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL),
+c AS (SELECT n_nationkey::BIGINT AS id, (n_nationkey * 2 + 1)::BIGINT AS w, 1 AS no FROM nation UNION ALL SELECT n_nationkey, n_nationkey * 3, 2 FROM nation), m AS (SELECT id, list(w ORDER BY no) AS more FROM c GROUP BY id),
+t AS (SELECT query_id, list(list_concat([r.id], coalesce(more, [])) ORDER BY rank, r.id) AS i FROM r LEFT JOIN m ON m.id = r.id GROUP BY query_id),
+e AS (SELECT o_orderkey AS query_id, [list_concat([(o_custkey % 60)::BIGINT], coalesce(more, []))] AS e FROM orders LEFT JOIN m ON m.id = o_custkey % 60 WHERE o_orderkey % 3 = 0),
+a AS (SELECT query_id, coalesce(i, []) AS i, coalesce(e, []) AS e FROM t FULL JOIN e USING (query_id)),
+x AS (SELECT query_id, e, list_reduce(list_concat([[]::BIGINT[]], i), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, list_filter(x, lambda y, k: NOT list_contains(acc, y) AND list_position(x, y) = k))[1 : 5 - least(len(e), 2)] END) AS p FROM a),
+z AS (SELECT query_id, list_reduce(list_concat([p], e), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, list_filter(x, lambda y, k: NOT list_contains(acc, y) AND list_position(x, y) = k))[1:5] END) AS p FROM x)
+SELECT query_id, unnest(p) AS id, generate_subscripts(p, 1)::INTEGER AS place FROM z""",
     "q_attachments": "WITH a AS (SELECT l_orderkey AS m, l_orderkey * 10 + l_linenumber AS i, l_returnflag || '.jpg' AS f FROM lineitem WHERE (l_orderkey * 10 + l_linenumber) % 3 = 0) SELECT o_orderkey AS id, i AS attachment_id, f AS file_name FROM orders LEFT JOIN a ON m = o_orderkey",
     "q_groups_near": """WITH n AS (SELECT l_orderkey % 500 AS claim_id, CASE WHEN l_partkey % 9 <> 0 THEN 't' || (l_partkey % 30) END AS thread_id, l_suppkey % 40 AS gap_us FROM lineitem), a AS (SELECT DISTINCT o_orderkey % 500 AS claim_id, 't' || (o_orderkey % 30) AS thread_id FROM orders WHERE o_orderkey % 500 % 3 = 0),
 g AS (SELECT claim_id, thread_id, count(*) AS n, min(gap_us) AS gap_us FROM n GROUP BY ALL), h AS (SELECT g.*, a.claim_id IS NOT NULL AS has_anchor FROM g LEFT JOIN a ON a.claim_id = g.claim_id AND a.thread_id = g.thread_id)
@@ -273,7 +296,7 @@ SELECT id, floor((us - lag(us) OVER (PARTITION BY thread_id ORDER BY pos)) / 100
     "q_status_at": "WITH e AS (SELECT user_id AS run, event_id % 9 AS item, event_type AS status, event_id AS seq FROM events), p AS (SELECT run, ((max(seq) + min(seq)) // 2)::BIGINT AS position FROM e GROUP BY run) SELECT e.run, item, arg_max(status, seq) AS status FROM e JOIN p ON p.run = e.run AND seq <= position GROUP BY e.run, item",
     "q_derived_verdicts": """SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 19 = 0 THEN 'not_derived' WHEN o_orderkey % 17 = 0 THEN 'not_stored' WHEN o_orderkey % 10 = 0 THEN 'verdict_differs' ELSE 'basis_differs' END AS problem FROM orders
 WHERE NOT (o_orderkey % 17 = 0 AND o_orderkey % 19 = 0) AND (o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 OR o_orderkey % 10 = 0 OR o_orderkey % 9 = 0)""",
-    "q_export_plan": "SELECT l_orderkey AS claim_id, l_linenumber AS line, CASE WHEN s THEN l_partkey END AS part, CASE WHEN NOT s THEN sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey) END AS stub FROM (SELECT *, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS s FROM lineitem)",
+    "q_export_plan": f"SELECT l_orderkey AS claim_id, l_linenumber AS line, CASE WHEN s THEN l_partkey END AS part, CASE WHEN NOT s THEN {json_digest('l_orderkey', 'l_linenumber', 'l_partkey')} END AS stub FROM (SELECT *, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS s FROM lineitem)",
     "q_newest_names": "SELECT event_id % 600 AS device, arg_max(event_type || ' ' || user_id, event_id) AS names FROM events GROUP BY 1",
     "q_number_holders": "SELECT '21255' || lpad((c_custkey % 300)::VARCHAR, 5, '0') AS number, count(*) AS n, min(c_custkey) AS first_id FROM customer GROUP BY 1",
     "q_search_accounts": f"""WITH {people._ACC}, k AS (SELECT n_nationkey % 40 AS person_id, key FROM nation JOIN ak ON ak.device_id = n_nationkey UNION SELECT id % 40, key FROM ak WHERE id % 5 < 2), r AS (SELECT DISTINCT person_id::BIGINT AS person_id, id FROM k JOIN ak USING (key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriframe.operators import lookups as L
+from veriframe.operators.integrity import json_digest
 from veriframe.session import table
 from veriframe.sources import adapter
 from veriframe.sources.adapter import DAY, micros, with_views
@@ -150,7 +151,7 @@ def q_field_mismatch(spark, sf_dir):
 def q_confirmed_fails(spark, sf_dir):
     k = _k("o_orderkey")
     checks = _t(spark, sf_dir, "orders", check_id=k, outcome=_pick(("fail", "pass", "fail"), k), detail=_k("o_orderpriority"))
-    sha = lambda detail: F.sha2(F.concat_ws("|", k.cast("string"), F.lit("fail"), detail), 256)
+    sha = lambda detail: json_digest(k, F.lit("fail"), detail)
     said = _t(spark, sf_dir, "orders", check_id=k, sha=sha(F.when(k % 4 == 0, "changed").otherwise(_k("o_orderpriority"))))
     return L.confirmed_as_failed(checks, said)
 
@@ -301,7 +302,8 @@ WHEN trim(regexp_replace(lower(a), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = trim(regex
 x AS (SELECT o_orderkey AS claim_id, source_id FROM orders JOIN s ON s.device IN (o_orderkey % 90, o_orderkey % 70) WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, source_id FROM orders JOIN s ON s.case_id = o_custkey % 5 WHERE o_orderkey % 4 = 0)
 SELECT claim_id, count(*) AS n, min(source_id) AS first_source FROM x GROUP BY claim_id""",
     "q_settled_claims": f"WITH {_RULES} SELECT DISTINCT claim_id FROM ra JOIN rk USING (aid) WHERE outcome = 'fail'",
-    "q_near_supported": f"WITH {_RULES}, g AS (SELECT aid FROM rk WHERE outcome = 'pass' UNION SELECT aid FROM re) SELECT claim_id, bool_and(aid IN (SELECT aid FROM g)) AS near FROM ra GROUP BY claim_id",
+    "q_near_supported": f"""WITH {_RULES}, g AS (SELECT aid FROM rk WHERE outcome = 'pass' UNION SELECT l_orderkey FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_suppkey % 23 <> 0 AND l_suppkey % 19 <> 0)
+SELECT o_orderkey - o_orderkey % 3 AS claim_id, count(*) FILTER (o_orderkey % 3 <> 2) > 0 AND count(*) FILTER (o_orderkey % 3 <> 2 AND o_orderkey NOT IN (SELECT aid FROM g)) = 0 AS near FROM orders GROUP BY 1""",
     "q_carried_confirmations": """WITH j AS (SELECT o_orderkey AS claim_id, o_orderstatus AS verdict, o_orderkey % 13 = 0 AS fresh, o_orderkey % 7 <> 0 AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 11 = 0) AS same, o_orderkey % 2 = 0 AS byx FROM orders)
 SELECT claim_id, verdict, CASE WHEN NOT fresh AND same AND byx THEN 'expert' END AS confirmed_by, CASE WHEN fresh THEN 'new' WHEN same AND byx THEN 'carried' WHEN same THEN 'same' WHEN byx THEN 'lapsed' ELSE 'changed' END AS change FROM j""",
     "q_display_tiers": f"""SELECT CASE l_suppkey % 5 WHEN 1 THEN 'confirmed' WHEN 2 THEN 'counsel_reviewed' WHEN 3 THEN 'ai_reviewed' ELSE {_case(('observed', 'derived', 'inferred'), 'l_partkey')} END AS tier, count(*) AS n FROM lineitem GROUP BY 1""",

@@ -160,6 +160,7 @@ QUERIES = {f.__name__: f for f in (
     q_time_on_page, q_activity_by_claim, q_refresh_suppression, q_flag_latest, q_error_log, q_confusion, q_wilson_rates, q_loss_funnel, q_run_profile,
 )}
 
+_ROW = "sha256('[' || " + " || ', ' || ".join(f"""'"' || {c} || '"'""" for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")) + " || ']')"
 _ACC = r"""
 acc AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'SMS' WHEN 1 THEN 'Calls' WHEN 2 THEN 'Email' ELSE 'chat' END AS app,
   CASE WHEN c_custkey % 4 < 2 THEN CASE WHEN c_custkey % 2 = 0 THEN '21255' ELSE '(212) 55' END || lpad((c_custkey % 700)::VARCHAR, 5, '0')
@@ -207,7 +208,7 @@ SELECT user_id, max(seq) AS n, arg_max(h, seq) AS head FROM c GROUP BY user_id""
     "q_lost_anchors": f"WITH {_LOG} SELECT user_id, seq::INTEGER AS seq FROM lg WHERE seq % 24 = 0",
     "q_log_reconcile": """SELECT o_orderkey AS item, CASE WHEN o_orderkey % 13 = 0 THEN 'not_stored' WHEN o_orderkey % 7 = 0 THEN 'not_logged' ELSE 'differs' END AS problem FROM orders
 WHERE (o_orderkey % 13 = 0 AND o_orderkey % 7 <> 0) OR (o_orderkey % 7 = 0 AND o_orderkey % 13 <> 0) OR (o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 11 = 0)""",
-    "q_row_digest": "SELECT l_orderkey, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT l_orderkey, sha256(concat_ws('|', l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS h FROM lineitem) GROUP BY l_orderkey",
+    "q_row_digest": f"SELECT l_orderkey, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT l_orderkey, {_ROW} AS h FROM lineitem) GROUP BY l_orderkey",
     "q_dangling_references": "SELECT l_orderkey, l_linenumber, l_partkey + 10000000 AS ref FROM lineitem WHERE l_partkey % 50 = 0",
     "q_time_on_page": f"WITH {_VISITS} SELECT * FROM vs",
     "q_activity_by_claim": f"WITH {_VISITS} SELECT page, count(*) AS opens, sum(coalesce(seconds, 0))::BIGINT AS seconds, count(*) FILTER (away) AS n_away, count(*) FILTER (seconds IS NULL AND NOT away) AS n_untimed, count(DISTINCT session) AS sessions FROM vs GROUP BY page",

@@ -117,11 +117,11 @@ _STATES = """
 le AS (SELECT l_orderkey * 10 + l_linenumber AS eid, l_orderkey AS aid, CASE WHEN l_suppkey % 23 = 0 THEN 'contradicts' WHEN l_suppkey % 19 = 0 THEN 'complicates' ELSE 'supports' END AS stance,
   CASE l_partkey % 5 WHEN 1 THEN 'open' ELSE 'other' END AS st FROM lineitem WHERE l_linenumber % 3 <> 0),
 lx AS (SELECT aid - aid % 3 AS claim_id, stance, CASE WHEN eid % 31 = 0 THEN 'ai_accepted' WHEN eid % 37 = 0 THEN 'ai_dismissed' WHEN eid % 101 = 0 THEN 'withheld' ELSE st END AS st FROM le WHERE aid % 59 <> 0),
-ln AS (SELECT claim_id, count(*) FILTER (stance = 'supports' AND st = 'open') AS n_open_support, count(*) FILTER (stance <> 'supports' AND st = 'open') AS n_open_against,
+ln AS (SELECT claim_id, count(*) FILTER (stance = 'supports' AND st = 'open') AS n_open_support, count(*) FILTER (stance = 'complicates' AND st = 'open') AS n_oc, count(*) FILTER (stance = 'contradicts' AND st = 'open') AS n_ok,
   count(*) FILTER (stance = 'supports' AND st = 'ai_accepted') AS n_ai_accepted, count(*) FILTER (stance = 'supports' AND st = 'ai_dismissed') AS nd, count(*) FILTER (stance = 'contradicts' AND st = 'ai_accepted') AS nc,
   count(*) FILTER (st = 'withheld') AS n_withheld FROM lx GROUP BY claim_id),
 la AS (SELECT o_orderkey - o_orderkey % 3 AS claim_id, count(*) AS na FROM orders WHERE o_orderkey % 59 <> 0 GROUP BY 1),
-ls AS (SELECT c.claim_id, CASE WHEN c.claim_id % 53 <> 0 THEN verdict END AS verdict, coalesce(n_open_support, 0) AS n_open_support, coalesce(n_open_against, 0) AS n_open_against, coalesce(n_ai_accepted, 0) AS n_ai_accepted,
+ls AS (SELECT c.claim_id, CASE WHEN c.claim_id % 53 <> 0 THEN verdict END AS verdict, coalesce(n_open_support, 0) AS n_open_support, coalesce(n_oc, 0) + CASE WHEN coalesce(nc, 0) > 0 THEN 0 ELSE coalesce(n_ok, 0) END AS n_open_against, coalesce(n_ai_accepted, 0) AS n_ai_accepted,
   coalesce(nd, 0) AS nd, coalesce(nc, 0) > 0 AS contradiction, coalesce(n_withheld, 0) AS n_withheld, coalesce(na, 0) = 0 AS untested
   FROM c LEFT JOIN d ON d.claim_id = c.claim_id LEFT JOIN ln ON ln.claim_id = c.claim_id LEFT JOIN la ON la.claim_id = c.claim_id),
 st AS (SELECT *, CASE WHEN claim_id % 47 = 0 OR verdict IS NULL THEN 8 ELSE least(CASE WHEN claim_id % 41 = 0 THEN 0 ELSE 9 END, CASE WHEN untested OR n_withheld > 0 OR contradiction THEN 1 ELSE 9 END,

@@ -51,12 +51,17 @@ def q_closest_ties(spark, sf_dir):
 
 
 def q_row_status(spark, sf_dir):
-    return S.row_status(_compared(spark, sf_dir))
+    """Quotes of up to three records each, some without any, under 400 stated times."""
+    k = _k("seq")
+    rows = _compared(spark, sf_dir).withColumn("seq", F.col("quote_id")).withColumn("quote_id", F.floor(k / 1200)).withColumn("relation", _pick(("at", "after", "before", "sequence"), F.floor(k / 1200) + _k("stated_id") % 7))
+    rows = rows.withColumns({c: F.when(k % 23 != 0, F.col(c)) for c in ("id", "state", "delta_us", "conflict")})
+    weekdays = rows.select("stated_id").distinct().withColumn("weekday_ok", F.when(_k("stated_id") % 3 != 0, _k("stated_id") % 5 != 0))
+    return S.row_status(rows, 2, weekdays)
 
 
 def q_time_relation(spark, sf_dir):
     k = _k("conv_id") + _k("turn")
-    between = F.concat("text", _pick(("", " and after that", " but earlier", " then, before"), k))
+    between = F.concat("text", _pick(("", " and afterward that", " but previously", " then, before", " preceding it", " subsequently"), k))
     return _t(spark, sf_dir, "conversations", rel=S.relation(between, k % 2 == 0)).groupBy("rel").agg(F.count("*").alias("n"))
 
 
@@ -297,16 +302,22 @@ al AS (SELECT p_partkey AS person_id, 'The-Boss ' || (p_partkey // 2 % 700) AS a
 _RESOLVE = f"""
 kn AS (SELECT DISTINCT person_id, 'n:' || unnest([array_to_string(w, ' '), w[-1]]) AS key FROM (SELECT person_id, {_NW.format('name')} AS w FROM pp) WHERE len(w) > 0),
 ka AS (SELECT DISTINCT person_id, 'a:' || {_AK.format('alias')} AS key FROM al),
-kk AS (SELECT * FROM kn UNION ALL SELECT * FROM ka WHERE key NOT IN (SELECT key FROM ka GROUP BY key HAVING count(*) > 1)),
+kk AS (SELECT * FROM kn UNION ALL SELECT * FROM ka),
 rs AS (SELECT name, count(DISTINCT person_id) AS n, min(person_id) AS person_id FROM (SELECT name, unnest(['n:' || array_to_string({_NW.format('name')}, ' '), 'a:' || {_AK.format('name')}]) AS key FROM (SELECT DISTINCT name FROM nm)) LEFT JOIN kk USING (key) GROUP BY name)
 """
 ORACLES = {
     "q_local_windows": "SELECT o_orderkey AS id, epoch_us(timezone('America/New_York', o_orderdate::TIMESTAMP)) AS lo, epoch_us(timezone('America/New_York', o_orderdate::TIMESTAMP + INTERVAL 1 DAY)) - 1 AS hi FROM orders",
     "q_time_compare": with_views(f"+{_COMPARED} SELECT id, state, delta_us, conflict FROM cm"),
     "q_closest_ties": with_views(f"""+{_COMPARED}, p AS (SELECT seq % 500 AS quote_id, id, row_number() OVER (PARTITION BY seq % 500 ORDER BY delta_us IS NULL, abs(delta_us), source_id, id)::INTEGER AS no FROM cm) SELECT * FROM p WHERE no <= 4"""),
-    "q_row_status": with_views(f"""+{_COMPARED} SELECT seq % 400 AS stated_id, CASE WHEN bool_or(state = 'differs') THEN 'differs' WHEN bool_or(conflict) THEN 'order' WHEN bool_or(state IN ('inside', 'within')) THEN 'matches' ELSE 'not_tied' END AS status FROM cm GROUP BY 1"""),
-    "q_time_relation": rf"""WITH t AS (SELECT text || {_case(('', ' and after that', ' but earlier', ' then, before'), 'conv_id + turn')} AS b, (conv_id + turn) % 2 = 0 AS qa FROM conversations),
-u AS (SELECT regexp_matches(b, '(?i)\b(?:after|afterwards|later|then|following)\b') AS a, regexp_matches(b, '(?i)\b(?:before|earlier|prior|preceding)\b') AS b, qa FROM t)
+    "q_row_status": with_views(f"""+{_COMPARED},
+r0 AS (SELECT seq % 400 AS stated_id, seq // 1200 AS quote_id, {_case(('at', 'after', 'before', 'sequence'), 'seq // 1200 + seq % 400 % 7')} AS rel, source_id, CASE WHEN seq % 23 <> 0 THEN id END AS id, CASE WHEN seq % 23 <> 0 THEN state END AS state,
+  CASE WHEN seq % 23 <> 0 THEN delta_us END AS d, seq % 23 <> 0 AND conflict AS conflict FROM cm),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY stated_id, quote_id ORDER BY d IS NULL, abs(d), source_id, id NULLS FIRST) AS no FROM r0),
+r2 AS (SELECT stated_id, quote_id, any_value(rel) AS rel, count(id) AS n, count(*) FILTER (state IN ('inside', 'within')) AS ok, count(d) AS timed, bool_or(conflict) AS c FROM r1 WHERE no <= 2 GROUP BY ALL)
+SELECT stated_id, CASE WHEN bool_or(rel = 'at' AND ok = 0 AND timed > 0) THEN 'differs' WHEN bool_or(c) THEN 'order' WHEN stated_id % 3 <> 0 AND stated_id % 5 = 0 THEN 'weekday'
+  WHEN bool_or(rel = 'at' AND ok > 0) OR (NOT bool_or(rel = 'at') AND sum(n) > 0) THEN 'matches' ELSE 'not_tied' END AS status FROM r2 GROUP BY stated_id"""),
+    "q_time_relation": rf"""WITH t AS (SELECT text || {_case(('', ' and afterward that', ' but previously', ' then, before', ' preceding it', ' subsequently'), 'conv_id + turn')} AS b, (conv_id + turn) % 2 = 0 AS qa FROM conversations),
+u AS (SELECT regexp_matches(b, '(?i)\b(?:after|afterward|afterwards|later|then|following|subsequently)\b') AS a, regexp_matches(b, '(?i)\b(?:before|earlier|prior|previously)\b') AS b, qa FROM t)
 SELECT CASE WHEN a AND b THEN 'sequence' WHEN NOT a AND NOT b THEN 'at' WHEN a = qa THEN 'after' ELSE 'before' END AS rel, count(*) AS n FROM u GROUP BY 1""",
     "q_nearest_stated": """WITH s AS (SELECT l_orderkey AS k, l_orderkey * 10 + l_linenumber AS id, l_partkey % 200 AS pos, l_suppkey % 150 AS a FROM lineitem)
 SELECT q.id AS quote_id, arg_min(t.id, (least(abs(q.pos - t.a), abs(q.pos - t.a - 9)), t.a, t.id)) AS stated_id FROM s q JOIN s t USING (k) GROUP BY q.id""",
