@@ -35,7 +35,7 @@ def test_names(spark):
     aliases = spark.createDataFrame([(1, "Big-Owen"), (2, "Boss"), (3, "boss!")], "person_id long, alias string")
     names = spark.createDataFrame([(n,) for n in ("alexander SOKOLOV", "Sokolov", "braun", "big owen", "BOSS", "subject-2", "subject-1", "Alexander")], "name string")
     got = {r.name: (r.n, r.person_id) for r in S.resolve_names(names, persons, aliases).collect()}
-    assert got == {"alexander SOKOLOV": (1, 1), "Sokolov": (1, 1), "braun": (2, None), "big owen": (1, 1), "BOSS": (0, None), "subject-2": (1, 4), "subject-1": (0, None), "Alexander": (0, None)}
+    assert got == {"alexander SOKOLOV": (1, 1), "Sokolov": (1, 1), "braun": (2, None), "big owen": (1, 1), "BOSS": (2, None), "subject-2": (1, 4), "subject-1": (0, None), "Alexander": (0, None)}
     sides = [("Alex Turner", "alex", "turner", "for"), ("Alex Turner", "alexander", "turner", "for"), ("Alex Turner", "alex", "smith", "against"), ("Alex Turner", "turner", None, "for"), ("Alex Turner", "alex", None, None), ("Alex Turner", "bob", None, "against"), ("Alex", "alex", None, "for"), ("Alex", "bob", None, "against")]
     df = spark.createDataFrame(sides, "p string, a string, b string, want string")
     assert all(r.got == r.want for r in df.withColumn("got", S.intro_side(name_words(F.col("p")), F.col("a"), F.col("b"))).collect())
