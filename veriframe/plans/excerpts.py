@@ -82,6 +82,8 @@ y AS (SELECT lv.id AS excerpt_id, lw.id AS id, 1 AS m FROM lv JOIN lw ON contain
 z AS (SELECT excerpt_id, id, min(m) AS m FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY ALL)
 """
 ORACLES = {
+    "q_fold_spans": r"""SELECT conv_id * 1000 + turn AS id, md5(f) AS folded, length(f)::INTEGER AS n, true AS mapped
+FROM (SELECT conv_id, turn, '''' || regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g') || '-''' AS f FROM conversations)""",
     "q_excerpt_parts": f"WITH {_SAID} SELECT id AS excerpt_id, (2 + CASE WHEN regexp_matches(coalesce(q, p), '[.,;:!?]$') THEN 1 ELSE 0 END)::INTEGER AS n_parts, CASE WHEN whole THEN 1 ELSE 2 END::INTEGER AS n_pieces FROM v",
     "q_excerpt_matches": f"""WITH {_MATCHED}, f AS (SELECT *, min(m) OVER (PARTITION BY excerpt_id) AS best FROM z),
 g AS (SELECT excerpt_id, id, CASE m WHEN 0 THEN 'exact' ELSE 'tolerant' END AS method, row_number() OVER (PARTITION BY excerpt_id ORDER BY id) AS no, count(*) OVER (PARTITION BY excerpt_id) AS total, 0::BIGINT AS dropped FROM f WHERE m = best)
