@@ -37,6 +37,13 @@ def has_cyrillic(text: str) -> bool:
     return _CYRILLIC.search(text) is not None
 
 
+@lru_cache(1 << 14)
+def _folded_letter(letter: str) -> str:
+    """The tolerant fold of a letter with its marks."""
+    seen = "".join(c for c in letter if c not in _UNSEEN)
+    return _SPACES.sub(" ", unicodedata.normalize("NFKC", seen).casefold()).translate(_ONE_MARK)
+
+
 def fold(text: str | None, level: str = TOLERANT) -> tuple[str, list[int], list[int]]:
     """The folded text, and for each of its characters the start and the end of what it stands for.
 
@@ -54,8 +61,7 @@ def fold(text: str | None, level: str = TOLERANT) -> tuple[str, list[int], list[
         bounds = [0, *(k for k in range(1, len(text)) if not unicodedata.combining(text[k])), len(text)]
     units: list[tuple[str, int, int]] = []
     for start, end in zip(bounds, bounds[1:]):
-        seen = "".join(c for c in text[start:end] if c not in _UNSEEN)
-        for c in _SPACES.sub(" ", unicodedata.normalize("NFKC", seen).casefold()).translate(_ONE_MARK):
+        for c in _folded_letter(text[start:end]):
             if level == TRANSLITERATION:
                 units += [(x, start, end) for x in LATIN.get(c, c)]
             else:

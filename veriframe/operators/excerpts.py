@@ -83,8 +83,8 @@ def candidates(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def placed(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(excerpt_id, id, grp, part, method, ranges, spans, ok): every place of every part by every
-    method; ``ok`` is the verdict of the check that knows only the two texts."""
+    """(excerpt_id, id, grp, part, method, ranges, spans, ok): every place of every part by the
+    strictest method that is verified, and by those before it; ``ok`` is the verdict of the check that knows only the two texts."""
     pairs = candidates(excerpts, bodies).join(excerpts, "excerpt_id").join(bodies, "id")
 
     @F.pandas_udf(_FOUND)
@@ -105,6 +105,8 @@ def _places(excerpt: str, body: str, wanted) -> list[dict]:
             if spans:
                 ok = O.verified(excerpt, body, ranges, spans, method)
                 out.append({"grp": p["grp"], "part": p["part"], "method": m, "ranges": as_pairs(ranges), "spans": as_pairs(spans), "ok": ok})
+                if ok:  # a weaker method would only find the same again
+                    break
     return out
 
 

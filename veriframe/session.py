@@ -45,3 +45,11 @@ def shared_path(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df):
+    """The rows written to the shared folder and read back: for what is used several times and
+    costly to find again. It outlives lost executors."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
