@@ -24,7 +24,7 @@ def _cell(v):
 
 @pytest.mark.parametrize("name", ["q_window_count_check", "q_exchanges", "q_quiet_stretches", "q_paired_match_states", "q_verdict_rules", "q_quote_cascade", "q_person_accounts", "q_time_parse_problems",
     "q_sender_check", "q_name_level", "q_hash_chain_heads", "q_review_queue", "q_window_edges", "q_period_or_nearest", "q_latest_runs", "q_field_mismatch", "q_carried_confirmations", "q_time_compare", "q_quote_skips",
-    "q_resolved_names", "q_import_differences", "q_search_terms", "q_with_companions", "q_changed_claims", "q_excerpt_lines"])
+    "q_resolved_names", "q_import_differences", "q_search_terms", "q_with_companions", "q_changed_claims", "q_excerpt_lines", "q_paragraph_quotes", "q_tagged_passages", "q_passage_rows"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
