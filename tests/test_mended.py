@@ -87,3 +87,22 @@ def test_open_contradictions_beside_a_found_one(spark):
     facts = spark.createDataFrame([(k, False, False, False, True) for k in (1, 2, 3)], "claim_id int, edited boolean, decided_after boolean, incomplete boolean, reviewed boolean")
     got = {r.claim_id: r.n_open_against for r in R.claim_states(decided, assumptions, evidence, facts).collect()}
     assert got == {1: 0, 2: 2, 3: 1}
+
+
+def test_quoted_strings_by_length_order_and_once(spark):
+    from veriframe.functions.text import quoted
+
+    texts = [("He didn't say 'now or never', but \"x\" and “ at nine ” and 'now or never'.",), ("it's 'y' isn't",), ('"' + "a" * 121 + "\" and 'aa'",), (None,), ("“a” \"bb\"",)]
+    got = [r.q for r in spark.createDataFrame(texts, "t string").select(quoted(F.col("t")).alias("q")).collect()]
+    assert got == [["now or never", "at nine"], [], ["aa"], None, ["bb"]]
+
+
+def test_merged_ranges_fill_only_what_they_cover(spark):
+    from veriframe.operators.statements import fill_merged
+
+    cells = [("s", r, c, v) for c, column in (("app", ["Chat", None, " ", None, None, "Mail", None]), ("note", ["n", None, None, None, None, None, None])) for r, v in enumerate(column)]
+    rows = spark.createDataFrame(cells, "sheet string, row_no long, col string, cell string")
+    merges = spark.createDataFrame([("s", "app", 0, 3), ("s", "app", 4, 4), ("s", "note", 0, 6), ("t", "app", 5, 6)], "sheet string, col string, first_row long, last_row long")
+    got = {(r.col, r.row_no): (r.cell, r.filled) for r in fill_merged(rows, merges, ("app",)).collect()}
+    assert [got["app", k] for k in range(7)] == [("Chat", False), ("Chat", True), (" ", False), ("Chat", True), (None, False), ("Mail", False), (None, False)]
+    assert all(got["note", k] == (None, False) for k in range(1, 7))

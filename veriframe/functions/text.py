@@ -53,12 +53,14 @@ def alias_forms(c: Column) -> Column:
     return F.filter(F.array_distinct(F.array(key, bare, F.concat(F.lit("the "), bare))), lambda k: (k != "") & (k != "the "))
 
 
+# Fixed value: strings of 2 to 120 characters in double quotes, or in single ones that are no apostrophes.
+QUOTED = r"(?U)[\"“][^\"“”]{2,120}[\"”]|(?<!\w)'[^']{2,120}'(?!\w)"
+
+
 def quoted(c: Column) -> Column:
-    """The strings a text puts between double quotes, straight or curly, or between single ones
-    that are no apostrophes."""
-    double = F.regexp_extract_all(c, F.lit(r"[\"“]([^\"“”]+)[\"”]"), F.lit(1))
-    single = F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}])['‘]([^'‘’]+)['’](?![\p{L}\p{N}])"), F.lit(1))
-    return F.concat(double, single)
+    """The strings a text puts between quotes, without blanks at their ends, in reading order, each once."""
+    marked = F.regexp_extract_all(c, F.lit(QUOTED), F.lit(0))
+    return F.array_distinct(F.transform(marked, lambda m: F.regexp_replace(F.substring(m, F.lit(2), F.length(m) - 2), r"(?U)^\s+|\s+$", "")))
 
 
 def tokens(c: Column) -> Column:

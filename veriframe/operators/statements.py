@@ -280,10 +280,19 @@ def find_header(rows: DataFrame, known: tuple[str, ...], least: int = 2, leading
     return t.groupBy("sheet").agg(F.min(F.struct("row_no", "n_known")).alias("h")).select("sheet", "h.row_no", "h.n_known")
 
 
-def fill_down(rows: DataFrame, by: str, order: str, cell: str) -> DataFrame:
-    """Merged cells: an empty cell takes the last filled one above it in its sheet."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(cell, F.last(F.when(F.trim(F.col(cell)) != "", F.col(cell)), True).over(w))
+def fill_merged(rows: DataFrame, merges: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``filled``: the value at the top of a merged range goes down into its empty cells,
+    in columns that label a group of rows; a range of blanks fills nothing, a cell of blanks is not empty.
+
+    rows: sheet, row_no, col, cell (one row a cell); merges: sheet, col, first_row, last_row, which
+    do not overlap. A range becomes one row for each cell it covers, so cells meet by their places.
+    """
+    at = ["sheet", "col", "row_no"]
+    ranges = merges.filter(F.col("col").isin(*labels) & (F.col("last_row") > F.col("first_row")))
+    tops = ranges.withColumn("row_no", F.col("first_row")).join(rows.select(*at, F.col("cell").alias("top")), at).filter(F.trim("top") != "")
+    below = tops.select("sheet", "col", "top", F.explode(F.sequence(F.col("first_row") + 1, F.col("last_row"))).alias("row_no"))
+    empty = F.col("cell").isNull() & F.col("top").isNotNull()
+    return rows.join(below, at, "left").select(*at, F.coalesce("cell", "top").alias("cell"), empty.alias("filled"))
 
 
 def numbered_copies(rows: DataFrame) -> DataFrame:

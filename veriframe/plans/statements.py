@@ -223,9 +223,13 @@ def q_header_rows(spark, sf_dir):
 
 
 def q_fill_down(spark, sf_dir):
+    """Sheets of fifty rows; each sixth row tops a range of one to four rows of one of two columns."""
     k = _k("event_id")
-    rows = _t(spark, sf_dir, "events", sheet=_k("user_id"), row_no=k, cell=F.when(k % 4 == 0, _k("event_type")).when(k % 4 == 1, F.lit(" ")))
-    return S.fill_down(rows, "sheet", "row_no", "cell").groupBy("sheet", "cell").agg(F.count("*").alias("n"))
+    sheet, row = F.floor(k / 50), k % 50
+    cell = F.when((k % 3 == 0) & (k % 7 != 0), _k("event_type")).when(k % 11 == 1, F.lit(" "))
+    rows = _t(spark, sf_dir, "events", sheet=sheet, row_no=row, col=F.lit("app"), cell=cell)
+    merges = _t(spark, sf_dir, "events", k=k, sheet=sheet, first_row=row, last_row=row + k % 4, col=F.when(k % 5 == 0, F.lit("note")).otherwise(F.lit("app"))).filter("k % 6 = 0")
+    return S.fill_merged(rows, merges, ("app",))
 
 
 def q_numbered_copies(spark, sf_dir):
@@ -270,10 +274,14 @@ def q_durations(spark, sf_dir):
 
 
 def q_quoted_strings(spark, sf_dir):
+    """What sentences quote: three words or a whole turn, some twice, besides a last word in other marks."""
     k = _k("conv_id") + _k("turn")
-    words = F.split("text", " ")
-    said = F.concat(F.lit("He didn't say "), _pick(('"', "“", "'"), k), F.array_join(F.slice(words, 1, 3), " "), _pick(('"', "”", "'"), k), F.lit(" or it"))
-    return _t(spark, sf_dir, "conversations", conv_id=_k("conv_id"), turn=_k("turn"), said=F.array_join(T.quoted(said), "|")).filter("said NOT LIKE '%\\'%'")
+    words = F.split(F.translate("text", "\"“”'", ""), " ")
+    said = F.when(k % 5 == 0, F.array_join(words, " ")).otherwise(F.array_join(F.slice(words, 1, 3), " "))
+    kind = F.when(k % 5 == 0, 1).otherwise(k % 3)  # a string too long leaves a mark that could open another, but for a curly one
+    marked = F.concat(_pick(('"', "“", "'"), kind), said, _pick(('"', "”", "'"), kind))
+    text = F.concat(F.lit("He didn't say "), marked, F.lit(" or 'x', but \" "), F.element_at(words, -1), F.lit(" ” and it's "), marked, F.lit(" again"))
+    return _t(spark, sf_dir, "conversations", conv_id=_k("conv_id"), turn=_k("turn"), said=F.array_join(T.quoted(text), "|"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q_") and f.__module__ == __name__}
@@ -370,7 +378,9 @@ SELECT *, n_accounts + n_contacts > 0 AS resolved FROM r""",
     "q_whole_cards": "WITH c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 3 AS source_id, l_orderkey AS locator FROM lineitem), h AS (SELECT source_id, locator FROM c WHERE id IN (SELECT id FROM c WHERE id % 17 = 0)) SELECT source_id, locator, id FROM c WHERE (source_id, locator) IN (SELECT (source_id, locator) FROM h)",
     "q_header_rows": """WITH r AS (SELECT l_orderkey AS sheet, l_linenumber AS row_no, (l_linenumber > 2)::INT + (l_linenumber > 1 AND l_orderkey % 3 <> 0)::INT + (l_partkey % 2 = 0)::INT AS n_known FROM lineitem),
 m AS (SELECT * FROM r WHERE n_known >= 2 AND row_no < 10) SELECT sheet, row_no, min(n_known)::INTEGER AS n_known FROM m WHERE (sheet, row_no) IN (SELECT (sheet, min(row_no)) FROM m GROUP BY sheet) GROUP BY sheet, row_no""",
-    "q_fill_down": "WITH r AS (SELECT user_id AS sheet, event_id, CASE WHEN event_id % 4 = 0 THEN event_type END AS c FROM events), f AS (SELECT sheet, last_value(c IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY event_id) AS cell FROM r) SELECT sheet, cell, count(*) AS n FROM f GROUP BY ALL",
+    "q_fill_down": """WITH r AS (SELECT event_id AS k, event_id // 50 AS sheet, event_id % 50 AS row_no, CASE WHEN event_id % 3 = 0 AND event_id % 7 <> 0 THEN event_type WHEN event_id % 11 = 1 THEN ' ' END AS cell FROM events)
+SELECT a.sheet, a.row_no, 'app' AS col, coalesce(a.cell, b.cell) AS cell, a.cell IS NULL AND b.cell IS NOT NULL AS filled FROM r a
+LEFT JOIN r b ON b.sheet = a.sheet AND b.k % 6 = 0 AND b.k % 5 <> 0 AND a.row_no > b.row_no AND a.row_no <= b.row_no + b.k % 4 AND trim(b.cell) <> ''""",
     "q_numbered_copies": """WITH r AS (SELECT l_suppkey AS sheet, (l_partkey % 60)::VARCHAR AS b, l_linenumber % 2 = 0 AS copy FROM lineitem) SELECT sheet, b || '(1)' AS number FROM r WHERE copy AND EXISTS (SELECT 1 FROM r x WHERE x.sheet = r.sheet AND x.b = r.b AND NOT x.copy)""",
     "q_call_parties": """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN o_custkey WHEN 0 THEN o_orderkey % 100 WHEN 2 THEN o_orderkey % 100 END AS caller, CASE o_orderkey % 4 WHEN 1 THEN o_orderkey % 100 WHEN 0 THEN o_custkey WHEN 2 THEN o_custkey END AS callee FROM orders""",
     "q_contact_entries": "SELECT p_partkey AS card, unnest([0, 1])::INTEGER AS no, unnest([p_size::VARCHAR, p_brand]) AS identifier FROM part",
@@ -380,5 +390,8 @@ SELECT problem, count(*) AS n FROM (SELECT unnest(l) AS problem FROM u) GROUP BY
     "q_thread_keys": """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'c' || (o_orderkey % 40) ELSE array_to_string(list_sort(list_distinct([(o_custkey % 9)::VARCHAR, (o_orderkey % 9)::VARCHAR])), '|') END AS key, count(*) AS n FROM orders GROUP BY 1""",
     "q_csv_guard": f"""SELECT CASE WHEN event_id % 7 IN (0, 1, 3, 4) THEN '''' ELSE '' END || CASE event_id % 7 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN 'a' WHEN 3 THEN '-' WHEN 4 THEN '@' WHEN 5 THEN ' ' ELSE '''' END || event_type AS cell, count(*) AS n FROM events GROUP BY 1""",
     "q_durations": "WITH s AS (SELECT event_id AS id, event_id % 9000 AS s FROM events) SELECT id, CASE s % 3 WHEN 0 THEN s WHEN 1 THEN s % 3600 END AS seconds FROM s",
-    "q_quoted_strings": "WITH t AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS said FROM conversations) SELECT * FROM t WHERE said NOT LIKE '%''%'",
+    "q_quoted_strings": r"""WITH t AS (SELECT conv_id, turn, conv_id + turn AS k, string_split(translate(text, '"“”' || chr(39), ''), ' ') AS w FROM conversations),
+u AS (SELECT conv_id, turn, regexp_replace(CASE WHEN k % 5 = 0 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:3], ' ') END, '$', '') AS a, w[-1] AS b FROM t),
+v AS (SELECT *, CASE WHEN length(a) BETWEEN 2 AND 120 THEN regexp_replace(a, '^\s+|\s+$', '', 'g') END AS x, CASE WHEN length(b) <= 118 THEN regexp_replace(b, '^\s+|\s+$', '', 'g') END AS y FROM u)
+SELECT conv_id, turn, concat_ws('|', x, CASE WHEN y IS DISTINCT FROM x THEN y END) AS said FROM v""",
 }
