@@ -13,9 +13,8 @@ PAGE = 12
 def _lines(spark, sf_dir):
     """Eight words a line; each fifth line stands after a blank one, each ninth is a heading, each seventh numbered."""
     d = table(spark, sf_dir, "documents")
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int")), lambda i: F.array_join(F.slice(words, i * 8 + 1, F.lit(8)), " "))
-    rows = d.select("doc_id", F.posexplode(F.when(F.size(words) > 0, cut)).alias("k", "said"))
+    cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+(?:\s+\S+){0,7}"), F.lit(0))
+    rows = d.select("doc_id", F.posexplode(cut).alias("k", "said")).withColumn("said", F.regexp_replace("said", r"\s+", " "))
     k = F.col("k")
     text = F.when(k % 9 == 8, F.upper(F.left("said", F.lit(40)))).when(k % 7 == 6, F.concat(F.floor(k / 7) + 1, F.lit(". "), "said")).otherwise(F.col("said"))
     text = F.when(k % 7 == 5, F.concat(text, F.lit("."))).otherwise(text)
