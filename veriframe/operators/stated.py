@@ -137,31 +137,52 @@ def _half_day(h: Column, m: Column, half: Column) -> Column:
     return F.when(h.between(1, 12), (h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0)) * 60 + F.coalesce(m, F.lit(0)))
 
 
-def _read(said: Column, start: Column, gap: Column, before: Column) -> Column:
+def _fields(pattern: str, kind: str, n: int) -> tuple[str, str]:
+    """A pattern, and what puts its kind and groups in its place with marks between."""
+    return pattern, _MARK.join([kind, *(f"${k}" for k in range(1, n + 1))])
+
+
+_FIELDS = (_fields(_NAMED_PARTS, "named", 5), _fields(_ISO_PARTS, "iso", 3), _fields(_NUMERIC_PARTS, "numeric", 3), _fields(_CLOCK_PARTS, "clock", 8))
+
+
+def _cut(said: Column, start: Column, gap: Column, before: Column) -> Column:
+    """What was found with its kind and parts, each pattern tried once."""
+    parts = said
+    for pattern, put in _FIELDS:
+        parts = F.regexp_replace(parts, pattern, put)
+    return F.struct(said.alias("said"), start.alias("s"), gap.alias("gap"), before.alias("before"), F.split(parts, _MARK).alias("p"), F.regexp_extract(F.right(before, F.lit(16)), _BARE_HOUR, 0).alias("bare"))
+
+
+def _typed(x: Column) -> Column:
+    """The parts as numbers and dates."""
+    p = lambda k: F.get(x.p, F.lit(k))
+    is_ = lambda kind: p(0) == kind
+    digits = lambda k: F.split_part(F.regexp_replace(F.trim(x.bare), r"(?U)\s.*", ""), F.lit(":"), F.lit(k))
+    clock, half = is_("clock"), is_("clock") & (p(4) != "")
+    at = F.when(p(7) != "", F.when(F.lower(p(7)) == "noon", 720).otherwise(0)).when(half, _half_day(_int(p(2)), _int(p(3)), p(4))).otherwise(_int(p(5)) * 60 + _int(p(6)))
+    bare_met = half & (x.bare != "")
+    month_first = F.when(is_("iso"), _date(_int(p(1)), _int(p(2)), _int(p(3)))).when(is_("numeric"), _date(_int(p(3)), _int(p(1)), _int(p(2))))
+    return F.struct(
+        x.said.alias("said"), x.s.alias("s"), x.gap.alias("gap"), x.before.alias("before"), p(0).alias("kind"), x.p.alias("p"), F.length(x.bare).alias("bare_length"), F.coalesce(bare_met, F.lit(False)).alias("bare"),
+        month_first.alias("md"), F.when(is_("numeric"), _date(_int(p(3)), _int(p(2)), _int(p(1)))).alias("dm"), (is_("numeric") & (F.length(p(3)) == 2)).alias("short"),
+        F.when(clock, at).alias("at"), F.when(bare_met, _half_day(_int(digits(1)), _int(digits(2)), p(4))).alias("bare_at"),
+    )
+
+
+def _read(x: Column) -> Column:
     """One date or time of day as it stands, not yet tied to anything."""
-    n, i, u, c = ([F.regexp_extract(said, p, k) for k in range(k_max + 1)] for p, k_max in ((_NAMED_PARTS, 5), (_ISO_PARTS, 3), (_NUMERIC_PARTS, 3), (_CLOCK_PARTS, 8)))
-    named, iso, numeric = n[0] != "", i[0] != "", u[0] != ""
-    first, second, y = _int(u[1]), _int(u[2]), _int(u[3])
-    md, dm = _date(y, first, second), _date(y, second, first)
-    short, either = numeric & (F.length(u[3]) == 2), numeric & (F.length(u[3]) == 4) & (md != dm)
-    one = F.coalesce(md, dm)
-    problem = F.when(short, "two_digit_year").when(either, "either_order").when(numeric & one.isNull(), "no_date")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.left(F.lower(n[2]), F.lit(3))).cast("int")
-    fixed = F.when(iso, _date(_int(i[1]), _int(i[2]), _int(i[3]))).when(numeric & problem.isNull(), one)
-    clock = ~(named | iso | numeric)
-    at = F.when(c[7] != "", F.when(F.lower(c[7]) == "noon", 720).otherwise(0)).when(c[4] != "", _half_day(_int(c[2]), _int(c[3]), c[4])).otherwise(_int(c[5]) * 60 + _int(c[6]))
-    near = F.right(before, F.lit(16))
-    bare = [F.regexp_extract(near, _BARE_HOUR, k) for k in range(3)]
-    bare_met = clock & (c[4] != "") & (bare[0] != "")
-    bare_at = F.when(bare_met, _half_day(_int(bare[1]), _int(bare[2]), c[4]))
-    ranged = F.coalesce(bare_at < at, F.lit(False))
+    p = lambda k: F.get(x.p, F.lit(k))
+    named, clock, full = x.kind == "named", x.kind == "clock", (x.kind == "numeric") & ~x.short
+    either, fixed = full & (x.md != x.dm), F.when(~x.short, F.coalesce(x.md, x.dm))
+    problem = F.when(x.short, "two_digit_year").when(either, "either_order").when(full & fixed.isNull(), "no_date")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.left(F.lower(p(2)), F.lit(3))).cast("int")
+    ranged = F.coalesce(x.bare_at < x.at, F.lit(False))
     return F.struct(
-        said.alias("said"), start.alias("s"), (start + F.length(said)).alias("e"), gap.alias("gap"), before.alias("before"),
-        (~clock).alias("is_date"), (clock & at.isNotNull()).alias("is_time"), problem.alias("problem"), F.when(either, F.array(md, dm)).alias("readings"),
-        F.when(iso & fixed.isNull(), F.lit(0)).when(fixed.isNotNull(), F.year(fixed)).otherwise(_int(n[5])).alias("year"),
-        F.when(fixed.isNotNull(), F.month(fixed)).otherwise(month).alias("month"), F.when(fixed.isNotNull(), F.day(fixed)).otherwise(_int(n[3])).alias("day"),
-        _int(n[4]).alias("day2"), _text(n[1]).alias("weekday"), F.when(ranged, bare_at).otherwise(at).alias("at"), F.when(ranged, at).alias("end_at"),
-        (c[1] != "").alias("about"), _text(c[8]).alias("zone"), bare_met.alias("bare"), F.when(ranged, F.length(bare[0])).otherwise(0).alias("lead"),
+        x.said.alias("said"), x.s.alias("s"), (x.s + F.length(x.said)).alias("e"), x.gap.alias("gap"), x.before.alias("before"),
+        (~clock).alias("is_date"), (clock & x.at.isNotNull()).alias("is_time"), problem.alias("problem"), F.when(either, F.array(x.md, x.dm)).alias("readings"),
+        F.when(named, _int(p(5))).otherwise(F.coalesce(F.year(fixed), F.lit(0))).alias("year"), F.when(named, month).otherwise(F.month(fixed)).alias("month"), F.when(named, _int(p(3))).otherwise(F.day(fixed)).alias("day"),
+        F.when(named, _int(p(4))).alias("day2"), F.when(named, _text(p(1))).alias("weekday"), F.when(ranged, x.bare_at).otherwise(x.at).alias("at"), F.when(ranged, x.at).alias("end_at"),
+        (clock & (p(1) != "")).alias("about"), F.when(clock, _text(p(8))).alias("zone"), x.bare.alias("bare"), F.when(ranged, x.bare_length).otherwise(0).alias("lead"),
     )
 
 
@@ -174,11 +195,11 @@ def _found(paragraphs: DataFrame) -> DataFrame:
     def one(k: Column) -> Column:
         start = F.get("at", 2 * k - 1)
         width = F.least(start, F.lit(_BEFORE_LEN))
-        return _read(F.get("parts", 2 * k - 1), start, F.get("parts", 2 * k), F.substring(F.col("text"), start - width + 1, width))
+        return _cut(F.get("parts", 2 * k - 1), start, F.get("parts", 2 * k), F.substring(F.col("text"), start - width + 1, width))
 
     years = F.array_distinct(F.regexp_extract_all("text", F.lit(_YEAR), F.lit(1)))
     n = F.floor(F.size("parts") / 2).cast("int")
-    return t.select("doc", "para_id", years.alias("years"), F.length("text").alias("length"), sentence_spans(F.col("text")).alias("sentences"), F.transform(F.sequence(F.lit(1), n), one).alias("found"))
+    return t.select("doc", "para_id", years.alias("years"), F.length("text").alias("length"), sentence_spans(F.col("text")).alias("sentences"), F.transform(F.transform(F.transform(F.sequence(F.lit(1), n), one), _typed), _read).alias("found"))
 
 
 def _linked(t: DataFrame) -> DataFrame:
