@@ -277,7 +277,8 @@ def stated(paragraphs: DataFrame) -> DataFrame:
     t = t.withColumn("side", F.aggregate(at, F.array().cast("array<int>"), take))
     with_time = lambda x, i: x.withField("side", F.get("side", i)).withField("t", F.when(F.get("side", i) == 1, F.get("items", i - 1)).when(F.get("side", i) == 2, F.get("items", i + 1))).withField("used", F.coalesce(F.get("side", i + 1) == 1, F.lit(False)) | F.coalesce(F.get("side", i - 1) == 2, F.lit(False)))
     kept = F.filter(F.transform("items", with_time), lambda x: x.a.is_date | (x.a.is_time & ~x.used))
-    rows = t.select("doc", "para_id", "length", "sentences", F.posexplode(kept).alias("pos", "x"))
+    # outer: an inner explode would have all of its input computed once more to look for empty arrays
+    rows = t.select("doc", "para_id", "length", "sentences", F.posexplode_outer(kept).alias("pos", "x")).filter("pos IS NOT NULL")
     return _placed(_valued(rows))
 
 
@@ -348,7 +349,7 @@ def numbers(paragraphs: DataFrame) -> DataFrame:
     cut = masked(F.regexp_replace(_clean(F.col("text")), one_blank, f"$1{_FILL}"))
     t = paragraphs.select("para_id", _parted(cut, f"(?U){_NUMBER}").alias("parts")).filter(F.size("parts") > 1).withColumn("at", offsets(_sizes(F.col("parts"))))
     found = F.filter(F.arrays_zip("at", "parts"), lambda x, i: i % 2 == 1)
-    rows = t.select("para_id", F.explode(found).alias("x")).select("para_id", F.col("x.at").alias("start"), F.col("x.parts").alias("words"))
+    rows = t.select("para_id", F.explode_outer(found).alias("x")).filter("x IS NOT NULL").select("para_id", F.col("x.at").alias("start"), F.col("x.parts").alias("words"))
     return rows.filter(F.length(F.regexp_replace("words", r"\D", "")) >= 10)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules of this package that register queries.
-FAMILIES: tuple[str, ...] = ("checks", "timeline", "matching", "quotes", "rules", "people", "alternatives", "passages", "fields", "lookups", "statements", "evidence", "excerpts", "audit", "paragraphs", "stated")
+FAMILIES: tuple[str, ...] = ("checks", "timeline", "matching", "quotes", "rules", "people", "alternatives", "passages", "fields", "lookups", "statements", "evidence", "excerpts", "audit", "paragraphs", "stated", "cited")
 
 
 def _gather(what: str) -> dict:
