@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.functions.text import contains_aligned, quote_fold, term_matches, tokens, words_only
+from veriframe.functions.text import case_fold, contains_aligned, quote_fold, term_matches, tokens, words_only
 
 
 def _anchor_words(text: Column) -> Column:
     """Runs of letters and digits in lower case, parted at apostrophes of any form: a word-aligned
     match holds all of the quote's, whole. The two small sigmas are one, as the letters beyond the
-    match decide between them."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(F.lower(text), "ς", "σ"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    match decide between them, and ß is ss, as in capitals."""
+    return F.array_distinct(F.regexp_extract_all(case_fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def _anchored(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def find_quotes(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
     """(quote_id, id, method): word-aligned matches, ``exact`` or else ``folded`` (quote marks,
     spaces and case). Quotes without a word match nothing. quotes: quote_id, quote; bodies: id, body."""
     found = _anchored(quotes, bodies)
-    fold = lambda c: F.lower(quote_fold(F.trim(c)))
+    fold = lambda c: case_fold(quote_fold(F.trim(c)))
     exact = contains_aligned(F.col("body"), F.col("quote"))
     folded = contains_aligned(fold(F.col("body")), fold(F.col("quote")))
     return found.select("quote_id", "id", F.when(exact, "exact").when(folded, "folded").alias("method")).filter("method IS NOT NULL")
@@ -52,7 +52,7 @@ def cascade(found: DataFrame, most: int = 25) -> DataFrame:
 def same_words(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
     """(quote_id, id): the quote's words in a run, whatever stands between them."""
     found = _anchored(quotes, bodies)
-    return found.filter(words_only(F.col("body")).contains(words_only(F.col("quote")))).select("quote_id", "id")
+    return found.filter(case_fold(words_only(F.col("body"))).contains(case_fold(words_only(F.col("quote"))))).select("quote_id", "id")
 
 
 def messages_with(quotes: DataFrame, bodies: DataFrame) -> DataFrame:

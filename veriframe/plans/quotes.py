@@ -62,19 +62,20 @@ d AS (SELECT doc_id AS id, text AS body FROM documents),
 e AS (SELECT quote_id, quote, CASE WHEN regexp_matches(quote, '^[\p{L}\p{N}_]') THEN '(^|[^\p{L}\p{N}_])' ELSE '' END AS pre,
       CASE WHEN regexp_matches(quote, '[\p{L}\p{N}_]$') THEN '($|[^\p{L}\p{N}_])' ELSE '' END AS post FROM q),
 x AS (SELECT quote_id, id, 0 AS rank FROM e JOIN d ON contains(body, quote) WHERE regexp_matches(body, pre || regexp_escape(quote) || post)),
-l AS (SELECT quote_id, pre, post, regexp_replace(lower(quote), '\s+', ' ', 'g') AS quote FROM e),
-b AS (SELECT id, regexp_replace(translate(lower(trim(body)), '‘’“”', '''''""'), '\s+', ' ', 'g') AS body FROM d),
+l AS (SELECT quote_id, pre, post, regexp_replace(replace(replace(lower(quote), 'ς', 'σ'), 'ß', 'ss'), '\s+', ' ', 'g') AS quote FROM e),
+b AS (SELECT id, regexp_replace(translate(replace(replace(lower(trim(body)), 'ς', 'σ'), 'ß', 'ss'), '‘’“”', '''''""'), '\s+', ' ', 'g') AS body FROM d),
 y AS (SELECT quote_id, id, 1 AS rank FROM l JOIN b ON contains(body, quote) WHERE regexp_matches(body, pre || regexp_escape(quote) || post)),
 m AS (SELECT quote_id, id, min(rank) AS rank FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY quote_id, id)
 """
 _WORDS = r"' ' || array_to_string(regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*)'), ' ') || ' '"
 _TOKENS = r"regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*)')"
+_FOLD = "replace(replace({}, 'ς', 'σ'), 'ß', 'ss')"  # ß is SS or ẞ in capitals
 ORACLES = {
     "q_quote_exact_contains": f"WITH {_QUOTES} SELECT quote_id, id FROM x",
     "q_quote_cascade": f"""WITH {_QUOTES}, z AS (SELECT *, min(rank) OVER (PARTITION BY quote_id) AS best FROM m),
 w AS (SELECT quote_id, id, CASE rank WHEN 0 THEN 'exact' ELSE 'folded' END AS method, row_number() OVER (PARTITION BY quote_id ORDER BY id)::INTEGER AS no, count(*) OVER (PARTITION BY quote_id) AS total FROM z WHERE rank = best)
 SELECT * FROM w WHERE no <= 5""",
-    "q_same_words_run": f"""WITH {_QUOTES}, qw AS (SELECT quote_id, {_WORDS.format('quote')} AS w FROM q), dw AS (SELECT id, {_WORDS.format('body')} AS w FROM d)
+    "q_same_words_run": f"""WITH {_QUOTES}, qw AS (SELECT quote_id, {_FOLD.format(_WORDS.format('quote'))} AS w FROM q), dw AS (SELECT id, {_FOLD.format(_WORDS.format('body'))} AS w FROM d)
 SELECT quote_id, id FROM qw JOIN dw ON contains(dw.w, qw.w) WHERE qw.w <> '  '""",
     "q_keyword_score_topk": f"""
 WITH a AS (SELECT item_id AS query_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)),
