@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.predicates import channel_ok, embedded_copy, in_window, opposite_sides
 from veriframe.operators.quotes import messages_with
+from veriframe.operators.timeline import counts_inside
 
 PASS, FAIL, INCONCLUSIVE = "pass", "fail", "inconclusive"
 #: Two rows of one call from two databases fall this close together (seconds).
@@ -135,14 +136,18 @@ def absence(claims: DataFrame, records: DataFrame, sources: DataFrame) -> DataFr
 
 
 def quoted_messages(claims: DataFrame, records: DataFrame) -> DataFrame:
-    """Each claim's messages that hold its quoted words (``quotes.messages_with``) on its channels.
+    """(quote, the record): the messages that hold the quoted words of any claim
+    (``quotes.messages_with``), once for each wording and not for each claim of it.
 
-    Claims of equal words are looked up once. Embedded copies stay in: what rests on one is open."""
+    Embedded copies stay in: what rests on one is open."""
     asked = claims.filter("quote IS NOT NULL").select(F.xxhash64("quote").alias("quote_id"), "quote").dropDuplicates(["quote"])
     bodies = records.filter("kind = 'message' AND text IS NOT NULL").select("id", F.col("text").alias("body"))
     found = messages_with(asked, bodies).join(asked, "quote_id").drop("quote_id")
-    rows = claims.withColumnRenamed("source_id", "on_source").join(found, "quote").join(records, "id")
-    return rows.filter(channel_ok(F.col("kind"), F.col("app"), F.col("channels")))
+    return found.join(records, "id").withColumn("channel", F.struct("kind", "app"))
+
+
+def _on_channel(df: DataFrame) -> DataFrame:
+    return df.filter(channel_ok(F.col("channel.kind"), F.col("channel.app"), F.col("channels")))
 
 
 def involves_all(sender: Column, recipients: Column, a: Column, b: Column) -> Column:
@@ -151,6 +156,16 @@ def involves_all(sender: Column, recipients: Column, a: Column, b: Column) -> Co
     return F.when(F.size(b) > 0, opposite_sides(sender, recipients, a, b)).when(F.size(a) > 0, F.arrays_overlap(on, a)).otherwise(True)
 
 
+def _with_parties(claims: DataFrame, records: DataFrame, on: list[str]) -> DataFrame:
+    """Claims that name a party with the records that involve their parties: of two parties one is the
+    sender, so they meet by that; a single one may stand anywhere on the record."""
+    parties = F.array_distinct(F.array_compact(F.concat(F.array("sender"), "recipients")))
+    side = lambda df, who: df.withColumn("account", F.explode(F.array_distinct(who)))
+    two = side(claims.filter("size(b) > 0"), F.concat("a", "b")).join(records.withColumn("account", F.col("sender")), [*on, "account"])
+    one = side(claims.filter("size(b) = 0"), F.col("a")).join(records.withColumn("account", F.explode(parties)), [*on, "account"])
+    return two.unionByName(one).filter(involves_all(F.col("sender"), F.col("recipients"), F.col("a"), F.col("b")))
+
+
 def time_check(claims: DataFrame, records: DataFrame) -> DataFrame:
     """A record inside the window passes. Messages picked by their words fail if all are timed and
     outside; calls are picked by their parties, so one outside may be another call and never fails.
@@ -159,17 +174,23 @@ def time_check(claims: DataFrame, records: DataFrame) -> DataFrame:
     channels, min_s and max_s (a call's length, null: any). A call named with an app beside "call"
     is on that app; one without a recorded length meets no stated length.
     """
-    keys = ["claim_id", "us", "lo", "hi", "id"]
-    spoken = quoted_messages(claims, records).filter(involves_all(F.col("sender"), F.col("recipients"), F.col("a"), F.col("b"))).select(*keys)
-    calls = records.filter("kind = 'call'").withColumn("account", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("sender"), "recipients")))))
-    sides = claims.filter("quote IS NULL").withColumn("account", F.explode(F.array_distinct(F.concat("a", "b")))).drop("source_id")
-    held = sides.join(calls, "account").filter(channel_ok(F.col("kind"), F.col("app"), F.col("channels")) & involves_all(F.col("sender"), F.col("recipients"), F.col("a"), F.col("b")))
+    claims = claims.withColumnRenamed("source_id", "on_source")
+    said = quoted_messages(claims, records)
+    calls = records.filter("kind = 'call'").withColumn("channel", F.struct("kind", "app"))
+    held = _on_channel(_with_parties(claims.filter("quote IS NULL").drop("quote"), calls, []))
     apps = F.array_remove(F.transform("channels", lambda c: F.lower(F.trim(c))), "call")
     held = held.filter((F.size(apps) == 0) | F.array_contains(apps, F.lower(F.trim("app"))))
     long_enough = F.col("min_s").isNull() | F.coalesce(F.col("duration_s").between(F.col("min_s"), F.col("max_s")), F.lit(False))
-    rows = spoken.unionByName(held.filter(long_enough).select(*keys).distinct())
+    keys = ["claim_id", "us", "lo", "hi", "id"]
+    rows = _on_channel(_with_parties(claims, said, ["quote"])).select(*keys).unionByName(held.filter(long_enough).select(*keys)).distinct()
     inside, timed = in_window(F.col("us"), F.col("lo"), F.col("hi")), F.col("us").isNotNull()
-    found = rows.groupBy("claim_id").agg(F.count_if(inside).alias("n_inside"), F.count_if(timed & ~inside).alias("n_outside"), F.count_if(~timed).alias("n_unknown"))
+    found = rows.groupBy("claim_id").agg(F.count_if(inside).alias("n_inside"), F.count_if(timed).alias("n_timed"), F.count_if(~timed).alias("n_unknown"))
+    # any message of the words will do where no party is named: these are counted, and met by no claim
+    totals = said.groupBy("quote", "channel").agg(F.count("us").alias("n_timed"), F.count_if(~timed).alias("n_unknown"))
+    free = _on_channel(claims.filter("size(a) = 0 AND size(b) = 0").select("claim_id", "quote", "lo", "hi", "channels").join(totals, "quote"))
+    counted = counts_inside(free.withColumnRenamed("claim_id", "window_id"), said.select("quote", "channel", "us"), ["quote", "channel"]).select(F.col("window_id").alias("claim_id"), F.col("n").alias("n_inside"))
+    free = free.groupBy("claim_id").agg(F.sum("n_timed").alias("n_timed"), F.sum("n_unknown").alias("n_unknown")).join(counted, "claim_id", "left").fillna(0, ["n_inside"])
+    found = found.unionByName(free).withColumn("n_outside", F.col("n_timed") - F.col("n_inside"))
     all_ = claims.select("claim_id", F.col("quote").isNotNull().alias("by_text")).join(found, "claim_id", "left").fillna(0, ["n_inside", "n_outside", "n_unknown"])
     outcome = F.when(F.col("n_inside") > 0, PASS).when((F.col("n_outside") > 0) & (F.col("n_unknown") == 0) & F.col("by_text"), FAIL).otherwise(INCONCLUSIVE)
     return all_.select("claim_id", "n_inside", "n_outside", "n_unknown", outcome.alias("outcome"))
@@ -178,10 +199,16 @@ def time_check(claims: DataFrame, records: DataFrame) -> DataFrame:
 def sender_check(claims: DataFrame, records: DataFrame) -> DataFrame:
     """Who sent the quoted words: every message that holds them from the party's accounts passes,
     none of them fails; a mix, a forwarded or embedded copy or an unknown sender is open."""
-    rows = quoted_messages(claims, records).filter(F.col("source_id") == F.col("on_source"))
+    said = quoted_messages(claims, records)
     unknown = F.col("forwarded") | embedded_copy(F.col("locator")) | F.col("sender").isNull()
-    good = ~unknown & F.array_contains("a", F.col("sender"))
-    found = rows.groupBy("claim_id").agg(F.count_if(good).alias("n_good"), F.count_if(~unknown & ~good).alias("n_bad"), F.count_if(unknown).alias("n_unknown"))
+    # a claim meets its own party's messages, and of the others only their numbers
+    by = ["quote", "source_id", "channel"]
+    totals = said.groupBy(*by).agg(F.count_if(~unknown).alias("n_known"), F.count_if(unknown).alias("n_unknown"))
+    terms = claims.select("claim_id", "quote", "source_id", "channels", "a")
+    found = _on_channel(terms.join(totals, ["quote", "source_id"])).groupBy("claim_id").agg(F.sum("n_known").alias("n_known"), F.sum("n_unknown").alias("n_unknown"))
+    good = _on_channel(terms.withColumn("sender", F.explode(F.array_distinct("a"))).join(said.filter(~unknown).groupBy(*by, "sender").agg(F.count("*").alias("n")), ["quote", "source_id", "sender"]))
+    good = good.groupBy("claim_id").agg(F.sum("n").alias("n_good"))
+    found = found.join(good, "claim_id", "left").fillna(0, ["n_good"]).select("claim_id", "n_good", (F.col("n_known") - F.col("n_good")).alias("n_bad"), "n_unknown")
     found = claims.select("claim_id").join(found, "claim_id", "left").fillna(0, ["n_good", "n_bad", "n_unknown"])
     g, b, u = F.col("n_good") > 0, F.col("n_bad") > 0, F.col("n_unknown") > 0
     return found.withColumn("outcome", F.when(g & ~b & ~u, PASS).when(b & ~g & ~u, FAIL).otherwise(INCONCLUSIVE))
@@ -190,25 +217,26 @@ def sender_check(claims: DataFrame, records: DataFrame) -> DataFrame:
 def weekday_forward(claims: DataFrame, records: DataFrame, zone: str) -> DataFrame:
     """The next day of the stated weekday after each copy's local send date must be the stated
     day for every timed copy; it never fails. ``claims``: claim_id, quote, weekday (0 = Monday), day."""
-    rows = claims.join(records.filter("kind = 'message'").select(F.col("text").alias("quote"), "us", "id"), "quote", "left")
     sent = F.to_date(F.from_utc_timestamp(F.timestamp_micros("us"), zone))
-    forward = F.date_add(sent, F.pmod(F.col("weekday") - F.weekday(sent), F.lit(7)).cast("int"))
-    found = rows.groupBy("claim_id").agg(
-        F.count("id").alias("n"), F.count_if(F.col("id").isNotNull() & F.col("us").isNull()).alias("n_untimed"), F.count_if(forward == F.col("day")).alias("n_right")
+    days = records.filter("kind = 'message' AND id IS NOT NULL").groupBy(F.col("text").alias("quote"), sent.alias("sent")).agg(F.count("*").alias("n"))  # a row for each wording and day
+    forward = F.date_add("sent", F.pmod(F.col("weekday") - F.weekday("sent"), F.lit(7)).cast("int"))
+    found = claims.join(days, "quote", "left").groupBy("claim_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("sent").isNull(), F.col("n"))), F.lit(0)).alias("n_untimed"), F.coalesce(F.sum(F.when(forward == F.col("day"), F.col("n"))), F.lit(0)).alias("n_right")
     )
     good = (F.col("n") > 0) & (F.col("n_right") == F.col("n"))
     return found.withColumn("outcome", F.when(good, PASS).otherwise(INCONCLUSIVE))
 
 
-def downgrade_forwarded(results: DataFrame, rests_on: DataFrame, forwarded: DataFrame) -> DataFrame:
+def downgrade_forwarded(results: DataFrame, rests_on: DataFrame, forwarded: DataFrame, by: str = "claim_id") -> DataFrame:
     """Pass or fail that rests on a forwarded or embedded record becomes inconclusive.
 
-    ``rests_on``: claim_id, id. ``forwarded``: id, reason, one row for each source of the mark;
+    ``rests_on``: claim_id, id, or for claims that rest on the same records: ``by`` (a column of
+    ``results``), id, each group once. ``forwarded``: id, reason, one row for each source of the mark;
     an embedded copy outranks a forward, which outranks an embedding message.
     """
     rank = F.when(F.col("reason") == "embedded_copy", 0).when(F.col("reason") == "forwarded", 1).otherwise(2)
     marks = forwarded.groupBy("id").agg(F.min_by("reason", rank).alias("reason"))
-    hit = rests_on.join(marks, "id").groupBy("claim_id").agg(F.count_distinct("id").alias("n_marked"), F.min_by("reason", F.struct(rank, "id")).alias("reason"))
-    found = results.join(hit, "claim_id", "left")
+    hit = rests_on.join(marks, "id").groupBy(by).agg(F.count_distinct("id").alias("n_marked"), F.min_by("reason", F.struct(rank, "id")).alias("reason"))
+    found = results.join(hit, by, "left")
     n = F.coalesce("n_marked", F.lit(0))
     return found.select("claim_id", n.alias("n_marked"), "reason", F.when(n > 0, INCONCLUSIVE).otherwise(F.col("outcome")).alias("outcome"))
