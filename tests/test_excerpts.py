@@ -135,3 +135,19 @@ def test_the_check_knows_only_the_texts():
     assert not ok([(0, 15)], [(4, 19)]) and not ok([(1, 15)], [(4, 18)]) and not ok([(0, 15)], [(3, 90)]) and not ok([], [])
     assert not ok([(0, 5), (6, 15)], [(9, 18), (3, 8)]) and not ok([(0, 15)], [(3, 18)], e="LEAVE THE HOUSE") and ok([(0, 15)], [(3, 18)], TOLERANT, "LEAVE THE HOUSE")
     assert not O.verified("Maria", "Marya", [(0, 5)], [(0, 5)], LATIN) and not ok([(0, 15)], [(3, 18)], "other")
+
+
+def test_text_of_a_fold_without_its_map():
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "K", "É", "é", " ", "\n", "\x1f", "\xa0", "`", "…", "“", "\u200b", "Щ", "ь", "'", "ﬁ", "х", "kh", "\u0301", "x", "İ", "ß"]) for _ in range(rng.randrange(0, 12)))
+        assert all(O.folded(text, level) == O.fold(text, level)[0] for level in O.METHODS)
+
+
+def test_common_words_meet_few_bodies(spark):
+    # every word is in half of the bodies, the run in one: words alone would meet 150 of them
+    bodies = [(k, "the of and" if k % 2 else "of the, and the") for k in range(300)] + [(999, "in and of the")]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    met = X.candidates(frame([(1, "and of")], "excerpt_id long, excerpt string"), frame(bodies, "id long, body string")).collect()
+    assert [(r.excerpt_id, r.id) for r in met] == [(1, 999)]
+    assert run(spark, [(1, "and of"), (2, "of … the")], bodies, 1000) == brute([(1, "and of"), (2, "of … the")], bodies)

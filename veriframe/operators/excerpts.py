@@ -2,10 +2,10 @@
 
 An excerpt is looked for part by part (as it stands, then after a printed label, with and without
 its closing marks) and method by method (exact, tolerant, transliteration). Excerpts and bodies meet
-by the rarest word of each part: an equi-join of words, so that no side is broadcast and no body is
-compared with an excerpt it shares no word with. The words are those of the strongest fold, since
-every match by a weaker one holds them too. What meets is placed and verified in Arrow batches,
-row by row; the decision which part and method count is a window over an excerpt's verified matches.
+by the rarest word or pair of neighbours of each part: an equi-join of their hashes, so that no side is
+broadcast and no body is compared with an excerpt it shares none with. The words are those of the
+strongest fold, since every match by a weaker one holds them too. What meets is placed and verified
+in Arrow batches, row by row in the order of the bodies, so that a body is folded once; the decision which part and method count is a window over an excerpt's verified matches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 from veriframe.functions import offsets as O
+from veriframe.session import stored
 
 
 def _struct(**fields: DataType) -> StructType:
@@ -32,8 +33,14 @@ _FOUND = ArrayType(_struct(grp=IntegerType(), part=IntegerType(), method=Integer
 
 @F.pandas_udf(_WORDS)
 def anchor_words(texts: pd.Series) -> pd.Series:
-    """All words of a body that some excerpt may be met by, once each."""
-    return texts.map(lambda t: sorted({w for words in O.anchors(t) for w in words}))
+    """All words and pairs of a body that some excerpt may be met by, once each."""
+    return texts.map(lambda t: list({w for words in O.anchors(t) for w in words}))
+
+
+@F.pandas_udf(StringType())
+def tolerant_text(texts: pd.Series) -> pd.Series:
+    """The tolerant fold of each text without its offset map."""
+    return texts.map(O.folded)
 
 
 @F.pandas_udf(_FOLDED)
@@ -50,7 +57,8 @@ def transliterated(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_PARTS)
 def parts(excerpts: pd.Series) -> pd.Series:
-    """The parts of an excerpt: group, place in it, ranges between ellipses, and words to meet by."""
+    """The parts of an excerpt: group, place in it, ranges between ellipses, and the lists of words and
+    pairs to meet by; a list that two methods share stands once."""
     pair = lambda ranges: [{"start": a, "end": b} for a, b in ranges]
 
     def of(text: str | None) -> list[dict]:
@@ -59,7 +67,7 @@ def parts(excerpts: pd.Series) -> pd.Series:
             for p, core in enumerate(group):
                 ranges = O.pieces(text, *core)
                 by_piece = [O.anchors(text[a:b]) for a, b in ranges]
-                words = [sorted({w for lists in by_piece for w in lists[m]}) for m in range(len(O.METHODS))]
+                words = sorted({tuple(sorted({w for lists in by_piece for w in lists[m]})) for m in range(len(O.METHODS))})
                 out.append({"grp": g, "part": p, "ranges": pair(ranges), "words": words})
         return out
 
@@ -67,14 +75,15 @@ def parts(excerpts: pd.Series) -> pd.Series:
 
 
 def candidates(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(excerpt_id, id, parts): bodies that hold the rarest word of some parts of an excerpt.
+    """(excerpt_id, id, parts): bodies that hold the rarest word or pair of some parts of an excerpt.
 
     A part without a word (marks only) is met by no body. excerpts: excerpt_id, excerpt; bodies: id, body.
     """
-    words = bodies.select("id", F.explode(anchor_words("body")).alias("word"))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))  # noqa: E731  # equal hashes of other words only meet in vain
+    words = bodies.select("id", F.explode(hashed(anchor_words("body"))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     asked = excerpts.select("excerpt_id", F.explode(parts("excerpt")).alias("p")).select("excerpt_id", "p.grp", "p.part", "p.ranges", F.posexplode("p.words").alias("m", "words"))
-    known = asked.select("excerpt_id", "grp", "part", "ranges", "m", F.explode("words").alias("word")).join(df, "word", "left")
+    known = asked.select("excerpt_id", "grp", "part", "ranges", "m", F.explode(hashed("words")).alias("word")).join(df, "word", "left")
     rarest = known.groupBy("excerpt_id", "grp", "part", "m").agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"), F.any_value("ranges").alias("ranges")
     ).drop("m").distinct()  # the methods mostly agree on the word
@@ -82,10 +91,12 @@ def candidates(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
     return met.agg(F.array_sort(F.collect_set(F.struct("grp", "part", "ranges"))).alias("parts"))  # a few parts an excerpt
 
 
-def placed(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
+def placed(excerpts: DataFrame, bodies: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """(excerpt_id, id, grp, part, method, ranges, spans, ok): every place of every part by the
-    strictest method that is verified, and by those before it; ``ok`` is the verdict of the check that knows only the two texts."""
-    pairs = candidates(excerpts, bodies).join(excerpts, "excerpt_id").join(bodies, "id")
+    strictest method that is verified, and by those before it; ``ok`` is the verdict of the check that knows only the two texts.
+    ``met``: the candidates, if they are known already."""
+    met = candidates(excerpts, bodies) if met is None else met
+    pairs = met.join(excerpts, "excerpt_id").join(bodies.hint("merge"), "id")  # sorted: what a body meets stands together
 
     @F.pandas_udf(_FOUND)
     def find(texts: pd.Series, held: pd.Series, wanted: pd.Series) -> pd.Series:
@@ -118,6 +129,7 @@ def find(found: DataFrame, most: int = 25) -> DataFrame:
     """(excerpt_id, id, method, ranges, spans, no, total, dropped): the matches of the first part and
     method of an excerpt with any verified one, at most ``most`` shown by id, all counted, and how
     many of that part and method failed the check. ``found`` is the result of ``placed``."""
+    found = stored(found)
     step = F.struct("grp", *[r.alias(f"r{k}") for k, r in enumerate(_rank())])
     stepped = found.withColumn("step", step)
     first = stepped.filter("ok").groupBy("excerpt_id").agg(F.min("step").alias("first"))
@@ -131,6 +143,7 @@ def find(found: DataFrame, most: int = 25) -> DataFrame:
 def find_every(found: DataFrame) -> DataFrame:
     """(excerpt_id, id, part, method, ranges, spans, total): every body of the first group of parts
     that has a verified match, each once by its fullest part and strictest method."""
+    found = stored(found)
     first = found.filter("ok").groupBy("excerpt_id").agg(F.min("grp").alias("grp"))
     held = found.filter("ok").join(first, ["excerpt_id", "grp"])
     best = held.withColumn("k", F.row_number().over(Window.partitionBy("excerpt_id", "id").orderBy(*_rank()))).filter("k = 1")
