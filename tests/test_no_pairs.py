@@ -3,6 +3,7 @@
 import random
 
 from veriframe.operators import alternatives as H
+from veriframe.operators import lookups as L
 from veriframe.operators import statements
 from veriframe.operators import timeline as T
 
@@ -52,3 +53,14 @@ def test_records_elsewhere_are_counted(spark):
     found = T.elsewhere(spark.createDataFrame(gaps, "source_id string, scope string, app_key string, thread_key string, start_us long, end_us long"), frame, 8)
     want = {(*g, o, n) for g in gaps for o in "ab" if o != g[0] and (n := sum(r[1] == o and r[3] is not None and g[4] < r[3] < g[5] for r in data))}
     assert {tuple(r) for r in found.collect()} == want and "array_distinct" not in plan(found)
+
+
+def test_sources_are_counted_as_they_are_found(spark):
+    rng = random.Random(4)
+    claims = spark.createDataFrame([(k % 3, k, [rng.randrange(6) for _ in range(rng.randrange(4))] if k % 9 else None) for k in range(60)], "case_id int, claim_id int, devices array<int>")
+    sources = spark.createDataFrame([(k % 4, k, rng.choice(["ufdr", "govdoc"])) for k in range(20)], "case_id int, source_id int, kind string")
+    devices = spark.createDataFrame([(k % 5, k) for k in range(20)] + [(1, 3), (1, 3), (2, 99)], "device int, source_id int")
+    plain = {}
+    for r in L.sources_for(claims, sources, devices).collect():
+        plain.setdefault(r.claim_id, []).append(r.source_id)
+    assert {(r.claim_id, r.n, r.first_source) for r in L.sources_counted(claims, sources, devices).collect()} == {(c, len(s), min(s)) for c, s in plain.items()}
