@@ -5,6 +5,7 @@ import random
 from veriframe.operators import alternatives as H
 from veriframe.operators import lookups as L
 from veriframe.operators import matching as M
+from veriframe.operators import stated as S
 from veriframe.operators import statements
 from veriframe.operators import timeline as T
 
@@ -77,3 +78,9 @@ def test_sources_are_counted_as_they_are_found(spark):
     for r in L.sources_for(claims, sources, devices).collect():
         plain.setdefault(r.claim_id, []).append(r.source_id)
     assert {(r.claim_id, r.n, r.first_source) for r in L.sources_counted(claims, sources, devices).collect()} == {(c, len(s), min(s)) for c, s in plain.items()}
+
+
+def test_same_words_are_looked_up_once(spark):
+    marks = spark.createDataFrame([(k, "quote", "at nine") for k in range(30)] + [(99, "number", "212 555 0199")], "mark_id int, how string, words string")
+    records = spark.createDataFrame([("m1", "message", "come at nine", []), ("c1", "call", None, ["+1 (212) 555-0199"])], "id string, kind string, text string, parties array<string>")
+    assert {tuple(r) for r in S.tied(marks, records).collect()} == {("quote", "at nine", "m1"), ("number", "212 555 0199", "c1")} and S.tied(marks, records).count() == 2

@@ -386,18 +386,17 @@ def marks(paragraphs: DataFrame, times: DataFrame, names: DataFrame) -> DataFram
 
 
 def tied(marked: DataFrame, records: DataFrame) -> DataFrame:
-    """(mark_id, id): messages that hold a quote's words as they stand, word-aligned, and calls with a
-    party whose last ten digits are the number's.
+    """(how, words, id): messages that hold a quote's words as they stand, word-aligned, and calls with a
+    party whose last ten digits are the number's; once for the same words of many marks.
 
     records: id, kind (message, call), text, parties (array of identifiers).
     """
     quotes = marked.filter("how = 'quote'").select(F.col("words").alias("quote_id"), F.col("words").alias("quote")).distinct()
     bodies = records.filter("kind = 'message' AND text IS NOT NULL").select("id", F.col("text").alias("body"))
-    held = _anchored(quotes, bodies).filter(contains_aligned(F.col("body"), F.col("quote"))).select(F.col("quote").alias("words"), "id")
-    by_words = marked.filter("how = 'quote'").select("mark_id", "words").join(held, "words").select("mark_id", "id")
+    held = _anchored(quotes, bodies).filter(contains_aligned(F.col("body"), F.col("quote"))).select(F.lit("quote").alias("how"), F.col("quote").alias("words"), "id")
     parties = records.filter("kind = 'call'").select("id", F.explode("parties").alias("party")).select("id", last_ten(F.col("party")).alias("tail")).filter("tail IS NOT NULL").distinct()
-    asked = marked.filter("how = 'number'").select("mark_id", last_ten(F.col("words")).alias("tail"))
-    return by_words.unionByName(asked.join(parties, "tail").select("mark_id", "id"))
+    asked = marked.filter("how = 'number'").select("how", "words", last_ten(F.col("words")).alias("tail")).distinct()
+    return held.unionByName(asked.join(parties, "tail").select("how", "words", "id"))
 
 
 def utc(start: Column, end: Column, zone: Column) -> tuple[Column, Column]:
@@ -409,22 +408,29 @@ def utc(start: Column, end: Column, zone: Column) -> tuple[Column, Column]:
 def compared(marked: DataFrame, found: DataFrame, times: DataFrame, records: DataFrame, tolerance_s: int = 300) -> DataFrame:
     """(stated_id, mark_id, how, relation, id, state, delta_us, conflict, no, total): for each mark the
     ``MOST_TIED`` records closest to its stated time, and how many there are; a mark without a record
-    has one row without an id. A time without a zone is read in the record's own.
+    has one row without an id. A time without a zone is read in the record's own. Marks of the same
+    words, relation and time are compared once. found: of ``tied``.
 
     records: id, source_id, us, zone (null: unknown).
     """
     windows = times.select(F.struct("para_id", "n").alias("stated_id"), "start", "end", F.col("zone").alias("stated_zone"))
-    rows = marked.join(found, "mark_id").join(windows, "stated_id").join(records.select("id", "source_id", "us", F.col("zone").alias("own_zone")), "id")
+    marked = marked.join(windows, "stated_id").withColumn("ask", _key("how", "words", "relation", "start", "end", "stated_zone"))
+    asks = marked.groupBy("ask").agg(*[F.first(c).alias(c) for c in ("how", "words", "relation", "start", "end", "stated_zone")])
+    rows = asks.join(found, ["how", "words"]).join(records.select("id", "source_id", "us", F.col("zone").alias("own_zone")), "id")
     rows = rows.withColumn("zone", F.coalesce("stated_zone", "own_zone"))
     lo, hi = utc(F.col("start"), F.col("end"), F.col("zone"))
-    held = compare_times(rows.withColumn("lo", lo).withColumn("hi", hi), tolerance_s).withColumn("quote_id", F.col("mark_id"))
-    first = closest_ties(held, MOST_TIED).withColumnRenamed("quote_id", "mark_id")
-    counted = found.groupBy("mark_id").agg(F.count("*").alias("total"))
-    shown = held.select("mark_id", "id", "source_id", "state", "delta_us", "conflict").join(first, ["mark_id", "id"])
-    t = marked.join(counted, "mark_id", "left").join(shown, "mark_id", "left")
+    held = compare_times(rows.withColumn("lo", lo).withColumn("hi", hi), tolerance_s).withColumn("quote_id", F.col("ask"))
+    shown = closest_ties(held, MOST_TIED, "source_id", "state", "delta_us", "conflict").withColumnRenamed("quote_id", "ask")
+    counted = found.groupBy("how", "words").agg(F.count("*").alias("total"))
+    t = marked.join(counted, ["how", "words"], "left").join(shown, "ask", "left")
     return t.select("stated_id", "mark_id", "how", "words", "relation", "source_id", "id", "state", "delta_us", "conflict", "no", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
 
 
+def _key(*columns: str) -> Column:
+    """One text for equal values, nulls among them."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+
+
 def statuses(times: DataFrame, ties: DataFrame) -> DataFrame:
     """(para_id, n, status) of every stated time: not_compared if it could not be read, else as
     ``row_status`` says of its ties."""
@@ -444,10 +450,13 @@ def near_untied(times: DataFrame, marked_found: DataFrame, records: DataFrame, t
     zone; both in buckets as wide as a moment and its tolerance, so each record and moment is sent a
     few times at most. records as for ``compared``; a record without time or zone is near nothing.
     """
-    width = max(3600, 2 * tolerance_s) * SECOND
+    width = max(3600, 2 * tolerance_s) * SECOND  # equal moments of many paragraphs meet the records once
     wall = lambda c: F.unix_micros(c.cast("timestamp"))
     m = times.filter("kind = 'moment'").select(F.struct("para_id", "n").alias("stated_id"), "start", "end", F.col("zone").alias("stated_zone"))
     m = m.join(marked_found.filter("id IS NOT NULL").select("stated_id").distinct(), "stated_id", "left_anti")
+    m = m.withColumn("moment", _key("start", "end", "stated_zone"))
+    asking = m.select("stated_id", "moment")
+    m = m.groupBy("moment").agg(*[F.first(c).alias(c) for c in ("start", "end", "stated_zone")])
     ends = F.when(F.col("stated_zone").isNull(), F.struct(wall(F.col("start")).alias("a"), wall(F.col("end")).alias("b"))).otherwise(F.struct(*[c.alias(k) for c, k in zip(utc(F.col("start"), F.col("end"), F.col("stated_zone")), "ab")]))
     # wall clocks may part by the hours of a change of clocks
     pad = F.when(F.col("stated_zone").isNull(), 7200 * SECOND).otherwise(0) + tolerance_s * SECOND
@@ -460,7 +469,7 @@ def near_untied(times: DataFrame, marked_found: DataFrame, records: DataFrame, t
     rows = m.join(r, ["by_wall", "bucket"]).withColumn("zone", F.coalesce("stated_zone", "own_zone"))
     lo, hi = utc(F.col("start"), F.col("end"), F.col("zone"))
     held = compare_times(rows.withColumns({"lo": lo, "hi": hi, "relation": F.lit("at")}), tolerance_s).filter(F.col("state").isin("inside", "within"))
-    held = held.withColumn("quote_id", F.col("stated_id"))
-    first = closest_ties(held, MOST_NEAR).withColumnRenamed("quote_id", "stated_id")
-    counted = held.groupBy("stated_id").agg(F.count("*").alias("total"))
-    return first.join(held.select("stated_id", "id", "state", "delta_us"), ["stated_id", "id"]).join(counted, "stated_id").select("stated_id", "id", "state", "delta_us", "no", "total")
+    held = held.withColumn("quote_id", F.col("moment"))
+    first = closest_ties(held, MOST_NEAR, "state", "delta_us").withColumnRenamed("quote_id", "moment")
+    counted = held.groupBy("moment").agg(F.count("*").alias("total"))
+    return asking.join(first.join(counted, "moment"), "moment").select("stated_id", "id", "state", "delta_us", "no", "total")
