@@ -2,7 +2,10 @@
 
 import random
 
+import pandas as pd
+
 from veriframe.operators import alternatives as H
+from veriframe.operators import excerpts as X
 from veriframe.operators import lookups as L
 from veriframe.operators import matching as M
 from veriframe.operators import stated as S
@@ -84,3 +87,8 @@ def test_same_words_are_looked_up_once(spark):
     marks = spark.createDataFrame([(k, "quote", "at nine") for k in range(30)] + [(99, "number", "212 555 0199")], "mark_id int, how string, words string")
     records = spark.createDataFrame([("m1", "message", "come at nine", []), ("c1", "call", None, ["+1 (212) 555-0199"])], "id string, kind string, text string, parties array<string>")
     assert {tuple(r) for r in S.tied(marks, records).collect()} == {("quote", "at nine", "m1"), ("number", "212 555 0199", "c1")} and S.tied(marks, records).count() == 2
+
+
+def test_maps_are_handed_on_a_few_at_a_time():
+    parts = list(X._folds(iter([pd.Series(["A  b"] * 600), pd.Series([], dtype=object)]), "tolerant"))
+    assert [len(p) for p in parts] == [256, 256, 88, 0] and parts[0].text[0] == "a b" and parts[0].starts[0].nbytes == 12

@@ -10,6 +10,9 @@ in Arrow batches, row by row in the order of the bodies, so that a body is folde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +28,7 @@ def _struct(**fields: DataType) -> StructType:
 
 # types and not their names: importing needs no session
 SPANS = ArrayType(_struct(start=IntegerType(), end=IntegerType()))
+_AT_ONCE = 256  # texts folded with their maps before they are handed on
 _WORDS = ArrayType(StringType())
 _FOLDED = _struct(text=StringType(), starts=ArrayType(IntegerType()), ends=ArrayType(IntegerType()))
 _PARTS = ArrayType(_struct(grp=IntegerType(), part=IntegerType(), ranges=SPANS, words=ArrayType(_WORDS)))
@@ -43,16 +47,23 @@ def tolerant_text(texts: pd.Series) -> pd.Series:
     return texts.map(O.folded)
 
 
+def _folds(batches: Iterator[pd.Series], level: str) -> Iterator[pd.DataFrame]:
+    """Folds with their maps, a few texts at a time: a map is many times its text."""
+    for texts in batches:
+        for k in range(0, max(len(texts), 1), _AT_ONCE):
+            yield pd.DataFrame([(t, np.array(a, "int32"), np.array(b, "int32")) for t, a, b in (O.fold(t, level) for t in texts[k : k + _AT_ONCE])], columns=["text", "starts", "ends"])
+
+
 @F.pandas_udf(_FOLDED)
-def tolerant(texts: pd.Series) -> pd.DataFrame:
+def tolerant(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The tolerant fold of each text with its offset map."""
-    return pd.DataFrame([O.fold(t) for t in texts], columns=["text", "starts", "ends"])
+    yield from _folds(batches, O.TOLERANT)
 
 
 @F.pandas_udf(_FOLDED)
-def transliterated(texts: pd.Series) -> pd.DataFrame:
+def transliterated(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The transliteration fold of each text with its offset map."""
-    return pd.DataFrame([O.fold(t, O.TRANSLITERATION) for t in texts], columns=["text", "starts", "ends"])
+    yield from _folds(batches, O.TRANSLITERATION)
 
 
 @F.pandas_udf(_PARTS)
