@@ -42,3 +42,14 @@ def test_alias_places(spark):
     want = {(i, j, *span) for i, alias in enumerate(aliases) for j, text in enumerate(texts) for span in _plain(alias or "", text or "")}
     assert {(r.alias_id, r.text_id, r.start, r.end) for r in got} == want and len(got) == len(want) > 10
     assert {texts[r.text_id][r.start : r.end] for r in got if r.lowered} == {"the courier", "the Courier"}
+
+
+def test_alias_places_of_a_long_text(spark):
+    """A text of many words that two aliases share, apart: they meet by the pair of words, not by each word."""
+    text = "ha and ho, " * 20_000 + "Ha-ho! ha ho ha ho_x"
+    aliases = spark.createDataFrame([(1, "ha ho"), (2, "ho ha"), (3, "ho")], "alias_id int, alias string")
+    runs = spark.createDataFrame([(["ha", "ho"],)], "words array<string>").select(C._runs(F.col("words")).alias("i", "run")).collect()
+    assert [(r.i, r.run) for r in runs] == [(0, ["ha", "ha ho"]), (1, ["ho", None])]
+    got = C.alias_places(aliases, spark.createDataFrame([(1, text)], "text_id int, text string")).collect()
+    for i, alias in ((1, "ha ho"), (2, "ho ha"), (3, "ho")):
+        assert sorted((r.start, r.end) for r in got if r.alias_id == i) == _plain(alias, text)

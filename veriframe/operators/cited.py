@@ -4,7 +4,7 @@ A shown line mixes fields of the record with words around them. A quote cites th
 it stands word-aligned and takes in a letter or digit of a field: the words around, and what stands
 for a field that is missing, are nobody's evidence.
 
-Aliases are sought in texts as words in a row: text and alias meet on the alias's rarest word.
+Aliases are sought in texts as words in a row: text and alias meet on the alias's rarest pair of words.
 Texts are taken to be in composed form (NFC). Nulls: a null text holds nothing, a null quote or
 alias is found nowhere. Offsets are code points from 0, the end outside.
 """
@@ -93,15 +93,10 @@ def in_capitals(name: Column) -> Column:
     return (F.length(F.regexp_replace(core, r"[^\p{Lu}]", "")) >= 2) & ~core.rlike(r"\p{Ll}|\p{N}")
 
 
-def _spoken(texts: DataFrame, *more: str) -> DataFrame:
-    """(text_id, more, said): the words of each text that has any, folded and as they stand, with
-    their offsets and the characters beside them."""
-    marked = F.split(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\u0001", "\u0002"), f"{_LETTER}+", "\u0001$0\u0001"), "\u0001")
-    t = texts.select("text_id", *more, marked.alias("parts")).filter(F.size("parts") > 1)
-    t = t.withColumn("at", offsets(F.transform("parts", lambda p: F.length(p))))
-    part = lambda i: F.get("parts", i)
-    word = lambda i: F.struct(_folded(part(i)).alias("word"), F.get("at", i).alias("a"), F.get("at", i + 1).alias("b"), part(i).alias("said"), F.right(part(i - 1), F.lit(1)).alias("left"), F.left(part(i + 1), F.lit(1)).alias("right"))
-    return t.select("text_id", *more, F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), word).alias("said"))
+def _runs(words: Column) -> Column:
+    """Each word and, where another follows it, both: what texts and aliases meet by."""
+    pairs = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"))
+    return F.posexplode_outer(F.transform(pairs, lambda x: F.array(x.a, F.concat(x.a, F.lit(" "), x.b))))
 
 
 def alias_places(aliases: DataFrame, texts: DataFrame) -> DataFrame:
@@ -110,28 +105,37 @@ def alias_places(aliases: DataFrame, texts: DataFrame) -> DataFrame:
     overlap. ``lowered``: the alias is in capitals and these words are not: they may be the noun.
 
     aliases: alias_id (unique), alias; texts: text_id (unique), text. Work grows with the places of each
-    alias's rarest word.
+    alias's rarest pair of neighbouring words (of an alias of one word: that word).
     """
     named = aliases.select("alias_id", "alias", _words(F.col("alias")).alias("words")).filter(F.size("words") > 0)
-    # outer: an inner explode would have its input computed once more, in each of its elements
-    flat = _spoken(texts).select("text_id", F.posexplode_outer("said").alias("i", "x")).filter("i IS NOT NULL").select("text_id", "i", "x.word")
-    asked = named.select("alias_id", F.posexplode("words").alias("k", "word"))
-    # only words that aliases have are counted and sent
-    heard = flat.select("text_id", "i", "word").join(asked.select("word").distinct(), "word", "left_semi")
-    df = heard.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = asked.join(df, "word", "left").groupBy("alias_id").agg(F.min_by(F.struct("k", "word"), F.struct(F.coalesce("df", F.lit(0)), "k")).alias("r")).select("alias_id", "r.*")
-    first = rarest.join(heard, "word").select("alias_id", "text_id", (F.col("i") - F.col("k")).alias("i")).filter("i >= 0")
+    several = F.size("words") > 1
+    asked = named.select("alias_id", several.alias("several"), _runs(F.col("words")).alias("k", "run")).select("alias_id", "k", F.when(F.col("several"), F.get("run", F.lit(1))).otherwise(F.get("run", F.lit(0))).alias("run")).filter("run IS NOT NULL")
+    # a text is folded at once, its words held apart by the one character that is in none of them
+    said = F.split(_folded(F.array_join(F.regexp_extract_all("text", F.lit(f"{_LETTER}+"), F.lit(0)), " ")), " ")
+    flat = texts.select("text_id", said.alias("words")).select("text_id", _runs(F.col("words")).alias("i", "runs"))
+    # outer: an inner explode would have its input computed once more; only runs that aliases have are counted and sent
+    heard = flat.select("text_id", "i", F.explode_outer("runs").alias("run")).join(asked.select("run").distinct(), "run", "left_semi")
+    df = heard.groupBy("run").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "run", "left").groupBy("alias_id").agg(F.min_by(F.struct("k", "run"), F.struct(F.coalesce("df", F.lit(0)), "k")).alias("r")).select("alias_id", "r.*")
+    first = rarest.join(heard, "run").select("alias_id", "text_id", (F.col("i") - F.col("k")).alias("i")).filter("i >= 0")
     # a text travels once, to all the places it may have
-    asked_of = first.join(named, "alias_id").groupBy("text_id").agg(F.collect_list(F.struct("alias_id", "alias", "words", "i")).alias("places"))
-    met = _spoken(texts.join(asked_of, "text_id"), "places")
-    with_run = lambda x: x.withField("run", F.slice("said", x.i + 1, F.size(x.words)))
-    same = F.filter(F.transform("places", with_run), lambda x: F.transform(x.run, lambda w: w.word) == x.words)
-    rows = met.select("text_id", F.explode_outer(same).alias("p")).filter("p IS NOT NULL").select("text_id", "p.*")
+    asked_of = first.join(named, "alias_id").groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("i", "alias_id", "alias", "words"))).alias("places"))
+    marked = F.split(F.regexp_replace(F.translate("text", "\u0001", "\u0002"), f"{_LETTER}+", "\u0001$0\u0001"), "\u0001")
+    met = texts.select("text_id", "text").join(asked_of, "text_id").select("text_id", "places", marked.alias("parts"))
+    # every other part is a word; what lies between two places is measured once
+    met = met.withColumn("at", F.transform("places", lambda x: x.i * 2 + 1))
+    before = lambda p, j: F.coalesce(F.get("at", j - 1), F.lit(0))
+    between = F.transform("at", lambda p, j: F.length(F.array_join(F.slice("parts", before(p, j) + 1, p - before(p, j)), "")))
+    met = met.withColumn("starts", offsets(F.concat(between, F.array(F.lit(0)))))
+    placed = F.transform("places", lambda x, j: F.struct(x.alias_id.alias("alias_id"), x["alias"].alias("alias"), x.words.alias("words"), x.i.alias("i"), F.get("starts", j + 1).alias("start"), F.slice("parts", x.i * 2 + 1, F.size(x.words) * 2 + 1).alias("parts")))
+    rows = met.select("text_id", F.explode_outer(placed).alias("p")).select("text_id", "p.*")
     n = F.size("words")
-    head, tail = F.get("run", F.lit(0)), F.get("run", n - 1)
-    rows = rows.filter(~head.left.isin("_", "@", "+") & (tail.right != "_"))
-    small = F.exists(F.filter("run", lambda x, j: ~((j == 0) & (x.word == "the") & (n > 1))), lambda x: x.said.rlike(r"\p{Ll}"))
-    rows = rows.select("alias_id", "text_id", n.alias("n"), F.struct("i", head.a.alias("start"), tail.b.alias("end"), (in_capitals(F.col("alias")) & small).alias("lowered")).alias("x"))
+    rows = rows.withColumn("said", F.filter("parts", lambda p, j: j % 2 == 1)).filter(F.transform("said", _folded) == F.col("words"))
+    left, right = F.right(F.get("parts", F.lit(0)), F.lit(1)), F.left(F.get("parts", n * 2), F.lit(1))
+    rows = rows.filter(~left.isin("_", "@", "+") & (right != "_"))
+    small = F.exists(F.filter("said", lambda x, j: ~((j == 0) & (_folded(x) == "the") & (n > 1))), lambda x: x.rlike(r"\p{Ll}"))
+    end = F.col("start") + F.length(F.array_join(F.slice("parts", F.lit(2), n * 2 - 1), ""))
+    rows = rows.select("alias_id", "text_id", n.alias("n"), F.struct("i", "start", end.alias("end"), (in_capitals(F.col("alias")) & small).alias("lowered")).alias("x"))
     grouped = rows.groupBy("alias_id", "text_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("x")).alias("xs"))  # the places of one alias in one text
     none = F.array().cast("array<struct<i:int,start:int,end:int,lowered:boolean>>")
     kept = F.aggregate("xs", none, lambda acc, x: F.when((F.size(acc) == 0) | (x.i >= F.get(acc, F.size(acc) - 1).i + F.col("n")), F.array_append(acc, x)).otherwise(acc))
