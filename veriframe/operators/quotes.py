@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.text import case_fold, contains_aligned, quote_fold, term_matches, tokens, words_only
+from veriframe.operators.timeline import window_edges
+from veriframe.session import stored
 
 
 def _anchor_words(text: Column) -> Column:
@@ -94,27 +96,49 @@ def retrieve(queries: DataFrame, records: DataFrame, k: int, edge_share: int = 2
 
     queries: query_id, sides (arrays of accounts), terms, lo, hi. records: id, sender, recipients,
     us, text. Two sides are touched only by two different accounts.
+
+    What several queries ask (an account, or two of different sides, with the same terms and window)
+    is asked once, and only the first ``k`` of its records go on to them: a record that touches two
+    sides ranks before all of one, so these hold the first ``k`` of each query. The nearest outside
+    a window are found in sorted passes of an account's time buckets.
     """
     parties = F.array_compact(F.array_distinct(F.concat(F.array("sender"), "recipients")))
-    asked = queries.select("query_id", F.posexplode("sides").alias("side", "accounts")).select("query_id", "side", F.explode(F.array_distinct("accounts")).alias("account"))
-    hit = asked.join(records.select("id", F.explode(parties).alias("account")), "account")
-    hit = hit.groupBy("query_id", "id").agg(F.count_distinct("side").alias("n_sides"), F.count_distinct("account").alias("touched"))
-    rows = hit.join(queries, "query_id").join(records, "id")
-    tier = F.when((F.col("n_sides") >= 2) & (F.col("touched") >= 2), 2).otherwise(1)
-    toks = tokens(F.coalesce("text", F.lit("")))
-    share = F.bround(F.size(F.filter("terms", lambda t: term_matches(F.lower(t), toks, F.lower(F.coalesce("text", F.lit("")))))) / F.greatest(F.size("terms"), F.lit(1)), 6)
-    inside = F.coalesce(F.col("us").between(F.col("lo"), F.col("hi")), F.lit(False))
-    rows = rows.select("query_id", "id", "us", "lo", "hi", tier.alias("tier"), share.alias("share"), inside.alias("inside"))
+    folded = F.lower(F.coalesce("text", F.lit("")))
+    held = records.select("id", "us", parties.alias("parties"), folded.alias("folded"), tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    by_account = held.filter("us IS NOT NULL").select(F.explode("parties").alias("account"), "*")
+    df = by_account.groupBy("account").agg(F.count("*").alias("df"))
+    sided = queries.select("query_id", F.posexplode("sides").alias("side", "accounts")).select("query_id", "side", F.explode(F.array_distinct("accounts")).alias("account")).filter("account IS NOT NULL")
+    one = sided.select("query_id", "account").distinct()
+    # of two accounts the one of fewer records is looked up
+    counted = sided.join(df, "account").select("query_id", "side", F.struct("df", "account").alias("x"))
+    two = counted.join(counted.select("query_id", F.col("side").alias("side2"), F.col("x").alias("y")), "query_id").filter("side <> side2 AND x < y")
+    both = two.select("query_id", F.col("x.account").alias("account"), F.col("y.account").alias("other")).distinct()
+    asking = one.withColumn("other", F.lit(None).cast(one.schema["account"].dataType)).unionByName(both).join(queries.select("query_id", "terms", "lo", "hi"), "query_id")
+    what = ["account", "other", "terms", "lo", "hi"]
+    asking = asking.withColumn("key", F.to_json(F.struct(*what)))  # equal where all are, nulls too
+    asks = stored(asking.select("key", *what).dropDuplicates(["key"]).withColumn("ask_id", F.monotonically_increasing_id()))
+    mine = asking.select("query_id", "key", F.when(F.col("other").isNull(), 1).otherwise(2).alias("tier")).join(asks.select("key", "ask_id"), "key").drop("key")
+
+    share = F.bround(F.size(F.filter("terms", lambda t: term_matches(F.lower(t), F.col("toks"), F.col("folded")))) / F.greatest(F.size("terms"), F.lit(1)), 6)
+    met = asks.join(by_account, "account").filter("us BETWEEN lo AND hi").filter(F.col("other").isNull() | F.array_contains("parties", F.col("other")))
+    met = met.select("ask_id", "id", "us", share.alias("share"))
+    best = met.withColumn("no", F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("share"), "us", "id"))).filter(F.col("no") <= k).drop("no")
+    rows = mine.join(best, "ask_id").groupBy("query_id", "id").agg(F.max("tier").alias("tier"), F.max("share").alias("share"), F.max("us").alias("us"))
     q = Window.partitionBy("query_id")
-    order = [F.desc("tier"), F.desc("share"), F.col("us").isNull(), "us", "id"]
-    main = rows.filter("inside").withColumn("rank", F.row_number().over(q.orderBy(*order)))
-    edges = rows.filter("us IS NOT NULL AND NOT inside").groupBy("query_id").agg(
-        F.max_by("id", F.when(F.col("us") < F.col("lo"), F.struct("us", "id"))).alias("before"), F.min_by("id", F.when(F.col("us") > F.col("hi"), F.struct("us", "id"))).alias("after")
-    ).select("query_id", F.explode(F.array_compact(F.array("before", "after"))).alias("id"))
+    main = rows.withColumn("rank", F.row_number().over(q.orderBy(F.desc("tier"), F.desc("share"), "us", "id")))
+
+    far = 1 << 62  # an open end has nothing beyond it
+    windows = asks.filter("other IS NULL").select(F.col("ask_id").alias("window_id"), "account", F.coalesce("lo", F.lit(-far)).alias("lo"), F.coalesce("hi", F.lit(far)).alias("hi"))
+    sides = window_edges(windows, by_account.select("account", "us", "id"), ["account"]).withColumnRenamed("window_id", "ask_id")
+    edges = mine.join(sides, "ask_id").groupBy("query_id").agg(
+        F.max(F.when(F.col("before_us").isNotNull(), F.struct("before_us", "before_id"))).alias("before"), F.min(F.when(F.col("after_us").isNotNull(), F.struct("after_us", "after_id"))).alias("after")
+    ).select("query_id", F.explode(F.array_compact(F.array("before.before_id", "after.after_id"))).alias("id"))
     seats = edges.groupBy("query_id").agg(F.count("*").alias("n_edges"))
     main = main.join(seats, "query_id", "left").withColumn("budget", F.lit(k) - F.least(F.coalesce("n_edges", F.lit(0)), F.lit(k // edge_share)))
     kept = main.filter(F.col("rank") <= F.col("budget")).select("query_id", "id", "tier", "share", F.col("rank").cast("int").alias("rank"), F.lit(False).alias("edge"))
-    ends = edges.join(rows.select("query_id", "id", "tier", "share"), ["query_id", "id"])
+    touched = F.size(F.array_intersect(F.array_distinct(F.flatten("sides")), F.col("parties")))
+    n_sides = F.size(F.filter("sides", lambda s: F.arrays_overlap(s, F.col("parties"))))
+    ends = edges.join(held, "id").join(queries, "query_id").select("query_id", "id", F.when((n_sides >= 2) & (touched >= 2), 2).otherwise(1).alias("tier"), share.alias("share"))
     ends = ends.select("query_id", "id", "tier", "share", F.row_number().over(q.orderBy("id")).alias("rank"), F.lit(True).alias("edge")).filter(F.col("rank") <= k // edge_share)
     return kept.unionByName(ends)
 
