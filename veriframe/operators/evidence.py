@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veriframe.functions.predicates import never_null
 from veriframe.functions.text import contains_aligned, quote_fold, quoted, tokens
 from veriframe.operators.integrity import json_digest
-from veriframe.operators.timeline import natural_key
+from veriframe.operators.timeline import natural_key, nearest
 
 DAY = 86_400_000_000
 # Words of a document's title or opening that tell its kind, in this order.
@@ -117,6 +117,20 @@ def quote_edges(outside: DataFrame, most: int = 4, reach_us: int = DAY) -> DataF
     return near.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "id"))).filter(F.col("no") <= most).select("query_id", "id", "no")
 
 
+def nearest_edges(windows: DataFrame, records: DataFrame, key: str, most: int = 4, reach_us: int = DAY) -> DataFrame:
+    """(query_id, id, no): as ``quote_edges`` of all records of a window's key outside it, which do not
+    meet: an edge asks once for all windows that have it for the nearest beyond it (``timeline.nearest``).
+    windows: query_id, key, lo, hi, these not null; records: id, key, us."""
+    far = []
+    for edge, sign, past in (("lo", -1, 0), ("hi", 1, 1)):  # the instant of an end is inside
+        asked = windows.select(key, edge).dropna().distinct().select(F.struct(key, edge).alias("ask_id"), key, (F.col(edge) + past).alias("us"))
+        near = nearest(asked, records.select("id", key, "us"), [key], most, reach_us - past, sides=(sign,))
+        near = near.select(F.col(f"ask_id.{key}").alias(key), F.col(f"ask_id.{edge}").alias(edge), "id", (F.col("gap_us") + past).alias("gap_us"))
+        far.append(windows.join(near, [key, edge]).select("query_id", "id", "gap_us"))
+    placed = far[0].unionByName(far[1]).withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy("gap_us", "id")))
+    return placed.filter(F.col("no") <= most).select("query_id", "id", "no")
+
+
 def with_companions(ranked: DataFrame, companions: DataFrame, k: int, edges: DataFrame | None = None) -> DataFrame:
     """(query_id, id, place): up to ``k`` records of each query, taken in turn: a record that is not
     taken yet is followed by those that come with it; one that came with another brings none. The
