@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from veriframe.operators import evidence as E
 from veriframe.operators import lookups as L
+from veriframe.operators import paragraphs as P
 from veriframe.operators import quotes as Q
 from veriframe.operators import statements as S
 from veriframe.operators import timeline as T
@@ -66,3 +67,17 @@ def test_nearest_edges(spark):
     want = {tuple(r) for r in E.quote_edges(outside, 4, 30).collect()}
     got = [tuple(r) for r in E.nearest_edges(windows, records, "quote", 4, 30).collect()]
     assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_documents_of_one_partition_follow_one_another(spark):
+    """Paragraphs do not depend on which documents share a task, nor on the size of its batches."""
+    rows = [(d, i // 5, i % 5, 72.0, i % 5 * 14.0 + (i % 5 > 2) * 14.0, f"{i // 4 + 1}. said {d}." if i % 4 == 0 else "and more.") for d in range(6) for i in range(17)]
+    lines = lambda some: spark.createDataFrame(some, "doc long, page int, no long, x0 double, y0 double, text string")
+    assert isinstance(P._numbered([P._Line(1, 0, 0, 72.0, 0.0, 1, True, False, 5)]), list)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        together = {tuple(r) for r in P.paragraphs(lines(rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alone = {tuple(r) for r in P.paragraphs(lines([r for r in rows if r[0] == 3])).collect()}
+    assert {r for r in together if r[0] == 3} == alone and len(together) == len(rows) and len({r[3] for r in alone}) > 4

@@ -2,14 +2,18 @@
 
 What a line is (a printed number, the end of a sentence, a heading) is found by built-in functions.
 Where paragraphs begin depends on the numbers printed before, through a whole document, so each
-document is one grouped pass; it reads places and flags of its lines and not their texts.
+document is one pass over its sorted lines; it reads places and flags and not their texts. A
+partition's documents follow one another, so none costs a call of its own.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Iterator
 from itertools import groupby
+from math import nan
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ GAP_RATIO, INDENT, RUN = 1.35, 12.0, 3
 # A printed paragraph number, the end of a sentence, the longest heading.
 MARKER, TERMINAL, LONGEST = r"(?U)^\s*(\d{1,3})[.)]\s", r"(?U)[.!?:;\"'”’)\]]\s*$", 120
 
+# Fixed value: rows sent back at once, at least; a document is never parted.
+_ROWS = 10_000
+
 
 def marker(text: Column) -> Column:
     """The number printed at the head of a line, or null."""
@@ -46,7 +53,7 @@ def paragraphs(lines: DataFrame, furniture: DataFrame | None = None) -> DataFram
     seen = lines.select("doc", "page", "no", "x0", "y0", F.coalesce(marker(text), F.lit(-1)).alias("marker"), text.rlike(TERMINAL).alias("ends"), heading(text).alias("heading"), F.length(text).alias("length"))
     kind = {f.name: f.dataType.simpleString() for f in lines.schema}
     schema = f"doc {kind['doc']}, page {kind['page']}, no {kind['no']}, para_no long, label int, part int"
-    return seen.groupBy("doc").applyInPandas(_numbered, schema)
+    return seen.repartition("doc").sortWithinPartitions("doc", "page", "no").mapInArrow(_each_document, schema)
 
 
 def joined(lines: DataFrame, placed: DataFrame) -> DataFrame:
@@ -69,9 +76,34 @@ def _first_number(markers: list[int]) -> int | None:
     return None
 
 
-def _numbered(doc: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one document with their paragraphs."""
-    lines = list(doc.sort_values(["page", "no"]).itertuples(index=False))
+_Line = namedtuple("_Line", "doc page no x0 y0 marker ends heading length")
+_OUT = ["doc", "page", "no", "para_no", "label", "part"]
+
+
+def _each_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition with their paragraphs, one document after the other."""
+    kinds: list = []
+
+    def lines() -> Iterator[_Line]:
+        for batch in batches:
+            kinds[:] = kinds or [batch.schema.field(i).type for i in range(3)]
+            yield from map(_Line._make, zip(*[c.to_pylist() for c in batch.columns]))
+
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.int64(), pa.int32(), pa.int32()])], _OUT)
+
+    out: list = []
+    for _, doc in groupby(lines(), key=lambda x: x.doc):
+        out += _numbered([x if x.x0 is not None and x.y0 is not None else x._replace(x0=nan if x.x0 is None else x.x0, y0=nan if x.y0 is None else x.y0) for x in doc])
+        if len(out) >= _ROWS:
+            yield packed(out)
+            out = []
+    if out:
+        yield packed(out)
+
+
+def _numbered(lines: list[_Line]) -> list[tuple]:
+    """The lines of one document, in order, with their paragraphs."""
     first = _first_number([x.marker for x in lines if x.marker >= 0])
     last = first - 1 if first is not None else 0  # the last number that ran on
     para, label, part, out = 0, None, 0, []
@@ -95,7 +127,7 @@ def _numbered(doc: pd.DataFrame) -> pd.DataFrame:
             held.append(line)
             before = held
             out.append((line.doc, line.page, line.no, para, label, part))
-    return pd.DataFrame(out, columns=["doc", "page", "no", "para_no", "label", "part"]).astype({"label": "Int32"})
+    return out
 
 
 def _begins(held: list, line, usual: float, next_number: bool) -> bool:
