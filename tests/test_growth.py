@@ -4,7 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from veriframe.operators import checks
+from veriframe.operators import evidence as E
+from veriframe.operators import ingest as S
 from veriframe.operators import matching as M
+from veriframe.operators import statements
 
 
 def plan(df):
@@ -32,3 +36,13 @@ def test_related_threads_are_counted_and_not_paired(spark):
                 head = min((u for u, x in units.items() if x == mine), key=lambda u: (u[0], u[1] or ""))
                 want[t, s] = (*head, len(shared), sum(shared))
         assert {(r["thread"], r["source_id"]): (r["class_id"], r["class_source"], r["n_links"], r["n_shared"]) for r in got} == want and len(got) == len(want)
+
+
+def test_headers_are_dealt_by_sheet_before_they_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHEETS", 20)
+    headers = spark.range(90).select((F.col("id") % 60).alias("sheet"), F.array(F.when(F.col("id") % 3 == 0, " From").otherwise("x"), F.lit("TO"), F.lit("from")).alias("cells"))
+    aliases = spark.createDataFrame([("from", "sender"), ("to", "recipient")], "alias string, field string")
+    found = E.header_fields(headers, aliases)
+    text = plan(found)
+    assert text.rindex("HashAggregate") < text.index("Exchange hashpartitioning(sheet")
+    assert {tuple(r) for r in found.collect()} == {(s, "recipient", 1) for s in range(60)} | {(s, "sender", 0 if s % 3 == 0 else 2) for s in range(60)}

@@ -11,6 +11,7 @@ from veriframe.operators.integrity import json_digest
 from veriframe.operators.timeline import natural_key, nearest
 
 DAY = 86_400_000_000
+SHEETS = 1_000_000  # headers that one task may hold
 # Words of a document's title or opening that tell its kind, in this order.
 DOCUMENT_KINDS = (
     ("affidavit", ("AFFIDAVIT", "SWORN STATEMENT")),
@@ -220,7 +221,9 @@ def header_fields(headers: DataFrame, aliases: DataFrame) -> DataFrame:
     several. headers: sheet, cells; aliases: alias, field."""
     cells = headers.select("sheet", F.posexplode("cells").alias("col_no", "cell"))
     keyed = cells.withColumn("alias", F.regexp_replace(F.lower(F.trim("cell")), r"\s+", " "))
-    return keyed.join(aliases, "alias").groupBy("sheet", "field").agg(F.min("col_no").alias("col_no"))
+    # dealt by sheet before anything is kept: a task holds the sheets of its part, not of its whole input
+    parts = headers.count() // SHEETS + 1
+    return keyed.join(aliases, "alias").select("sheet", "field", "col_no").repartition(parts, "sheet").groupBy("sheet", "field").agg(F.min("col_no").alias("col_no"))
 
 
 # Reasons that an import lists for attention; others are for information.
