@@ -46,3 +46,18 @@ def test_headers_are_dealt_by_sheet_before_they_are_kept(spark, monkeypatch):
     text = plan(found)
     assert text.rindex("HashAggregate") < text.index("Exchange hashpartitioning(sheet")
     assert {tuple(r) for r in found.collect()} == {(s, "recipient", 1) for s in range(60)} | {(s, "sender", 0 if s % 3 == 0 else 2) for s in range(60)}
+
+
+def test_the_parts_of_a_time_cell_are_found_once(spark):
+    cells = ["1/2/2024 3:04:05 PM", " 31.12.2024 23:59(UTC-4) ", "2024-02-30 10:00 UTC+02:30", "2024-02-29T10:00:00 UTC+02:30\u2028", "1/2/24", "1/2/2024", "1|2|2024 3:04", "yesterday", "", None, "1/2/0000 3:04", "1/2/2024 3:04:60", "1/2/2024 24:00", "13/2/2024 3:04"]
+    frame = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "id int, cell string").withColumn("date_order", F.lit("mdy")).withColumn("offset_min", F.lit(None).cast("int"))
+    read = S.parse_times(frame, "cell", "date_order", "offset_min")
+    assert read.columns == [*frame.columns, "problem", "us"]
+    # each use of a part ran the whole pattern again, and a cell without a time failed in a parser
+    text = read._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("UTC") <= 4 and "yyyy" not in text
+    want = ["no_offset", "bad_date", "bad_date", None, "two_digit_year", "date_only", "unreadable", "unreadable", "unreadable", "unreadable", *["bad_date"] * 4]
+    assert [r["problem"] for r in read.orderBy("id").collect()] == want
+    assert read.filter("id = 3").first()["us"] == 1_709_191_800_000_000
+    votes = S.date_order(frame.withColumn("sheet", F.lit("s")), "sheet", "cell").first()
+    assert (votes["n_dmy"], votes["n_mdy"], votes["date_order"]) == (2, 0, "dmy")

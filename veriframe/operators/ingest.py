@@ -11,20 +11,33 @@ from pyspark.sql import functions as F
 _CELL = r"^\s*(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{1,4})(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?\s*(?:\(?UTC\s*([+-]\d{1,2})(?::?(\d{2}))?\)?)?\s*$"
 
 
-def _part(cell: Column, k: int) -> Column:
-    return F.regexp_extract(cell, _CELL, k)
+#: Name of the column that holds a cell's parts while it is read.
+_PARTS = "__parts"
+
+
+def _with_parts(cells: DataFrame, cell: str) -> DataFrame:
+    """``cells`` with the parts of the cell, found once: nine texts ('' where it has none); null if it
+    is no time."""
+    c = F.col(cell)
+    parts = F.split(F.regexp_replace(c, _CELL, "".join(f"${k}|" for k in range(1, 10))), r"\|")
+    return cells.withColumn(_PARTS, F.when(c.rlike(_CELL), parts))
+
+
+def _part(k: int) -> Column:
+    return F.coalesce(F.col(_PARTS)[k - 1], F.lit(""))
 
 
 def _int(c: Column) -> Column:
-    return c.try_cast("int")
+    """A part's number; null if it is empty (a cast that fails costs an exception of its own)."""
+    return F.when(c != "", c).try_cast("int")
 
 
 def date_order(cells: DataFrame, by: str, cell: str) -> DataFrame:
     """(by, n_dmy, n_mdy, date_order): a first number over 12 votes day first, a second over 12 month
     first; both is a conflict, neither undecided."""
-    a, b = _int(_part(F.col(cell), 1)), _int(_part(F.col(cell), 2))
-    year_first = F.length(_part(F.col(cell), 1)) == 4
-    t = cells.groupBy(by).agg(F.count_if(~year_first & (a > 12)).alias("n_dmy"), F.count_if(~year_first & (b > 12)).alias("n_mdy"))
+    a, b = _int(_part(1)), _int(_part(2))
+    year_first = F.length(_part(1)) == 4
+    t = _with_parts(cells, cell).groupBy(by).agg(F.count_if(~year_first & (a > 12)).alias("n_dmy"), F.count_if(~year_first & (b > 12)).alias("n_mdy"))
     d, m = F.col("n_dmy") > 0, F.col("n_mdy") > 0
     return t.withColumn("date_order", F.when(d & m, "conflict").when(d, "dmy").when(m, "mdy").otherwise("undecided"))
 
@@ -32,27 +45,29 @@ def date_order(cells: DataFrame, by: str, cell: str) -> DataFrame:
 def parse_times(cells: DataFrame, cell: str, order: str, offset_min: str) -> DataFrame:
     """``cells`` with ``us`` (or null) and ``problem``: unreadable, two_digit_year, date_only,
     undecided_order, bad_date, no_offset. An offset in the cell wins over the column's."""
-    c = F.col(cell)
-    p = [_part(c, k) for k in range(10)]
+    p = [None, *(_part(k) for k in range(1, 10))]
     year_first = F.length(p[1]) == 4
     y = _int(F.when(year_first, p[1]).otherwise(p[3]))
-    first, second = _int(F.when(year_first, p[2]).otherwise(p[1])), _int(F.when(year_first, p[3]).otherwise(p[2]))
+    first, other = _int(F.when(year_first, p[2]).otherwise(p[1])), _int(F.when(year_first, p[3]).otherwise(p[2]))
     dmy = ~year_first & (F.col(order) == "dmy")
-    month, day = F.when(dmy, second).otherwise(first), F.when(dmy, first).otherwise(second)
+    month, day = F.when(dmy, other).otherwise(first), F.when(dmy, first).otherwise(other)
     half = F.lower(p[7])
     hour = _int(p[4])
     hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
-    text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y, month, day, hour, _int(p[5]), F.coalesce(_int(p[6]), F.lit(0)))
-    local = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+    minute, second = _int(p[5]), F.coalesce(_int(p[6]), F.lit(0))
+    # what cannot be is told by its numbers: a parser fails by an exception
+    can_be = (y >= 1) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59)
+    local = F.when(can_be, F.try_make_timestamp(y, month, day, hour, minute, second))
     stated = F.when(p[8] != "", _int(p[8]) * 60 + F.signum(_int(p[8])).cast("int") * F.coalesce(_int(p[9]), F.lit(0)))
     offset = F.coalesce(stated, F.col(offset_min))
     known_order = year_first | F.col(order).isin("dmy", "mdy")
     problem = (
-        F.when(c.isNull() | ~c.rlike(_CELL), "unreadable").when(F.length(F.when(year_first, p[1]).otherwise(p[3])) != 4, "two_digit_year").when(p[4] == "", "date_only")
-        .when(~known_order, "undecided_order").when(local.isNull(), "bad_date").when(offset.isNull(), "no_offset")
+        F.when(F.col(_PARTS).isNull(), "unreadable").when(F.length(F.when(year_first, p[1]).otherwise(p[3])) != 4, "two_digit_year").when(p[4] == "", "date_only")
+        .when(~known_order, "undecided_order").when(F.col("__local").isNull(), "bad_date").when(offset.isNull(), "no_offset")
     )
-    us = F.unix_micros(local) - offset.cast("long") * 60_000_000
-    return cells.withColumn("problem", problem).withColumn("us", F.when(F.col("problem").isNull(), us))
+    us = F.unix_micros("__local") - offset.cast("long") * 60_000_000
+    read = _with_parts(cells, cell).withColumn("__local", local).withColumn("problem", problem)
+    return read.withColumn("us", F.when(F.col("problem").isNull(), us)).drop(_PARTS, "__local")
 
 
 def duration_seconds(cell: Column) -> Column:
