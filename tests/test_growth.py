@@ -61,3 +61,12 @@ def test_the_parts_of_a_time_cell_are_found_once(spark):
     assert read.filter("id = 3").first()["us"] == 1_709_191_800_000_000
     votes = S.date_order(frame.withColumn("sheet", F.lit("s")), "sheet", "cell").first()
     assert (votes["n_dmy"], votes["n_mdy"], votes["date_order"]) == (2, 0, "dmy")
+
+
+def test_names_are_dealt_before_they_are_kept(spark):
+    names = spark.createDataFrame([("Ann Lee",), ("ann lee",), ("LEE",), ("The Boss",), ("Ann Lee",)], "name string")
+    persons = spark.createDataFrame([(1, "Ann Lee"), (2, "Bob Lee")], "person_id int, name string")
+    aliases = spark.createDataFrame([(1, "the-boss"), (2, "the boss"), (2, "the boss")], "person_id int, alias string")
+    found = statements.resolve_names(names, persons, aliases)
+    assert plan(found).count("REPARTITION_BY_COL") == 2
+    assert {tuple(r) for r in found.collect()} == {("Ann Lee", 1, 1), ("ann lee", 1, 1), ("LEE", 2, None), ("The Boss", 2, None)}
