@@ -4,7 +4,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from veriframe.operators import checks
 from veriframe.operators import evidence as E
 from veriframe.operators import ingest as S
 from veriframe.operators import matching as M
