@@ -1,8 +1,13 @@
 """Whole results where the number of rows grows with the square of a group, against plain searches."""
 
-from veriframe.operators import matching as M
+import random
+
+from veriframe.operators import lookups, matching, statements, timeline
 from veriframe.operators.pairs import all_pairs
+from veriframe.plans import lookups as lookups_plans
 from veriframe.plans import matching as matching_plans
+from veriframe.plans import statements as statements_plans
+from veriframe.plans import timeline as timeline_plans
 
 
 def test_pairs_are_dealt_by_blocks(spark):
@@ -18,5 +23,14 @@ def test_every_pair_of_accounts(spark):
     assert found.columns == ["id", "id_r"]
     forms = ["+1 (212) 555-0101", "2125550101", "5550101", "555 0101", "x123", " X123", "", None]
     accounts = spark.createDataFrame([(i * 3 + k, app, f) for i, f in enumerate(forms) for k, app in enumerate(("SMS", "sms", None))], "id int, app string, identifier string")
-    got = [tuple(r) for r in M.identifier_pairs(accounts).collect()]
-    assert set(got) == {tuple(r) for r in M.same_identifier(accounts, accounts).collect()} and len(got) == len(set(got)) == 38
+    got = [tuple(r) for r in matching.identifier_pairs(accounts).collect()]
+    assert set(got) == {tuple(r) for r in matching.same_identifier(accounts, accounts).collect()} and len(got) == len(set(got)) == 38
+
+
+def test_every_overlap_once(spark):
+    gaps = [(s, scope, f"a{i}", "", i * 7, i * 7 + 5 + i % 3 * 20) for s in ("p", "q") for scope in ("phone", "app") for i in range(12)]
+    stated = [(i, "pqr"[i % 3], None if i % 5 == 0 else i * 3, None if i % 7 == 0 else i * 3 + i % 30) for i in range(40)]
+    found = timeline.overlapping(spark.createDataFrame(stated, "stated_id int, source_id string, lo long, hi long"), spark.createDataFrame(gaps, "source_id string, scope string, app_key string, thread_key string, start_us long, end_us long"), width=4)
+    want = [(i, *g) for i, s, lo, hi in stated for g in gaps if g[0] == s and (lo is None or lo < g[5]) and (hi is None or hi > g[4])]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 200
+    assert "start_us" in timeline_plans.q_stated_overlap(spark, "/root/testdata/sf0.001").columns
