@@ -27,6 +27,14 @@ def test_every_pair_of_accounts(spark):
     assert set(got) == {tuple(r) for r in matching.same_identifier(accounts, accounts).collect()} and len(got) == len(set(got)) == 38
 
 
+def test_every_pair_of_claims_and_persons(spark):
+    claims = spark.createDataFrame([(1, "Saw OLD Plate"), (2, "saw the old plate!"), (3, "Saw old plate."), (4, None), (5, "nobody"), (6, "the old plates")], "claim_id int, text string")
+    names = spark.createDataFrame([(7, "The Old Plate"), (8, "old plate"), (9, "Plate"), (9, "old plate"), (10, "saw")], "person_id int, name string")
+    got = [tuple(r) for r in statements.naming_pairs(claims, names).collect()]
+    assert set(got) == {tuple(r) for r in statements.claims_naming(claims, names).collect()} and len(got) == len(set(got)) > 6
+    assert statements_plans.q_claims_naming(spark, "/root/testdata/sf0.001").columns == ["claim_id", "person_id"]
+
+
 def test_every_overlap_once(spark):
     gaps = [(s, scope, f"a{i}", "", i * 7, i * 7 + 5 + i % 3 * 20) for s in ("p", "q") for scope in ("phone", "app") for i in range(12)]
     stated = [(i, "pqr"[i % 3], None if i % 5 == 0 else i * 3, None if i % 7 == 0 else i * 3 + i % 30) for i in range(40)]
