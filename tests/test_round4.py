@@ -35,6 +35,14 @@ def test_every_pair_of_claims_and_persons(spark):
     assert statements_plans.q_claims_naming(spark, "/root/testdata/sf0.001").columns == ["claim_id", "person_id"]
 
 
+def test_every_pair_of_sources(spark):
+    accounts = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (3, "b"), (4, "c"), (5, "a"), (5, "a"), (6, None), (7, "b")], "source_id int, key string")
+    models = spark.createDataFrame([(i, "x" if i != 5 else "y") for i in range(1, 8)], "source_id int, model string")
+    got = [tuple(r) for r in lookups.device_pairs(accounts, models).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in lookups.source_pairs(accounts, models).collect()) and len(got) == 6
+    assert lookups_plans.q_source_pairs(spark, "/root/testdata/sf0.001").columns == ["left", "right", "n_shared"]
+
+
 def test_every_overlap_once(spark):
     gaps = [(s, scope, f"a{i}", "", i * 7, i * 7 + 5 + i % 3 * 20) for s in ("p", "q") for scope in ("phone", "app") for i in range(12)]
     stated = [(i, "pqr"[i % 3], None if i % 5 == 0 else i * 3, None if i % 7 == 0 else i * 3 + i % 30) for i in range(40)]
