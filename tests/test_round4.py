@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from veriframe.llm import chunks
 from veriframe.operators import lookups, matching, statements, timeline
 from veriframe.operators.pairs import all_pairs
 from veriframe.plans import lookups as lookups_plans
@@ -66,3 +70,16 @@ def test_every_pair_of_related_threads(spark):
         want = [(t, o, len(x & y)) for (t, s), x in units.items() for (o, r), y in units.items() if t != o and len(x & y) >= (1 if s == r and s is not None else needs)]
         assert sorted(tuple(r) for r in matching.related_pairs(frame, needs, piece).collect()) == sorted(want)
     assert matching_plans.q_related_threads(spark, "/root/testdata/sf0.001").columns == ["thread", "other", "n_shared"]
+
+
+def test_what_a_task_remembers_is_not_copied_for_each_slice():
+    held = chunks.Ragged(np.int64)
+    held.extend(np.full(1000, 3), np.arange(3000))
+    held.extend(np.array([2]), np.array([7, 8]))
+    before = held.flat
+    held.extend(np.array([0, 1]), np.array([9]))
+    assert np.shares_memory(before, held.flat) and held.rows(np.array([1000, 999, 1002])).tolist() == [7, 8, 2997, 2998, 2999, 9]
+    held.clear()
+    assert held.flat.size == held.start.size == held.size.size == 0
+    texts = pa.RecordBatch.from_pydict({"text": ["ab", None, "abc", "d" * 9, ""]})
+    assert [(k, len(t)) for k, t in chunks.slices(texts, 5)] == [(0, 3), (3, 1), (4, 1)]
