@@ -83,3 +83,16 @@ def test_what_a_task_remembers_is_not_copied_for_each_slice():
     assert held.flat.size == held.start.size == held.size.size == 0
     texts = pa.RecordBatch.from_pydict({"text": ["ab", None, "abc", "d" * 9, ""]})
     assert [(k, len(t)) for k, t in chunks.slices(texts, 5)] == [(0, 3), (3, 1), (4, 1)]
+
+
+def test_whole_messages_are_counted_and_not_met(spark):
+    quotes = spark.createDataFrame([(k, ("?!", "Come ON", "come on.", "?", "", None, "a b c d e f g")[k % 7]) for k in range(40)], "quote_id int, quote string")
+    bodies = spark.createDataFrame([(k, ("? !", "Come  on!", "no", "?!", " ", None, "a b c d e f g")[k % 7]) for k in range(3, 45)], "id int, body string")
+    plain = {}
+    for r in statements.whole_messages(quotes, bodies).collect():
+        plain.setdefault(r.quote_id, []).append(r.id)
+    found = statements.whole_messages_counted(quotes, bodies)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((q, len(i), min(i)) for q, i in plain.items()) and len(plain) == 18
+    # the messages of a key are one row before the quotes come to them
+    joined = statements_plans.q_whole_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("Join") < joined.index("Aggregate")
