@@ -96,3 +96,18 @@ def test_whole_messages_are_counted_and_not_met(spark):
     # the messages of a key are one row before the quotes come to them
     joined = statements_plans.q_whole_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert joined.index("Join") < joined.index("Aggregate")
+
+
+def test_quiet_stretches_in_pauses_are_counted(spark):
+    rng, day = random.Random(2), 86_400_000_000
+    at = lambda: rng.randrange(40) * day // 2 + rng.choice([0, 0, 1])
+    gaps = [(rng.choice(["p", "q", None]), *sorted((at(), at()))) for _ in range(400)]
+    passages = [(f"t{k}", k, "pqr"[k % 3], *sorted((at(), at())), *sorted((at(), at()))) for k in range(60)] + [("u", 1, "p", 5 * day, 6 * day, None, None)]
+    frame = spark.createDataFrame([(t, e, s, hi, lo, None if k % 4 == 0 and t != "u" else b, a) for k, (t, e, s, b, hi, lo, a) in enumerate(passages)], "thread_id string, exchange int, source_id string, first_us long, last_us long, before_us long, after_us long")
+    held = spark.createDataFrame(gaps, "source_id string, start_us long, end_us long")
+    want = sorted(tuple(r) for r in statements.quiet_in_pauses(frame, held).groupBy("thread_id", "exchange", "side").count().collect())
+    for apart in (0, 2):
+        assert sorted(tuple(r) for r in statements.quiet_counted(frame, held, apart).collect()) == want
+    assert len(want) > 40 and not statements.quiet_counted(frame, held.limit(0)).collect()
+    pairs = statements_plans.q_quiet_in_pauses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_us" not in pairs
