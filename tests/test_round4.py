@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from veriframe.functions import offsets as O
 from veriframe.llm import chunks
+from veriframe.operators import excerpts as X
 from veriframe.operators import lookups, matching, statements, timeline
 from veriframe.operators.pairs import all_pairs
 from veriframe.plans import lookups as lookups_plans
@@ -111,3 +113,18 @@ def test_quiet_stretches_in_pauses_are_counted(spark):
     assert len(want) > 40 and not statements.quiet_counted(frame, held.limit(0)).collect()
     pairs = statements_plans.q_quiet_in_pauses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "start_us" not in pairs
+
+
+def test_excerpts_of_common_words_meet_by_three(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    bodies = [(k, f"of the and, the to of w{k}") for k in range(30)] + [(99, "so of the to end")]
+    assert [r.id for r in X.candidates(frame([(1, "of the to")], "excerpt_id long, excerpt string"), frame(bodies, "id long, body string")).collect()] == [99]
+
+
+def test_folds_of_plain_texts_are_those_of_any(monkeypatch):
+    texts = ["", "  a\tB \n`c’ ", "Été “x” ½ﬁ", "объект Хь ь", "e\u0301 a\u00adb", "x_iy kh-9 don't", " a"]
+    quick = [(O.fold(t), O.anchors(t)) for t in texts]
+    monkeypatch.setattr(O, "_one_for_one", lambda c: False)
+    monkeypatch.setattr(O, "_plain", lambda c: False)
+    assert quick == [(O.fold(t), O.anchors(t)) for t in texts]
+    assert "a b c" in O.anchors("a b c d")[0]

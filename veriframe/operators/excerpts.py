@@ -2,7 +2,7 @@
 
 An excerpt is looked for part by part (as it stands, then after a printed label, with and without
 its closing marks) and method by method (exact, tolerant, transliteration). Excerpts and bodies meet
-by the rarest word or pair of neighbours of each part: an equi-join of their hashes, so that no side is
+by the rarest word or run of two or three of each part: an equi-join of their hashes, so that no side is
 broadcast and no body is compared with an excerpt it shares none with. The words are those of the
 strongest fold, since every match by a weaker one holds them too. What meets is placed and verified
 in Arrow batches, row by row in the order of the bodies, so that a body is folded once; the decision which part and method count is a window over an excerpt's verified matches.
@@ -37,8 +37,13 @@ _FOUND = ArrayType(_struct(grp=IntegerType(), part=IntegerType(), method=Integer
 
 @F.pandas_udf(_WORDS)
 def anchor_words(texts: pd.Series) -> pd.Series:
-    """All words and pairs of a body that some excerpt may be met by, once each."""
-    return texts.map(lambda t: list({w for words in O.anchors(t) for w in words}))
+    """All words and runs of two or three of a body that some excerpt may be met by, once each."""
+
+    def of(text: str | None) -> list[str]:
+        first, *others = O.anchors(text)
+        return first if all(words is first for words in others) else list({w for words in (first, *others) for w in words})
+
+    return texts.map(of)
 
 
 @F.pandas_udf(StringType())
@@ -69,7 +74,7 @@ def transliterated(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 @F.pandas_udf(_PARTS)
 def parts(excerpts: pd.Series) -> pd.Series:
     """The parts of an excerpt: group, place in it, ranges between ellipses, and the lists of words and
-    pairs to meet by; a list that two methods share stands once."""
+    runs to meet by; a list that two methods share stands once."""
     pair = lambda ranges: [{"start": a, "end": b} for a, b in ranges]
 
     def of(text: str | None) -> list[dict]:
@@ -86,7 +91,7 @@ def parts(excerpts: pd.Series) -> pd.Series:
 
 
 def candidates(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(excerpt_id, id, parts): bodies that hold the rarest word or pair of some parts of an excerpt.
+    """(excerpt_id, id, parts): bodies that hold the rarest word or run of some parts of an excerpt.
 
     A part without a word (marks only) is met by no body. excerpts: excerpt_id, excerpt; bodies: id, body.
     """
