@@ -115,6 +115,16 @@ def test_quiet_stretches_in_pauses_are_counted(spark):
     assert "start_us" not in pairs
 
 
+def test_excerpts_of_their_own_bodies(spark):
+    rng = random.Random(6)
+    bodies = [(k, " ".join(rng.choice("at nine the dock Bo? come, and".split()) for _ in range(rng.randrange(1, 9)))) for k in range(60)] + [(60, "PETROV: at nine"), (61, "at nine"), (62, "?!"), (63, None)]
+    said = [(k, rng.choice(["", "PETROV: "]) + " ".join((b or "?").split()[: rng.randrange(1, 5)])) for k, b in bodies if k < 60] + [(61, "PETROV: at nine"), (62, "X: ?!"), (63, "at nine"), (99, "at nine")]
+    e, b = spark.createDataFrame(said, "excerpt_id long, excerpt string"), spark.createDataFrame(bodies, "id long, body string")
+    want = X.find_every(X.placed(e, b)).filter("excerpt_id = id").select("excerpt_id", "part", "method", "ranges", "spans").collect()
+    got = X.find_own(e, b).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and 30 < len(got) and 61 not in {r.excerpt_id for r in got}
+
+
 def test_excerpts_of_common_words_meet_by_three(spark):
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     bodies = [(k, f"of the and, the to of w{k}") for k in range(30)] + [(99, "so of the to end")]

@@ -90,15 +90,18 @@ def parts(excerpts: pd.Series) -> pd.Series:
     return excerpts.map(of)
 
 
-def candidates(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
+def candidates(excerpts: DataFrame, bodies: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(excerpt_id, id, parts): bodies that hold the rarest word or run of some parts of an excerpt.
 
     A part without a word (marks only) is met by no body. excerpts: excerpt_id, excerpt; bodies: id, body.
+    ``before`` (excerpt_id, first): only parts of a group before ``first``.
     """
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))  # noqa: E731  # equal hashes of other words only meet in vain
     words = bodies.select("id", F.explode(hashed(anchor_words("body"))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     asked = excerpts.select("excerpt_id", F.explode(parts("excerpt")).alias("p")).select("excerpt_id", "p.grp", "p.part", "p.ranges", F.posexplode("p.words").alias("m", "words"))
+    if before is not None:
+        asked = asked.join(before, "excerpt_id").filter("grp < first")
     known = asked.select("excerpt_id", "grp", "part", "ranges", "m", F.explode(hashed("words")).alias("word")).join(df, "word", "left")
     rarest = known.groupBy("excerpt_id", "grp", "part", "m").agg(
         F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"), F.any_value("ranges").alias("ranges")
@@ -165,3 +168,18 @@ def find_every(found: DataFrame) -> DataFrame:
     best = held.withColumn("k", F.row_number().over(Window.partitionBy("excerpt_id", "id").orderBy(*_rank()))).filter("k = 1")
     total = best.groupBy("excerpt_id").agg(F.count("*").alias("total"))
     return best.join(total, "excerpt_id").select("excerpt_id", "id", "part", "method", "ranges", "spans", "total")
+
+
+def find_own(excerpts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(excerpt_id, part, method, ranges, spans): what ``find_every`` gives an excerpt in the body of its
+    own id. An excerpt meets only that body; other bodies are asked for its earlier groups of parts,
+    which would come first if any held them."""
+    wanted = F.filter(parts("excerpt"), lambda p: F.exists(p.words, lambda w: F.size(w) > 0))
+    wanted = F.transform(wanted, lambda p: F.struct(p.grp.alias("grp"), p.part.alias("part"), p.ranges.alias("ranges")))
+    own = excerpts.select("excerpt_id", F.col("excerpt_id").alias("id"), wanted.alias("parts"))
+    own = stored(placed(excerpts, bodies.filter("body IS NOT NULL"), own).filter("ok"))
+    first = own.groupBy("excerpt_id").agg(F.min("grp").alias("first"))
+    earlier = placed(excerpts, bodies, candidates(excerpts, bodies, first)).filter("ok").select("excerpt_id").distinct()
+    best = Window.partitionBy("excerpt_id").orderBy("grp", *_rank())
+    own = own.withColumn("k", F.row_number().over(best)).filter("k = 1").join(earlier, "excerpt_id", "left_anti")
+    return own.select("excerpt_id", "part", "method", "ranges", "spans")

@@ -50,7 +50,7 @@ def q_excerpt_every(spark, sf_dir):
 
 def q_excerpt_omissions(spark, sf_dir):
     """What the excerpt of each message leaves out of that message."""
-    found = X.find_every(X.placed(_excerpts(spark, sf_dir), _bodies(spark, sf_dir))).filter("excerpt_id = id").join(_bodies(spark, sf_dir), "id")
+    found = X.find_own(_excerpts(spark, sf_dir), _bodies(spark, sf_dir)).withColumnRenamed("excerpt_id", "id").join(_bodies(spark, sf_dir), "id")
     return found.select("id", F.array_join(omitted(F.col("body"), F.col("spans")), "|").alias("left_out"))
 
 
