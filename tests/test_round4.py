@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from veriframe.functions import offsets as O
 from veriframe.llm import chunks
+from veriframe.operators import audit as A
 from veriframe.operators import excerpts as X
 from veriframe.operators import lookups, matching, statements, timeline
 from veriframe.operators.pairs import all_pairs
@@ -138,3 +139,17 @@ def test_folds_of_plain_texts_are_those_of_any(monkeypatch):
     monkeypatch.setattr(O, "_plain", lambda c: False)
     assert quick == [(O.fold(t), O.anchors(t)) for t in texts]
     assert "a b c" in O.anchors("a b c d")[0]
+
+
+def test_equal_quotes_are_looked_up_once(spark):
+    said = ["of the", "of the", "OF the", "the dock at nine", "the dock at nine", "sam poe", "sam poe", "", "nine"]
+    quotes = spark.createDataFrame([(f"q{k}", f"u{k % 4}", f"d{k % 2}", w, k != 4, True) for k, w in enumerate(said * 2)], "quote_id string, unit_id string, group_id string, words string, whole boolean, document boolean")
+    messages = spark.createDataFrame([(f"m{k}", "ab"[k % 2], f"t{k % 3}", "x", k * 10_000_000, "r", w) for k, w in enumerate(["one of the many", "of, the few", "the dock at nine", "nine", "come to the dock at nine", None, "see: of the"] * 2)], "id string, source_id string, thread_id string, sender string, us long, locator string, text string")
+    names = spark.createDataFrame([("Sam Poe",)], "name string")
+    plain = A.hits(quotes, messages, names)
+    want = A.lookups(quotes, plain, A.placed(plain, messages), names).collect()
+    dealt = A.by_text(quotes)
+    texts = dealt.filter("quote_id = text_id").drop("text_id")
+    found = A.hits(texts, messages, names)
+    got = A.lookups_by_text(dealt, found, A.placed(found, messages), names)
+    assert sorted(map(str, got.select(*want[0].asDict()).collect())) == sorted(map(str, want)) and len(want) == 18 and texts.count() == 7

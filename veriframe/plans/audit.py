@@ -53,8 +53,9 @@ def _names(spark):
 
 
 def _found(spark, sf_dir):
-    messages, quotes = _messages(spark, sf_dir), stored(_quotes(spark, sf_dir))
-    found = stored(A.hits(quotes, messages, _names(spark)))
+    """The quotes, and what is found of their texts and where these land."""
+    messages, quotes = _messages(spark, sf_dir), stored(A.by_text(_quotes(spark, sf_dir)))
+    found = stored(A.hits(quotes.filter("quote_id = text_id").drop("text_id"), messages, _names(spark)))
     return quotes, found, stored(A.placed(found, messages)), messages
 
 
@@ -64,13 +65,15 @@ def q_paragraph_quotes(spark, sf_dir):
 
 def q_quote_lookups(spark, sf_dir):
     quotes, found, landed, _ = _found(spark, sf_dir)
-    return A.lookups(quotes, found, landed, _names(spark))
+    return A.lookups_by_text(quotes, found, landed, _names(spark))
 
 
 def q_selection_audit(spark, sf_dir):
     quotes, found, landed, messages = _found(spark, sf_dir)
     tagged = messages.filter("key % 11 = 4").select("id")
-    return A.audit(quotes, found, landed, tagged, messages)
+    of = quotes.select("quote_id", F.col("text_id").alias("t"))
+    each = lambda df: df.withColumnRenamed("quote_id", "t").join(of, "t").drop("t")
+    return A.audit(quotes, each(found), each(landed), tagged, messages)
 
 
 def _tagged(messages):
