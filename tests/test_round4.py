@@ -153,3 +153,19 @@ def test_equal_quotes_are_looked_up_once(spark):
     found = A.hits(texts, messages, names)
     got = A.lookups_by_text(dealt, found, A.placed(found, messages), names)
     assert sorted(map(str, got.select(*want[0].asDict()).collect())) == sorted(map(str, want)) and len(want) == 18 and texts.count() == 7
+
+
+def test_common_quotes_mark_the_threads_of_picks_alone(spark):
+    rng = random.Random(4)
+    some = ["of the", "the dock", "bring the red bag", "which of them", "at nine then"]
+    messages = spark.createDataFrame([(f"m{k:02}", "ab"[k % 2], f"t{k % 7}", rng.choice("uv"), k * 100_000_000, f"row/{k}", " ".join(rng.sample(some, rng.choice([1, 1, 2]))) + (f" w{k} z" if k % 3 else "")) for k in range(50)], "id string, source_id string, thread_id string, sender string, us long, locator string, text string")
+    quotes = [(f"q{k:02}", f"p{k % 9}", f"d{k % 4}", rng.choice([*some, f"w{k} z", f"w{k + 1} z"]), True, True) for k in range(50)]
+    quotes = A.by_text(spark.createDataFrame(quotes, "quote_id string, unit_id string, group_id string, words string, whole boolean, document boolean"))
+    names = spark.createDataFrame([("nobody",)], "name string")
+    tagged = messages.filter("id IN ('m01', 'm17', 'm30')").select("id")
+    plain = A.hits(quotes.drop("text_id"), messages, names).persist()
+    want = sorted(map(str, A.audit(quotes, plain, A.placed(plain, messages), tagged, messages).collect()))
+    found = A.hits(quotes.filter("quote_id = text_id").drop("text_id"), messages, names).persist()
+    for many in (1, 64):
+        assert sorted(map(str, A.audit_by_text(quotes, found, A.placed(found, messages), tagged, messages, many=many).collect())) == want
+    assert len(want) > 10 and any("maybe=0" not in r for r in want)

@@ -71,9 +71,7 @@ def q_quote_lookups(spark, sf_dir):
 def q_selection_audit(spark, sf_dir):
     quotes, found, landed, messages = _found(spark, sf_dir)
     tagged = messages.filter("key % 11 = 4").select("id")
-    of = quotes.select("quote_id", F.col("text_id").alias("t"))
-    each = lambda df: df.withColumnRenamed("quote_id", "t").join(of, "t").drop("t")
-    return A.audit(quotes, each(found), each(landed), tagged, messages)
+    return A.audit_by_text(quotes, found, landed, tagged, messages)
 
 
 def _tagged(messages):
